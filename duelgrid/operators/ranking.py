@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 from duelgrid.config import EXTERNAL_RANK_SCORES, EngineConfig, RankingConfig
 from duelgrid.functions import core as C
 from duelgrid.functions.timeline import positions
+from duelgrid.session import ensure_checkpoint_dir
 
 R = RankingConfig()
 LAST = 2 ** 31 - 1
@@ -204,13 +205,14 @@ def head_to_head_edges(ranked: DataFrame, contests: DataFrame, sides: DataFrame,
     """
     today = F.lit(as_of).cast("date")
     r = ranked.select("division", "competitor", "pos", "final_rating", "external_rank")
-    lo = r.select("division", *[F.col(c).alias(f"{c}_lo") for c in r.columns[1:4]])
-    hi = r.select("division", *[F.col(c).alias(f"{c}_hi") for c in r.columns[1:4]])
+    view = lambda s: r.select("division", *[F.col(c).alias(f"{c}_{s}") for c in ("competitor", "pos", "final_rating")])
     met = (
         latest_meetings(contests, as_of, engine, cfg)
-        .join(lo, F.col("lo") == F.col("competitor_lo")).join(hi, (F.col("hi") == F.col("competitor_hi")) & (hi.division == lo.division))
-        .filter(F.col("label").isNull() | (F.col("label") == lo.division))
-        .groupBy(lo.division, "lo", "hi", "pos_lo", "pos_hi", "final_rating_lo", "final_rating_hi")
+        .withColumnRenamed("lo", "competitor_lo").withColumnRenamed("hi", "competitor_hi")
+        .join(view("lo"), "competitor_lo").join(view("hi"), ["division", "competitor_hi"])
+        .filter(F.col("label").isNull() | (F.col("label") == F.col("division")))
+        .withColumnRenamed("competitor_lo", "lo").withColumnRenamed("competitor_hi", "hi")
+        .groupBy("division", "lo", "hi", "pos_lo", "pos_hi", "final_rating_lo", "final_rating_hi")
         .agg(F.max("m").alias("m")))
     low_won = F.col("m.winner") == F.col("lo")
     side = lambda c, won: F.when(low_won if won else ~low_won, F.col(f"{c}_lo")).otherwise(F.col(f"{c}_hi"))
@@ -252,14 +254,15 @@ def apply_edges(ranked: DataFrame, edges: DataFrame) -> DataFrame:
     """
     parent = edges.groupBy("division", F.col("winner").alias("competitor")).agg(
         F.min("loser_pos").cast("int").alias("up"), F.max("winner_pos").cast("int").alias("pos"))
-    paths = parent.select("division", "competitor", "pos", F.array("up", "pos").alias("path"), "up").persist()
+    ensure_checkpoint_dir(ranked.sparkSession)
+    paths = parent.select("division", "competitor", "pos", F.array("up", "pos").alias("path"), "up").checkpoint()
     while True:
-        above = paths.select("division", F.col("pos").alias("at"), F.col("path").alias("above"), F.col("up").alias("next"))
-        joined = paths.join(above, (paths.up == above["at"]) & (paths.division == above.division), "left").select(
-            paths.division, "competitor", "pos",
+        above = paths.select("division", F.col("pos").alias("up"), F.col("path").alias("above"), F.col("up").alias("next"))
+        joined = paths.join(above, ["division", "up"], "left").select(
+            "division", "competitor", "pos",
             F.when(F.col("above").isNull(), F.col("path"))
             .otherwise(F.concat("above", F.slice("path", 2, F.size("path")))).alias("path"),
-            F.col("next").alias("up")).persist()
+            F.col("next").alias("up")).checkpoint()
         pending = joined.filter("up is not null").limit(1).count()
         paths = joined
         if not pending:
@@ -354,7 +357,8 @@ def rank_divisions(competitors, contests, sides, states, external, overrides, pe
     cand = candidates(competitors, members, removals)
     div = division_sides(sides, cand, as_of, engine)
     scored = score(eligible(competitors, cand, div, cfg), div, states, pedigree, as_of, engine, cfg)
-    ranked = order_by_rating(scored).persist()
+    ensure_checkpoint_dir(competitors.sparkSession)
+    ranked = order_by_rating(scored.checkpoint()).checkpoint()
     edges = head_to_head_edges(ranked, contests, sides, as_of, engine, cfg)
     moved = apply_edges(ranked, edges)
     return finalize(moved, loss_streaks(sides), cfg) if depth_only else moved

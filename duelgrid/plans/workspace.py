@@ -1,12 +1,14 @@
 """Products shared by many queries, built once per session and input folder.
 
-Each product is persisted (memory, then disk); a lost executor's blocks are recomputed from
-lineage. The rating history is the table most jobs read, so it is the one worth keeping.
+Each product is written as a table into the session's shared checkpoint folder and read back,
+so later plans start from a short scan with statistics, and losing an executor costs nothing.
+The rating history is the table most jobs read.
 """
 
 from __future__ import annotations
 
 from functools import cached_property
+from uuid import uuid4
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -14,6 +16,7 @@ from duelgrid.config import EngineConfig, FilterParams
 from duelgrid.functions.timeline import number_timeline
 from duelgrid.operators import etl, ranking, sweep
 from duelgrid.operators.identity_rules import tier_multiplier
+from duelgrid.session import ensure_checkpoint_dir
 from duelgrid.sources import bindings as B
 
 _OPEN: dict[tuple[str, str], "Workspace"] = {}
@@ -30,6 +33,12 @@ class Workspace:
     def __init__(self, spark: SparkSession, sf_dir: str, as_of: str = B.AS_OF):
         self.spark, self.dir, self.as_of = spark, sf_dir, as_of
         self.engine = EngineConfig()
+        self.root = f"{ensure_checkpoint_dir(spark)}/products-{uuid4().hex}"
+
+    def keep(self, name: str, df: DataFrame) -> DataFrame:
+        path = f"{self.root}/{name}"
+        df.write.mode("overwrite").parquet(path)
+        return self.spark.read.parquet(path)
 
     def table(self, name: str) -> DataFrame:
         return B.table(self.spark, self.dir, name)
@@ -40,19 +49,19 @@ class Workspace:
 
     @cached_property
     def contests(self) -> DataFrame:
-        return B.contests(self.spark, self.dir).persist()
+        return self.keep("contests", B.contests(self.spark, self.dir))
 
     @cached_property
     def sides(self) -> DataFrame:
-        return number_timeline(etl.to_sides(self.contests)).persist()
+        return self.keep("sides", number_timeline(etl.to_sides(self.contests)))
 
     @cached_property
     def competitors(self) -> DataFrame:
-        return B.competitors(self.spark, self.dir, self.sides).persist()
+        return self.keep("competitors", B.competitors(self.spark, self.dir, self.sides))
 
     @cached_property
     def external(self) -> DataFrame:
-        return B.external_ranking(self.competitors).persist()
+        return self.keep("external", B.external_ranking(self.competitors))
 
     @cached_property
     def overrides(self) -> DataFrame:
@@ -61,13 +70,13 @@ class Workspace:
     @cached_property
     def history(self) -> DataFrame:
         """Rating history under the default engine, numbered per competitor."""
-        h = sweep.sweep(self.contests, self.engine, self.as_of)
+        h = self.keep("history", sweep.sweep(self.contests, self.engine, self.as_of))
         totals = h.groupBy("competitor").agg(F.count("*").alias("rated"))
-        return h.join(totals, "competitor").withColumn("rev", F.col("rated") - F.col("nth")).persist()
+        return h.join(totals, "competitor").withColumn("rev", F.col("rated") - F.col("nth"))
 
     @cached_property
     def states(self) -> DataFrame:
-        return sweep.final_states(self.history, self.as_of, self.engine).persist()
+        return self.keep("states", sweep.final_states(self.history, self.as_of, self.engine))
 
     @cached_property
     def outside(self) -> DataFrame:
@@ -76,7 +85,7 @@ class Workspace:
 
     @cached_property
     def pedigree(self) -> DataFrame:
-        return ranking.pedigree_strength(self.outside, self.sides)
+        return self.keep("pedigree", ranking.pedigree_strength(self.outside, self.sides))
 
     def _ranking_inputs(self, engine: EngineConfig):
         members, removals = ranking.memberships(self.external, self.overrides)
@@ -88,21 +97,23 @@ class Workspace:
     def ranked(self) -> DataFrame:
         cand, div = self._ranking_inputs(self.engine)
         elig = ranking.eligible(self.competitors, cand, div)
-        return ranking.order_by_rating(
-            ranking.score(elig, div, self.states, self.pedigree, self.as_of, self.engine)).persist()
+        scored = self.keep("scored", ranking.score(
+            elig, div, self.states, self.pedigree, self.as_of, self.engine))
+        return self.keep("ranked", ranking.order_by_rating(scored))
 
     @cached_property
     def edges(self) -> DataFrame:
-        return ranking.head_to_head_edges(self.ranked, self.contests, self.sides, self.as_of, self.engine)
+        return self.keep("edges", ranking.head_to_head_edges(
+            self.ranked, self.contests, self.sides, self.as_of, self.engine))
 
     @cached_property
     def moved(self) -> DataFrame:
-        return ranking.apply_edges(self.ranked, self.edges).persist()
+        return self.keep("moved", ranking.apply_edges(self.ranked, self.edges))
 
     @cached_property
     def final(self) -> DataFrame:
-        return ranking.contender_rank(
-            ranking.finalize(self.moved, ranking.loss_streaks(self.sides))).persist()
+        return self.keep("final", ranking.contender_rank(
+            ranking.finalize(self.moved, ranking.loss_streaks(self.sides))))
 
     def rankings(self, filters: FilterParams = FilterParams()) -> DataFrame:
         """All divisions under user filters; the neutral position is the shared product."""

@@ -165,17 +165,15 @@ SEGMENT_TIERS = {"AUTOMOBILE": "tier2", "BUILDING": "tier2_5", "FURNITURE": "tie
 
 def outside_history(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders read as contests in other organisations, dated six years earlier."""
-    n = table(spark, sf_dir, "supplier").agg((F.max("s_suppkey") + 1).alias("n_sup"))
     rows = (
         table(spark, sf_dir, "orders").select(
             "o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority", F.to_date("o_orderdate").alias("d"))
         .join(table(spark, sf_dir, "customer").select("c_custkey", "c_mktsegment"),
-              F.col("o_custkey") == F.col("c_custkey"))
-        .join(F.broadcast(n)))
+              F.col("o_custkey") == F.col("c_custkey")))
     tier = F.create_map(*[F.lit(x) for kv in SEGMENT_TIERS.items() for x in kv])[F.col("c_mktsegment")]
     result = (F.when(F.col("o_orderstatus") == "F", "win").when(F.col("o_orderstatus") == "O", "loss")
               .when(F.col("o_orderpriority") == "1-URGENT", "draw").otherwise("nc"))
-    comp = F.col("o_custkey") % F.col("n_sup")
+    comp = F.floor(F.col("o_custkey") / 15)
     return rows.select(
         F.col("o_orderkey").alias("outside_id"), comp.alias("competitor"),
         F.date_sub("d", 2192).alias("date"), F.col("c_mktsegment").alias("organisation"),

@@ -166,7 +166,7 @@ SELECT *, CASE WHEN gap>12 THEN pow({retain}::DOUBLE,(gap-12)/12) ELSE 1 END
   * CASE WHEN prev_label IS NOT NULL AND division IS NOT NULL AND prev_label<>division THEN {1-move}::DOUBLE ELSE 1 END
   * {disc}::DOUBLE AS carry, k * CASE WHEN nth<{prov} THEN {prov_mult} ELSE 1 END::DOUBLE AS kk
 FROM (SELECT *, {months('prev_date','date')} AS gap FROM (
- SELECT *, lag(sid) OVER w AS prev_sid, lag(date) OVER w AS prev_date, row_number() OVER w - 1 AS nth, lag(division) OVER w AS prev_label
+ SELECT *, lag(sid) OVER w AS prev_sid, lag(date) OVER w AS prev_date, count(*) OVER (PARTITION BY competitor ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS nth, lag(division) OVER w AS prev_label
  FROM (SELECT seq*2 AS sid, seq, contest_id, date, division, c1 AS competitor, c2 AS opponent, s1 AS s, k FROM {rated}
   UNION ALL SELECT seq*2+1, seq, contest_id, date, division, c2, c1, 1-s1, k FROM {rated})
  WINDOW w AS (PARTITION BY competitor ORDER BY seq)))""")
