@@ -14,8 +14,9 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from duelgrid.config import EngineConfig, FilterParams
 from duelgrid.functions.timeline import number_timeline
-from duelgrid.operators import etl, ranking, sweep
-from duelgrid.operators.identity_rules import tier_multiplier
+from duelgrid.functions import core as C
+from duelgrid.operators import analytics, etl, identity, market, ranking, sweep
+from duelgrid.functions.names import name_pair
 from duelgrid.session import ensure_checkpoint_dir
 from duelgrid.sources import bindings as B
 
@@ -78,6 +79,104 @@ class Workspace:
     def states(self) -> DataFrame:
         return self.keep("states", sweep.final_states(self.history, self.as_of, self.engine))
 
+    @cached_property
+    def log(self) -> DataFrame:
+        """Rating history with the contest's method, round and opponent name."""
+        about = self.sides.select("contest_id", "competitor", "method", "round", "details", "event_id", "name", "opponent_name")
+        return self.keep("log", self.history.join(about, ["contest_id", "competitor"]))
+
+    @cached_property
+    def births(self) -> DataFrame:
+        return B.births(self.spark, self.dir)
+
+    @cached_property
+    def samples(self) -> DataFrame:
+        return self.keep("samples", analytics.samples(self.sides))
+
+    @cached_property
+    def pace(self) -> DataFrame:
+        return self.keep("pace", analytics.pace_windows(self.samples))
+
+    @cached_property
+    def pace_wide(self) -> DataFrame:
+        return self.keep("pace_wide", analytics.pace_wide(self.pace))
+
+    @cached_property
+    def trend_context(self) -> DataFrame:
+        return analytics.trend_context(self.log, self.states, self.births, self.today)
+
+    @cached_property
+    def profile(self) -> DataFrame:
+        """One row per competitor from all per-competitor products (joins on the same key)."""
+        h = C.half_up
+        rank = self.final.groupBy("competitor").agg(F.max_by(F.struct(
+            "division", "rank", "contender_rank", "is_champion", "final_rating", "schedule_quality"), "final_rating").alias("r"))
+        latest = self.log.groupBy("competitor").agg(F.max("date").alias("latest"), F.min("date").alias("debut"))
+        nudge = self.pace_wide.select(
+            "competitor", analytics.form_nudge(F.col("diff15_delta"), F.col("td15_delta")).alias("form_nudge"),
+            "ratio_career", "ratio_last3", F.col("career.contests").alias("sample_contests"))
+        c = self.competitors
+        fin = F.col("ko_rate") + F.col("sub_rate")
+        rating = F.coalesce("rating", F.lit(1500.0))
+        joined = (c.join(self.states.select("competitor", "rating", "peak", "contests_rated"), "competitor", "left")
+                  .join(rank, "competitor", "left").join(latest, "competitor", "left").join(nudge, "competitor", "left")
+                  .join(self.births, "competitor", "left"))
+        return self.keep("profile", joined.select(
+            "competitor", "name", "gender", "home_division", F.concat_ws("-", "wins", "losses", "draws").alias("record"),
+            "contests", F.coalesce("contests_rated", F.lit(0)).alias("contests_rated"),
+            C.whole_years(F.col("born"), self.today).alias("age"),
+            F.col("r.division").alias("ranked_division"), F.col("r.contender_rank").alias("shown_rank"),
+            F.coalesce("r.is_champion", F.lit(False)).alias("is_champion"),
+            h(rating, 2).alias("rating"), h(F.coalesce("peak", F.lit(1500.0)), 2).alias("peak"),
+            h(C.display_score(rating), 2).alias("display"), F.col("r.schedule_quality").alias("schedule_quality"),
+            h(F.coalesce(C.months_between_days(F.col("latest"), self.today), F.lit(999.0)), 1).alias("months_since"),
+            h(fin, 3).alias("finish_rate"), "ko_rate", "sub_rate", "accuracy",
+            analytics.style_label(F.col("ko_rate"), F.col("sub_rate"), F.col("accuracy"), fin).alias("style"),
+            F.coalesce("form_nudge", F.lit(0.0)).alias("form_nudge"), "ratio_career", "ratio_last3",
+            F.coalesce("sample_contests", F.lit(0)).alias("sample_contests")))
+
+    @cached_property
+    def roster(self) -> DataFrame:
+        return B.roster(self.spark, self.dir)
+
+    @cached_property
+    def prices(self) -> DataFrame:
+        return self.keep("prices", B.closing_prices(self.contests))
+
+    @cached_property
+    def price_names(self) -> DataFrame:
+        """Every distinct feed name with the id it resolves to (strict cascade)."""
+        names = self.prices.select(F.explode(F.array("favourite", "underdog")).alias("name"))
+        return self.keep("price_names", identity.resolve_names(
+            names, self.roster, B.feed_overrides(self.roster), last_first=False))
+
+    @cached_property
+    def resolved_prices(self) -> DataFrame:
+        n = self.price_names.filter("competitor is not null")
+        return (self.prices.select("price_id", "favourite", "underdog")
+                .join(n.select(F.col("name").alias("favourite"), F.col("competitor").alias("fav_id")), "favourite", "left")
+                .join(n.select(F.col("name").alias("underdog"), F.col("competitor").alias("dog_id")), "underdog", "left")
+                .select("price_id", "fav_id", "dog_id"))
+
+    @cached_property
+    def joined_prices(self) -> DataFrame:
+        out = market.join_prices(self.prices, self.resolved_prices, market.point_in_time(self.history))
+        p = lambda m: market.devig(F.col("fav_odds"), F.col("dog_odds"), m)
+        return self.keep("joined_prices", out.withColumns({f"p_{m}": p(m) for m in market.METHODS}))
+
+    @cached_property
+    def samples_priced(self) -> DataFrame:
+        return self.joined_prices.filter("verdict = 'ok'").withColumn("market_p", F.col("p_power"))
+
+    @cached_property
+    def reigns(self) -> DataFrame:
+        return self.keep("reigns", B.reigns(self.contests))
+
+    @cached_property
+    def titles(self) -> DataFrame:
+        cands = market.title_candidates(B.title_slots(self.contests), self.reigns, self.as_of)
+        return self.keep("titles", market.attribute_titles(cands))
+
     @cached_property
     def outside(self) -> DataFrame:
         """Contest history outside the organisation."""

@@ -181,3 +181,83 @@ def outside_history(spark: SparkSession, sf_dir: str) -> DataFrame:
         tier_multiplier(F.coalesce(tier, F.lit("tier4"))).alias("tier_multiplier"),
         F.concat(F.lit("X"), ((F.col("o_custkey") * 7 + F.col("o_orderkey") % 3) % 400).cast("string")).alias("opponent_id"),
         result.alias("result"), F.date_format("d", "'Night 'yyyyMM").alias("event_name"))
+
+
+def births(spark: SparkSession, sf_dir: str) -> DataFrame:
+    key = F.col("s_suppkey")
+    return table(spark, sf_dir, "supplier").filter(key % 13 != 5).select(
+        key.alias("competitor"), F.date_add(F.lit("1955-01-01").cast("date"), (key * 97 % 9000).cast("int")).alias("born"),
+        F.when(key % 4 == 3, "year").otherwise("day").alias("precision"))
+
+
+# ── market feeds ──────────────────────────────────────────────────────────
+
+def feed_name(name: Column, key: Column) -> Column:
+    """How a foreign feed spells a name: plain, upper case, suffixed, accented or punctuated."""
+    v = key % 5
+    return (F.when(v == 0, name).when(v == 1, F.upper(name)).when(v == 2, F.concat(name, F.lit(" Jr")))
+            .when(v == 3, F.translate(name, "a", "á")).otherwise(F.regexp_replace(name, "Van", "Va'n")))
+
+
+def feed_overrides(roster: DataFrame) -> DataFrame:
+    """Curated feed spelling -> roster name, for half of the suffixed names."""
+    return roster.filter("competitor % 10 = 2").select(
+        feed_name(F.col("name"), F.col("competitor")).alias("alias"), F.col("name").alias("target"))
+
+
+def side_prices(contests: DataFrame) -> DataFrame:
+    share = F.col("amount1") / (F.col("amount1") + F.col("amount2"))
+    noise = (F.col("contest_id") * 7919 % 1000) / F.lit(1000.0) - 0.5
+    p1 = F.least(F.greatest(F.lit(0.5) + F.lit(0.8) * (share - 0.5) + F.lit(0.5) * noise, F.lit(0.08)), F.lit(0.92))
+    price = lambda p: half_up(F.lit(1.0) / (F.lit(1.05) * p), 4)
+    return contests.withColumn("p1", p1).withColumn("price1", price(F.col("p1"))).withColumn("price2", price(1 - F.col("p1")))
+
+
+def closing_prices(contests: DataFrame) -> DataFrame:
+    """Favourite/underdog rows under feed spellings, dated within two days of the contest."""
+    s = side_prices(contests)
+    first = F.col("price1") <= F.col("price2")
+    pick = lambda a, b: F.when(first, a).otherwise(b)
+    n1, n2 = feed_name(F.col("name1"), F.col("c1")), feed_name(F.col("name2"), F.col("c2"))
+    res = pick(F.col("result1"), F.col("result2"))
+    return s.select(
+        F.col("contest_id").alias("price_id"), F.date_add("date", ((F.col("contest_id") % 5) - 2).cast("int")).alias("date"),
+        F.col("event_id").alias("event"), pick(n1, n2).alias("favourite"), pick(n2, n1).alias("underdog"),
+        F.least("price1", "price2").alias("fav_odds"), F.greatest("price1", "price2").alias("dog_odds"),
+        F.when(res == "W", "favourite").when(res == "L", "underdog").otherwise("unknown").alias("outcome"))
+
+
+def book_prices(contests: DataFrame) -> DataFrame:
+    """Long form: five books per side; book 28 is the opener."""
+    books = F.array(*[F.struct(F.lit(b).alias("book"), F.lit(i).alias("i")) for i, b in enumerate((28, 1, 2, 3, 4))])
+    sides = F.array(F.struct(F.lit(1).alias("side"), F.col("price1").alias("base")),
+                    F.struct(F.lit(2).alias("side"), F.col("price2").alias("base")))
+    return (side_prices(contests).select("contest_id", F.explode(sides).alias("s"))
+            .select("contest_id", "s.*", F.explode(books).alias("b"))
+            .select("contest_id", "side", F.col("b.book").alias("book"),
+                    half_up(F.col("base") * (F.lit(1.0) + F.lit(0.01) * F.col("b.i")), 4).alias("price")))
+
+
+EPOCH = "1995-01-01"
+REIGN_DAYS = 180
+
+
+def reigns(contests: DataFrame) -> DataFrame:
+    """Belt ledger: per division, the holder of each 180-day interval won most in the one before."""
+    epoch = F.lit(EPOCH).cast("date")
+    sides = contests.select("division", F.floor(F.datediff("date", epoch) / REIGN_DAYS).cast("int").alias("k"), F.explode(F.array(
+        F.struct(F.col("c1").alias("holder"), F.col("result1").alias("r")),
+        F.struct(F.col("c2").alias("holder"), F.col("result2").alias("r")))).alias("s")).filter("s.r = 'W'")
+    wins = sides.groupBy("division", "k", "s.holder").agg(F.count("*").alias("w"))
+    best = wins.groupBy("division", "k").agg(F.min(F.struct(-F.col("w"), "holder"))["holder"].alias("holder"))
+    last = F.max("k").over(W.partitionBy("division"))
+    start = F.date_add(epoch, (F.col("k") + 1) * REIGN_DAYS)
+    return best.withColumn("final", F.col("k") == last).select(
+        F.concat_ws("#", "division", F.lpad((F.col("k") + 1).cast("string"), 3, "0")).alias("reign_id"), "division", "holder",
+        start.alias("start"), F.when(~F.col("final"), F.date_add(start, REIGN_DAYS - 1)).alias("end"),
+        ((F.col("k") + 1) % 4 == 3).alias("interim"))
+
+
+def title_slots(contests: DataFrame) -> DataFrame:
+    """Contests scheduled for the championship distance."""
+    return contests.filter("contest_id % 3 = 0")
