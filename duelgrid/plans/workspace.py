@@ -177,6 +177,18 @@ class Workspace:
         cands = market.title_candidates(B.title_slots(self.contests), self.reigns, self.as_of)
         return self.keep("titles", market.attribute_titles(cands))
 
+    @cached_property
+    def raw_rounds(self) -> DataFrame:
+        return B.raw_rounds(self.spark, self.dir, self.contests)
+
+    @cached_property
+    def side_stats(self) -> DataFrame:
+        return self.keep("side_stats", etl.aggregate_rounds(self.raw_rounds))
+
+    @cached_property
+    def profiles(self) -> DataFrame:
+        return B.foreign_profiles(self.competitors)
+
     @cached_property
     def outside(self) -> DataFrame:
         """Contest history outside the organisation."""

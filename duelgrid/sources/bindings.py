@@ -261,3 +261,194 @@ def reigns(contests: DataFrame) -> DataFrame:
 def title_slots(contests: DataFrame) -> DataFrame:
     """Contests scheduled for the championship distance."""
     return contests.filter("contest_id % 3 = 0")
+
+
+# ── raw feeds (text cells) ────────────────────────────────────────────────
+
+def raw_results(contests: DataFrame) -> DataFrame:
+    """Result rows as a scraped feed would hold them: everything is text."""
+    key = F.col("contest_id")
+    kind = key % 4
+    label = (F.when(kind == 0, F.concat(F.lit("Promo "), "division", F.lit(" Title Bout")))
+             .when(kind == 1, F.concat("division", F.lit(" Bout")))
+             .when(kind == 2, F.concat(F.lit("Ultimate Fighter 3 Tournament "), "division", F.lit(" Bout")))
+             .otherwise(F.concat(F.lit("Interim "), "division", F.lit(" Title Bout"))))
+    method = (F.when(F.col("result1") == "NC", F.lit("Could Not Continue")).when(F.col("method") == "KO/TKO", "KO/TKO")
+              .when(F.col("method") == "SUB", "Submission").when(F.col("method") == "U-DEC", "Decision - Unanimous")
+              .when(F.col("method") == "M-DEC", "Decision - Majority").otherwise("Decision - Split"))
+    return contests.select(
+        "contest_id", F.concat(F.lit(" Card "), key.cast("string")).alias("EVENT"),
+        F.concat("name1", F.lit(" vs. "), "name2", F.when(key % 29 == 0, F.lit(" (x)")).otherwise("")).alias("BOUT"),
+        F.concat("result1", F.lit("/"), "result2").alias("OUTCOME"), label.alias("WEIGHTCLASS"), method.alias("METHOD"),
+        F.col("round").cast("string").alias("ROUND"), F.col("clock").alias("TIME"), F.col("details").alias("DETAILS"))
+
+
+def raw_events(contests: DataFrame) -> DataFrame:
+    return contests.select(F.concat(F.lit("Card "), F.col("contest_id").cast("string")).alias("EVENT"),
+                           F.date_format("date", "MMMM d, yyyy").alias("DATE"))
+
+
+def raw_rounds(spark: SparkSession, sf_dir: str, contests: DataFrame) -> DataFrame:
+    """One text row per line item of a participant: 'x of y' cells and an m:ss control cell."""
+    li = table(spark, sf_dir, "lineitem").select(
+        "l_orderkey", "l_suppkey", "l_linenumber", F.col("l_quantity").cast("int").alias("q"), "l_returnflag", "l_linestatus", "l_partkey")
+    sides = contests.select("contest_id", "name1", "name2", F.explode(F.array(
+        F.struct(F.col("c1").alias("competitor"), F.col("name1").alias("name")),
+        F.struct(F.col("c2").alias("competitor"), F.col("name2").alias("name")))).alias("s")).select(
+        "contest_id", "name1", "name2", "s.*")
+    x = li.join(sides, (li.l_orderkey == sides.contest_id) & (li.l_suppkey == sides.competitor))
+    n = F.col("l_linenumber")
+    of = lambda a, b: F.concat(a.cast("string"), F.lit(" of "), b.cast("string"))
+    half = F.floor(F.col("q") / 2)
+    return x.select(
+        F.concat(F.lit("Card "), F.col("contest_id").cast("string")).alias("EVENT"),
+        F.concat("name1", F.lit(" vs. "), "name2").alias("BOUT"), F.col("name").alias("COMPETITOR"),
+        F.when(F.col("l_returnflag") == "R", "1").when(F.col("l_returnflag") == "N", "---").otherwise("0").alias("KD"),
+        of(F.col("q"), F.col("q") + n).alias("SIG_STR"), of(F.col("q") * 2, F.col("q") * 2 + n).alias("TOTAL_STR"),
+        F.when(F.col("l_partkey") % 9 == 0, "---").otherwise(of(n, n + 1)).alias("TD"),
+        of(half, F.col("q")).alias("HEAD"), of(n, F.col("q")).alias("BODY"), of(n - 1, n).alias("LEG"),
+        of(half, half + n).alias("DISTANCE"), of(n, n * 2).alias("CLINCH"), F.lit("").alias("GROUND"),
+        F.when(F.col("l_linestatus") == "O", "1").otherwise("").alias("SUB_ATT"), F.lit("0").alias("REV"),
+        F.when(F.col("l_partkey") % 17 == 0, "---").otherwise(F.concat(
+            n.cast("string"), F.lit(":"), F.lpad((F.col("l_partkey") % 60).cast("string"), 2, "0"))).alias("CTRL"))
+
+
+def raw_physical(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Physical rows; every third competitor appears twice, the later row wins."""
+    r = roster(spark, sf_dir)
+    key = F.col("competitor")
+    row = lambda o, extra: F.struct(F.lit(o).alias("ordinal"), (F.lit(60) + key % 20 + extra).alias("inch"))
+    rows = r.withColumn("x", F.explode(F.when(key % 3 == 0, F.array(row(1, F.lit(0)), row(2, F.lit(1)))).otherwise(F.array(row(1, F.lit(0))))))
+    return rows.select(
+        F.col("x.ordinal").alias("ordinal"), F.col("name").alias("COMPETITOR"),
+        F.concat(F.floor(F.col("x.inch") / 12).cast("string"), F.lit("' "), (F.col("x.inch") % 12).cast("string"), F.lit('"')).alias("HEIGHT"),
+        F.concat((F.lit(115) + key % 10 * 10).cast("string"), F.lit(" lbs.")).alias("WEIGHT"),
+        F.when(key % 6 == 5, "--").otherwise(F.concat((F.col("x.inch") + 2).cast("string"), F.lit('"'))).alias("REACH"),
+        _pick(["Orthodox", "Southpaw", "Switch"], key % 3).alias("STANCE"))
+
+
+# ── identity feeds ────────────────────────────────────────────────────────
+
+def aliases(roster: DataFrame) -> DataFrame:
+    """Alias table: own names, two suffixed spellings in five, and nicknames shared by ten people."""
+    from duelgrid.functions.names import normalize_name
+    own = roster.select(normalize_name(F.col("name")).alias("normalized_name"), F.lit("roster").alias("source"),
+                        F.col("competitor").alias("canonical_id"))
+    jr = roster.filter("competitor % 5 = 2").select(normalize_name(F.concat("name", F.lit(" Jr"))), F.lit("feed"), "competitor")
+    nick = roster.filter("competitor % 10 < 3").select(
+        F.concat(F.lit("the "), F.lower(spell(F.floor(F.col("competitor") / 10)))), F.lit("nickname"), "competitor")
+    return own.union(jr).union(nick)
+
+
+def foreign_named_contests(contests: DataFrame) -> DataFrame:
+    """Contests whose ids are unreliable and whose names come in feed spellings."""
+    cols = [c for c in contests.columns if c not in ("c1", "c2", "name1", "name2")]
+    return contests.select(
+        *cols, (F.col("c1") + 100000).alias("c1"), (F.col("c2") + 100000).alias("c2"),
+        feed_name(F.col("name1"), F.col("c1")).alias("name1"), feed_name(F.col("name2"), F.col("c2")).alias("name2"))
+
+
+def recency_patch(contests: DataFrame, as_of: str = AS_OF) -> DataFrame:
+    """Late contests re-emitted by another feed: shifted dates, no metrics, some synthetic ids."""
+    recent = contests.filter(F.col("date") >= F.date_sub(F.lit(as_of).cast("date"), 90))
+    sid = lambda c, m: F.when(F.col("contest_id") % 6 == m, F.concat(F.lit("sd:"), F.col(c).cast("string"))).otherwise(F.col(c).cast("string"))
+    return recent.select(
+        F.col("contest_id").alias("patch_id"), F.date_add("date", (F.col("contest_id") % 31 - 3).cast("int")).alias("date"),
+        sid("c1", 0).alias("c1"), sid("c2", 1).alias("c2"), feed_name(F.col("name1"), F.col("c1") % 2 * 2).alias("name1"), F.col("name2"),
+        "result1", "result2", "method", "division", F.lit(False).alias("has_metrics"))
+
+
+def merges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Confirmed merges: every 1st id of ten into the 0th, every 3rd into the 2nd."""
+    s = table(spark, sf_dir, "supplier").filter("s_suppkey % 10 in (1, 3)")
+    return s.select(F.col("s_suppkey").alias("secondary"), (F.col("s_suppkey") - 1).alias("primary"))
+
+
+def foreign_profiles(competitors: DataFrame) -> DataFrame:
+    """Another site's profiles: F = the person, G = a namesake of every seventh one."""
+    base = competitors.filter("competitor % 11 <> 4")
+    f = base.select(
+        F.concat(F.lit("F"), "competitor").alias("foreign_id"), "competitor", feed_name(F.col("name"), F.col("competitor")).alias("foreign_name"),
+        F.when(F.col("competitor") % 8 == 1, "").otherwise(F.col("home_division")).alias("foreign_division"), F.lit(0).alias("shift"))
+    g = base.filter("competitor % 7 = 0").select(
+        F.concat(F.lit("G"), "competitor"), "competitor", "name", "home_division", F.lit(1))
+    return f.union(g)
+
+
+def foreign_opponents(profiles: DataFrame, sides: DataFrame) -> DataFrame:
+    """Each profile's listed opponents: a slice of the person's (or, for G, a neighbour's) contests."""
+    from duelgrid.functions.names import normalize_name
+    owner = profiles.select("foreign_id", (F.col("competitor") + F.col("shift")).alias("competitor"))
+    part = sides.filter("contest_id % 97 < competitor % 5").select("competitor", "opponent_name")
+    return owner.join(part, "competitor").select(
+        "foreign_id", normalize_name(F.col("opponent_name"), "crosswalk").alias("opp_key")).distinct()
+
+
+def crosswalk(competitors: DataFrame) -> DataFrame:
+    """A mapping table as an earlier run left it: confidences, notes, some ids sharing a foreign id."""
+    c = F.col("competitor")
+    return competitors.filter("competitor % 9 <> 2").select(
+        "competitor", F.when(c % 10 < 4, F.concat(F.lit("F"), F.floor(c / 2).cast("string"))).otherwise(
+            F.concat(F.lit("F"), c.cast("string"))).alias("foreign_id"),
+        (c * 37 % 100).cast("int").alias("confidence"),
+        F.concat(F.lit("overlap "), (c % 6).cast("string"), F.lit("/5, name="), F.when(c % 3 == 0, "true").otherwise("false")).alias("notes"))
+
+
+def shared_name_roster(roster: DataFrame) -> DataFrame:
+    """Roster where every 25th pair of neighbours carries one name."""
+    k = F.when(F.col("competitor") % 25 == 1, F.col("competitor") - 1).otherwise(F.col("competitor"))
+    return roster.select("competitor", F.concat_ws(" ", _pick(FIRST_NAMES, k % 10), spell(k)).alias("name"))
+
+
+def raw_methods(contests: DataFrame) -> DataFrame:
+    texts = ["TKO (Punches)", "KO (Head Kick)", "Submission (Armbar)", "Technical Submission (Triangle)", "Decision (Unanimous)",
+             "Decision (Split)", "Decision (Majority)", "Draw (Split)", "TKO (Doctor Stoppage)", "DQ (Illegal Knee)", "NC",
+             "Guillotine Choke", "No Contest (Overturned)"]
+    odd = F.when(F.col("contest_id") % 211 == 0, F.lit("Walkover")).otherwise(_pick(texts, F.col("contest_id") % len(texts)))
+    return contests.select("contest_id", odd.alias("raw_method"))
+
+
+def foreign_results(outside: DataFrame, competitors: DataFrame) -> DataFrame:
+    """Another feed's contests seen from each competitor, dated around the end of our data."""
+    return outside.filter("outside_id % 5 = 0").select(
+        F.col("outside_id").alias("row_id"), "competitor", ((F.col("competitor") * 3 + F.col("outside_id")) % 50).alias("opponent"),
+        F.date_add("date", 2192 + 30).alias("date"), "result")
+
+
+def media(competitors: DataFrame) -> DataFrame:
+    """Side table keyed by foreign id: several rows each, any cell may be empty."""
+    c = F.col("competitor")
+    copies = competitors.filter("competitor % 4 <> 1").withColumn("copy", F.explode(F.array(F.lit(1), F.lit(2))))
+    some = lambda cond, text: F.when(cond, F.concat(F.lit(text), c.cast("string"), F.lit("-"), F.col("copy").cast("string"))).otherwise("")
+    countries = ["Brazil", "France", "Japan", "Poland", "Georgia"]
+    return copies.select(
+        F.concat(F.lit("F"), c.cast("string")).alias("foreign_id"), F.col("copy").alias("ordinal"),
+        some((c + F.col("copy")) % 3 == 0, "head").alias("headshot"), some((c + F.col("copy")) % 5 < 2, "port").alias("portrait"),
+        some(c % 2 == 0, "body").alias("full_body"), F.when((c + F.col("copy")) % 4 != 0, _pick(countries, c % 5)).otherwise("").alias("country"))
+
+
+# Country -> ISO code.
+COUNTRY_CODES = {"Brazil": "BR", "France": "FR", "Japan": "JP", "Poland": "PL"}
+
+
+def birth_claims(competitors: DataFrame) -> DataFrame:
+    """Birth dates claimed by two sources, with precision (9 year, 10 month, 11 day)."""
+    c = F.col("competitor")
+    copies = competitors.withColumn("copy", F.explode(F.array(F.lit(1), F.lit(2), F.lit(3))))
+    return copies.filter("(competitor + copy) % 4 <> 0").select(
+        F.when(F.col("copy") < 3, "register").otherwise("profile").alias("source"),
+        F.when(c % 6 != 0, F.concat(F.lit("F"), c.cast("string"))).alias("foreign_id"), feed_name(F.col("name"), c).alias("label"),
+        F.date_add(F.lit("1938-01-01").cast("date"), (c * 97 % 17000 + F.col("copy")).cast("int")).alias("born"),
+        (F.lit(9) + (c + F.col("copy")) % 3).cast("int").alias("precision"))
+
+
+def upcoming(contests: DataFrame, as_of: str = AS_OF) -> DataFrame:
+    """Scheduled contests: the last fortnight moved ahead thirty days, results removed."""
+    recent = contests.filter(F.col("date") >= F.date_sub(F.lit(as_of).cast("date"), 14))
+    unknown = F.col("contest_id") % 7 == 0
+    w = W.partitionBy("event_id").orderBy(F.desc("contest_id"))
+    moved = recent.withColumn("date", F.date_add("date", 16)).withColumn("bout_order", F.row_number().over(w))
+    return moved.select(
+        F.col("contest_id").alias("slot_id"), F.concat(F.lit("Card "), F.col("event_id"), F.lit(" - "), F.col("name1")).alias("event_name"),
+        "event_id", "date", "bout_order", (F.col("bout_order") == 1).alias("main_event"), "division", "c1", "name1",
+        F.when(~unknown, F.col("c2")).alias("c2"), F.when(unknown, F.lit("Debut Newcomer")).otherwise(F.col("name2")).alias("name2"))
