@@ -24,8 +24,9 @@ def numbered_links(pages: DataFrame, segment: str) -> DataFrame:
 
 
 def trailing_ids(pages: DataFrame) -> DataFrame:
-    """K1 on plain sites: numeric last path element of each link or page address."""
-    rows = links(pages).withColumn("number", F.regexp_extract("href", r"(\d+)(?:[?#].*)?$", 1)).filter("number <> ''")
+    """K1 on plain sites: numeric last path element of the page address (pos -1) and of each link."""
+    own = pages.select("page_id", F.lit(-1).alias("pos"), F.col("url").alias("href"))
+    rows = links(pages).unionByName(own).withColumn("number", F.regexp_extract("href", r"(\d+)(?:[?#].*)?$", 1)).filter("number <> ''")
     return rows.groupBy("page_id", "number").agg(F.min(F.struct("pos", "href")).alias("x")).select("page_id", "number", "x.pos", "x.href")
 
 

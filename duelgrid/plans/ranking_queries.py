@@ -52,8 +52,8 @@ def pedigree(ws):
 
 @query("E8_pedigree_taper")
 def taper(ws):
-    """What the bonus would be after each of the first contests."""
-    h = ws.history.filter("nth < 8").select("competitor", "nth")
+    """What the bonus would be after each contest."""
+    h = ws.history.select("competitor", "nth")
     return h.join(ws.pedigree, "competitor").select(
         "competitor", "nth", C.half_up(K.pedigree_bonus(F.col("strength"), F.col("nth")), 6).alias("bonus"))
 

@@ -65,7 +65,7 @@ def boundary(ws):
 
 @query("D8_history_newest_first")
 def newest_first(ws):
-    return ws.history.filter("rev <= 10").select(
+    return ws.history.select(
         "competitor", "rev", "contest_id", "date", "opponent", "result", r6("rating_after"), r6("delta"))
 
 

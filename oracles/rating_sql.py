@@ -19,7 +19,7 @@ ORACLES = {
     "D5_inactivity_regression": sql(f"SELECT competitor, y AS years, {r(GAP,6)} AS gap_months, {r(f'CASE WHEN {GAP}>12 THEN 1500+(at_last-1500)*pow(0.92::DOUBLE,({GAP}-12)/12) ELSE at_last END',6)} AS rating FROM ratings, (VALUES (0),(1),(2),(5)) v(y)"),
     "D6_division_moves": sql("SELECT competitor, count(*) AS contests, count(*) FILTER (prev_label IS NOT NULL AND prev_label<>division) AS moves FROM ctx GROUP BY 1"),
     "D7_boundary_discount": sql(f"SELECT competitor, contest_id, date, {R6('rating_before')} FROM history WHERE date>={AS_OF}-INTERVAL 1826 DAY AND coalesce(prev_date<{AS_OF}-INTERVAL 1826 DAY,true)"),
-    "D8_history_newest_first": sql(f"SELECT competitor, rev, contest_id, date, opponent, result, {R6('rating_after','delta')} FROM (SELECT *, row_number() OVER (PARTITION BY competitor ORDER BY seq DESC) AS rev FROM history) WHERE rev<=10"),
+    "D8_history_newest_first": sql(f"SELECT competitor, rev, contest_id, date, opponent, result, {R6('rating_after','delta')} FROM (SELECT *, row_number() OVER (PARTITION BY competitor ORDER BY seq DESC) AS rev FROM history)"),
     "D9_running_states": sql(f"SELECT competitor, contests_rated, last_date, last_division, {R6('peak','at_last','rating')} FROM ratings"),
     "D10_default_state": sql(f"SELECT c_custkey AS competitor, {r('coalesce(rating,1500)',6)} AS rating FROM customer LEFT JOIN ratings ON competitor=c_custkey"),
     "D11_display_score": sql(f"SELECT competitor, {r(display('rating'),6)} AS display_score, {r(display('(peak+60)'),6)} AS peak_display FROM ratings"),

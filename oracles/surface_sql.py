@@ -30,8 +30,8 @@ cte("enriched", f"""SELECT u.*, {RL('a')} AS rank_label1, {RL('b')} AS rank_labe
  CASE WHEN a.rating IS NOT NULL AND b.rating IS NOT NULL AND (a.form_nudge<>0 OR b.form_nudge<>0) THEN {WP('a.rating+a.form_nudge','b.rating+b.form_nudge')} END AS form_prob1
 FROM upcoming u LEFT JOIN {PC('a')} ON a.competitor=u.c1 LEFT JOIN {PC('b')} ON b.competitor=u.c2 WHERE u.date>={AS_OF}""")
 cte("rivals", "SELECT division AS pair_id, max(competitor) FILTER (pos=1) AS a, max(competitor) FILTER (pos=2) AS b FROM ranked WHERE pos<=2 GROUP BY 1")
-cte("gold_old", "SELECT division, competitor, CASE WHEN competitor%17=4 THEN rank+1 ELSE rank END AS rank, display_score+(competitor%3)*0.4::DOUBLE AS score FROM final_rank WHERE competitor%13<>3")
-cte("gold_new", "SELECT division, competitor, rank, display_score AS score FROM final_rank WHERE competitor%19<>5")
+cte("gold_old", "SELECT division, competitor, pos AS rank, rank_score AS score FROM ranked WHERE pos<=15")
+cte("gold_new", "SELECT division, competitor, rank, display_score AS score FROM final_rank WHERE rank<=15")
 cte("gold", """SELECT division, competitor, o.rank AS old_rank, n.rank AS new_rank, CASE WHEN o.rank IS NULL THEN 'added' WHEN n.rank IS NULL THEN 'removed' WHEN o.rank<>n.rank THEN 'reordered' WHEN abs(o.score-n.score)>0.5 THEN 'drift' ELSE 'same' END AS kind
 FROM gold_old o FULL JOIN gold_new n USING (division, competitor)""")
 cte("hrefs", """SELECT page_id, unnest(x) AS href, unnest(range(len(x)))::INT AS pos FROM (SELECT page_id, regexp_extract_all(html,'href="([^"]+)"',1) AS x FROM pages)""")
@@ -39,7 +39,7 @@ AMER = lambda p: f"(CASE WHEN {p}>=2 THEN {r(f'({p}-1)*100')} ELSE {r(f'-100/({p
 cte("cells", f"SELECT book, side, contest_id, american, {r('CASE WHEN american>0 THEN 1+american/100 ELSE 1+100/abs(american) END',6)} AS price FROM (SELECT contest_id, side, book, CASE side WHEN 1 THEN {AMER('price1')} ELSE {AMER('price2')} END AS american FROM side_prices, (VALUES (28),(1)) b(book), (VALUES (1),(2)) s(side))")
 cte("slot_preds", f"""SELECT c.contest_id AS slot_id, (c.date+(c.contest_id%5-2)::INT)::DATE AS date, CASE WHEN c.contest_id%23=0 THEN c1+500000 ELSE c1 END AS c1, c2,
  coalesce({WP('h.rating_before','h.opponent_rating')},0.5) AS prob1, CASE WHEN c.contest_id%2=0 THEN coalesce({WP('h.rating_before','h.opponent_rating')},0.5)*0.9 END AS form_prob1
-FROM contests c LEFT JOIN history h ON h.contest_id=c.contest_id AND h.competitor=c.c1 WHERE c.date>={AS_OF}-365""")
+FROM contests c LEFT JOIN history h ON h.contest_id=c.contest_id AND h.competitor=c.c1""")
 cte("day_results", "SELECT least(c1,c2) AS lo, greatest(c1,c2) AS hi, date, min((st, w)) AS r FROM (SELECT *, CASE WHEN result1='W' OR result2='W' THEN 'settled' WHEN result1='D' THEN 'void_draw' ELSE 'void_nc' END AS st, CASE WHEN result1='W' THEN c1 WHEN result2='W' THEN c2 END AS w FROM contests) GROUP BY 1,2,3")
 cte("led", f"""SELECT s.*, h.r, s.date<{AS_OF} AS due, CASE WHEN s.date<{AS_OF} AND h.r IS NOT NULL THEN h.r[1] WHEN s.date<{AS_OF} AND date_diff('day',s.date,{AS_OF})>14 THEN 'void_scratched' ELSE 'pending' END AS status,
  CASE WHEN s.date<{AS_OF} THEN h.r[2] END AS winner
@@ -54,9 +54,9 @@ ORACLES = {
     "F4_division_benchmarks": sql(f"SELECT division, {UM('ratio')} AS ratio, {UM('landed15')} AS landed15, {UM('absorbed15')} AS absorbed15, count(*) AS sample FROM bench GROUP BY 1 HAVING count(*)>=10"),
     "F5_division_depth": sql(f"SELECT division, depth, {r('CASE WHEN hi>lo THEN pow((depth-lo)/(hi-lo),1.35::DOUBLE) ELSE 0 END',6)} AS heat FROM depths, (SELECT min(depth) AS lo, max(depth) AS hi FROM depths)"),
     "F6_prospects": sql(f"""SELECT x.competitor, c.name, c.home_division, w||'-'||l AS record, n, {r('t.rating')}::BIGINT AS elo, {r('(t.rating-1500)/n',1)} AS climb, last1, last2, u.date AS next_date FROM (
-      SELECT competitor, count(*) AS n, count(*) FILTER (result='W') AS w, count(*) FILTER (result='L') AS l, max(date) AS latest, max(lab) FILTER (nth=3) AS last1, max(lab) FILTER (nth=2) AS last2
-      FROM (SELECT *, result||' '||{SHORT}||' vs. '||opponent_name AS lab FROM log WHERE nth<4 AND competitor%3=0) GROUP BY 1) x JOIN ratings t USING (competitor) JOIN competitors c USING (competitor) LEFT JOIN next_up u USING (competitor)
-      WHERE w>l AND competitor NOT IN (SELECT competitor FROM final_rank WHERE is_champion) AND ({months('latest',"DATE '1996-01-01'")}<=15 OR u.date IS NOT NULL) ORDER BY t.rating DESC, competitor LIMIT 20"""),
+      SELECT competitor, count(*) AS n, count(*) FILTER (result='W') AS w, count(*) FILTER (result='L') AS l, max(date) AS latest, max(lab) FILTER (rev=1) AS last1, max(lab) FILTER (rev=2) AS last2
+      FROM (SELECT *, result||' '||{SHORT}||' vs. '||opponent_name AS lab FROM log) GROUP BY 1) x JOIN ratings t USING (competitor) JOIN competitors c USING (competitor) LEFT JOIN next_up u USING (competitor)
+      WHERE w>l AND competitor NOT IN (SELECT competitor FROM final_rank WHERE is_champion) AND ({months('latest',AS_OF)}<=15 OR u.date IS NOT NULL) ORDER BY t.rating DESC, competitor LIMIT 20"""),
     "F7_outside_prospects": sql("""SELECT a.*, b.notable, last_date>=DATE '1995-01-01' AS active FROM (SELECT opponent_id, count(*) FILTER (result='loss') AS beat, count(*) FILTER (result='win') AS lost_to, max(tier_multiplier) AS top_multiplier, max(date) AS last_date
       FROM outside WHERE result IN ('win','loss') AND opponent_id NOT IN (SELECT 'X'||n_nationkey FROM nation) GROUP BY 1) a JOIN (SELECT opponent_id, string_agg('beat '||coalesce(name,'?')||' ('||date||')', '; ' ORDER BY rn) AS notable FROM (
        SELECT o.*, r.name, row_number() OVER (PARTITION BY opponent_id ORDER BY date DESC, outside_id DESC) AS rn FROM outside o LEFT JOIN roster r USING (competitor) WHERE result='loss') WHERE rn<=4 GROUP BY 1) b USING (opponent_id) WHERE beat>0"""),
@@ -89,7 +89,7 @@ ORACLES = {
     "J3_invariants": sql("""SELECT 'excluded_organisation' AS rule, count(*) FILTER (organisation='HOUSEHOLD' AND tier_multiplier>1) AS violations FROM outside UNION ALL SELECT 'strength_cap', count(*) FILTER (strength>0.75 OR strength<0) FROM pedigree
       UNION ALL SELECT 'nudge_cap', count(*) FILTER (abs(schedule_nudge)>30) FROM final_rank UNION ALL SELECT 'unique_ranks', count(*) FROM (SELECT division, rank FROM final_rank GROUP BY 1,2 HAVING count(*)>1)"""),
     "K1_page_links": sql("SELECT * FROM hrefs"),
-    "K1_numbered_links": sql("SELECT page_id, number, min(pos) AS pos, arg_min(href,pos) AS href FROM (SELECT *, regexp_extract(href,'(\\d+)(?:[?#].*)?$',1) AS number FROM hrefs) WHERE number<>'' GROUP BY 1,2"),
+    "K1_numbered_links": sql("SELECT page_id, number, min(pos) AS pos, arg_min(href,pos) AS href FROM (SELECT *, regexp_extract(href,'(\\d+)(?:[?#].*)?$',1) AS number FROM (SELECT page_id, pos, href FROM hrefs UNION ALL SELECT page_id, -1, url FROM pages)) WHERE number<>'' GROUP BY 1,2"),
     "K1_slug_ids": sql("SELECT contest_id AS page_id, c1::VARCHAR AS number, 0::INT AS pos, replace(name1,' ','-')||'-'||c1 AS slug FROM contests UNION ALL SELECT contest_id, c2::VARCHAR, 2, replace(name2,' ','-')||'-'||c2 FROM contests"),
     "K2_date_shapes": sql("SELECT contest_id, s::INT AS shape, CASE WHEN s<3 THEN date END AS date FROM contests, (VALUES (0),(1),(2),(3)) v(s)"),
     "K3_price_cells": sql("SELECT * FROM cells"),
