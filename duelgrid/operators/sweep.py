@@ -114,7 +114,11 @@ def prepare(contests: DataFrame, configs: Sequence[EngineConfig], as_of: str) ->
     era = eras.pop()
     if era is not None:
         rated = rated.filter(F.year("date") >= era)
-    t = timeline(rated)
+    return pair_up(timeline(rated), configs, as_of)
+
+
+def pair_up(t: DataFrame, configs: Sequence[EngineConfig], as_of: str) -> DataFrame:
+    """Side rows back to one row per (config, contest), with carry and K of every config."""
     per_config = F.array(*[
         F.struct(F.lit(i).alias("config_id"), carry.alias("carry"), k.alias("k"))
         for i, (carry, k) in enumerate(_carry_and_k(c, as_of) for c in configs)])
@@ -265,7 +269,7 @@ def sweep(contests: DataFrame, configs: Sequence[EngineConfig] | EngineConfig, a
         folded = fold_slice(work, None, None)
     else:
         folded = _sweep_slices(work, plan_slices(rated, slice_rows), slice_rows, serial_rows, label)
-    return _history(folded)
+    return history_rows(folded)
 
 
 def _sweep_slices(work: DataFrame, slices: list[Slice], slice_rows: int, serial_rows: int,
@@ -298,7 +302,7 @@ def advance_state(state: DataFrame | None, folded: DataFrame) -> DataFrame:
     return touched.unionByName(state.join(touched, ["config_id", "competitor"], "left_anti"))
 
 
-def _history(folded: DataFrame) -> DataFrame:
+def history_rows(folded: DataFrame) -> DataFrame:
     side = lambda i, j, s: F.struct(
         F.lit(i).alias("side"), F.col(f"c{i}").alias("competitor"), F.col(f"c{j}").alias("opponent"),
         F.col(f"nth{i}").alias("nth"), F.col(f"prev_date{i}").alias("prev_date"),
