@@ -29,30 +29,35 @@ def months_between_days(start: Column, end: Column) -> Column:
 def lenient_number(c: Column) -> Column:
     """Numeric prefix of a text cell; missing or unparsable is 0."""
     prefix = F.regexp_extract(c, r"^\s*([-+]?(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:[eE][-+]?[0-9]+)?)", 1)
-    return F.coalesce(prefix.try_cast("double"), F.lit(0.0))
+    return F.when(prefix != "", prefix.try_cast("double")).otherwise(F.lit(0.0))
 
 
 def lenient_bool(c: Column) -> Column:
     return F.coalesce(F.lower(c) == "true", F.lit(False))
 
 
+def leading_int(c: Column) -> Column:
+    """Integer prefix of a text, else 0.
+
+    A failing try_cast raises and catches inside the row loop, so blank and dashed cells are
+    turned away by their first character before any cast.
+    """
+    t = F.trim(c)
+    number = F.coalesce(t.try_cast("int"), F.regexp_extract(t, r"^(\d+)", 1).try_cast("int"))
+    return F.when(F.substring(t, 1, 1).between("0", "9"), number).otherwise(F.lit(0))
+
+
 def landed_of(c: Column) -> Column:
     """'9 of 38' -> struct(landed, attempted); blanks and dashes are 0/0."""
-    part = lambda i: F.coalesce(
-        F.regexp_extract(c, r"^\s*(\d+)\s+of\s+(\d+)", i).try_cast("int"), F.lit(0))
-    lone = F.coalesce(F.regexp_extract(c, r"^\s*(\d+)", 1).try_cast("int"), F.lit(0))
-    return F.struct(
-        F.when(c.rlike(r"^\s*\d+\s+of\s+\d+"), part(1)).otherwise(lone).alias("landed"),
-        part(2).alias("attempted"))
+    second = F.when(c.contains(" of "), F.substring_index(F.substring_index(c, " of ", 2), " of ", -1))
+    return F.struct(leading_int(F.substring_index(c, " of ", 1)).alias("landed"), leading_int(second).alias("attempted"))
 
 
 def clock_seconds(c: Column) -> Column:
     """'m:ss' -> seconds; a bare integer passes through; anything else is 0."""
     t = F.trim(c)
-    mmss = (F.regexp_extract(t, r"^(\d+):(\d+)$", 1).try_cast("int") * 60
-            + F.regexp_extract(t, r"^(\d+):(\d+)$", 2).try_cast("int"))
-    return F.coalesce(F.when(t.rlike(r"^\d+:\d+$"), mmss),
-                      F.regexp_extract(t, r"^(\d+)", 1).try_cast("int"), F.lit(0))
+    mmss = F.substring_index(t, ":", 1).try_cast("int") * 60 + F.substring_index(t, ":", -1).try_cast("int")
+    return F.when(t.contains(":"), F.coalesce(mmss, leading_int(t))).otherwise(leading_int(t))
 
 
 def long_date(c: Column) -> Column:

@@ -48,10 +48,8 @@ def aggregate_rounds(rounds: DataFrame) -> DataFrame:
     """Round rows to one row per (event, bout, competitor) with summed statistics."""
     parsed = rounds.select(
         F.trim("EVENT").alias("event"), F.trim("BOUT").alias("bout"), F.trim("COMPETITOR").alias("name"),
-        F.coalesce(F.regexp_extract("KD", r"^\s*(\d+)", 1).try_cast("int"), F.lit(0)).alias("kd"),
-        F.coalesce(F.regexp_extract("SUB_ATT", r"^\s*(\d+)", 1).try_cast("int"), F.lit(0)).alias("sub_att"),
-        F.coalesce(F.regexp_extract("REV", r"^\s*(\d+)", 1).try_cast("int"), F.lit(0)).alias("rev"),
-        C.clock_seconds(F.col("CTRL")).alias("ctrl"),
+        C.leading_int(F.col("KD")).alias("kd"), C.leading_int(F.col("SUB_ATT")).alias("sub_att"),
+        C.leading_int(F.col("REV")).alias("rev"), C.clock_seconds(F.col("CTRL")).alias("ctrl"),
         *[C.landed_of(F.col(raw)).alias(short) for raw, short in PAIR_COLUMNS.items()])
     return parsed.groupBy("event", "bout", "name").agg(
         *[F.sum(c).alias(c) for c in ("kd", "sub_att", "rev", "ctrl")],

@@ -12,33 +12,36 @@ DAY_PREFERENCE = (0, 1, -1, 2, -2)     # fixed value: search order of the date t
 METHODS = ("multiplicative", "power", "shin")
 
 
-def _bisect(low: float, high: float, goes_up, steps: int = 80) -> Column:
-    """Fixed-step bisection inside one expression; `goes_up(mid)` moves the lower end."""
-    def step(s, _):
-        mid = (s["lo"] + s["hi"]) / 2
-        up = goes_up(mid)
-        return F.struct(F.when(up, mid).otherwise(s["lo"]).alias("lo"), F.when(up, s["hi"]).otherwise(mid).alias("hi"))
-    return F.aggregate(F.sequence(F.lit(1), F.lit(steps)),
-                       F.struct(F.lit(float(low)).alias("lo"), F.lit(float(high)).alias("hi")),
-                       step, lambda s: (s["lo"] + s["hi"]) / 2)
-
-
 def devig(fav_odds: Column, dog_odds: Column, method: str) -> Column:
     """H2: favourite's probability with the margin removed."""
     a, b = F.lit(1.0) / fav_odds, F.lit(1.0) / dog_odds
     total = a + b
-    plain = a / total
     if method == "multiplicative":
-        return plain
+        return a / total
     if method == "power":
-        t = _bisect(1, 100, lambda m: F.pow(a, m) + F.pow(b, m) > 1)
+        return _power(a, b)
+    return _shin(a, b)
+
+
+def _power(a: Column, b: Column, steps: int = 20) -> Column:
+    """a^t / (a^t + b^t) with a^t + b^t = 1, t in [1, 100].
+
+    The sum is convex and falling in t, so Newton steps from t = 1 approach the root from below;
+    they run inside one expression, evaluated once per row.
+    """
+    def step(t, _):
         x, y = F.pow(a, t), F.pow(b, t)
-        return x / (x + y)
-    part = lambda z, p: (F.sqrt(z * z + F.lit(4.0) * (1 - z) * p * p / total) - z) / (F.lit(2.0) * (1 - z))
-    z = _bisect(0, 0.999, lambda m: part(m, a) + part(m, b) > 1)
-    s = part(z, a) + part(z, b)
-    degenerate = (F.sqrt(a * a / total) + F.sqrt(b * b / total) < 1) | F.isnan(s) | (s <= 0)
-    return F.when(degenerate, plain).otherwise(part(z, a) / s)
+        return F.least(F.greatest(t - (x + y - 1) / (x * F.ln(a) + y * F.ln(b)), F.lit(1.0)), F.lit(100.0))
+    return F.aggregate(F.sequence(F.lit(1), F.lit(steps)), F.lit(1.0), step,
+                       lambda t: F.pow(a, t) / (F.pow(a, t) + F.pow(b, t)))
+
+
+def _shin(a: Column, b: Column) -> Column:
+    """Insider-share model; with two prices the share has a closed form. No margin, no insiders."""
+    total, spread = a + b, (a - b) * (a - b)
+    z = F.least((total - 1) / total * (total - spread) / (1 - spread), F.lit(0.999))
+    part = lambda p: (F.sqrt(z * z + F.lit(4.0) * (1 - z) * p * p / total) - z) / (F.lit(2.0) * (1 - z))
+    return F.when(total < 1, a / total).otherwise(part(a) / (part(a) + part(b)))
 
 
 def consensus(book_prices: DataFrame) -> DataFrame:
@@ -89,6 +92,14 @@ def point_in_time(history: DataFrame, provisional: Column | int = 5, per: tuple
         *keys, "x.*")
 
 
+def contest_days(rated: DataFrame) -> DataFrame:
+    """(competitor, opponent, day) -> contest, both orientations; the last contest of a day wins."""
+    both = F.explode(F.array(F.struct(F.col("c1").alias("competitor"), F.col("c2").alias("opponent")),
+                             F.struct(F.col("c2").alias("competitor"), F.col("c1").alias("opponent"))))
+    return rated.select("contest_id", "date", both.alias("x")).groupBy("x.competitor", "x.opponent", "date").agg(
+        F.max("contest_id").alias("contest_id"))
+
+
 def nearest_day(requests: DataFrame, index: DataFrame, key: str, per: tuple = ()) -> DataFrame:
     """H6: first index row at the preferred day offsets; an equi-join on five candidate days."""
     offsets = F.array(*[F.struct(F.lit(i).alias("pref"), F.lit(d).alias("off")) for i, d in enumerate(DAY_PREFERENCE)])
@@ -100,10 +111,16 @@ def nearest_day(requests: DataFrame, index: DataFrame, key: str, per: tuple = ()
 
 
 def predict_matchups(requests: DataFrame, index: DataFrame, key: str, per: tuple = ()) -> DataFrame:
-    """H7: own view required, reverse view optional (defaults when missing)."""
+    """H7: own view required, reverse view optional (defaults when missing).
+
+    A contest is indexed under both orientations on the same day, so the reverse view is read
+    at the day the own view was found: one date search instead of two.
+    """
     own = nearest_day(requests, index, key, per).withColumnRenamed("hit", "a")
-    swapped = requests.select(key, F.col("opponent").alias("competitor"), F.col("competitor").alias("opponent"), "date")
-    rev = nearest_day(swapped, index, key, per).withColumnRenamed("hit", "b")
+    at = requests.select(key, F.col("opponent").alias("competitor"), F.col("competitor").alias("opponent")).join(
+        own.select(key, *per, F.col("a.date").alias("date")), key)
+    view = [c for c in index.columns if c not in ("competitor", "opponent", "date", *per)]
+    rev = at.join(index, [*per, "competitor", "opponent", "date"]).select(key, *per, F.struct(*view).alias("b"))
     dog_prov = F.coalesce("b.provisional", F.lit(True))
     return own.join(rev, [key, *per], "left").select(
         key, *per, C.win_probability(F.col("a.self_rating"), F.col("a.opponent_rating")).alias("model_p"),

@@ -32,19 +32,23 @@ SLICE_FACTOR = 0.4      # contests per competitor in a labelled slice: small com
 
 @dataclass(frozen=True)
 class Slice:
-    """Half-open range of (date, contest_id)."""
+    """Half-open range of (date, contest_id); an id of None stands before every id of its day."""
 
     start: tuple | None
     stop: tuple | None
 
     def condition(self) -> Column:
-        key = F.struct("date", "contest_id")
-        bound = lambda p: F.struct(F.lit(p[0]).alias("date"), F.lit(p[1]).alias("contest_id"))
+        def at_or_after(point) -> Column:
+            day, cut = F.lit(point[0]), point[1]
+            if cut is None:
+                return F.col("date") >= day
+            return (F.col("date") > day) | ((F.col("date") == day) & (F.col("contest_id") >= F.lit(cut)))
+
         cond = F.lit(True)
         if self.start:
-            cond = cond & (F.col("date") >= F.lit(self.start[0])) & (key >= bound(self.start))
+            cond = cond & (F.col("date") >= F.lit(self.start[0])) & at_or_after(self.start)
         if self.stop:
-            cond = cond & (F.col("date") <= F.lit(self.stop[0])) & (key < bound(self.stop))
+            cond = cond & (F.col("date") <= F.lit(self.stop[0])) & ~at_or_after(self.stop)
         return cond
 
 
@@ -245,8 +249,7 @@ def plan_slices(rated: DataFrame, target: int) -> list[Slice]:
         for cut in cuts.get(day, []):
             points.append((day, cut))
         filled = 0 if day in cuts else filled + n
-    low = -(2 ** 62)
-    bounds = [None] + [(d, low if c is None else c) for d, c in points] + [None]
+    bounds = [None, *points, None]
     return [Slice(a, b) for a, b in zip(bounds, bounds[1:])]
 
 

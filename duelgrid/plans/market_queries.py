@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from uuid import uuid4
+
 from pyspark.sql import functions as F
 
 from duelgrid.config import SEARCH_GRID, EngineConfig
@@ -179,20 +181,14 @@ def folds(ws):
 
 
 def evaluate_line(ws, configs):
-    """Pooled out-of-sample scores of several configs: one sweep, one join, one fit for all."""
+    """Pooled out-of-sample scores of several configs: one sweep, one join, one fit for all.
+
+    Which contest a price belongs to does not depend on the config, so it is found once.
+    """
     hist = sweep.sweep(ws.contests, configs, ws.as_of)
-    limit = F.create_map(*[F.lit(x) for i, c in enumerate(configs) for x in (i, c.provisional_contests)])[F.col("config_id")]
-    index = M.point_in_time(hist, limit, per=("config_id",))
-    asked = ws.prices.join(ws.resolved_prices, "price_id").filter(
-        "fav_id is not null and dog_id is not null and outcome <> 'unknown'")
-    req = asked.select("price_id", F.col("fav_id").alias("competitor"), F.col("dog_id").alias("opponent"), "date")
-    pred = M.nearest_day(req, index, "price_id", ("config_id",))
-    p = C.win_probability(F.col("hit.self_rating"), F.col("hit.opponent_rating"))
-    rows = pred.select("price_id", "config_id", p.alias("model_p")).join(
-        asked.select("price_id", F.year("date").alias("year"), (F.col("outcome") == "favourite").alias("fav_won")), "price_id")
-    rows = rows.persist()
-    out = T.pooled_out_of_sample(rows)
-    return out
+    p = C.win_probability(F.col("rating_before"), F.col("opponent_rating"))
+    rows = hist.select("config_id", "contest_id", "competitor", p.alias("model_p")).join(ws.settled_prices, ["contest_id", "competitor"])
+    return T.pooled_out_of_sample(ws.keep(f"line-{uuid4().hex[:8]}", rows))
 
 
 @query("H15_grid_line")

@@ -168,6 +168,19 @@ class Workspace:
     def samples_priced(self) -> DataFrame:
         return self.joined_prices.filter("verdict = 'ok'").withColumn("market_p", F.col("p_power"))
 
+    @cached_property
+    def settled_prices(self) -> DataFrame:
+        """Settled price rows with the contest they belong to, seen from the favourite."""
+        rated = sweep.rated_contests(self.contests)
+        index = market.contest_days(rated)
+        asked = self.prices.join(self.resolved_prices, "price_id").filter(
+            "fav_id is not null and dog_id is not null and outcome <> 'unknown'")
+        req = asked.select("price_id", F.col("fav_id").alias("competitor"), F.col("dog_id").alias("opponent"), "date")
+        hit = market.nearest_day(req, index, "price_id").select("price_id", F.col("hit.contest_id").alias("contest_id"))
+        return self.keep("settled_prices", hit.join(asked, "price_id").select(
+            "price_id", "contest_id", F.col("fav_id").alias("competitor"), F.year("date").alias("year"),
+            (F.col("outcome") == "favourite").alias("fav_won")))
+
     @cached_property
     def reigns(self) -> DataFrame:
         return self.keep("reigns", B.reigns(self.contests))
@@ -179,7 +192,7 @@ class Workspace:
 
     @cached_property
     def raw_rounds(self) -> DataFrame:
-        return B.raw_rounds(self.spark, self.dir, self.contests)
+        return self.keep("raw_rounds", B.raw_rounds(self.spark, self.dir, self.contests))
 
     @cached_property
     def side_stats(self) -> DataFrame:

@@ -15,6 +15,8 @@ def local_session(name: str = "duelgrid", cores: str | int = "*", shuffle: int =
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
+        # the JVM does not compile methods above 8 kB; split wide expressions instead of interpreting them
+        .config("spark.sql.codegen.hugeMethodLimit", "8000")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.driver.memory", os.environ.get("DUELGRID_DRIVER_MEMORY", "12g"))
         .config("spark.ui.enabled", "false")
