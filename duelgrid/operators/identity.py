@@ -100,11 +100,11 @@ def apply_merges(contests: DataFrame, merges: DataFrame) -> DataFrame:
     """Remap secondary ids, then drop repeated (pair, date) contests of merged primaries only."""
     out = contests
     for i in (1, 2):
-        m = F.broadcast(merges.select(F.col("secondary").alias(f"c{i}"), F.col("primary").alias(f"to{i}")))
+        m = merges.select(F.col("secondary").alias(f"c{i}"), F.col("primary").alias(f"to{i}"))
         out = out.join(m, f"c{i}", "left").withColumn(f"c{i}", F.coalesce(f"to{i}", f"c{i}")).drop(f"to{i}")
     touched = merges.select(F.col("primary").alias("p")).distinct()
     for i in (1, 2):
-        out = out.join(F.broadcast(touched.withColumnRenamed("p", f"c{i}").withColumn(f"m{i}", F.lit(True))), f"c{i}", "left")
+        out = out.join(touched.withColumnRenamed("p", f"c{i}").withColumn(f"m{i}", F.lit(True)), f"c{i}", "left")
     scope = F.coalesce("m1", F.lit(False)) | F.coalesce("m2", F.lit(False))
     out = out.withColumn("scope", scope).drop("m1", "m2")
     pair = [F.least("c1", "c2"), F.greatest("c1", "c2"), F.coalesce(F.col("date").cast("string"), F.col("contest_id").cast("string"))]
@@ -124,51 +124,80 @@ def known_opponents(sides: DataFrame, dated: bool = False) -> DataFrame:
     return sides.select("competitor", key.alias("opp_key")).distinct()
 
 
-def match_candidates(ours: DataFrame, foreign: DataFrame) -> DataFrame:
-    """C14: exact normalised name first; the surname block only for those without an exact hit.
+def _blocks(ours: DataFrame, foreign: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """C14: both sides with their block: the exact normalised name when the other site knows it, else the surname.
 
-    ours: competitor, name; foreign: foreign_id, foreign_name.
+    A foreign profile sits in both blocks; ours in exactly one. Nothing is paired here.
     """
-    a = ours.select("competitor", normalize_name(F.col("name"), "crosswalk").alias("norm"), surname(F.col("name")).alias("last"))
-    b = foreign.select("foreign_id", normalize_name(F.col("foreign_name"), "crosswalk").alias("norm"),
-                       surname(F.col("foreign_name")).alias("last"))
-    exact = a.join(b.drop("last"), "norm").select("competitor", "foreign_id", F.lit("name").alias("block"))
-    rest = a.join(exact.select("competitor").distinct(), "competitor", "left_anti")
-    blocked = (rest.filter(F.length("last") >= 3).join(b.drop("norm"), "last")
-               .select("competitor", "foreign_id", F.lit("surname").alias("block")))
-    return exact.unionByName(blocked)
+    norm = lambda c: normalize_name(F.col(c), "crosswalk")
+    b = foreign.select("foreign_id", F.explode(F.array(
+        F.struct(F.lit("name").alias("block"), norm("foreign_name").alias("key")),
+        F.struct(F.lit("surname").alias("block"), surname(F.col("foreign_name")).alias("key")))).alias("x"),
+        norm("foreign_division").alias("div")).select("foreign_id", "x.*", "div")
+    known = b.filter("block = 'name'").select(F.col("key").alias("norm")).distinct().withColumn("exact", F.lit(True))
+    a = (ours.select("competitor", norm("name").alias("norm"), surname(F.col("name")).alias("last"), norm("division").alias("div"))
+         .join(known, "norm", "left").select(
+             "competitor", F.when(F.col("exact"), "name").otherwise("surname").alias("block"),
+             F.when(F.col("exact"), F.col("norm")).otherwise(F.col("last")).alias("key"), "div")
+         .filter("block = 'name' or length(key) >= 3"))
+    return a, b
+
+
+def candidate_counts(ours: DataFrame, foreign: DataFrame) -> DataFrame:
+    """C14: how many profiles each competitor's block holds."""
+    a, b = _blocks(ours, foreign)
+    sizes = b.groupBy("block", "key").agg(F.count_distinct("foreign_id").alias("candidates"))
+    return a.join(sizes, ["block", "key"]).select("competitor", "block", "candidates")
+
 
+def _points(exact: Column, div: Column, overlap: Column) -> Column:
+    """25 for the exact name, 15 for the division, 14 per shared opponent up to five."""
+    return F.when(exact, 25).otherwise(0) + F.when(div, 15).otherwise(0) + F.least(overlap, F.lit(5)) * 14
 
-def score_candidates(cands: DataFrame, ours: DataFrame, foreign: DataFrame, our_opponents: DataFrame,
-                     foreign_opponents: DataFrame) -> DataFrame:
-    """25 for the exact name, 15 for the division, 14 per shared opponent up to five.
 
-    our_opponents: competitor, opp_key; foreign_opponents: foreign_id, opp_key (both distinct).
+def evidence_pairs(ours: DataFrame, foreign: DataFrame, our_opponents: DataFrame, foreign_opponents: DataFrame) -> DataFrame:
+    """Scored pairs of one block that share at least one opponent.
+
+    The join key holds the block and the opponent, so a block is never paired with itself in
+    full.  our_opponents: competitor, opp_key; foreign_opponents: foreign_id, opp_key (both distinct).
     """
-    counts = our_opponents.groupBy("competitor").agg(F.count("*").alias("own_opponents"))
-    shared = (cands.select("competitor", "foreign_id").join(our_opponents, "competitor")
-              .join(foreign_opponents, ["foreign_id", "opp_key"]).groupBy("competitor", "foreign_id")
-              .agg(F.count("*").alias("overlap")))
-    norm = lambda c: normalize_name(F.col(c), "crosswalk")
-    x = (cands.join(ours.select("competitor", "name", "division"), "competitor")
-         .join(foreign.select("foreign_id", "foreign_name", "foreign_division"), "foreign_id")
-         .join(shared, ["competitor", "foreign_id"], "left").join(counts, "competitor", "left"))
-    same = norm("name") == norm("foreign_name")
-    div = (F.col("division") != "") & (F.col("foreign_division") != "") & (norm("division") == norm("foreign_division"))
-    overlap = F.coalesce("overlap", F.lit(0))
+    a, b = _blocks(ours, foreign)
+    mine = a.join(our_opponents, "competitor").withColumnRenamed("div", "our_div")
+    theirs = b.join(foreign_opponents, "foreign_id").withColumnRenamed("div", "their_div")
+    exact = F.col("block") == "name"
+    div = F.col("our_div") != ""
+    div = div & (F.col("our_div") == F.col("their_div"))
+    return (mine.join(theirs, ["block", "key", "opp_key"]).groupBy("competitor", "foreign_id", "block", "our_div", "their_div")
+            .agg(F.count("*").alias("overlap")).select(
+                "competitor", "foreign_id", exact.alias("name_exact"), div.alias("division_match"), "overlap",
+                _points(exact, div, F.col("overlap")).alias("score")))
+
+
+def best_matches(ours: DataFrame, foreign: DataFrame, our_opponents: DataFrame, foreign_opponents: DataFrame) -> DataFrame:
+    """Best candidate by overlap then score, rivals with the exact name, and the verdict.
+
+    Without a shared opponent all candidates of a block score alike up to the division, so the
+    first id of the (block, division), else of the block, stands for them: two aggregates
+    instead of the pairs.
+    """
+    a, b = _blocks(ours, foreign)
+    pairs = evidence_pairs(ours, foreign, our_opponents, foreign_opponents)
+    best = pairs.groupBy("competitor").agg(F.min(F.struct(
+        (-F.col("overlap")).alias("o"), (-F.col("score")).alias("s"), "foreign_id", "name_exact", "division_match", "overlap", "score")).alias("x"))
+    in_block = b.groupBy("block", "key").agg(F.min("foreign_id").alias("any_id"), F.count("*").alias("n"))
+    in_division = b.filter("div <> ''").groupBy("block", "key", "div").agg(F.min("foreign_id").alias("div_id"))
+    own = our_opponents.groupBy("competitor").agg(F.count("*").alias("own_opponents"))
+    x = (a.join(in_block, ["block", "key"]).join(in_division, ["block", "key", "div"], "left")
+         .join(best, "competitor", "left").join(own, "competitor", "left"))
+    exact, div = F.col("block") == "name", F.col("div_id").isNotNull()
+    got = F.col("x").isNotNull()
+    pick = lambda field, other: F.when(got, F.col(f"x.{field}")).otherwise(other)
     return x.select(
-        "competitor", "foreign_id", same.alias("name_exact"), F.coalesce(div, F.lit(False)).alias("division_match"),
-        overlap.alias("overlap"), F.coalesce("own_opponents", F.lit(0)).alias("own_opponents"),
-        (F.when(same, 25).otherwise(0) + F.when(F.coalesce(div, F.lit(False)), 15).otherwise(0)
-         + F.least(overlap, F.lit(5)) * 14).alias("score"))
-
-
-def best_candidates(scored: DataFrame) -> DataFrame:
-    """Best candidate by overlap then score, rivals with the exact name, and the verdict."""
-    best = scored.groupBy("competitor").agg(
-        F.min(F.struct(-F.col("overlap"), -F.col("score"), "foreign_id"))["foreign_id"].alias("foreign_id"),
-        F.count_if("name_exact").alias("exact_rivals"))
-    return best.join(scored, ["competitor", "foreign_id"]).withColumn("verdict", match_verdict())
+        "competitor", pick("foreign_id", F.coalesce("div_id", "any_id")).alias("foreign_id"),
+        F.when(exact, F.col("n")).otherwise(F.lit(0)).cast("long").alias("exact_rivals"),
+        pick("name_exact", exact).alias("name_exact"), pick("division_match", div).alias("division_match"),
+        pick("overlap", F.lit(0)).cast("long").alias("overlap"), F.coalesce("own_opponents", F.lit(0)).alias("own_opponents"),
+        pick("score", _points(exact, div, F.lit(0))).cast("long").alias("score")).withColumn("verdict", match_verdict())
 
 
 def match_verdict() -> Column:

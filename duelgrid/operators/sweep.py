@@ -19,6 +19,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 from typing import Sequence
+from uuid import uuid4
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
@@ -37,6 +38,14 @@ class Slice:
     start: tuple | None
     stop: tuple | None
 
+    def months(self) -> Column:
+        cond = F.lit(True)
+        if self.start:
+            cond = cond & (F.col("month") >= F.lit(self.start[0].replace(day=1)))
+        if self.stop:
+            cond = cond & (F.col("month") <= F.lit(self.stop[0].replace(day=1)))
+        return cond
+
     def condition(self) -> Column:
         def at_or_after(point) -> Column:
             day, cut = F.lit(point[0]), point[1]
@@ -277,12 +286,16 @@ def sweep(contests: DataFrame, configs: Sequence[EngineConfig] | EngineConfig, a
 
 def _sweep_slices(work: DataFrame, slices: list[Slice], slice_rows: int, serial_rows: int,
                   label: bool | None) -> DataFrame:
-    ensure_checkpoint_dir(work.sparkSession)
-    work = work.checkpoint()
+    # one table sorted by time and partitioned by month: a slice reads its own months only
+    path = f"{ensure_checkpoint_dir(work.sparkSession)}/sweep-{uuid4().hex}"
+    (work.withColumn("month", F.trunc("date", "month")).repartitionByRange("date", "contest_id")
+     .write.partitionBy("month").parquet(path))
+    table = work.sparkSession.read.parquet(path)
+    work = table.select(*work.columns, "month")
     done, state = [], None
     use_labels = slice_rows > serial_rows if label is None else label
     for cut in slices:
-        rows = work.filter(cut.condition())
+        rows = work.filter(cut.months() & cut.condition()).drop("month")
         labels = components(rows.select("c1", "c2").distinct()) if use_labels else None
         folded = fold_slice(rows, state, labels).checkpoint()
         done.append(folded)

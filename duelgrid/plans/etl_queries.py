@@ -149,29 +149,25 @@ def opponents(ws):
     return I.known_opponents(ws.sides).groupBy("competitor").agg(F.count("*").alias("opponents"))
 
 
-def candidates(ws):
-    return I.match_candidates(ws.roster, ws.profiles)
+def matching(ws):
+    ours = ws.competitors.select("competitor", "name", F.col("home_division").alias("division"))
+    return (ours, ws.profiles.select("foreign_id", "foreign_name", "foreign_division"), I.known_opponents(ws.sides),
+            B.foreign_opponents(ws.profiles, ws.sides))
 
 
 @query("C14_match_candidates")
 def blocks(ws):
-    return candidates(ws)
-
-
-def scored(ws):
-    ours = ws.competitors.select("competitor", "name", F.col("home_division").alias("division"))
-    return I.score_candidates(candidates(ws), ours, ws.profiles.select("foreign_id", "foreign_name", "foreign_division"),
-                              I.known_opponents(ws.sides), B.foreign_opponents(ws.profiles, ws.sides))
+    return I.candidate_counts(*matching(ws)[:2])
 
 
 @query("C15_candidate_scores")
 def scores(ws):
-    return scored(ws)
+    return I.evidence_pairs(*matching(ws))
 
 
 @query("C16_C17_best_and_verdict")
 def best(ws):
-    return I.best_candidates(scored(ws))
+    return I.best_matches(*matching(ws))
 
 
 @query("C18_unmapped_ids")

@@ -155,8 +155,8 @@ ORACLES = {
     "C10_name_cascade": sql(cascade("casc_names")),
     "C11_alias_registry": sql("SELECT * FROM registry"),
     "C13_known_opponents": sql("SELECT competitor, count(*) AS opponents FROM known GROUP BY 1"),
-    "C14_match_candidates": sql("SELECT * FROM mcand"),
-    "C15_candidate_scores": sql("SELECT * FROM mscore"),
+    "C14_match_candidates": sql("SELECT competitor, block, count(*) AS candidates FROM mcand GROUP BY 1,2"),
+    "C15_candidate_scores": sql("SELECT competitor, foreign_id, name_exact, division_match, overlap, score FROM mscore WHERE overlap>0"),
     "C16_C17_best_and_verdict": sql(f"""SELECT *, CASE WHEN {_ov}>=3 OR ({_ov}>=2 AND ({_ov}>={_own}*0.5 OR ({_ex} AND {_un}))) OR ({_ov}>=1 AND {_ex} AND {_dv} AND {_un}) OR ({_own}=0 AND {_ex} AND {_dv} AND {_un}) THEN 'verified'
       WHEN {_ov}>=1 OR ({_ex} AND ({_dv} OR {_own}=0)) THEN 'review' ELSE 'reject' END AS verdict FROM (SELECT * EXCLUDE (rn) FROM (SELECT *, count(*) FILTER (name_exact) OVER (PARTITION BY competitor) AS exact_rivals, row_number() OVER (PARTITION BY competitor ORDER BY overlap DESC, score DESC, foreign_id) AS rn FROM mscore) WHERE rn=1)"""),
     "C18_unmapped_ids": sql("SELECT competitor, name FROM roster ANTI JOIN crosswalk USING (competitor)"),

@@ -13,8 +13,7 @@ def verdict(spark, ours, foreign, own, theirs):
     f = spark.createDataFrame(foreign, "foreign_id string, foreign_name string, foreign_division string")
     a = spark.createDataFrame(own, "competitor int, opp_key string")
     b = spark.createDataFrame(theirs, "foreign_id string, opp_key string")
-    s = I.score_candidates(I.match_candidates(o, f), o, f, a, b)
-    return {r["competitor"]: r for r in I.best_candidates(s).collect()}
+    return {r["competitor"]: r for r in I.best_matches(o, f, a, b).collect()}
 
 
 OWN = [(1, k) for k in ("a", "b", "c")]
