@@ -6,10 +6,15 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from duelgrid.llm import bpe, secret_scan
+from duelgrid.llm import bpe, langid, secret_scan
 from duelgrid.llm.common import Kept, table
 
 
+def languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a letter, or whose language stays open, go; the others stay as they are."""
+    return langid.keep_identified(docs, langid.fit(docs))
+
+
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Secrets are masked in the text; no document goes."""
     return secret_scan.mask_secrets(docs)
@@ -20,7 +25,7 @@ def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return bpe.round_trip(docs, public_tokenizers.path("byte_bpe_50k.json"))
 
 
-STAGES = [("secret scan", secrets), ("bpe", tokens)]
+STAGES = [("language id", languages), ("secret scan", secrets), ("bpe", tokens)]
 
 #: SQL has no byte-pair merges, MinHash or banded alignment; tests compare with a brute-force version.
 ORACLE_SQL = None

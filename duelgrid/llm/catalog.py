@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from duelgrid.llm import bpe, secret_scan
+from duelgrid.llm import bpe, langid, secret_scan
 from duelgrid.llm.common import table
 
 VOCABULARY = "byte_bpe_50k.json"
@@ -14,9 +14,14 @@ def op1_bpe_round_trip(spark, sf_dir):
     return bpe.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path(VOCABULARY))
 
 
+def op3_language_id(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    return langid.predict(docs, langid.fit(docs))
+
+
 def op5_secret_scan(spark, sf_dir):
     return secret_scan.find_secrets(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_bpe_round_trip, op5_secret_scan)}
+QUERIES = {f.__name__: f for f in (op1_bpe_round_trip, op3_language_id, op5_secret_scan)}
 ORACLES: dict[str, str] = {}
