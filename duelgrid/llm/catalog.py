@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from duelgrid.llm import bpe, langid, secret_scan
+from duelgrid.llm import bpe, decontam, langid, secret_scan
 from duelgrid.llm.common import table
 
 VOCABULARY = "byte_bpe_50k.json"
@@ -23,5 +23,9 @@ def op5_secret_scan(spark, sf_dir):
     return secret_scan.find_secrets(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_bpe_round_trip, op3_language_id, op5_secret_scan)}
+def op9_benchmark_leaks(spark, sf_dir):
+    return decontam.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+QUERIES = {f.__name__: f for f in (op1_bpe_round_trip, op3_language_id, op5_secret_scan, op9_benchmark_leaks)}
 ORACLES: dict[str, str] = {}
