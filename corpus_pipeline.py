@@ -6,7 +6,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from duelgrid.llm import bpe, decontam, langid, secret_scan
+from duelgrid.llm import bpe, decontam, langid, neardup, secret_scan
 from duelgrid.llm.common import Kept, table
 
 
@@ -15,6 +15,11 @@ def languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return langid.keep_identified(docs, langid.fit(docs))
 
 
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near duplicates the document of the smallest doc_id stays."""
+    return neardup.one_of_each(docs)
+
+
 def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a passage of the benchmark go."""
     return decontam.drop_contaminated(docs, table(spark, sf_dir, "benchmark"))
@@ -30,7 +35,7 @@ def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return bpe.round_trip(docs, public_tokenizers.path("byte_bpe_50k.json"))
 
 
-STAGES = [("language id", languages), ("decontamination", benchmark), ("secret scan", secrets), ("bpe", tokens)]
+STAGES = [("language id", languages), ("near-dedup", near_duplicates), ("decontamination", benchmark), ("secret scan", secrets), ("bpe", tokens)]
 
 #: SQL has no byte-pair merges, MinHash or banded alignment; tests compare with a brute-force version.
 ORACLE_SQL = None
