@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from duelgrid.llm import bpe, decontam, langid, neardup, secret_scan
+from duelgrid.llm import bpe, decontam, langid, neardup, secret_scan, sharding
 from duelgrid.llm.common import table
 
 VOCABULARY = "byte_bpe_50k.json"
@@ -23,6 +23,10 @@ def op5_secret_scan(spark, sf_dir):
     return secret_scan.find_secrets(table(spark, sf_dir, "documents"))
 
 
+def op6_kd_shards(spark, sf_dir):
+    return sharding.kd_shards(table(spark, sf_dir, "documents"))
+
+
 def op7_near_duplicates(spark, sf_dir):
     return neardup.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -31,5 +35,5 @@ def op9_benchmark_leaks(spark, sf_dir):
     return decontam.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {f.__name__: f for f in (op1_bpe_round_trip, op3_language_id, op5_secret_scan, op7_near_duplicates, op9_benchmark_leaks)}
+QUERIES = {f.__name__: f for f in (op1_bpe_round_trip, op3_language_id, op5_secret_scan, op6_kd_shards, op7_near_duplicates, op9_benchmark_leaks)}
 ORACLES: dict[str, str] = {}
