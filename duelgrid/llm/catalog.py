@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from duelgrid.llm import bpe, decontam, langid, neardup, secret_scan, sharding
+from duelgrid.llm import bpe, decontam, langid, neardup, secret_scan, sharding, topk
 from duelgrid.llm.common import table
 
 VOCABULARY = "byte_bpe_50k.json"
@@ -14,6 +14,10 @@ def op1_bpe_round_trip(spark, sf_dir):
     return bpe.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path(VOCABULARY))
 
 
+def op2_exact_top_k(spark, sf_dir):
+    return topk.top_k(table(spark, sf_dir, "embeddings"), "vec_id % 50 = 0")
+
+
 def op3_language_id(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     return langid.predict(docs, langid.fit(docs))
@@ -35,5 +39,21 @@ def op9_benchmark_leaks(spark, sf_dir):
     return decontam.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {f.__name__: f for f in (op1_bpe_round_trip, op3_language_id, op5_secret_scan, op6_kd_shards, op7_near_duplicates, op9_benchmark_leaks)}
-ORACLES: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (op1_bpe_round_trip, op2_exact_top_k, op3_language_id, op5_secret_scan, op6_kd_shards, op7_near_duplicates, op9_benchmark_leaks)}
+ORACLES = {
+    "op2_exact_top_k": """
+with whole as (
+  select vec_id, min(list_transform(embedding, lambda x: floor(256 * x::double)::bigint)) as v
+  from embeddings
+  where vec_id is not null and embedding is not null
+    and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0
+  group by vec_id),
+scored as (
+  select q.vec_id as query_id, c.vec_id as vec_id,
+         list_sum(list_transform(list_zip(q.v, c.v), lambda x: x[1] * x[2]))::bigint as score
+  from whole q join whole c on q.vec_id <> c.vec_id where q.vec_id % 50 = 0)
+select query_id, (row_number() over (partition by query_id order by score desc, vec_id))::int as rank, vec_id, score
+from scored
+qualify rank <= 5
+""",
+}
