@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from duelgrid.llm import bpe, decontam, langid, neardup, secret_scan, sharding, topk
+from duelgrid.llm import bpe, decontam, langid, neardup, secret_scan, sharding, topk, wrappers
 from duelgrid.llm.common import table
 
 VOCABULARY = "byte_bpe_50k.json"
@@ -39,7 +39,11 @@ def op9_benchmark_leaks(spark, sf_dir):
     return decontam.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {f.__name__: f for f in (op1_bpe_round_trip, op2_exact_top_k, op3_language_id, op5_secret_scan, op6_kd_shards, op7_near_duplicates, op9_benchmark_leaks)}
+def op10_main_text(spark, sf_dir):
+    return wrappers.main_texts(table(spark, sf_dir, "pages"))
+
+
+QUERIES = {f.__name__: f for f in (op1_bpe_round_trip, op2_exact_top_k, op3_language_id, op5_secret_scan, op6_kd_shards, op7_near_duplicates, op9_benchmark_leaks, op10_main_text)}
 ORACLES = {
     "op2_exact_top_k": """
 with whole as (
