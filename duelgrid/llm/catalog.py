@@ -4,10 +4,12 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from duelgrid.llm import bpe, decontam, langid, neardup, secret_scan, sharding, topk, wrappers
+from duelgrid.llm import bpe, chat, decontam, langid, neardup, pii, secret_scan, sharding, topk, wrappers
 from duelgrid.llm.common import table
 
 VOCABULARY = "byte_bpe_50k.json"
+#: The surrogates' key is the caller's; the query has a fixed one so that its rows are the same on every run.
+KEY = b"surrogates of the query"
 
 
 def op1_bpe_round_trip(spark, sf_dir):
@@ -23,6 +25,10 @@ def op3_language_id(spark, sf_dir):
     return langid.predict(docs, langid.fit(docs))
 
 
+def op4_preference_pairs(spark, sf_dir):
+    return chat.preference_pairs(chat.paired(table(spark, sf_dir, "conversations")))
+
+
 def op5_secret_scan(spark, sf_dir):
     return secret_scan.find_secrets(table(spark, sf_dir, "documents"))
 
@@ -35,6 +41,10 @@ def op7_near_duplicates(spark, sf_dir):
     return neardup.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op8_pii_surrogates(spark, sf_dir):
+    return pii.replace(table(spark, sf_dir, "documents"), KEY)
+
+
 def op9_benchmark_leaks(spark, sf_dir):
     return decontam.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -43,7 +53,7 @@ def op10_main_text(spark, sf_dir):
     return wrappers.main_texts(table(spark, sf_dir, "pages"))
 
 
-QUERIES = {f.__name__: f for f in (op1_bpe_round_trip, op2_exact_top_k, op3_language_id, op5_secret_scan, op6_kd_shards, op7_near_duplicates, op9_benchmark_leaks, op10_main_text)}
+QUERIES = {f.__name__: f for f in (op1_bpe_round_trip, op2_exact_top_k, op3_language_id, op4_preference_pairs, op5_secret_scan, op6_kd_shards, op7_near_duplicates, op8_pii_surrogates, op9_benchmark_leaks, op10_main_text)}
 ORACLES = {
     "op2_exact_top_k": """
 with whole as (
@@ -59,5 +69,43 @@ scored as (
 select query_id, (row_number() over (partition by query_id order by score desc, vec_id))::int as rank, vec_id, score
 from scored
 qualify rank <= 5
+""",
+    "op4_preference_pairs": """
+with ordered as (
+  select conv_id >> 1 as pair_id, conv_id % 2 = 0 as chosen, coalesce(role, '') as role, coalesce(text, '') as text,
+         row_number() over (partition by conv_id order by turn nulls first, coalesce(role, ''), coalesce(text, '')) as n
+  from conversations where conv_id is not null),
+pairs as (select distinct pair_id from ordered),
+sides as (
+  select pair_id, s.chosen, n, role, text
+  from pairs join (values (true), (false)) s(chosen) on true
+  left join ordered using (pair_id, chosen)),
+differing as (
+  select coalesce(c.pair_id, r.pair_id) as pair_id, min(coalesce(c.n, r.n)) as n
+  from (select * from ordered where chosen) c
+  full join (select * from ordered where not chosen) r
+    on c.pair_id = r.pair_id and c.n = r.n and c.role = r.role and c.text = r.text
+  where c.pair_id is null or r.pair_id is null
+  group by 1),
+cut as (
+  select pair_id, coalesce(d.n - 1, (select max(n) from ordered o where o.pair_id = p.pair_id)) as n_prompt
+  from pairs p left join differing d using (pair_id)),
+pieces as (
+  select pair_id, chosen, n, role, n_prompt,
+         '<|im_start|>' || role || chr(10) as head, text || '<|im_end|>' || chr(10) as tail
+  from sides join cut using (pair_id) where n is not null),
+placed as (
+  select *, coalesce(sum(length(head) + length(tail)) over (
+              partition by pair_id, chosen, n > n_prompt order by n rows between unbounded preceding and 1 preceding), 0) as pos
+  from pieces)
+select pair_id, any_value(n_prompt)::bigint as n_prompt_turns,
+  coalesce(string_agg(head || tail, '' order by n) filter (chosen and n <= n_prompt), '') as prompt,
+  coalesce(string_agg(head || tail, '' order by n) filter (chosen and n > n_prompt), '') as chosen,
+  coalesce(string_agg((pos + length(head))::bigint || ':' || (pos + length(head) + length(tail))::bigint, ',' order by n)
+           filter (chosen and n > n_prompt and role = 'assistant'), '') as chosen_mask,
+  coalesce(string_agg(head || tail, '' order by n) filter (not chosen and n > n_prompt), '') as rejected,
+  coalesce(string_agg((pos + length(head))::bigint || ':' || (pos + length(head) + length(tail))::bigint, ',' order by n)
+           filter (not chosen and n > n_prompt and role = 'assistant'), '') as rejected_mask
+from placed group by pair_id
 """,
 }
