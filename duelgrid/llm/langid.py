@@ -32,7 +32,7 @@ ORDERS = (5, 4, 3, 2, 1)
 STEP = 0.6
 #: What one word may say at most, in nats, for or against a language.
 CLIP = 6.0
-CACHE = 100_000
+CACHE = 250_000
 
 
 def held_out():
@@ -42,17 +42,16 @@ def held_out():
 
 class Model(dict):
     """Log frequencies per language, centred over the languages.  As a dict it maps words to rows of `table`;
-    unseen words get their backed-off row on first use, and are forgotten once there are `CACHE` of them."""
+    unseen words get their backed-off row on first use.  Once there are `CACHE` of them, all are forgotten."""
 
-    def __init__(self, languages: list[str], words: dict[str, np.ndarray], grams: dict[int, dict[str, np.ndarray]]):
-        super().__init__((w, i) for i, w in enumerate(words))
-        self.languages, self.grams, self.known = languages, grams, len(words)
-        self.table = np.zeros((len(words) + 1024, max(1, len(languages))), dtype=np.float32)
-        if words:
-            self.table[:len(words)] = list(words.values())
+    def __init__(self, languages: list[str], words: list[str], table: np.ndarray, grams: dict[int, dict[str, int]],
+                 gram_table: np.ndarray):
+        super().__init__(zip(words, range(len(words))))
+        self.languages, self.grams, self.gram_table, self.known = languages, grams, gram_table, len(words)
+        self.table = np.concatenate([table, np.zeros((1024, max(1, len(languages))), dtype=np.float32)])
 
     def __reduce__(self):
-        return restored, (self.languages, list(self)[:self.known], self.table[:self.known], self.grams)
+        return Model, (self.languages, list(self)[:self.known], self.table[:self.known], self.grams, self.gram_table)
 
     def __missing__(self, word: str) -> int:
         at = len(self)
@@ -66,9 +65,10 @@ class Model(dict):
         """The mean row of the longest n-grams of the word that are known, flattened at each step down."""
         padded, weight = f" {word} ", 1.0
         for n in ORDERS:
-            known = [g for i in range(len(padded) - n + 1) if (g := self.grams[n].get(padded[i:i + n])) is not None]
+            get = self.grams[n].get
+            known = [g for i in range(len(padded) - n + 1) if (g := get(padded[i:i + n])) is not None]
             if known:
-                return np.clip(weight * np.sum(known, axis=0) / len(known), -CLIP, CLIP)
+                return self.gram_table[known].sum(axis=0) * (weight / len(known))
             weight *= STEP
         return 0.0
 
@@ -85,24 +85,19 @@ class Model(dict):
         return self.languages[best], float(1 / np.exp(np.clip(scores - scores[best], -700, 0)).sum())
 
 
-def restored(languages, words, rows, grams) -> Model:
-    return Model(languages, dict(zip(words, rows)), grams)
-
-
-def log_rows(counts: dict[str, Counter], languages: list[str], most: int) -> dict[str, np.ndarray]:
-    """The `most` most frequent keys over all languages, each with its log frequencies per language, centred."""
+def log_rows(counts: dict[str, Counter], languages: list[str], most: int) -> tuple[list[str], np.ndarray]:
+    """The `most` most frequent keys over all languages, and their log frequencies per language, centred."""
     total = {lang: sum(counts[lang].values()) for lang in languages}
-    size = len({k for lang in languages for k in counts[lang]}) or 1
     share: Counter = Counter()
     for lang in languages:
         for k, n in counts[lang].items():
             share[k] += n / max(total[lang], 1)
     kept = sorted(share, key=lambda k: (-share[k], k))[:most]
-    out = {}
-    for k in kept:
-        row = np.array([math.log((counts[lang][k] + 0.5) / (total[lang] + 0.5 * size)) for lang in languages])
-        out[k] = np.clip(row - row.mean(), -CLIP, CLIP).astype(np.float32)
-    return out
+    rows = np.zeros((len(kept), max(1, len(languages))))
+    for j, lang in enumerate(languages):
+        own = counts[lang]
+        rows[:, j] = np.log([own[k] + 0.5 for k in kept]) - math.log(total[lang] + 0.5 * max(1, len(share)))
+    return kept, np.clip(rows - rows.mean(axis=1, keepdims=True), -CLIP, CLIP).astype(np.float32)
 
 
 def training_rows(docs: DataFrame, max_rows: int) -> DataFrame:
@@ -135,8 +130,14 @@ def fit(docs: DataFrame, max_rows: int = 8_000, max_words: int = 40_000, max_gra
             for n in ORDERS:
                 for i in range(len(padded) - n + 1):
                     grams[n][lang][padded[i:i + n]] += many
-    return Model(languages, log_rows(counts, languages, max_words),
-                 {n: log_rows(grams[n], languages, max_grams) for n in ORDERS})
+    known, at = {}, 0
+    parts = [np.zeros((0, max(1, len(languages))), dtype=np.float32)]
+    for n in ORDERS:
+        keys, table = log_rows(grams[n], languages, max_grams)
+        known[n] = {k: at + i for i, k in enumerate(keys)}
+        at += len(keys)
+        parts.append(table)
+    return Model(languages, *log_rows(counts, languages, max_words), known, np.concatenate(parts))
 
 
 def predict(docs: DataFrame, model: Model) -> DataFrame:
