@@ -12,7 +12,8 @@ fold over (date, contest_id). Three measures keep it exact and bounded:
 * streaming fold: a task reads its sorted rows batch by batch and holds one number per
   competitor it meets, never the rows.
 
-Small inputs (one slice) skip labelling, where it would cost more than the fold itself.
+There is one path: every sweep is sliced and labelled.  A slice holds `SLICE_FACTOR` contests per
+competitor, but at least `LEAST_SLICE_ROWS`, below which a slice costs more jobs than it saves time.
 """
 
 from __future__ import annotations
@@ -27,7 +28,7 @@ from duelgrid.config import DAYS_PER_YEAR, EngineConfig
 from duelgrid.functions import core as C
 from duelgrid.session import ensure_checkpoint_dir
 
-SERIAL_ROWS = 200_000   # below this a slice is folded as one stream per config
+LEAST_SLICE_ROWS = 200_000
 SLICE_FACTOR = 0.4      # contests per competitor in a labelled slice: small components
 
 
@@ -183,18 +184,13 @@ def _folder():
     return fold
 
 
-def fold_slice(rows: DataFrame, state: DataFrame | None, labels: DataFrame | None) -> DataFrame:
-    """Fold one slice; `labels` (competitor, component) splits it, None folds one stream per config.
+def fold_slice(rows: DataFrame, state: DataFrame | None, labels: DataFrame) -> DataFrame:
+    """Fold one slice; `labels` (competitor, component) splits it into independent folds.
 
     Returns the slice's rows with deviations before (b1, b2) and after (a1, a2).
     """
-    if labels is None:
-        part = rows.withColumn("component", F.lit(""))
-        present = rows.select(F.explode(F.array("c1", "c2")).alias("competitor")).distinct()
-        labels_of_state = present.withColumn("component", F.lit(""))
-    else:
-        labels_of_state = labels.withColumn("component", F.col("component").cast("string"))
-        part = rows.join(labels_of_state.withColumnRenamed("competitor", "c1"), "c1")
+    labels_of_state = labels.withColumn("component", F.col("component").cast("string"))
+    part = rows.join(labels_of_state.withColumnRenamed("competitor", "c1"), "c1")
     keep = rows.columns
     part = part.select(*keep, "component", F.lit(None).cast("double").alias("carried"))
     if state is not None:
@@ -208,7 +204,7 @@ def fold_slice(rows: DataFrame, state: DataFrame | None, labels: DataFrame | Non
     return ordered.mapInArrow(_folder(), schema + ", b1 double, a1 double, b2 double, a2 double").drop("component")
 
 
-def components(pairs: DataFrame, max_rounds: int = 60) -> DataFrame:
+def components(pairs: DataFrame) -> DataFrame:
     """Connected components of (c1, c2) pairs: min-label propagation with pointer jumping.
 
     Pairs are distinct before the first round, the minimum is pre-aggregated before each
@@ -220,7 +216,7 @@ def components(pairs: DataFrame, max_rounds: int = 60) -> DataFrame:
         F.struct(F.col("c2").alias("u"), F.col("c1").alias("v")))).alias("e")).select("e.*").distinct().checkpoint()
     labels = edges.groupBy("u").agg(F.min("v").alias("m")).select(
         F.col("u").alias("competitor"), F.least("u", "m").alias("component")).checkpoint()
-    for _ in range(max_rounds):
+    while True:    # labels only fall, so it ends
         near = (edges.join(labels, edges.v == labels.competitor)
                 .groupBy("u").agg(F.min("component").alias("m")).withColumnRenamed("u", "competitor"))
         step = labels.join(near, "competitor").select(
@@ -232,7 +228,6 @@ def components(pairs: DataFrame, max_rounds: int = 60) -> DataFrame:
         labels = nxt.select("competitor", "component")
         if not changed:
             return labels
-    raise RuntimeError(f"components did not settle within {max_rounds} rounds")
 
 
 def plan_slices(rated: DataFrame, target: int) -> list[Slice]:
@@ -263,47 +258,36 @@ def plan_slices(rated: DataFrame, target: int) -> list[Slice]:
 
 
 def sweep(contests: DataFrame, configs: Sequence[EngineConfig] | EngineConfig, as_of: str,
-          serial_rows: int = SERIAL_ROWS, slice_rows: int | None = None, label: bool | None = None) -> DataFrame:
-    """Rating history, two rows per (config, contest).
-
-    `slice_rows` and `label` override the sizing (tests use them to force slices and labels).
-    """
+          slice_rows: int | None = None) -> DataFrame:
+    """Rating history, two rows per (config, contest).  `slice_rows` overrides the sizing."""
     configs = [configs] if isinstance(configs, EngineConfig) else list(configs)
     work = prepare(contests, configs, as_of)
     rated = rated_contests(contests)
-    total = rated.count()
     if slice_rows is None:
-        slice_rows = serial_rows
-        if total > serial_rows:
-            people = rated.select(F.explode(F.array("c1", "c2")).alias("c")).distinct().count()
-            slice_rows = max(serial_rows, int(SLICE_FACTOR * people))
-    if total <= slice_rows and not label:
-        folded = fold_slice(work, None, None)
-    else:
-        folded = _sweep_slices(work, plan_slices(rated, slice_rows), slice_rows, serial_rows, label)
-    return history_rows(folded)
-
-
-def _sweep_slices(work: DataFrame, slices: list[Slice], slice_rows: int, serial_rows: int,
-                  label: bool | None) -> DataFrame:
-    # one table sorted by time and partitioned by month: a slice reads its own months only
-    path = f"{ensure_checkpoint_dir(work.sparkSession)}/sweep-{uuid4().hex}"
+        people = rated.select(F.explode(F.array("c1", "c2")).alias("c")).distinct().count()
+        slice_rows = max(LEAST_SLICE_ROWS, int(SLICE_FACTOR * people))
+    return history_rows(_sweep_slices(work, plan_slices(rated, slice_rows)))
+
+
+def _sweep_slices(work: DataFrame, slices: list[Slice]) -> DataFrame:
+    """All slices, folded in order into one table; the state between them is a table too."""
+    spark = work.sparkSession
+    path = f"{ensure_checkpoint_dir(spark)}/sweep-{uuid4().hex}"
+    # sorted by time and partitioned by month: a slice reads its own months only
     (work.withColumn("month", F.trunc("date", "month")).repartitionByRange("date", "contest_id")
-     .write.partitionBy("month").parquet(path))
-    table = work.sparkSession.read.parquet(path)
-    work = table.select(*work.columns, "month")
-    done, state = [], None
-    use_labels = slice_rows > serial_rows if label is None else label
-    for cut in slices:
-        rows = work.filter(cut.months() & cut.condition()).drop("month")
-        labels = components(rows.select("c1", "c2").distinct()) if use_labels else None
-        folded = fold_slice(rows, state, labels).checkpoint()
-        done.append(folded)
-        state = advance_state(state, folded).checkpoint()
-    out = done[0]
-    for d in done[1:]:
-        out = out.unionByName(d)
-    return out
+     .write.partitionBy("month").parquet(f"{path}/work"))
+    table = spark.read.parquet(f"{path}/work").select(*work.columns, "month")
+    state = None
+    for k, cut in enumerate(slices):
+        rows = table.filter(cut.months() & cut.condition()).drop("month")
+        folded = fold_slice(rows, state, components(rows.select("c1", "c2").distinct()))
+        folded.write.parquet(f"{path}/history/slice={k}")
+        folded = spark.read.schema(folded.schema).parquet(f"{path}/history/slice={k}")
+        if k + 1 < len(slices):
+            advanced = advance_state(state, folded)
+            advanced.write.parquet(f"{path}/state/{k}")
+            state = spark.read.schema(advanced.schema).parquet(f"{path}/state/{k}")
+    return spark.read.schema(folded.schema).parquet(f"{path}/history").select(*folded.columns)
 
 
 def advance_state(state: DataFrame | None, folded: DataFrame) -> DataFrame:

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import datetime
 from uuid import uuid4
 
 from pyspark.sql import functions as F
 
 from duelgrid.config import EngineConfig
 from duelgrid.functions import core as C
+from duelgrid.functions.names import name_pair
 from duelgrid.operators import backtest as T, ledger as L, sweep
 from duelgrid.plans.register import registrar
 from duelgrid.sources import bindings as B, readers as R, sinks as K
@@ -173,24 +175,26 @@ def report(ws):
 def ingest(ws):
     src, out = place(ws, "s1-in"), place(ws, "s1-out")
     patch = B.recency_patch(ws.contests)
-    patch.write.parquet(src)
-    J.guarded_ingest(J.file_stream(ws.spark, src, patch), ws.contests, out, place(ws, "s1-cp"))
+    pair = name_pair(F.col("name1"), F.col("name2"))
+    for part in (0, 1, 2, 2, 0):  # in five deliveries, two of them repeats
+        patch.filter(F.col("patch_id") % 3 == part).repartition(2, pair).write.mode("append").parquet(src)
+    J.guarded_ingest(J.file_stream(ws.spark, src, patch, 1), ws.contests, out, place(ws, "s1-cp"))
     return ws.spark.read.parquet(out).select("patch_id", "date", "c1", "c2")
 
 
 def yearly(ws, df, name, years):
-    """Write one folder per span, oldest first, as a feed would deliver them."""
+    """One delivery per span of years, in the given order, each of two files."""
     src = place(ws, name)
     for lo, hi in years:
-        df.filter(F.year("date").between(lo, hi)).coalesce(1).write.mode("append").parquet(src)
+        df.filter(F.year("date").between(lo, hi)).repartition(2, "contest_id").write.mode("append").parquet(src)
     return src
 
 
 @query("S2_online_ratings")
 def online(ws):
     df = ws.contests.select("contest_id", "date", "c1", "c2", "result1", "result2", "method", "division")
-    src, out = yearly(ws, df, "s2-in", ((0, 1996), (1997, 1998), (1999, 9999))), place(ws, "s2-out")
-    J.online_ratings(J.file_stream(ws.spark, src, df, 1), out, place(ws, "s2-cp"), ws.as_of)
+    src, out = yearly(ws, df, "s2-in", ((0, 1995), (1998, 1998), (1996, 1997), (1999, 9999))), place(ws, "s2-out")
+    J.online_ratings(J.file_stream(ws.spark, src, df, 2), out, place(ws, "s2-cp"), ws.as_of)
     s = J.latest_version(ws.spark, f"{out}/state")
     return s.select("competitor", "seen", "last_date", "last_label", h(F.col("dev") + 1500, 6).alias("rating"))
 
@@ -207,7 +211,10 @@ def price_join(ws):
     return ws.spark.read.parquet(out).select("price_id", "contest_id")
 
 
-RUNS = ("1994-12-31", "1996-12-31", "1998-06-30", "1999-12-31", "2001-08-02")
+def run_dates(rows, n=4):
+    """n + 1 days, evenly spread from before the first to after the last contest."""
+    lo, hi = rows.agg(F.date_sub(F.min("date"), 1), F.date_add(F.max("date"), 1)).first()
+    return [lo + datetime.timedelta(days=(hi - lo).days * k // n) for k in range(n + 1)]
 
 
 @query("S4_ledger_stream")
@@ -217,11 +224,12 @@ def ledger(ws):
         F.col("contest_id").alias("slot_id"), "event_id", "date", "c1", "c2", F.coalesce("prob1", F.lit(0.5)).alias("prob1"),
         F.lit(None).cast("double").alias("form_prob1"))
     src, out = place(ws, "s4-in"), place(ws, "s4-out")
-    for k, day in enumerate(RUNS):
-        d = F.lit(day).cast("date")
-        batch = rows.filter((F.col("date") > d) & (F.col("date") <= F.lit(RUNS[k + 1]).cast("date"))) if k + 1 < len(RUNS) else \
+    runs = run_dates(rows)
+    for day, following in zip(runs, [*runs[1:], None]):
+        d = F.lit(day)
+        batch = rows.filter((F.col("date") > d) & (F.col("date") <= F.lit(following))) if following else \
             rows.limit(1).select(*[F.lit(None).cast(f.dataType).alias(f.name) for f in rows.schema])
-        batch.withColumn("run_date", d).coalesce(1).write.mode("append").parquet(src)
+        batch.withColumn("run_date", d).repartition(2, "slot_id").write.mode("append").parquet(src)
     like = rows.withColumn("run_date", F.current_date())
     J.ledger_stream(J.file_stream(ws.spark, src, like, 1), ws.contests.select("c1", "c2", "date", "result1", "result2"), out, place(ws, "s4-cp"))
     return J.latest_version(ws.spark, out).select("slot_id", "date", "snapshot_on", "status", "winner", "settled_on", r6("prob1"))
@@ -242,25 +250,23 @@ def running(ws):
 def activity(ws):
     src = ws.table("events").select("event_id", "ts", "user_id", "value")
     path, out = place(ws, "s6-in"), place(ws, "s6-out")
-    src.withColumn("ts", F.col("ts").cast("timestamp")).write.parquet(path)
+    src.withColumn("ts", F.col("ts").cast("timestamp")).repartitionByRange(4, "ts").write.parquet(path)
     J.activity_rates(J.file_stream(ws.spark, path, ws.spark.read.parquet(path)), out, place(ws, "s6-cp"))
-    return ws.spark.read.parquet(out).select(F.col("start").cast("timestamp_ntz").alias("start"), F.col("end").cast("timestamp_ntz").alias("end"), "user_id", "n", h(F.col("value"), 4).alias("value"))
+    return J.latest_windows(ws.spark, out).select(F.col("start").cast("timestamp_ntz").alias("start"), F.col("end").cast("timestamp_ntz").alias("end"), "user_id", "n", h(F.col("value"), 4).alias("value"))
 
 
 # ── rows-only: iterative jobs without a practical SQL counterpart ──────────
 
 @query("H15_parameter_search")
 def search(ws):
-    """Two knobs, one pass of the coordinate search (each line is one job)."""
+    """The whole grid in two passes of the coordinate search (each line is one sweep)."""
     from duelgrid.plans.market_queries import score_line
-    grid = {"base_k": (18, 24, 32), "move_penalty": (0, 0.1)}
-    _, _, _, trail = T.coordinate_search(lambda cs: score_line(ws, cs), ws.engine, passes=1, grid=grid)
+    _, _, _, trail = T.coordinate_search(lambda cs: score_line(ws, cs), ws.engine, passes=2)
     return ws.spark.createDataFrame([(p, k, v, round(s, 6), b) for p, k, v, s, b in trail], "pass int, knob string, value double, log_loss double, improved boolean")
 
 
 @query("D1_sliced_sweep")
 def sliced(ws):
-    """The same history from two time slices with carried state."""
-    n = ws.contests.count()
-    hist = sweep.sweep(ws.contests, ws.engine, ws.as_of, serial_rows=n // 2, slice_rows=n // 2, label=False)
+    """The same history from at least four time slices with carried state."""
+    hist = sweep.sweep(ws.contests, ws.engine, ws.as_of, slice_rows=max(1, ws.contests.count() // 4))
     return hist.select("contest_id", "competitor", r6("rating_before"), r6("rating_after"))

@@ -30,65 +30,96 @@ def run(writer) -> None:
 def guarded_ingest(stream: DataFrame, primary: DataFrame, out: str, checkpoint: str, grace_days: int = 60,
                    window_days: int = 7) -> None:
     """Late feed rows: stale by the 60-day grace, duplicate of a primary contest within a week,
-    or a repeat within the stream (same pair and date)."""
+    or a repeat within the stream (same pair and date).  Of repeats the first delivered row stays;
+    within a batch it is the one of the smallest patch_id."""
+    spark = stream.sparkSession
     floor = primary.agg(F.date_sub(F.max("date"), grace_days).alias("d")).first()["d"]
-    known = primary.select(name_pair(F.col("name1"), F.col("name2")).alias("pair"), "date").distinct()
-    watched = (stream.withColumn("pair", name_pair(F.col("name1"), F.col("name2"))).withColumn("ts", F.col("date").cast("timestamp"))
-               .withWatermark("ts", f"{grace_days} days").dropDuplicatesWithinWatermark(["pair", "ts", "patch_id"]))
+    pair = name_pair(F.col("name1"), F.col("name2")).alias("pair")
+    known = primary.filter(F.col("date") >= F.date_sub(F.lit(floor), window_days)).select(pair, "date").distinct()
 
     def batch(df: DataFrame, batch_id: int) -> None:
-        df = df.filter(F.col("date") >= F.lit(floor))
+        df = df.filter(F.col("date") >= F.lit(floor)).withColumn("pair", pair)
         near = df.select("patch_id", "pair", F.explode(F.sequence(F.date_sub("date", window_days), F.date_add("date", window_days))).alias("date"))
         dup = near.join(known, ["pair", "date"]).select("patch_id").distinct()
         first = df.join(dup, "patch_id", "left_anti").groupBy("pair", "date").agg(
-            F.min_by(F.struct(*[c for c in df.columns if c not in ("pair", "date", "ts")]), "patch_id").alias("x"))
-        first.select("date", "x.*").write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
+            F.min_by(F.struct(*[c for c in df.columns if c not in ("pair", "date")]), "patch_id").alias("x"))
+        if path_exists(spark, out):  # a retried batch does not see its own rows
+            earlier = spark.read.parquet(out).filter(F.col("batch") < batch_id).select("pair", "date").distinct()
+            first = first.join(earlier, ["pair", "date"], "left_anti")
+        first.select("pair", "date", "x.*").write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
 
-    run(watched.writeStream.option("checkpointLocation", checkpoint).foreachBatch(batch))
+    run(stream.writeStream.option("checkpointLocation", checkpoint).foreachBatch(batch))
 
 
 STATE = "config_id int, competitor {id}, dev double, seen bigint, last_date date, last_label string"
 
 
-def online_ratings(stream: DataFrame, out: str, checkpoint: str, as_of: str, engine: EngineConfig | None = None,
-                   label_above: int = sweep.SERIAL_ROWS) -> None:
+def states_of(history: DataFrame, engine: EngineConfig) -> DataFrame:
+    """What a competitor carries on from its last rated contest."""
+    order = F.struct("date", "contest_id")
+    return history.groupBy("config_id", "competitor").agg(
+        (F.max_by("rating_after", order) - engine.initial_rating).alias("dev"), (F.max("nth") + 1).alias("seen"),
+        F.max("date").alias("last_date"), F.max_by("label", F.when(F.col("label").isNotNull(), order)).alias("last_label"))
+
+
+def marks_of(spark: SparkSession, out: str, before: int | None = None) -> list:
+    """(batch, first day, last day) of the batches so far; one small row per batch."""
+    if not path_exists(spark, f"{out}/marks"):
+        return []
+    marks = spark.read.parquet(f"{out}/marks")
+    return sorted(tuple(r) for r in (marks if before is None else marks.filter(F.col("batch") < before)).select("batch", "first", "last").collect())
+
+
+def online_history(spark: SparkSession, out: str, before: int | None = None) -> DataFrame:
+    """The rating history that stands: a batch's rows from a later batch's first day on were rated again."""
+    marks = marks_of(spark, out, before)
+    limits = [(b, min((first for c, first, _ in marks if c > b), default=None)) for b, *_ in marks]
+    table = spark.createDataFrame(limits, "batch int, redone date")
+    rows = spark.read.parquet(f"{out}/history").join(table, "batch")
+    return rows.filter(F.coalesce(F.col("date") < F.col("redone"), F.lit(True))).drop("batch", "redone")
+
+
+def online_ratings(stream: DataFrame, out: str, checkpoint: str, as_of: str, engine: EngineConfig | None = None) -> None:
     """Ratings updated batch by batch with the same fold as the batch job.
 
-    State (one row per competitor) is a versioned table; a batch joins it, folds its own rows
-    in date order and writes the next version. Rows older than what a participant has already
-    fought go to `late` and wait for a replay of the affected slices.
+    State (one row per competitor) is a versioned table; a batch joins it, folds its own rows in
+    date order and writes the next version.  If a batch reaches back to a day that was rated
+    before, everything from its first day on is rated again: from the state as of that day, with
+    the contests of the earlier batches since.  `online_history` reads what stands.
     """
     engine = engine or EngineConfig()
     spark = stream.sparkSession
 
     def batch(df: DataFrame, batch_id: int) -> None:
-        prev = f"{out}/state/v={batch_id - 1}"
-        state = spark.read.parquet(prev) if path_exists(spark, prev) else spark.createDataFrame(
-            [], STATE.format(id=df.schema["c1"].dataType.simpleString()))
-        rated = sweep.rated_contests(df).checkpoint()
-        last = lambda i: state.select(F.col("competitor").alias(f"c{i}"), F.col("last_date").alias(f"l{i}"))
-        dated = rated.join(last(1), "c1", "left").join(last(2), "c2", "left")
-        is_late = F.coalesce(F.col("date") < F.greatest("l1", "l2"), F.lit(False))
-        dated.filter(is_late).drop("l1", "l2").write.mode("overwrite").parquet(f"{out}/late/batch={batch_id}")
-        rows = dated.filter(~is_late).drop("l1", "l2")
+        rated_path = f"{out}/rated/batch={batch_id}"
+        sweep.rated_contests(df).write.mode("overwrite").parquet(rated_path)
+        rows = spark.read.parquet(rated_path)
+        first, last = rows.agg(F.min("date"), F.max("date")).first()
+        marks = marks_of(spark, out, batch_id)
+        known = max((m[2] for m in marks), default=None)
+        prev = f"{out}/state/v={marks[-1][0]}" if marks else ""
+        empty = spark.createDataFrame([], STATE.format(id=df.schema["c1"].dataType.simpleString()))
+        state = spark.read.parquet(prev) if prev else empty
+        if first is None:
+            return
+        if known is not None and first <= known:
+            state = states_of(online_history(spark, out, batch_id).filter(F.col("date") < F.lit(first)), engine).checkpoint()
+            earlier = spark.read.parquet(f"{out}/rated").filter((F.col("batch") < batch_id) & (F.col("date") >= F.lit(first)))
+            rows = rows.unionByName(earlier.select(*rows.columns))
         t = sweep.timeline(rows).join(state.select("competitor", "seen", "last_date", "last_label"), "competitor", "left").select(
             "contest_id", "date", "side", "competitor", "s", "label", "method",
             (F.col("nth") + F.coalesce("seen", F.lit(0))).alias("nth"), F.coalesce("prev_date", "last_date").alias("prev_date"),
             F.coalesce("prev_label", "last_label").alias("prev_label"))
         work = sweep.pair_up(t, [engine], as_of).checkpoint()
-        labels = sweep.components(work.select("c1", "c2").distinct()) if work.count() > label_above else None
-        folded = sweep.fold_slice(work, state.select("config_id", "competitor", "dev"), labels).checkpoint()
-        history = sweep.history_rows(folded)
-        history.write.mode("overwrite").parquet(f"{out}/history/batch={batch_id}")
-        order = F.struct("date", "contest_id")
-        fresh = history.groupBy("config_id", "competitor").agg(
-            (F.max_by("rating_after", order) - engine.initial_rating).alias("dev"), (F.max("nth") + 1).alias("seen"), F.max("date").alias("last_date"),
-            F.max_by("label", F.when(F.col("label").isNotNull(), order)).alias("label"))
+        folded = sweep.fold_slice(work, state.select("config_id", "competitor", "dev"), sweep.components(work.select("c1", "c2").distinct()))
+        sweep.history_rows(folded).write.mode("overwrite").parquet(f"{out}/history/batch={batch_id}")
+        fresh = states_of(spark.read.parquet(f"{out}/history/batch={batch_id}"), engine)
         old = state.select("competitor", F.col("last_label").alias("old_label"))
         fresh = fresh.join(old, "competitor", "left").select(
-            "config_id", "competitor", "dev", "seen", "last_date", F.coalesce("label", "old_label").alias("last_label"))
+            "config_id", "competitor", "dev", "seen", "last_date", F.coalesce("last_label", "old_label").alias("last_label"))
         kept = state.join(fresh.select("competitor"), "competitor", "left_anti")
         fresh.unionByName(kept).write.mode("overwrite").parquet(f"{out}/state/v={batch_id}")
+        spark.createDataFrame([(first, max(last, known or last))], "first date, last date").write.mode("overwrite").parquet(f"{out}/marks/batch={batch_id}")
 
     run(stream.writeStream.option("checkpointLocation", checkpoint).foreachBatch(batch))
 
@@ -149,8 +180,20 @@ def running_scores(graded: DataFrame, out: str, checkpoint: str) -> None:
 
 
 def activity_rates(events: DataFrame, out: str, checkpoint: str, size: str = "6 hours", late: str = "1 hour") -> None:
-    """Events per key and tumbling window; a window is emitted once the watermark passes its end."""
+    """Events per key and tumbling window.  A batch writes every window that it changed, so the
+    windows that the watermark has not passed yet are there too; `latest_windows` reads them."""
     rates = (events.withWatermark("ts", late).groupBy(F.window("ts", size).alias("w"), "user_id")
              .agg(F.count("*").alias("n"), F.sum("value").alias("value")))
-    out_df = rates.select(F.col("w.start").alias("start"), F.col("w.end").alias("end"), "user_id", "n", "value")
-    run(out_df.writeStream.outputMode("append").option("checkpointLocation", checkpoint).format("parquet").option("path", out))
+    changed = rates.select(F.col("w.start").alias("start"), F.col("w.end").alias("end"), "user_id", "n", "value")
+
+    def batch(df: DataFrame, batch_id: int) -> None:
+        df.write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
+
+    run(changed.writeStream.outputMode("update").option("checkpointLocation", checkpoint).foreachBatch(batch))
+
+
+def latest_windows(spark: SparkSession, out: str) -> DataFrame:
+    """The last state of each window and key."""
+    rows = spark.read.parquet(out)
+    return rows.groupBy("start", "end", "user_id").agg(F.max_by(F.struct("n", "value"), "batch").alias("x")).select(
+        "start", "end", "user_id", "x.*")

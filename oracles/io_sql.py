@@ -6,9 +6,9 @@ from oracles.etl_sql import METHOD
 from oracles.market import pair
 
 R6 = lambda *cs: ", ".join(f"{r(c, 6)} AS {c}" for c in cs)
-RUNS = ("1994-12-31", "1996-12-31", "1998-06-30", "1999-12-31", "2001-08-02")
-_snap = "CASE " + " ".join(f"WHEN c.date>DATE '{d}' THEN DATE '{d}'" for d in reversed(RUNS)) + " END"
-_set = "CASE " + " ".join(f"WHEN c.date<DATE '{d}' THEN DATE '{d}'" for d in RUNS) + " END"
+RUNS = [f"(SELECT (min(date)-1 + ((date_diff('day', (min(date)-1)::DATE, (max(date)+1)::DATE)*{k})//4)::INT)::DATE FROM contests)" for k in range(5)]
+_snap = "CASE " + " ".join(f"WHEN c.date>{d} THEN {d}" for d in reversed(RUNS)) + " END"
+_set = "CASE " + " ".join(f"WHEN c.date<{d} THEN {d}" for d in RUNS) + " END"
 _raw_method = "CASE WHEN result1='NC' THEN 'Could Not Continue' WHEN m0='KO/TKO' THEN 'KO/TKO' WHEN m0='SUB' THEN 'Submission' WHEN m0='U-DEC' THEN 'Decision - Unanimous' WHEN m0='M-DEC' THEN 'Decision - Majority' ELSE 'Decision - Split' END"
 ORACLES = {
     "A1_A21_csv_round_trip": sql("""SELECT contest_id, '"'||name1||'", aka '||name2 AS title, details FROM contests"""),
@@ -28,7 +28,7 @@ ORACLES = {
     "A20_raw_sources": sql(f"SELECT CASE contest_id%4 WHEN 0 THEN 'Promo '||division||' Title Bout' WHEN 1 THEN division||' Bout' WHEN 2 THEN 'Ultimate Fighter 3 Tournament '||division||' Bout' ELSE 'Interim '||division||' Title Bout' END AS WEIGHTCLASS, {_raw_method} AS METHOD, count(*) AS rows FROM raw_results GROUP BY 1,2"),
     "A23_append_only_sink": sql("SELECT competitor, foreign_id FROM crosswalk"),
     "A24_report_tables": sql("SELECT coalesce(division,'all') AS division, coalesce(y,0)::INT AS year, count(*) AS contests, count(*) FILTER (has_metrics) AS with_metrics FROM (SELECT division, year(date) AS y, has_metrics FROM contests) GROUP BY ROLLUP (division, y)"),
-    "S1_guarded_ingest": sql(f"SELECT min(patch_id) AS patch_id, date, arg_min(c1,patch_id) AS c1, arg_min(c2,patch_id) AS c2 FROM patch_verdicts WHERE verdict='added' GROUP BY date, {pair('name1','name2')}"),
+    "S1_guarded_ingest": sql(f"SELECT arg_min(patch_id,(patch_id%3,patch_id)) AS patch_id, date, arg_min(c1,(patch_id%3,patch_id)) AS c1, arg_min(c2,(patch_id%3,patch_id)) AS c2 FROM patch_verdicts WHERE verdict='added' GROUP BY date, {pair('name1','name2')}"),
     "S2_online_ratings": sql(f"SELECT competitor, contests_rated AS seen, last_date, last_division AS last_label, {r('at_last',6)} AS rating FROM ratings"),
     "S3_price_result_join": sql("SELECT a.price_id, c.contest_id FROM asked a JOIN contests c ON least(c.c1,c.c2)=least(a.fav_id,a.dog_id) AND greatest(c.c1,c.c2)=greatest(a.fav_id,a.dog_id) AND abs(date_diff('day',c.date,a.date))<=2"),
     "S4_ledger_stream": sql(f"""SELECT slot_id, date, snap AS snapshot_on, CASE WHEN st IS NULL THEN 'pending' ELSE hit[1] END AS status, CASE WHEN st IS NOT NULL THEN hit[2] END AS winner, st AS settled_on, {r('p',6)} AS prob1 FROM (
@@ -37,6 +37,6 @@ ORACLES = {
       JOIN (SELECT c.contest_id, arg_min(d.r, (abs(date_diff('day',c.date,d.date)), d.date)) AS hit FROM contests c JOIN day_results d ON d.lo=least(c.c1,c.c2) AND d.hi=greatest(c.c1,c.c2) AND abs(date_diff('day',c.date,d.date))<=3 GROUP BY 1) d ON d.contest_id=c.contest_id)"""),
     "S5_running_scores": sql(f"SELECT date_trunc('month',p.date)::DATE AS month, model, count(*) AS n, count(*) FILTER ((l.p>=0.5)=l.fav_won) AS hits, {r('sum(CASE WHEN l.fav_won THEN -ln(l.p) ELSE -ln(1-l.p) END)',6)} AS loss, {r('sum((l.p-l.fav_won::INT)*(l.p-l.fav_won::INT))',6)} AS brier FROM long_models l JOIN priced p USING (price_id) GROUP BY 1,2"),
     "S6_activity_rates": f"""SELECT w AS start, w + INTERVAL 6 HOUR AS "end", user_id, count(*) AS n, {r('sum(value)',4)} AS value FROM (SELECT *, time_bucket(INTERVAL 6 HOUR, ts, TIMESTAMP '1970-01-01') AS w FROM events)
-      WHERE w + INTERVAL 6 HOUR <= (SELECT max(ts) - INTERVAL 1 HOUR FROM events) GROUP BY ALL""",
+      GROUP BY ALL""",
     "D1_sliced_sweep": sql(f"SELECT contest_id, competitor, {R6('rating_before','rating_after')} FROM history"),
 }

@@ -82,10 +82,18 @@ def test_matches_plain_loop(frame, engine):
     assert_same(collected(S.sweep(frame, engine, AS_OF)), plain_loop(careers(), engine))
 
 
-@pytest.mark.parametrize("label", [False, True])
-def test_slices_and_labels_give_the_same_history(frame, label):
-    want = plain_loop(careers(), EngineConfig())
-    assert_same(collected(S.sweep(frame, EngineConfig(), AS_OF, slice_rows=45, label=label)), want)
+@pytest.mark.parametrize("rows", [12, 45])
+def test_slices_give_the_same_history(frame, rows):
+    assert_same(collected(S.sweep(frame, EngineConfig(), AS_OF, slice_rows=rows)), plain_loop(careers(), EngineConfig()))
+
+
+def test_a_slice_is_folded_in_more_than_one_task(frame):
+    """Competitors that do not meet within a slice go to different folds."""
+    work = S.prepare(frame, [EngineConfig()], AS_OF)
+    first = S.plan_slices(S.rated_contests(frame), 12)[0]
+    rows = work.filter(first.condition())
+    folded = S.fold_slice(rows, None, S.components(rows.select("c1", "c2").distinct()))
+    assert folded.select(F.spark_partition_id().alias("task")).distinct().count() > 1
 
 
 def test_configs_are_independent(frame):
@@ -109,7 +117,7 @@ def test_input_partitioning_does_not_matter(frame):
 def test_text_ids(spark):
     rows = [(f"k{r[0]:04d}", r[1], f"p{r[2]}", f"p{r[3]}", *r[4:]) for r in careers(60)]
     df = spark.createDataFrame(rows, SCHEMA.replace("bigint", "string"))
-    assert_same(collected(S.sweep(df, EngineConfig(), AS_OF, slice_rows=30, label=True)), plain_loop(rows, EngineConfig()))
+    assert_same(collected(S.sweep(df, EngineConfig(), AS_OF, slice_rows=30)), plain_loop(rows, EngineConfig()))
 
 
 def test_final_state_regresses_to_as_of(spark, frame):
@@ -134,4 +142,4 @@ def test_hot_day_is_cut(spark):
     slices = S.plan_slices(S.rated_contests(df), 40)
     sizes = [S.rated_contests(df).filter(s.condition()).count() for s in slices]
     assert sum(sizes) == 200 and max(sizes) < 120
-    assert_same(collected(S.sweep(df, EngineConfig(), AS_OF, slice_rows=40, label=False)), plain_loop(rows, EngineConfig()))
+    assert_same(collected(S.sweep(df, EngineConfig(), AS_OF, slice_rows=40)), plain_loop(rows, EngineConfig()))
