@@ -2,11 +2,22 @@
 
 from __future__ import annotations
 
+import unicodedata
+
 from pyspark.sql import Column, functions as F
 
-# Accented Latin letters with a canonical decomposition, and their base letters.
-ACCENTED = "àáâãäåāăąçćčèéêëēėęěìíîïīįñńňòóôõöōőřśšşťţùúûüūůűųýÿžźż"
-PLAIN = "aaaaaaaaaccceeeeeeeeiiiiiinnnooooooorsssttuuuuuuuuyyzzz"
+
+
+def folding() -> tuple[str, str]:
+    """All lower-case letters that decompose to a letter a-z with marks, and these letters."""
+    pairs = [(chr(c), unicodedata.normalize("NFD", chr(c))) for c in range(128, 0x2000)]
+    kept = [(c, d[0]) for c, d in pairs if "a" <= d[0] <= "z" and all(unicodedata.combining(m) for m in d[1:])]
+    return "".join(c for c, _ in kept), "".join(p for _, p in kept)
+
+
+ACCENTED, PLAIN = folding()
+#: Combining marks of decomposed text; they go before anything is replaced by a filler.
+MARKS = r"[\u0300-\u036f]"
 
 # variant: (characters kept, replacement of the others, suffix words dropped, spaces kept)
 VARIANTS = {
@@ -23,7 +34,7 @@ KEEP_RUNS = ("search",)                # inner runs of spaces stay
 
 
 def fold_accents(c: Column) -> Column:
-    return F.translate(F.lower(c), ACCENTED, PLAIN)
+    return F.regexp_replace(F.translate(F.lower(c), ACCENTED, PLAIN), MARKS, "")
 
 
 def normalize_name(c: Column, variant: str = "resolver") -> Column:

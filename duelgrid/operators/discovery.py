@@ -50,7 +50,7 @@ def upper_median_by(df: DataFrame, by: str, value: str, name: str) -> DataFrame:
     n = df.filter(F.col(value).isNotNull()).groupBy(by).agg(F.count("*").alias("_n"))
     p = positions(df.filter(F.col(value).isNotNull()).select(by, value, "competitor"), [by], F.floor(F.col(value)),
                   [F.asc(value), F.asc("competitor")], "_p")
-    return p.join(F.broadcast(n), by).filter(F.col("_p") == F.floor(F.col("_n") / 2) + 1).select(by, F.col(value).alias(name), F.col("_n").alias(f"{name}_n"))
+    return p.join(n, by).filter(F.col("_p") == F.floor(F.col("_n") / 2) + 1).select(by, F.col(value).alias(name), F.col("_n").alias(f"{name}_n"))
 
 
 def division_benchmarks(final: DataFrame, wide: DataFrame, least: int = 10) -> DataFrame:
@@ -78,11 +78,11 @@ def prospects(log: DataFrame, states: DataFrame, final: DataFrame, booked: DataF
               today: Column, short_method, max_contests: int = 5, active_months: float = 15.0, limit: int = 20) -> DataFrame:
     """few contests, winning record, active or booked, no champion; ordered by rating."""
     label = F.concat(F.col("result"), F.lit(" "), short_method(F.col("method"), F.col("round")), F.lit(" vs. "), F.col("opponent_name"))
-    a = log.filter(F.col("rated") <= max_contests).groupBy("competitor").agg(
+    a = log.groupBy("competitor").agg(
         F.count("*").alias("n"), F.count_if(F.col("result") == "W").alias("w"), F.count_if(F.col("result") == "L").alias("l"),
         F.max("date").alias("latest"), F.max(F.when(F.col("rev") == 1, label)).alias("last1"),
         F.max(F.when(F.col("rev") == 2, label)).alias("last2"))
-    x = (a.filter("w > l").join(final.filter("is_champion").select("competitor"), "competitor", "left_anti")
+    x = (a.filter((F.col("n") <= max_contests) & (F.col("w") > F.col("l"))).join(final.filter("is_champion").select("competitor"), "competitor", "left_anti")
          .join(booked.select("competitor", F.col("date").alias("next_date")), "competitor", "left")
          .filter((C.months_between_days(F.col("latest"), today) <= active_months) | F.col("next_date").isNotNull())
          .join(states.select("competitor", "rating"), "competitor").join(competitors.select("competitor", "name", "home_division"), "competitor"))
@@ -113,7 +113,7 @@ def rank_difference(states: DataFrame, competitors: DataFrame, depth: int, min_c
         "competitor", F.col("home_division").alias("division"))
     rows = pool.join(states.select("config_id", "competitor", "rating"), "competitor")
     p = positions(rows, ["config_id", "division"], -F.floor("rating"), [F.desc("rating"), F.asc("competitor")], "place")
-    old = p.filter((F.col("config_id") == 0) & (F.col("place") <= 100)).select("division", "competitor", F.col("place").alias("was"))
+    old = p.filter(F.col("config_id") == 0).select("division", "competitor", F.col("place").alias("was"))
     new = p.filter((F.col("config_id") == 1) & (F.col("place") <= depth)).select("division", "competitor", F.col("place").alias("now"), "rating")
     return new.join(old, ["division", "competitor"], "left").select(
         "division", "competitor", "now", "was", (F.col("was") - F.col("now")).alias("gain"), h(F.col("rating"), 4).alias("rating"))

@@ -66,7 +66,9 @@ def patch_verdicts(primary: DataFrame, patch: DataFrame, grace_days: int = 60, w
     """
     floor = primary.agg(F.date_sub(F.max("date"), grace_days).alias("floor"))
     floor_date = floor.first()["floor"]
-    known = primary.select(name_pair(F.col("name1"), F.col("name2")).alias("pair"), "date").distinct()
+    # only contests that a row behind the floor can reach need their names normalised
+    recent = primary.filter(F.col("date") >= F.date_sub(F.lit(floor_date), window_days))
+    known = recent.select(name_pair(F.col("name1"), F.col("name2")).alias("pair"), "date").distinct()
     dated = patch.filter(F.col("date").isNotNull()).withColumn("pair", name_pair(F.col("name1"), F.col("name2")))
     days = dated.filter(F.col("date") >= F.lit(floor_date)).select(
         "patch_id", "pair", F.explode(F.sequence(F.date_sub("date", window_days), F.date_add("date", window_days))).alias("date"))
@@ -267,9 +269,11 @@ def link_feed(feed: DataFrame, roster: DataFrame, sides: DataFrame) -> DataFrame
     norm = lambda c: normalize_name(F.col(c), "crosswalk")
     names = feed.select("feed_name", norm("feed_name").alias("norm")).distinct()
     cands = names.join(roster.select("competitor", norm("name").alias("norm")), "norm")
-    evidence = feed.select("feed_name", F.concat_ws("@", norm("opponent_name"), F.col("date").cast("string")).alias("opp_key")).distinct()
-    proof = (cands.join(evidence, "feed_name").join(known_opponents(sides, True), ["competitor", "opp_key"])
-             .groupBy("feed_name", "competitor").agg(F.count("*").alias("shared")))
+    evidence = feed.select("feed_name", norm("feed_name").alias("norm"), F.concat_ws(
+        "@", norm("opponent_name"), F.col("date").cast("string")).alias("opp_key")).distinct()
+    # name and opponent together: a common name does not multiply with its evidence
+    fought = known_opponents(sides, True).join(roster.select("competitor", norm("name").alias("norm")), "competitor")
+    proof = evidence.join(fought, ["norm", "opp_key"]).groupBy("feed_name", "competitor").agg(F.count("*").alias("shared"))
     found = cands.join(proof, ["feed_name", "competitor"], "left").groupBy("feed_name").agg(
         F.count("*").alias("candidates"), F.count("shared").alias("corroborated"),
         F.max(F.when(F.col("shared").isNotNull(), F.col("competitor"))).alias("linked_id"))

@@ -158,15 +158,22 @@ def edge_verdict(win_p: Column, price: Column, other_price: Column, threshold: f
 
 
 def title_candidates(contests: DataFrame, reigns: DataFrame, as_of: str, pad: int = 21) -> DataFrame:
-    """Contests whose participant holds a belt within the padded reign.
+    """Contests of title format whose participant holds a belt within the padded reign.
 
-    reigns: reign_id, division, holder, start, end (null = current), interim.
+    Title format: scheduled for five rounds, or called an interim or championship contest.
+    contests also has scheduled_rounds and label.  reigns: reign_id, division, holder, start,
+    end (null = current), interim.  A holder's contests meet his reigns by half-year buckets.
     """
-    sides = contests.select("contest_id", "date", "division", "c1", "c2", "result1", "result2",
-                            F.explode(F.array("c1", "c2")).alias("holder"))
-    r = reigns.select("reign_id", F.col("division").alias("reign_division"), "holder", "start", "end", "interim")
-    inside = F.col("date").between(F.date_sub("start", pad), F.date_add(F.coalesce("end", F.lit(as_of).cast("date")), pad))
-    c = (sides.join(r, "holder").filter(inside)
+    titled = contests.filter((F.col("scheduled_rounds") == 5) | F.col("label").rlike("Interim|Championship"))
+    bucket = lambda d: F.floor(F.datediff(d, F.lit("1970-01-01").cast("date")) / 180)
+    sides = titled.select("contest_id", "date", "division", "c1", "c2", "result1", "result2",
+                          F.explode(F.array("c1", "c2")).alias("holder"), bucket(F.col("date")).alias("bucket"))
+    first = F.date_sub("start", pad)
+    last = F.date_add(F.coalesce("end", F.lit(as_of).cast("date")), pad)
+    r = reigns.filter(first <= last).select(
+        "reign_id", F.col("division").alias("reign_division"), "holder", "start", "interim", first.alias("first"), last.alias("last"),
+        F.explode(F.sequence(bucket(first), bucket(last))).alias("bucket"))
+    c = (sides.join(r, ["holder", "bucket"]).filter(F.col("date").between(F.col("first"), F.col("last"))).drop("bucket", "first", "last")
          .withColumn("div_match", F.col("reign_division") == F.col("division"))
          .withColumn("established", F.col("start") < F.col("date")))
     w = W.partitionBy("contest_id")    # at most two holders and a few reigns each

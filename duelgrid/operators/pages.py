@@ -40,14 +40,24 @@ def normal_date(raw: Column) -> Column:
     return F.coalesce(iso, F.when(flat.rlike(pattern), F.try_to_date(text, "MMM d yyyy")))
 
 
-def attribute_cells(pages: DataFrame) -> DataFrame:
-    """K3: data-li="[book,side,contest]" cells with an American price, as a long table."""
-    cell = r'data-li="\[(\d+),(\d+),(\d+)\]"[^>]*>\s*<span[^>]*>([+-]?\d+)</span>'
-    found = F.arrays_zip(*[F.regexp_extract_all("html", F.lit(cell), i).alias(n) for i, n in enumerate(
-        ("book", "side", "contest_id", "american"), 1)])
-    x = pages.select("page_id", F.explode(found).alias("c")).select(
-        "page_id", F.col("c.book").cast("int").alias("book"), F.col("c.side").cast("int").alias("side"),
-        F.col("c.contest_id").cast("bigint").alias("contest_id"), F.col("c.american").cast("int").alias("american"))
+# The format of price pages.
+CELL = r'\[(\d+),(\d+),(\d+)\]"[^>]*>\s*<span[^>]*>([+-]?\d+)</span>'
+COMPETITOR_ROW = r'id="mu-(\d+)"'
+
+
+def attribute_cells(pages: DataFrame, attribute: str = "data-li") -> DataFrame:
+    """K3: cells that carry [book,side,contest] and an American price, as a long table.
+
+    Cells of a contest without a competitor row on the page are side bets and go.  A cell is cut
+    out once and then split.
+    """
+    cells = F.regexp_extract_all("html", F.lit(rf'{attribute}="{CELL}'), 0)
+    one = lambda i: F.regexp_extract("c", CELL, i)
+    x = pages.select("page_id", F.array_distinct(F.regexp_extract_all("html", F.lit(COMPETITOR_ROW), 1)).alias("contests"),
+                     F.explode(cells).alias("c"))
+    x = x.filter(F.array_contains("contests", one(3))).select(
+        "page_id", one(1).cast("int").alias("book"), one(2).cast("int").alias("side"),
+        one(3).cast("bigint").alias("contest_id"), one(4).cast("int").alias("american"))
     return x.withColumn("price", C.american_to_decimal(F.col("american")))
 
 

@@ -6,24 +6,24 @@ from pyspark.sql import DataFrame, functions as F
 
 
 def golden_diff(golden: DataFrame, current: DataFrame, tolerance: float = 0.5) -> DataFrame:
-    """Added, removed, reordered or drifted entries between two ranking snapshots.
+    """Added, removed or reordered entries between two ranking snapshots, and whose score drifted.
 
-    Both: division, competitor, rank, score. Order changes are judged within the entries
-    both snapshots share, so an insertion alone does not mark everyone below it.
+    Both: division, competitor, rank, score.  An entry of both snapshots is reordered if its rank
+    differs; drift is told apart from that, so a row can be both.
     """
     g = golden.select("division", "competitor", F.col("rank").alias("old_rank"), F.col("score").alias("old_score"))
     c = current.select("division", "competitor", F.col("rank").alias("new_rank"), F.col("score").alias("new_score"))
     x = g.join(c, ["division", "competitor"], "full_outer")
     kind = (F.when(F.col("old_rank").isNull(), "added").when(F.col("new_rank").isNull(), "removed")
-            .when(F.col("old_rank") != F.col("new_rank"), "reordered")
-            .when(F.abs(F.col("old_score") - F.col("new_score")) > tolerance, "drift").otherwise("same"))
-    return x.withColumn("kind", kind)
+            .when(F.col("old_rank") != F.col("new_rank"), "reordered").otherwise("same"))
+    return x.withColumn("kind", kind).withColumn(
+        "drift", F.coalesce(F.abs(F.col("old_score") - F.col("new_score")) > tolerance, F.lit(False)))
 
 
 def golden_verdict(diff: DataFrame) -> DataFrame:
     """Structural changes fail, drift alone passes."""
     n = lambda k: F.count_if(F.col("kind") == k).alias(k)
-    return diff.agg(n("added"), n("removed"), n("reordered"), n("drift")).withColumn(
+    return diff.agg(n("added"), n("removed"), n("reordered"), F.count_if("drift").alias("drift")).withColumn(
         "passed", F.col("added") + F.col("removed") + F.col("reordered") == 0)
 
 
@@ -40,11 +40,13 @@ def load_summary(competitors: DataFrame, contests: DataFrame) -> DataFrame:
     return c.withColumn("k", one).join(p.withColumn("k", one), "k").drop("k")
 
 
-def invariants(outside: DataFrame, pedigree: DataFrame, final: DataFrame, excluded: str, cap: float) -> DataFrame:
-    """Each row is a rule and the number of violations (all must be 0)."""
+def invariants(by_organisation: DataFrame, pedigree: DataFrame, final: DataFrame, excluded: str, cap: float) -> DataFrame:
+    """Each row is a rule and the number of violations (all must be 0).
+
+    by_organisation: the product of E7, in whose nested lists the excluded organisation must not occur."""
     checks = [
-        outside.filter(F.col("organisation").contains(excluded) & (F.col("tier_multiplier") > 1)).agg(
-            F.lit("excluded_organisation").alias("rule"), F.count("*").alias("violations")),
+        by_organisation.select(F.explode("by_organisation.organisation").alias("organisation")).agg(
+            F.lit("excluded_organisation").alias("rule"), F.count_if(F.col("organisation").contains(excluded)).alias("violations")),
         pedigree.agg(F.lit("strength_cap").alias("rule"), F.count_if((F.col("strength") > cap) | (F.col("strength") < 0)).alias("violations")),
         final.agg(F.lit("nudge_cap").alias("rule"), F.count_if(F.abs("schedule_nudge") > 30).alias("violations")),
         final.groupBy("division", "rank").agg(F.count("*").alias("n")).agg(

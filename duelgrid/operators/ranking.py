@@ -288,10 +288,10 @@ def finalize(moved: DataFrame, streaks: DataFrame, cfg: RankingConfig = R) -> Da
     head = moved.select("division", "path").withColumn("n", F.row_number().over(by.orderBy("path"))).filter(
         F.col("n") <= cfg.depth + 1).groupBy("division").agg(F.max("path").alias("cut"))
     inside = (F.col("path") <= F.col("cut")) | F.col("external_rank").isNotNull()
-    flagged = moved.join(F.broadcast(head), "division").withColumn("inside", inside)
+    flagged = moved.join(head, "division").withColumn("inside", inside)
     rest = flagged.filter(~F.col("inside")).groupBy("division").agg(F.max("rank_score").alias("rest_max"))
     top = (flagged.filter("inside").withColumn("pos_h2h", F.row_number().over(by.orderBy("path"))).drop("path", "cut")
-           .join(streaks, "competitor", "left").join(F.broadcast(rest), "division", "left"))
+           .join(streaks, "competitor", "left").join(rest, "division", "left"))
     champ = F.coalesce(F.col("external_rank") == "C", F.lit(False))
     # Champions directly below X, within the band of X, swap with it one after the other
     order = by.orderBy("pos_h2h")

@@ -280,7 +280,7 @@ def edge(ws):
 
 @query("H22_title_candidates")
 def title_cands(ws):
-    c = M.title_candidates(ws.contests, ws.reigns, ws.as_of)
+    c = M.title_candidates(B.title_format(ws.contests), ws.reigns, ws.as_of)
     return c.select("contest_id", "holder", "reign_id", "div_match", "established", "any_match", F.col("holders").cast("long").alias("holders"))
 
 

@@ -49,9 +49,10 @@ def depth(ws):
 
 @query("F6_prospects")
 def prospects(ws):
-    """The career limit is lifted: the test data has no competitor with five contests or fewer."""
+    """Every other competitor of the test data starts in the last month, so that there are short careers."""
     booked = S.next_contests(B.upcoming(ws.contests), ws.today)
-    return D.prospects(ws.log, ws.states, ws.final, booked, ws.competitors, ws.today, A.short_method, max_contests=10 ** 9)
+    log = ws.log.filter((F.col("competitor") % 2 == 0) | (F.col("date") >= F.date_sub(ws.today, 30)))
+    return D.prospects(log, ws.states, ws.final, booked, ws.competitors, ws.today, A.short_method)
 
 
 @query("F7_outside_prospects")
@@ -84,7 +85,7 @@ def dashboard(ws):
 def profile(ws):
     """The profile of the best-rated competitor."""
     best = ws.profile.orderBy(F.desc("rating"), "competitor").limit(1).select("competitor")
-    return ws.profile.join(F.broadcast(best), "competitor", "left_semi")
+    return ws.profile.join(best, "competitor", "left_semi")
 
 
 @query("I4_name_search")
@@ -157,7 +158,7 @@ def snapshot_pair(ws):
 @query("J1_golden_diff")
 def golden(ws):
     d = Q.golden_diff(*snapshot_pair(ws))
-    return d.select("division", "competitor", "old_rank", "new_rank", "kind")
+    return d.select("division", "competitor", "old_rank", "new_rank", "kind", "drift")
 
 
 @query("J1_golden_verdict")
@@ -172,7 +173,7 @@ def load_summary(ws):
 
 @query("J3_invariants")
 def invariants(ws):
-    return Q.invariants(ws.outside, ws.pedigree, ws.final, "HOUSEHOLD", 0.75)
+    return Q.invariants(PD.pedigree_by_organisation(ws.outside, ws.sides, excluded=("HOUSEHOLD",)), ws.pedigree, ws.final, "HOUSEHOLD", 0.75)
 
 
 # ── pages ─────────────────────────────────────────────────────────────────
@@ -198,7 +199,9 @@ def slug_pages(ws):
     tag = lambda n, i: F.concat(F.lit('<a href="/competitor/'), F.regexp_replace(n, " ", "-"), F.lit("-"), i.cast("string"), F.lit('">x</a>'))
     am = lambda p: C.decimal_to_american(p).cast("int").cast("string")
     cell = lambda b, s, p: F.concat(F.lit(f'<td data-li="[{b},{s},'), F.col("contest_id").cast("string"), F.lit(']" class="x"> <span>'), am(p), F.lit("</span></td>"))
-    html = F.concat(tag(F.col("name1"), F.col("c1")), tag(F.upper("name1"), F.col("c1")), tag(F.col("name2"), F.col("c2")),
+    row = F.concat(F.lit('<tr id="mu-'), F.col("contest_id").cast("string"), F.lit('">'))
+    side_bet = F.concat(F.lit('<td data-li="[28,1,9'), F.col("contest_id").cast("string"), F.lit('7]" class="x"> <span>+150</span></td>'))
+    html = F.concat(row, side_bet, tag(F.col("name1"), F.col("c1")), tag(F.upper("name1"), F.col("c1")), tag(F.col("name2"), F.col("c2")),
                     F.lit('<a href="/competitor/list">all</a>'), *[cell(b, s, F.col(f"price{s}")) for b in (28, 1) for s in (1, 2)])
     return c.select(F.col("contest_id").alias("page_id"), html.alias("html"))
 

@@ -187,7 +187,7 @@ class Workspace:
 
     @cached_property
     def titles(self) -> DataFrame:
-        cands = market.title_candidates(self.contests, self.reigns, self.as_of)
+        cands = market.title_candidates(B.title_format(self.contests), self.reigns, self.as_of)
         return self.keep("titles", market.attribute_titles(cands))
 
     @cached_property

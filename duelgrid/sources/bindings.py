@@ -66,10 +66,10 @@ def contests(spark: SparkSession, sf_dir: str) -> DataFrame:
         .filter("s1 is not null and s2 is not null"))
     regions = (
         table(spark, sf_dir, "nation")
-        .join(F.broadcast(table(spark, sf_dir, "region")), F.col("n_regionkey") == F.col("r_regionkey"))
+        .join(table(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
         .select("n_nationkey", F.col("r_name").alias("division")))
     cust = (table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey")
-            .join(F.broadcast(regions), F.col("c_nationkey") == F.col("n_nationkey"))
+            .join(regions, F.col("c_nationkey") == F.col("n_nationkey"))
             .select("c_custkey", "division"))
     o = table(spark, sf_dir, "orders").select(
         "o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority", F.to_date("o_orderdate").alias("date"))
@@ -190,13 +190,20 @@ def births(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(key % 4 == 3, "year").otherwise("day").alias("precision"))
 
 
+def title_format(contests: DataFrame) -> DataFrame:
+    """scheduled_rounds and label: every third contest is scheduled for three rounds, every ninth is an interim one."""
+    i = F.col("contest_id")
+    return contests.withColumn("scheduled_rounds", F.when(i % 3 == 0, 3).otherwise(5)).withColumn(
+        "label", F.when(i % 9 == 0, F.concat(F.lit("Interim "), "division")).otherwise(F.col("division")))
+
+
 # ── market feeds ──────────────────────────────────────────────────────────
 
 def feed_name(name: Column, key: Column) -> Column:
-    """How a foreign feed spells a name: plain, upper case, suffixed, accented or punctuated."""
+    """How a foreign feed spells a name: plain, upper case, suffixed, accented (composed and decomposed) or punctuated."""
     v = key % 5
     return (F.when(v == 0, name).when(v == 1, F.upper(name)).when(v == 2, F.concat(name, F.lit(" Jr")))
-            .when(v == 3, F.translate(name, "a", "á")).otherwise(F.regexp_replace(name, "Van", "Va'n")))
+            .when(v == 3, F.translate(F.regexp_replace(name, "e", "e\u0300"), "aiostu", "ăịơșțễ")).otherwise(F.regexp_replace(name, "Van", "Va'n")))
 
 
 def feed_overrides(roster: DataFrame) -> DataFrame:

@@ -1,11 +1,10 @@
 """DuckDB counterparts of the market products."""
 
 from oracles.base import AS_OF, cte, months, r
-from duelgrid.functions.names import ACCENTED, PLAIN
 
 
 def norm(x, variant="resolver"):
-    t = f"translate(lower({x}),'{ACCENTED}','{PLAIN}')"
+    t = f"strip_accents(lower({x}))"
     sfx = r"\b(jr|sr|ii|iii|iv)\b"
     rr = lambda e, p, w: f"regexp_replace({e},'{p}','{w}','g')"
     if variant == "resolver":
@@ -29,7 +28,7 @@ def pair(a, b, variant="loader"):
 
 
 def feed(name, key):
-    return f"CASE {key}%5 WHEN 0 THEN {name} WHEN 1 THEN upper({name}) WHEN 2 THEN {name}||' Jr' WHEN 3 THEN translate({name},'a','á') ELSE replace({name},'Van','Va''n') END"
+    return f"CASE {key}%5 WHEN 0 THEN {name} WHEN 1 THEN upper({name}) WHEN 2 THEN {name}||' Jr' WHEN 3 THEN translate(replace({name},'e','e'||chr(768)),'aiostu','ăịơșțễ') ELSE replace({name},'Van','Va''n') END"
 
 
 cte("side_prices", f"""
@@ -158,7 +157,8 @@ WHERE any_match OR (SELECT count(DISTINCT t2.holder) FROM tc0 t2 WHERE t2.contes
 cte("tc0", f"""
 SELECT c.contest_id, c.date, c.division, c.c1, c.c2, c.result1, c.result2, r.holder, r.reign_id, r.division AS reign_division, r.start, r.interim,
  r.division=c.division AS div_match, r.start<c.date AS established
-FROM contests c JOIN reigns r ON (r.holder=c.c1 OR r.holder=c.c2) AND c.date BETWEEN r.start-21 AND coalesce(r."end",{AS_OF})+21""")
+FROM contests c JOIN reigns r ON (r.holder=c.c1 OR r.holder=c.c2) AND c.date BETWEEN r.start-21 AND coalesce(r."end",{AS_OF})+21
+WHERE c.contest_id%3<>0 OR c.contest_id%9=0""")
 cte("titles", """
 SELECT contest_id, date, reign_id, reign_division AS title_division, interim, holder AS champion, CASE WHEN holder=c1 THEN c2 ELSE c1 END AS challenger, winner FROM (
  SELECT *, row_number() OVER (PARTITION BY contest_id ORDER BY established DESC, CASE WHEN established THEN interim::INT ELSE 0 END, CASE WHEN established THEN start END DESC NULLS LAST,

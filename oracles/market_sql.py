@@ -44,7 +44,7 @@ ORACLES = {
       unnest([model_p, 1/(1+exp(-(c.w0+c.w1*{LOGIT('model_p')}))), market_p, 1/(1+exp(-(b.w0+b.w1*{LOGIT('model_p')}+b.w2*{LOGIT('market_p')})))]) AS p FROM chron, cal_fit c, blend_fit b WHERE NOT is_train) GROUP BY 1"""),
     "H14_walk_forward_folds": sql("SELECT fold, role, count(*) AS n FROM folds GROUP BY 1,2"),
     "H15_grid_line": sql(f"SELECT base_k, {scored()} FROM (SELECT f.base_k, f.fav_won, 1/(1+exp(-(w.w0+w.w1*{LOGIT('model_p')}))) AS p FROM grid_folds f JOIN gr_fit w ON w.g=f.unit WHERE f.year=f.fold) GROUP BY 1"),
-    "H16_rank_differences": sql(f"SELECT n.division, n.competitor, n.place AS now, o.place AS was, o.place-n.place AS gain, {r('n.rating',4)} AS rating FROM order_new n LEFT JOIN (FROM order_old WHERE place<=100) o USING (division, competitor) WHERE n.place<=15"),
+    "H16_rank_differences": sql(f"SELECT n.division, n.competitor, n.place AS now, o.place AS was, o.place-n.place AS gain, {r('n.rating',4)} AS rating FROM order_new n LEFT JOIN order_old o USING (division, competitor) WHERE n.place<=15"),
     "H17_coverage_by_year": sql("SELECT year, count(*) AS total, count(*) FILTER (verdict='ok') AS matched FROM joined GROUP BY 1"),
     "H17_coverage_by_division": sql("SELECT division, count(*) AS matched FROM priced GROUP BY 1"),
     "H18_model_misses": sql("SELECT price_id, date, division, winner, loser, " + R6("model_winner", "market_winner", "loser_layoff") + ", winner_no, loser_no, winner_form, loser_form, moved FROM (" + with_form("SELECT * FROM winners WHERE market_winner>=0.55 AND model_winner<0.4 ORDER BY model_winner, price_id LIMIT 22") + ")"),

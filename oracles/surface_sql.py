@@ -32,7 +32,7 @@ FROM upcoming u LEFT JOIN {PC('a')} ON a.competitor=u.c1 LEFT JOIN {PC('b')} ON
 cte("rivals", "SELECT division AS pair_id, max(competitor) FILTER (pos=1) AS a, max(competitor) FILTER (pos=2) AS b FROM ranked WHERE pos<=2 GROUP BY 1")
 cte("gold_old", "SELECT division, competitor, pos AS rank, rank_score AS score FROM ranked WHERE pos<=15")
 cte("gold_new", "SELECT division, competitor, rank, display_score AS score FROM final_rank WHERE rank<=15")
-cte("gold", """SELECT division, competitor, o.rank AS old_rank, n.rank AS new_rank, CASE WHEN o.rank IS NULL THEN 'added' WHEN n.rank IS NULL THEN 'removed' WHEN o.rank<>n.rank THEN 'reordered' WHEN abs(o.score-n.score)>0.5 THEN 'drift' ELSE 'same' END AS kind
+cte("gold", """SELECT division, competitor, o.rank AS old_rank, n.rank AS new_rank, CASE WHEN o.rank IS NULL THEN 'added' WHEN n.rank IS NULL THEN 'removed' WHEN o.rank<>n.rank THEN 'reordered' ELSE 'same' END AS kind, coalesce(abs(o.score-n.score)>0.5,false) AS drift
 FROM gold_old o FULL JOIN gold_new n USING (division, competitor)""")
 cte("hrefs", """SELECT page_id, unnest(x) AS href, unnest(range(len(x)))::INT AS pos FROM (SELECT page_id, regexp_extract_all(html,'href="([^"]+)"',1) AS x FROM pages)""")
 AMER = lambda p: f"(CASE WHEN {p}>=2 THEN {r(f'({p}-1)*100')} ELSE {r(f'-100/({p}-1)')} END)::INT"
@@ -55,8 +55,8 @@ ORACLES = {
     "F5_division_depth": sql(f"SELECT division, depth, {r('CASE WHEN hi>lo THEN pow((depth-lo)/(hi-lo),1.35::DOUBLE) ELSE 0 END',6)} AS heat FROM depths, (SELECT min(depth) AS lo, max(depth) AS hi FROM depths)"),
     "F6_prospects": sql(f"""SELECT x.competitor, c.name, c.home_division, w||'-'||l AS record, n, {r('t.rating')}::BIGINT AS elo, {r('(t.rating-1500)/n',1)} AS climb, last1, last2, u.date AS next_date FROM (
       SELECT competitor, count(*) AS n, count(*) FILTER (result='W') AS w, count(*) FILTER (result='L') AS l, max(date) AS latest, max(lab) FILTER (rev=1) AS last1, max(lab) FILTER (rev=2) AS last2
-      FROM (SELECT *, result||' '||{SHORT}||' vs. '||opponent_name AS lab FROM log) GROUP BY 1) x JOIN ratings t USING (competitor) JOIN competitors c USING (competitor) LEFT JOIN next_up u USING (competitor)
-      WHERE w>l AND competitor NOT IN (SELECT competitor FROM final_rank WHERE is_champion) AND ({months('latest',AS_OF)}<=15 OR u.date IS NOT NULL) ORDER BY t.rating DESC, competitor LIMIT 20"""),
+      FROM (SELECT *, result||' '||{SHORT}||' vs. '||opponent_name AS lab FROM log WHERE competitor%2=0 OR date>={AS_OF}-30) GROUP BY 1) x JOIN ratings t USING (competitor) JOIN competitors c USING (competitor) LEFT JOIN next_up u USING (competitor)
+      WHERE n<=5 AND w>l AND competitor NOT IN (SELECT competitor FROM final_rank WHERE is_champion) AND ({months('latest',AS_OF)}<=15 OR u.date IS NOT NULL) ORDER BY t.rating DESC, competitor LIMIT 20"""),
     "F7_outside_prospects": sql("""SELECT a.*, b.notable, last_date>=DATE '1995-01-01' AS active FROM (SELECT opponent_id, count(*) FILTER (result='loss') AS beat, count(*) FILTER (result='win') AS lost_to, max(tier_multiplier) AS top_multiplier, max(date) AS last_date
       FROM outside WHERE result IN ('win','loss') AND opponent_id NOT IN (SELECT 'X'||n_nationkey FROM nation) GROUP BY 1) a JOIN (SELECT opponent_id, string_agg('beat '||coalesce(name,'?')||' ('||date||')', '; ' ORDER BY rn) AS notable FROM (
        SELECT o.*, r.name, row_number() OVER (PARTITION BY opponent_id ORDER BY date DESC, outside_id DESC) AS rn FROM outside o LEFT JOIN roster r USING (competitor) WHERE result='loss') WHERE rn<=4 GROUP BY 1) b USING (opponent_id) WHERE beat>0"""),
@@ -83,10 +83,10 @@ ORACLES = {
       split_part(event_name,' - ',1) AS title, CASE WHEN contains(event_name,' - ') THEN substr(event_name, strpos(event_name,' - ')+3) END AS subtitle
       FROM (SELECT *, {r('prob1*100')}::INT AS p1, {r('form_prob1*100')}::INT AS fp, (s1 IS NOT NULL AND s2 IS NOT NULL)::INT+(f1 IS NOT NULL AND f2 IS NOT NULL)::INT+(age1 IS NOT NULL AND age2 IS NOT NULL)::INT AS tr FROM enriched)"""),
     "J1_golden_diff": sql("SELECT * FROM gold"),
-    "J1_golden_verdict": sql("SELECT count(*) FILTER (kind='added') AS added, count(*) FILTER (kind='removed') AS removed, count(*) FILTER (kind='reordered') AS reordered, count(*) FILTER (kind='drift') AS drift, count(*) FILTER (kind IN ('added','removed','reordered'))=0 AS passed FROM gold"),
+    "J1_golden_verdict": sql("SELECT count(*) FILTER (kind='added') AS added, count(*) FILTER (kind='removed') AS removed, count(*) FILTER (kind='reordered') AS reordered, count(*) FILTER (drift) AS drift, count(*) FILTER (kind IN ('added','removed','reordered'))=0 AS passed FROM gold"),
     "J2_load_summary": sql("""SELECT * FROM (SELECT count(*) AS contests, count(*) FILTER (date IS NULL) AS undated, min(date) AS first_date, max(date) AS last_date, count(*) FILTER (NOT has_metrics) AS without_metrics, count(DISTINCT event_id) AS events, count(*) FILTER (c1=c2) AS self_contests FROM contests),
       (SELECT count(*) AS competitors, count(*) FILTER (home_division='') AS without_division, count(*) FILTER (contests=0) AS without_contests FROM competitors)"""),
-    "J3_invariants": sql("""SELECT 'excluded_organisation' AS rule, count(*) FILTER (organisation='HOUSEHOLD' AND tier_multiplier>1) AS violations FROM outside UNION ALL SELECT 'strength_cap', count(*) FILTER (strength>0.75 OR strength<0) FROM pedigree
+    "J3_invariants": sql("""SELECT 'excluded_organisation' AS rule, count(*) FILTER (organisation='HOUSEHOLD') AS violations FROM org UNION ALL SELECT 'strength_cap', count(*) FILTER (strength>0.75 OR strength<0) FROM pedigree
       UNION ALL SELECT 'nudge_cap', count(*) FILTER (abs(schedule_nudge)>30) FROM final_rank UNION ALL SELECT 'unique_ranks', count(*) FROM (SELECT division, rank FROM final_rank GROUP BY 1,2 HAVING count(*)>1)"""),
     "K1_page_links": sql("SELECT * FROM hrefs"),
     "K1_numbered_links": sql("SELECT page_id, number, min(pos) AS pos, arg_min(href,pos) AS href FROM (SELECT *, regexp_extract(href,'(\\d+)(?:[?#].*)?$',1) AS number FROM (SELECT page_id, pos, href FROM hrefs UNION ALL SELECT page_id, -1, url FROM pages)) WHERE number<>'' GROUP BY 1,2"),

@@ -10,7 +10,9 @@ import __spark_entry__ as entry
 from tools_check import table
 
 QUICK = ("D1_rating_history", "E18_division_rankings", "G15_story_facts", "G8_finish_breakdown", "H7_matchup_predictions", "H13_holdout_scores",
-         "C16_C17_best_and_verdict", "C27_birth_coverage", "B9_B10_contest_assembly", "I10_summary", "K3_price_cells", "S2_online_ratings")
+         "C16_C17_best_and_verdict", "C27_birth_coverage", "B9_B10_contest_assembly", "I10_summary", "K3_price_cells", "S2_online_ratings",
+         "D1_sliced_sweep", "E12_head_to_head_edges", "C23_feed_links", "C2_C3_patch_verdicts", "H22_title_candidates", "H23_title_attribution", "F6_prospects",
+         "J1_golden_diff", "J3_invariants", "S1_guarded_ingest", "S4_ledger_stream", "S6_activity_rates", "H16_rank_differences")
 
 
 def plan_of(df):
@@ -21,12 +23,14 @@ def plan_of(df):
 
 
 def test_every_oracle_has_a_query():
-    q, o = entry.queries(), entry.oracle_sql()
-    assert set(o) <= set(q) and len(q) > 150
-    assert set(q) - set(o) == {"H15_parameter_search"}
+    from duelgrid.plans.catalog import CATALOG
+    from oracles.catalog import ORACLES
 
+    assert set(CATALOG) <= set(entry.queries()) and set(ORACLES) <= set(entry.oracle_sql()) and len(CATALOG) > 150
+    assert set(CATALOG) - set(ORACLES) == {"H15_parameter_search"} and set(ORACLES) <= set(CATALOG)
 
-@pytest.mark.parametrize("name", ["C2_C3_patch_verdicts", "C14_match_candidates", "H4_feed_cross_validation", "H22_title_candidates", "H24_title_prices", "G10_gauntlet_points", "E4_schedule_strength"])
+
+@pytest.mark.parametrize("name", ["C2_C3_patch_verdicts", "C14_match_candidates", "H4_feed_cross_validation", "H22_title_candidates", "H24_title_prices", "C23_feed_links", "G10_gauntlet_points", "E4_schedule_strength"])
 def test_no_products_in_joins(spark, sf, name):
     plan = plan_of(entry.queries()[name](spark, sf))
     assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
