@@ -25,6 +25,16 @@ def place(ws, name):
     return f"{ws.root}/{name}-{uuid4().hex[:8]}"
 
 
+def through_text(ws, df, name, columns, optional=False):
+    """Write the frame as a headered text table and read it back as text."""
+    path = place(ws, name)
+    K.write_text_table(df.select(*[F.col(f"`{c}`") for c in columns]), path)
+    return (R.read_optional if optional else R.read_text_table)(ws.spark, path, columns)
+
+
+text = lambda c: F.col(c).cast("string")
+
+
 @query("A1_A21_csv_round_trip")
 def csv(ws):
     """Text with commas, quotes and blanks survives writing and reading."""
@@ -45,10 +55,10 @@ def competitor_source(ws):
         txt("competitor").alias("Id"), F.col("name").alias("Full Name"), F.lit(None).cast("string").alias("Nickname"), F.lit("5' 11\"").alias("Ht."),
         F.when(F.col("nation") == 3, "None").otherwise(F.concat((F.col("competitor") % 90 + 115).cast("string"), F.lit(".5 lbs."))).alias("Wt."),
         F.lit("Orthodox").alias("Stance"), txt("wins").alias("W"), txt("losses").alias("L"), F.when(F.col("draws") > 3, txt("draws")).alias("D"),
-        F.when(F.col("balance") > 9000, "TRUE").otherwise("no").alias("Belt"), F.col("home_division").alias("Division"), F.col("gender").alias("Gender"))
-    path = place(ws, "competitors")
-    K.write_text_table(raw, path)
-    return R.competitor_source(R.read_text_table(ws.spark, path, R.COMPETITOR_TEXT))
+        F.when(F.col("balance") > 9000, "TRUE").otherwise("no").alias("Belt"), F.col("home_division").alias("Division"), F.col("gender").alias("Gender"),
+        F.lit("Boxer").alias("Fighting Style"), *[F.when(F.col("competitor") % (i + 2) == 0, F.lit("--")).otherwise(
+            F.concat((F.col("competitor") % (i + 7)).cast("string"), F.lit(".5%"))).alias(c) for i, c in enumerate(R.COMPETITOR_NUMBERS)])
+    return R.competitor_source(through_text(ws, raw, "competitors", R.COMPETITOR_TEXT))
 
 
 @query("A4_A5_contest_source")
@@ -74,9 +84,23 @@ def optional(ws):
     return here.unionByName(gone).select("c1", "c2", "date", "result1", "round", "has_metrics", "kd1")
 
 
-@query("A8_outside_source")
-def outside(ws):
-    return ws.outside.groupBy("organisation", "tier", "result").agg(F.count("*").alias("n"), F.max("tier_multiplier").alias("multiplier"))
+@query("A8_outside_named_source")
+def outside_named(ws):
+    o = ws.outside.select(
+        F.when(F.col("outside_id") % 11 == 0, "").otherwise(F.col("organisation")).alias("organisation"),
+        F.when(F.col("outside_id") % 7 == 0, "n/a").otherwise(text("date")).alias("date"), F.concat(F.lit(" "), text("competitor")).alias("name1"),
+        F.col("opponent_id").alias("name2"), F.upper("result").alias("result1"), F.lit("x").alias("result2"))
+    return R.outside_named_source(through_text(ws, o, "outside", R.OUTSIDE_NAMED_TEXT)).groupBy("name", "organisation", "date", "result").agg(
+        F.count("*").alias("n"), F.max("opponent").alias("opponent"))
+
+
+@query("A8_outside_linked_source")
+def outside_linked(ws):
+    o = ws.outside.select(
+        F.when(F.col("outside_id") % 11 == 0, "").otherwise(text("competitor")).alias("competitor"), "organisation", "tier",
+        text("date").alias("date"), F.col("opponent_id").alias("opponent"), F.initcap("result").alias("result"))
+    return R.outside_linked_source(through_text(ws, o, "outside", R.OUTSIDE_LINKED_TEXT)).groupBy("competitor", "tier", "result").agg(
+        F.count("*").alias("n"), F.min("date").alias("first"))
 
 
 @query("A9_A11_price_source")
@@ -91,11 +115,34 @@ def price_source(ws):
     return R.price_source(R.read_text_table(ws.spark, path, R.PRICE_TEXT))
 
 
-@query("A10_book_price_rows")
+@query("A7_merge_source")
+def merge_rows(ws):
+    """Rows with a blank id go; an absent file is no merge at all."""
+    m = ws.roster.select(text("competitor").alias("secondary_id"), F.when(F.col("competitor") % 4 == 1, "").otherwise(
+        (F.col("competitor") + 1).cast("string")).alias("primary_id"), F.lit('a "note", quoted').alias("note"))
+    here = through_text(ws, m, "merges", R.MERGE_TEXT, optional=True)
+    gone = R.read_optional(ws.spark, place(ws, "absent"), R.MERGE_TEXT)
+    return R.merge_source(here.unionByName(gone))
+
+
+@query("A10_book_source")
 def book_rows(ws):
-    b = B.book_prices(ws.contests)
-    return b.groupBy("contest_id").pivot("side", [1, 2]).agg(F.max("price")).select(
-        "contest_id", F.col("1").alias("best1"), F.col("2").alias("best2"))
+    i = F.col("contest_id")
+    b = B.side_prices(ws.contests).select(
+        F.when(i % 13 == 0, "").otherwise(text("date")).alias("date"), F.col("event_id").alias("event"), "name1", "name2",
+        F.when(i % 5 == 0, "").otherwise(text("price1")).alias("open1"), F.when(i % 17 == 0, "-").otherwise(text("price1")).alias("close1"),
+        F.lit("0").alias("open2"), text("price2").alias("close2"))
+    return R.book_source(through_text(ws, b, "books", R.BOOK_TEXT))
+
+
+@query("A11_upcoming_source")
+def upcoming_rows(ws):
+    u = B.upcoming(ws.contests).select(
+        F.when(F.col("slot_id") % 3 == 0, " ").otherwise(F.col("event_id")).alias("event_id"), "event_name",
+        F.when(F.col("slot_id") % 5 == 0, "soon").otherwise(text("date")).alias("event_date"), text("bout_order").alias("bout_order"),
+        F.col("division").alias("weight_class"), F.when(F.col("main_event"), "1").otherwise("0").alias("is_main_event"),
+        F.concat(F.lit(" "), text("c1")).alias("id1"), "name1", F.coalesce(text("c2"), F.lit("")).alias("id2"), "name2")
+    return R.upcoming_source(through_text(ws, u, "upcoming", R.UPCOMING_TEXT, optional=True))
 
 
 @query("A12_A13_birth_and_reach_sources")
@@ -105,9 +152,22 @@ def side_tables(ws):
     return R.birth_source(b).join(R.reach_source(r), "competitor", "full_outer")
 
 
-@query("A14_A16_alias_and_media_sources")
+@query("A14_media_source")
+def media_rows(ws):
+    i = F.col("competitor")
+    m = ws.roster.filter(i % 3 != 0).select(text("competitor").alias("canonical_id"), F.concat(F.lit("Nation_"), (i % 40).cast("string")).alias("nationality"),
+                                            F.when(i % 4 == 0, "").otherwise(F.concat(F.lit("p"), i.cast("string"))).alias("photo_url"))
+    p = ws.roster.filter(i % 5 != 0).select(text("competitor").alias("canonical_id"), F.when(i % 7 == 0, "h").otherwise("").alias("headshot_url"),
+                                            F.when(i % 2 == 0, "b").otherwise("").alias("full_body_url"))
+    n = F.col("n_nationkey")
+    codes = ws.table("nation").select(F.initcap("n_name").alias("nationality"), F.concat(F.char(n % 26 + 97), F.char(n * 7 % 26 + 65)).alias("iso"))
+    return R.media_source(through_text(ws, m, "media", R.MEDIA_TEXT, True), through_text(ws, p, "photos", R.PHOTO_TEXT, True), codes)
+
+
+@query("A16_alias_source")
 def alias_rows(ws):
-    return B.aliases(ws.roster).groupBy("source").agg(F.count("*").alias("rows"), F.count_distinct("normalized_name").alias("names"))
+    a = B.aliases(ws.roster).select("normalized_name", "source", F.when(F.col("canonical_id") % 6 == 0, "").otherwise(text("canonical_id")).alias("canonical_id"))
+    return R.alias_source(through_text(ws, a, "aliases", R.ALIAS_TEXT, True))
 
 
 @query("A15_title_pair_dates")
@@ -147,9 +207,22 @@ def analysis(ws):
     return R.read_analysis(ws.spark, path, "price_id bigint, model_p double, fav_won boolean")
 
 
-@query("A20_raw_sources")
-def raw(ws):
-    return B.raw_results(ws.contests).groupBy("WEIGHTCLASS", "METHOD").agg(F.count("*").alias("rows"))
+@query("A20_raw_result_source")
+def raw_result_rows(ws):
+    rows = B.raw_results(ws.contests).withColumn("EVENT", F.when(F.col("contest_id") % 19 == 0, "").otherwise(F.col("EVENT")))
+    return R.raw_source(through_text(ws, rows, "results", R.RAW_RESULT_TEXT)).groupBy("WEIGHTCLASS", "METHOD", "OUTCOME").agg(
+        F.count("*").alias("n"), F.min("EVENT").alias("first"), F.max("BOUT").alias("last"))
+
+
+@query("A20_raw_event_and_physical_sources")
+def raw_event_rows(ws):
+    e = ws.contests.select(F.concat(F.col("event_id"), F.lit(" ")).alias("EVENT"), F.date_format("date", "MMMM d, yyyy").alias("DATE"), F.lit("Rio, Brazil").alias("LOCATION"))
+    p = ws.roster.select(F.when(F.col("competitor") % 9 == 0, "").otherwise(F.col("name")).alias("COMPETITOR"), F.lit("5' 11\"").alias("HEIGHT"),
+                         F.lit("--").alias("WEIGHT"), F.lit('72"').alias("REACH"), F.lit(" Southpaw").alias("STANCE"), F.lit("Jan 02, 1980").alias("DOB"))
+    events = R.raw_source(through_text(ws, e, "events", R.RAW_EVENT_TEXT)).groupBy("EVENT", "DATE", "LOCATION").agg(F.count("*").alias("n"))
+    people = R.raw_source(through_text(ws, p, "physical", R.RAW_PHYSICAL_TEXT), "COMPETITOR")
+    return events.select("EVENT", "DATE", "LOCATION", "n").unionByName(people.groupBy(
+        F.col("COMPETITOR").alias("EVENT"), F.col("HEIGHT").alias("DATE"), F.col("STANCE").alias("LOCATION")).agg(F.count("*").alias("n")))
 
 
 @query("A23_append_only_sink")

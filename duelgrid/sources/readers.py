@@ -2,13 +2,30 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from duelgrid.functions import core as C
 
 # Column lists of the text tables, in file order.
-COMPETITOR_TEXT = ("Id", "Full Name", "Nickname", "Ht.", "Wt.", "Stance", "W", "L", "D", "Belt", "Division", "Gender")
+COMPETITOR_TEXT = ("Id", "Full Name", "Nickname", "Ht.", "Wt.", "Stance", "W", "L", "D", "Belt", "Division", "Gender",
+                   "KD", "Sig. Str. %", "Head_%", "Body_%", "Leg_%", "Distance_%", "Clinch_%", "Ground_%", "Sub. Att", "Ctrl", "TD",
+                   "KO Rate", "SUB Rate", "DEC Rate", "Fighting Style", "Striker_Membership", "Wrestler_Membership", "Hybrid_Membership")
+COMPETITOR_NUMBERS = {"KD": "knockdowns", "Sig. Str. %": "strike_accuracy", "Head_%": "head_share", "Body_%": "body_share", "Leg_%": "leg_share",
+                      "Distance_%": "distance_share", "Clinch_%": "clinch_share", "Ground_%": "ground_share", "Sub. Att": "submission_attempts",
+                      "Ctrl": "control_time", "TD": "takedowns", "KO Rate": "ko_rate", "SUB Rate": "sub_rate", "DEC Rate": "dec_rate",
+                      "Striker_Membership": "striker", "Wrestler_Membership": "wrestler", "Hybrid_Membership": "hybrid"}
 PATCH_TEXT = ("c1", "name1", "c2", "name2", "date", "result1", "result2", "method", "round", "division", "event_name", "source")
+MERGE_TEXT = ("secondary_id", "primary_id", "note")
+OUTSIDE_NAMED_TEXT = ("organisation", "date", "name1", "name2", "result1", "result2")
+OUTSIDE_LINKED_TEXT = ("competitor", "organisation", "tier", "date", "opponent", "result")
+BOOK_TEXT = ("date", "event", "name1", "name2", "open1", "close1", "open2", "close2")
+UPCOMING_TEXT = ("event_id", "event_name", "event_date", "bout_order", "weight_class", "is_main_event", "id1", "name1", "id2", "name2")
+MEDIA_TEXT = ("canonical_id", "nationality", "photo_url")
+PHOTO_TEXT = ("canonical_id", "headshot_url", "full_body_url")
+ALIAS_TEXT = ("normalized_name", "source", "canonical_id")
+RAW_RESULT_TEXT = ("EVENT", "BOUT", "OUTCOME", "WEIGHTCLASS", "METHOD", "ROUND", "TIME", "DETAILS")
+RAW_EVENT_TEXT = ("EVENT", "DATE", "LOCATION")
+RAW_PHYSICAL_TEXT = ("COMPETITOR", "HEIGHT", "WEIGHT", "REACH", "STANCE", "DOB")
 PRICE_TEXT = ("price_id", "date", "event", "favourite", "underdog", "favourite_odds", "underdog_odds", "outcome")
 
 
@@ -42,7 +59,85 @@ def competitor_source(raw: DataFrame) -> DataFrame:
         F.col("Id").alias("competitor"), F.coalesce("Full Name", F.lit("")).alias("name"), F.coalesce("Nickname", F.lit("")).alias("nickname"),
         F.coalesce(F.col("`Ht.`"), F.lit("")).alias("height"), num("Wt.").alias("weight"), F.coalesce("Stance", F.lit("")).alias("stance"),
         num("W").alias("wins"), num("L").alias("losses"), num("D").alias("draws"), C.lenient_bool(F.col("Belt")).alias("belt"),
-        F.coalesce("Division", F.lit("")).alias("division"), F.coalesce("Gender", F.lit("")).alias("gender"))
+        F.coalesce("Division", F.lit("")).alias("division"), F.coalesce("Gender", F.lit("")).alias("gender"),
+        *[num(c).alias(n) for c, n in COMPETITOR_NUMBERS.items()], F.coalesce("Fighting Style", F.lit("")).alias("style"))
+
+
+def present(*names: str) -> Column:
+    """All of these text columns hold something."""
+    out = F.lit(True)
+    for n in names:
+        out = out & (F.coalesce(F.col(n), F.lit("")) != "")
+    return out
+
+
+def blank_to_null(c: Column) -> Column:
+    return F.when(F.trim(c) != "", F.trim(c))
+
+
+def merge_source(raw: DataFrame) -> DataFrame:
+    """Confirmed merges, both ids required; of rows on one secondary id the largest primary id counts."""
+    return raw.filter(present("secondary_id", "primary_id")).groupBy(F.col("secondary_id").alias("secondary")).agg(
+        F.max("primary_id").alias("primary"))
+
+
+def outside_named_source(raw: DataFrame) -> DataFrame:
+    """Contests elsewhere by both names, as one row per side; results lower-cased, undated rows kept."""
+    side = lambda i, j: F.struct(F.trim(f"name{i}").alias("name"), F.trim(f"name{j}").alias("opponent"), F.lower(F.trim(f"result{i}")).alias("result"))
+    return raw.filter(present("organisation", "name1", "name2")).select(
+        "organisation", F.try_to_date("date", "yyyy-MM-dd").alias("date"), F.explode(F.array(side(1, 2), side(2, 1))).alias("s")
+    ).select("organisation", "date", "s.*")
+
+
+def outside_linked_source(raw: DataFrame, skip_tiers: tuple = ("historical",)) -> DataFrame:
+    """Contests elsewhere that carry our id and a tier; skipped tiers and rows without an id go."""
+    result = F.lower(F.trim("result"))
+    return raw.filter(present("competitor") & ~F.coalesce(F.col("tier"), F.lit("")).isin(*skip_tiers)).select(
+        "competitor", F.coalesce("organisation", F.lit("")).alias("organisation"), "tier", F.try_to_date("date", "yyyy-MM-dd").alias("date"),
+        "opponent", F.when(result.isin("win", "loss", "draw"), result).otherwise("nc").alias("result"))
+
+
+def book_source(raw: DataFrame) -> DataFrame:
+    """A10: two-way closing prices of the second feed: a date and both closes required, openers optional."""
+    n = lambda c: C.lenient_number(F.col(c))
+    opener = lambda c: F.when(n(c) > 0, n(c)).alias(c)
+    return raw.filter(present("date", "name1", "name2") & (n("close1") > 0) & (n("close2") > 0)).select(
+        F.try_to_date("date", "yyyy-MM-dd").alias("date"), "event", "name1", "name2", opener("open1"), n("close1").alias("close1"),
+        opener("open2"), n("close2").alias("close2"))
+
+
+def upcoming_source(raw: DataFrame) -> DataFrame:
+    """Scheduled contests in card order; a blank id is an unknown competitor, a blank event id falls back to the name."""
+    return raw.select(
+        F.coalesce(blank_to_null(F.col("event_id")), blank_to_null(F.col("event_name")), F.lit("unknown")).alias("event"),
+        F.coalesce("event_name", F.lit("")).alias("event_name"), F.try_to_date("event_date", "yyyy-MM-dd").alias("date"),
+        C.lenient_number(F.col("bout_order")).cast("int").alias("bout_order"), F.coalesce("weight_class", F.lit("")).alias("division"),
+        (F.coalesce(F.col("is_main_event"), F.lit("")) == "1").alias("main_event"), blank_to_null(F.col("id1")).alias("c1"),
+        F.coalesce("name1", F.lit("")).alias("name1"), blank_to_null(F.col("id2")).alias("c2"), F.coalesce("name2", F.lit("")).alias("name2"))
+
+
+def media_source(media: DataFrame, photos: DataFrame, codes: DataFrame) -> DataFrame:
+    """One row per id of either file.  The headshot wins, else the portrait, else the full body;
+    the flag is the two regional letters of the nationality's code.  codes: nationality, iso."""
+    text = lambda c: F.coalesce(F.max(c), F.lit("")).alias(c)
+    m = media.filter(present("canonical_id")).groupBy("canonical_id").agg(text("nationality"), text("photo_url"))
+    p = photos.filter(present("canonical_id")).groupBy("canonical_id").agg(text("headshot_url"), text("full_body_url"))
+    letter = lambda i: F.expr(f"decode(unhex(concat('0001F1', hex(ascii(substring(upper(iso), {i}, 1)) + 165))), 'UTF-32')")
+    x = (m.join(p, "canonical_id", "full_outer").join(codes, "nationality", "left")
+         .fillna("", ["nationality", "photo_url", "headshot_url", "full_body_url"]))
+    return x.select(
+        "canonical_id", "nationality", F.when(F.length("iso") == 2, F.concat(letter(1), letter(2))).otherwise("").alias("flag"),
+        F.coalesce(blank_to_null(F.col("headshot_url")), blank_to_null(F.col("photo_url")), F.col("full_body_url")).alias("avatar"), "full_body_url")
+
+
+def alias_source(raw: DataFrame) -> DataFrame:
+    """Alias rows with a name and an id."""
+    return raw.filter(present("normalized_name", "canonical_id")).select("normalized_name", "source", "canonical_id")
+
+
+def raw_source(raw: DataFrame, required: str = "EVENT") -> DataFrame:
+    """Scraped rows (results, rounds, events, physical): all text, trimmed, rows without the required cell go."""
+    return raw.filter(present(required)).select(*[F.trim(F.col(f"`{c}`")).alias(c) for c in raw.columns])
 
 
 def event_source(raw: DataFrame, ordinal: str = "ordinal") -> DataFrame:

@@ -1,5 +1,6 @@
 """Oracles of sources, sinks and streams."""
 
+from duelgrid.sources.readers import COMPETITOR_NUMBERS
 from oracles.base import AS_OF, r, sql
 from oracles import ranking, analytics, market, etl_sql, surface_sql  # noqa: F401
 from oracles.etl_sql import METHOD
@@ -12,20 +13,32 @@ _set = "CASE " + " ".join(f"WHEN c.date<{d} THEN {d}" for d in RUNS) + " END"
 _raw_method = "CASE WHEN result1='NC' THEN 'Could Not Continue' WHEN m0='KO/TKO' THEN 'KO/TKO' WHEN m0='SUB' THEN 'Submission' WHEN m0='U-DEC' THEN 'Decision - Unanimous' WHEN m0='M-DEC' THEN 'Decision - Majority' ELSE 'Decision - Split' END"
 ORACLES = {
     "A1_A21_csv_round_trip": sql("""SELECT contest_id, '"'||name1||'", aka '||name2 AS title, details FROM contests"""),
-    "A2_A3_competitor_source": sql("""SELECT competitor::VARCHAR AS competitor, name, '' AS nickname, '5'' 11"' AS height, CASE WHEN nation=3 THEN 0 ELSE competitor%90+115.5 END::DOUBLE AS weight, 'Orthodox' AS stance,
-      wins::DOUBLE AS wins, losses::DOUBLE AS losses, CASE WHEN draws>3 THEN draws ELSE 0 END::DOUBLE AS draws, balance>9000 AS belt, home_division AS division, gender FROM competitors"""),
+    "A2_A3_competitor_source": sql(f"""SELECT competitor::VARCHAR AS competitor, name, '' AS nickname, '5'' 11"' AS height, CASE WHEN nation=3 THEN 0 ELSE competitor%90+115.5 END::DOUBLE AS weight, 'Orthodox' AS stance,
+      wins::DOUBLE AS wins, losses::DOUBLE AS losses, CASE WHEN draws>3 THEN draws ELSE 0 END::DOUBLE AS draws, balance>9000 AS belt, home_division AS division, gender, 'Boxer' AS style, {", ".join(f"CASE WHEN competitor%{i+2}=0 THEN 0 ELSE competitor%{i+7}+0.5 END::DOUBLE AS {n}" for i, n in enumerate(COMPETITOR_NUMBERS.values()))} FROM competitors"""),
     "A4_A5_contest_source": sql("SELECT contest_id::VARCHAR AS contest_id, c1::VARCHAR AS c1, c2::VARCHAR AS c2, CASE WHEN round=2 THEN 'unknown' ELSE event_id END AS event_id, CASE WHEN round<>2 THEN date END AS date FROM contests WHERE result1<>'NC'"),
     "A6_A7_optional_sources": sql("SELECT p.c1, p.c2, p.date, c.result1, 2::INT AS round, false AS has_metrics, 0::INT AS kd1 FROM patch p JOIN contests c ON c.contest_id=p.patch_id"),
-    "A8_outside_source": sql("SELECT organisation, tier, result, count(*) AS n, max(tier_multiplier) AS multiplier FROM outside GROUP BY 1,2,3"),
+    "A8_outside_named_source": sql("""SELECT name, organisation, CASE WHEN dated THEN date END AS date, result, count(*) AS n, max(opponent) AS opponent FROM (
+      SELECT s.*, organisation, date, outside_id%7<>0 AS dated FROM outside, LATERAL (VALUES (competitor::VARCHAR, opponent_id, result), (opponent_id, competitor::VARCHAR, 'x')) s(name, opponent, result)
+      WHERE outside_id%11<>0 AND opponent_id<>'') GROUP BY ALL"""),
+    "A8_outside_linked_source": sql("SELECT competitor::VARCHAR AS competitor, tier, result, count(*) AS n, min(date) AS first FROM outside WHERE outside_id%11<>0 AND tier<>'historical' GROUP BY 1,2,3"),
     "A9_A11_price_source": sql("SELECT price_id, date, event, favourite, underdog, fav_odds, dog_odds, outcome FROM prices WHERE outcome<>'unknown' AND dog_odds<=10"),
-    "A10_book_price_rows": sql("SELECT contest_id, max(price) FILTER (side=1) AS best1, max(price) FILTER (side=2) AS best2 FROM books GROUP BY 1"),
+    "A7_merge_source": sql("SELECT competitor::VARCHAR AS secondary, (competitor+1)::VARCHAR AS primary FROM roster WHERE competitor%4<>1"),
+    "A10_book_source": sql("SELECT date, event_id AS event, name1, name2, CASE WHEN contest_id%5<>0 THEN price1 END AS open1, price1 AS close1, NULL::DOUBLE AS open2, price2 AS close2 FROM side_prices WHERE contest_id%13<>0 AND contest_id%17<>0"),
+    "A11_upcoming_source": sql("SELECT CASE WHEN slot_id%3=0 THEN event_name ELSE event_id END AS event, event_name, CASE WHEN slot_id%5<>0 THEN date END AS date, bout_order::INT AS bout_order, division, main_event, c1::VARCHAR AS c1, name1, c2::VARCHAR AS c2, name2 FROM upcoming"),
     "A12_A13_birth_and_reach_sources": sql("SELECT competitor, CASE WHEN gender='Male' THEN DATE '1970-02-03' END AS born, CASE WHEN gender='Male' THEN true END AS approximate, CASE WHEN nation>=5 THEN nation+55 END::INT AS reach FROM competitors WHERE gender='Male' OR nation>=5"),
-    "A14_A16_alias_and_media_sources": sql("SELECT source, count(*) AS rows, count(DISTINCT normalized_name) AS names FROM aliases GROUP BY 1"),
+    "A14_media_source": sql("""SELECT competitor::VARCHAR AS canonical_id, CASE WHEN competitor%3=0 THEN '' ELSE 'Nation_'||(competitor%40) END AS nationality,
+      CASE WHEN competitor%3<>0 AND competitor%40<(SELECT count(*) FROM nation) THEN chr((127462+competitor%40%26)::INT)||chr((127462+competitor%40*7%26)::INT) ELSE '' END AS flag,
+      CASE WHEN competitor%5<>0 AND competitor%7=0 THEN 'h' WHEN competitor%3<>0 AND competitor%4<>0 THEN 'p'||competitor WHEN competitor%5<>0 AND competitor%2=0 THEN 'b' ELSE '' END AS avatar,
+      CASE WHEN competitor%5<>0 AND competitor%2=0 THEN 'b' ELSE '' END AS full_body_url FROM roster WHERE competitor%3<>0 OR competitor%5<>0"""),
+    "A16_alias_source": sql("SELECT normalized_name, source, canonical_id::VARCHAR AS canonical_id FROM aliases WHERE canonical_id%6<>0 AND normalized_name<>''"),
     "A15_title_pair_dates": sql("SELECT pair, count(*)::INT AS titles, string_agg(date::VARCHAR, ',' ORDER BY date) AS dates FROM (SELECT DISTINCT least(champion,challenger)||'|'||greatest(champion,challenger) AS pair, date FROM titles) GROUP BY 1"),
     "A17_reign_ledger": sql("""SELECT division, (row_number() OVER (PARTITION BY division ORDER BY reign_id)-1)::INT AS ordinal, holder::VARCHAR AS champion, start, "end", interim FROM reigns"""),
     "A18_external_ranking_json": sql("SELECT division, name, rank FROM external_rank"),
     "A19_A22_json_analysis": sql(f"SELECT price_id, {r('model_p',3)} AS model_p, fav_won FROM priced"),
-    "A20_raw_sources": sql(f"SELECT CASE contest_id%4 WHEN 0 THEN 'Promo '||division||' Title Bout' WHEN 1 THEN division||' Bout' WHEN 2 THEN 'Ultimate Fighter 3 Tournament '||division||' Bout' ELSE 'Interim '||division||' Title Bout' END AS WEIGHTCLASS, {_raw_method} AS METHOD, count(*) AS rows FROM raw_results GROUP BY 1,2"),
+    "A20_raw_result_source": sql(f"""SELECT CASE contest_id%4 WHEN 0 THEN 'Promo '||division||' Title Bout' WHEN 1 THEN division||' Bout' WHEN 2 THEN 'Ultimate Fighter 3 Tournament '||division||' Bout' ELSE 'Interim '||division||' Title Bout' END AS WEIGHTCLASS,
+      {_raw_method} AS METHOD, OUTCOME, count(*) AS n, min(trim(EVENT)) AS first, max(trim(BOUT)) AS last FROM raw_results WHERE contest_id%19<>0 GROUP BY 1,2,3"""),
+    "A20_raw_event_and_physical_sources": sql("""SELECT trim(event_id) AS EVENT, strftime(date,'%B %-d, %Y') AS DATE, 'Rio, Brazil' AS LOCATION, count(*) AS n FROM contests GROUP BY 1,2
+      UNION ALL SELECT name, '5'' 11"', 'Southpaw', count(*) FROM roster WHERE competitor%9<>0 GROUP BY 1"""),
     "A23_append_only_sink": sql("SELECT competitor, foreign_id FROM crosswalk"),
     "A24_report_tables": sql("SELECT coalesce(division,'all') AS division, coalesce(y,0)::INT AS year, count(*) AS contests, count(*) FILTER (has_metrics) AS with_metrics FROM (SELECT division, year(date) AS y, has_metrics FROM contests) GROUP BY ROLLUP (division, y)"),
     "S1_guarded_ingest": sql(f"SELECT arg_min(patch_id,(patch_id%3,patch_id)) AS patch_id, date, arg_min(c1,(patch_id%3,patch_id)) AS c1, arg_min(c2,(patch_id%3,patch_id)) AS c2 FROM patch_verdicts WHERE verdict='added' GROUP BY date, {pair('name1','name2')}"),
