@@ -69,7 +69,7 @@ def walk(node: Node, of) -> Column:
 
 
 def by_node(values: list, at: Column) -> Column:
-    return F.element_at(F.array(*[F.lit(v).cast("bigint") for v in values]), at + 1)
+    return F.get(F.array(*[F.lit(v).cast("bigint") for v in values]), at)
 
 
 def cuts(rows: DataFrame, root: Node, nodes: list[Node]) -> None:
@@ -84,37 +84,40 @@ def cuts(rows: DataFrame, root: Node, nodes: list[Node]) -> None:
     goal = [n.weight * (n.shards // 2) / n.shards for n in nodes]
     below = [0] * len(nodes)  # bytes of the rows under the range that is still open
     fixed: list[list[int]] = [[] for _ in nodes]  # the cut's leading values
-    low, high = [n.low[n.dimension] for n in nodes], [n.high[n.dimension] for n in nodes]
-    for key in ("k0", "k1", "k2"):
-        inside = ranked
-        for j in range(len(fixed[0])):
-            inside = inside.filter(F.col(f"k{j}") == by_node([f[j] for f in fixed], F.col("node")))
-        if key != "k0":
-            ends = {r["node"]: r for r in inside.groupBy("node").agg(F.min(key).alias("a"), F.max(key).alias("b")).collect()}
-            low, high = [ends[i]["a"] for i in range(len(nodes))], [ends[i]["b"] for i in range(len(nodes))]
-        while any(a < b for a, b in zip(low, high)):
+    met: list = [None] * len(nodes)  # what the last pass saw in the open range
+    for j in range(3):
+        key, inside = F.col(f"k{j}"), ranked
+        for i in range(j):
+            inside = inside.filter(F.col(f"k{i}") == by_node([f[i] for f in fixed], F.col("node")))
+        low = [r["next_low"] if j else n.low[n.dimension] for r, n in zip(met, nodes)]
+        high = [r["next_high"] if j else n.high[n.dimension] for r, n in zip(met, nodes)]
+        following = F.col(f"k{min(j + 1, 2)}")
+        while True:
             width = [max(1, -(-(b - a + 1) // BINS)) for a, b in zip(low, high)]
             a, b, w = (by_node(x, F.col("node")) for x in (low, high, width))
-            sums = (inside.filter(F.col(key).between(a, b))
-                    .select("node", ((F.col(key) - a) - F.pmod(F.col(key) - a, w)).alias("offset"), "size")
-                    .groupBy("node", "offset").agg(F.sum("size").alias("bytes")).collect())
+            sums = (inside.filter(key.between(a, b))
+                    .select("node", "k0", "k1", "k2", "size", ((key - a) - F.pmod(key - a, w)).alias("offset"))
+                    .groupBy("node", "offset").agg(
+                        F.sum("size").alias("bytes"), F.count(F.lit(1)).alias("rows"), F.min(following).alias("next_low"),
+                        F.max(following).alias("next_high"), *[F.min(f"k{i}").alias(f"k{i}") for i in range(3)]).collect())
             for i in range(len(nodes)):
-                bins = sorted((r["offset"], r["bytes"]) for r in sums if r["node"] == i)
-                for k, (offset, many) in enumerate(bins):
-                    if below[i] + many >= goal[i] or k == len(bins) - 1:
+                for r in sorted((r for r in sums if r["node"] == i), key=lambda r: r["offset"]):
+                    met[i] = r
+                    if below[i] + r["bytes"] >= goal[i]:
                         break
-                    below[i] += many
-                low[i], high[i] = low[i] + offset, min(high[i], low[i] + offset + width[i] - 1)
+                    below[i] += r["bytes"]
+                else:
+                    below[i] -= met[i]["bytes"]  # rounding left the goal above the last bin
+                low[i], high[i] = low[i] + met[i]["offset"], min(high[i], low[i] + met[i]["offset"] + width[i] - 1)
+            if all(r["rows"] == 1 for r in met) or low == high:
+                break
+        if all(r["rows"] == 1 for r in met):
+            break
         for i, value in enumerate(low):
             fixed[i].append(value)
     # the row at the cut goes to the side that it brings nearer to the goal
-    at_cut = ranked
-    for j in range(3):
-        at_cut = at_cut.filter(F.col(f"k{j}") == by_node([f[j] for f in fixed], F.col("node")))
-    own_size = {r["node"]: r["size"] for r in at_cut.collect()}
-    for i, n in enumerate(nodes):
-        a, b, c = fixed[i]
-        n.cut = (a, b, c) if below[i] + own_size[i] - goal[i] <= goal[i] - below[i] else (a, b, c - 1)
+    for n, r, own, want in zip(nodes, met, below, goal):
+        n.cut = (r["k0"], r["k1"], r["k2"] if own + r["bytes"] - want <= want - own else r["k2"] - 1)
 
 
 def tree(rows: DataFrame, shards: int) -> Node:
