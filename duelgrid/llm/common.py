@@ -56,6 +56,13 @@ def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield batch.slice(start, SLICE)
 
 
+def typed(column, kind: pa.DataType) -> pa.Array:
+    """A column of the slice, cast if the input had another width, or one made of Python values."""
+    if not isinstance(column, pa.Array):
+        return pa.array(column, type=kind)
+    return column if column.type == kind else column.cast(kind)
+
+
 def map_slices(df: DataFrame, work: Callable[[], Callable[[pa.RecordBatch], dict]], schema: str) -> DataFrame:
     """mapInArrow in slices of a bounded number of rows.  `work` is called once per task and returns the
     function that turns a slice into columns."""
@@ -68,8 +75,6 @@ def map_slices(df: DataFrame, work: Callable[[], Callable[[pa.RecordBatch], dict
         each = work()
         for part in slices(batches):
             made = each(part)
-            yield pa.RecordBatch.from_arrays(
-                [x if isinstance(x, (pa.Array, pa.ChunkedArray)) else pa.array(x, type=f.type)
-                 for f, x in ((f, made[f.name]) for f in arrow)], schema=arrow)
+            yield pa.RecordBatch.from_arrays([typed(made[f.name], f.type) for f in arrow], schema=arrow)
 
     return df.mapInArrow(run, schema)
