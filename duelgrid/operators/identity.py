@@ -233,6 +233,22 @@ def duplicate_audit(roster: DataFrame, sides: DataFrame) -> DataFrame:
         F.when(F.col("shared_contests") > 0, "duplicate").otherwise("namesakes").alias("verdict"))
 
 
+def duplicate_pairs(roster: DataFrame, sides: DataFrame) -> DataFrame:
+    """The id pairs to merge: every id that shares a (name, opponent@day) key goes to the key's smallest id."""
+    named = roster.select("competitor", normalize_name(F.col("name"), "crosswalk").alias("norm"))
+    keys = known_opponents(sides, dated=True).join(named, "competitor")
+    least = keys.groupBy("norm", "opp_key").agg(F.min("competitor").alias("primary"), F.count("*").alias("c")).filter("c > 1").drop("c")
+    return (keys.join(least, ["norm", "opp_key"]).filter("competitor <> primary")
+            .groupBy("norm", "primary", F.col("competitor").alias("secondary")).agg(F.count("*").alias("shared_contests")))
+
+
+def claimed_edges(sides: DataFrame) -> DataFrame:
+    """C20: the opponent@day keys that more than one id claims, one row per claiming id."""
+    keys = sides.select(normalize_name(F.col("opponent_name"), "crosswalk").alias("opponent_norm"), "date", "competitor").distinct()
+    many = keys.groupBy("opponent_norm", "date").agg(F.count("*").alias("ids")).filter("ids > 1")
+    return keys.join(many, ["opponent_norm", "date"])
+
+
 def edge_audit(sides: DataFrame, split_year: int = 2001) -> DataFrame:
     """C20: opponent@day keys claimed by more than one id, before and after the year records got reliable."""
     k = sides.groupBy(normalize_name(F.col("opponent_name"), "crosswalk").alias("opponent_norm"), "date").agg(
@@ -344,7 +360,7 @@ def map_method(raw: Column) -> tuple[Column, Column]:
 
 
 def method_audit(rows: DataFrame, column: str = "raw_method") -> DataFrame:
-    """Distribution of targets with shares; more than one per cent unmatched is a failure.
+    """Distribution of targets with shares.
 
     The total is a second small aggregate over the few distinct targets.
     """
@@ -354,6 +370,13 @@ def method_audit(rows: DataFrame, column: str = "raw_method") -> DataFrame:
     return counts.withColumn("share", C.half_up(F.col("n") / total * 100, 4))
 
 
+def method_verdict(audit: DataFrame, limit: float = 1.0) -> DataFrame:
+    """More than one per cent unmatched is a failure."""
+    missed = F.coalesce(F.sum(F.when(~F.col("matched"), F.col("n"))), F.lit(0))
+    return audit.agg(F.sum("n").alias("rows"), missed.alias("unmatched")).withColumn(
+        "passed", F.col("unmatched") * 100 <= F.col("rows") * limit)
+
+
 def name_match_audit(external: DataFrame, resolved: DataFrame) -> DataFrame:
     """MATCHED or UNMATCHED per external rank."""
     return external.join(resolved.select("name", F.col("competitor").alias("resolved_id"), "matched_by"), "name", "left").withColumn(

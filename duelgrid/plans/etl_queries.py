@@ -181,6 +181,16 @@ def duplicates(ws):
     return I.duplicate_audit(B.shared_name_roster(ws.roster), ws.sides)
 
 
+@query("C19_duplicate_pairs")
+def duplicate_pairs(ws):
+    return I.duplicate_pairs(B.shared_name_roster(ws.roster), B.repeated_sides(ws.sides))
+
+
+@query("C20_claimed_edges")
+def claimed(ws):
+    return I.claimed_edges(ws.sides)
+
+
 @query("C20_edge_audit")
 def edges(ws):
     return I.edge_audit(ws.sides)
@@ -267,6 +277,11 @@ def methods(ws):
     return I.method_audit(B.raw_methods(ws.contests))
 
 
+@query("C31_method_verdict")
+def method_verdict(ws):
+    return I.method_verdict(I.method_audit(B.raw_methods(ws.contests)))
+
+
 @query("C32_organisation_dictionary")
 def organisations(ws):
     rules = (("tier2", ("AUTO", "XX")), ("tier2_5", ("BUILD",)), ("historical", ("HOUSE",)), ("tier3", ("FURN",)))
@@ -279,6 +294,14 @@ def external_audit(ws):
     return I.name_match_audit(ext, I.resolve_names(ext, ws.roster))
 
 
+@query("C33_must_match")
+def must_match(ws):
+    """Title-holders under their feed spelling that did not resolve."""
+    ext = ws.external.withColumn("name", B.feed_name(F.col("name"), F.col("competitor"))).drop("competitor")
+    audit = I.name_match_audit(ext, I.resolve_names(ext, ws.roster))
+    return I.must_match(audit, ext.filter("rank = 'C' or rank in ('1', '2', '3')").select("division", "name", "rank"))
+
+
 @query("C34_resolver_diff")
 def resolver_diff(ws):
     names = ws.prices.select(F.col("favourite").alias("name"))

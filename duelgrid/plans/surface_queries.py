@@ -226,6 +226,13 @@ def slug_names(ws):
     return n.groupBy(P.slug_name(F.col("slug")).alias("name")).agg(F.count("*").alias("pages"))
 
 
+@query("K4_event_titles")
+def event_titles(ws):
+    title, subtitle = P.split_title(F.col("event_name"))
+    u = B.upcoming(ws.contests).withColumn("event_name", F.when(F.col("slot_id") % 4 == 0, F.col("event_id")).otherwise(F.col("event_name")))
+    return u.select("slot_id", title.alias("title"), subtitle.alias("subtitle"))
+
+
 @query("K5_search_queries")
 def search_queries(ws):
     name = F.when(F.col("contest_id") % 3 == 0, F.concat(F.lit("Promo "), (F.col("contest_id") % 400).cast("string"), F.lit(" - x"))).otherwise(

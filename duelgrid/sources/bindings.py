@@ -404,6 +404,12 @@ def shared_name_roster(roster: DataFrame) -> DataFrame:
     return roster.select("competitor", F.concat_ws(" ", _pick(FIRST_NAMES, k % 10), spell(k)).alias("name"))
 
 
+def repeated_sides(sides: DataFrame) -> DataFrame:
+    """Every 20th contest of a doubled id is on file under both ids."""
+    twin = sides.filter((F.col("competitor") % 25 == 0) & (F.col("contest_id") % 20 == 0)).withColumn("competitor", F.col("competitor") + 1)
+    return sides.unionByName(twin)
+
+
 def raw_methods(contests: DataFrame) -> DataFrame:
     texts = ["TKO (Punches)", "KO (Head Kick)", "Submission (Armbar)", "Technical Submission (Triangle)", "Decision (Unanimous)",
              "Decision (Split)", "Decision (Majority)", "Draw (Split)", "TKO (Doctor Stoppage)", "DQ (Illegal Knee)", "NC",

@@ -162,6 +162,11 @@ ORACLES = {
     "C18_unmapped_ids": sql("SELECT competitor, name FROM roster ANTI JOIN crosswalk USING (competitor)"),
     "C19_duplicate_audit": sql(f"""SELECT t.norm, t.ids, coalesce(s.n,0) AS shared_contests, CASE WHEN s.n>0 THEN 'duplicate' ELSE 'namesakes' END AS verdict FROM (SELECT {CW('name')} AS norm, count(*) AS ids FROM twins GROUP BY 1 HAVING count(*)>1) t
       LEFT JOIN (SELECT norm, count(*) AS n FROM (SELECT {CW('name')} AS norm, opp_key FROM dkeys JOIN twins USING (competitor) GROUP BY 1,2 HAVING count(*)>1) GROUP BY 1) s USING (norm)"""),
+    "C19_duplicate_pairs": sql(f"""SELECT norm, lo AS primary, competitor AS secondary, count(*) AS shared_contests FROM (
+      SELECT *, min(competitor) OVER (PARTITION BY norm, opp_key) AS lo FROM (SELECT DISTINCT k.competitor, opp_key, {CW('name')} AS norm FROM
+        (SELECT competitor, opp_key FROM dkeys UNION SELECT competitor+1, {CW('opponent_name')}||'@'||date FROM sides WHERE competitor%25=0 AND contest_id%20=0) k JOIN twins t ON t.competitor=k.competitor))
+      WHERE competitor<>lo GROUP BY 1,2,3"""),
+    "C20_claimed_edges": sql(f"SELECT * FROM (SELECT *, count(*) OVER (PARTITION BY opponent_norm, date) AS ids FROM (SELECT DISTINCT {CW('opponent_name')} AS opponent_norm, date, competitor FROM sides)) WHERE ids>1"),
     "C20_edge_audit": sql(f"SELECT CASE WHEN year(date)<2001 THEN 'early' ELSE 'modern' END AS era, count(*) AS keys, max(ids) AS most_ids FROM (SELECT {CW('opponent_name')} AS o, date, count(DISTINCT competitor) AS ids FROM sides GROUP BY 1,2 HAVING count(DISTINCT competitor)>1) GROUP BY 1"),
     "C21_split_identities": sql("SELECT foreign_id, count(DISTINCT competitor) AS ids, min(competitor) AS first_id, max(competitor) AS last_id FROM crosswalk GROUP BY 1 HAVING count(DISTINCT competitor)>1"),
     "C22_weak_links": sql(f"SELECT x.*, CASE WHEN competitor%6/5>=0.6 OR (competitor%3=0 AND competitor IN (SELECT max(competitor) FROM roster GROUP BY {norm('name')} HAVING count(*)=1)) THEN 'corroborated' ELSE 'queue' END AS decision FROM crosswalk x WHERE confidence<60"),
@@ -181,8 +186,10 @@ ORACLES = {
     "C30_accumulating_merge": sql("""SELECT lo, hi, date, row_id, 'fresh' AS origin FROM fresh UNION ALL SELECT least(c1,c2), greatest(c1,c2), date, contest_id, 'carried' FROM contests c WHERE
       NOT EXISTS (SELECT 1 FROM fresh f WHERE f.lo=least(c.c1,c.c2) AND f.hi=greatest(c.c1,c.c2) AND f.date=c.date)"""),
     "C31_method_audit": sql("SELECT target, matched, n, floor(n/sum(n) OVER ()*100*1e4+0.5)/1e4 AS share FROM (SELECT CASE WHEN contest_id%211=0 THEN 'Other' ELSE [" + ",".join(f"'{c}'" for c in CODES) + "][(contest_id%13+1)::INT] END AS target, contest_id%211<>0 AS matched, count(*) AS n FROM contests GROUP BY 1,2)"),
+    "C31_method_verdict": sql("SELECT count(*)::BIGINT AS rows, count(*) FILTER (contest_id%211=0)::BIGINT AS unmatched, count(*) FILTER (contest_id%211=0)*100<=count(*) AS passed FROM contests"),
     "C32_organisation_dictionary": sql("""SELECT organisation, count(*) AS contests, min(event_name) AS sample, any_value(tier) AS tier, any_value(tier_multiplier) AS multiplier, any_value(tier)='tier4' AS needs_review FROM outside GROUP BY 1"""),
     "C33_external_match_audit": sql(f"SELECT e.division, e.name, e.rank, c.competitor AS resolved_id, c.matched_by, CASE WHEN c.competitor IS NOT NULL THEN 'MATCHED' ELSE 'UNMATCHED' END AS status FROM ext_feed e LEFT JOIN ({cascade('ext_feed', False)}) c USING (name)"),
+    "C33_must_match": sql(f"SELECT e.division, e.name, e.rank FROM ext_feed e WHERE e.rank IN ('C','1','2','3') AND e.name NOT IN (SELECT name FROM ({cascade('ext_feed', False)}) c WHERE c.competitor IS NOT NULL)"),
     "C34_resolver_diff": sql(f"""SELECT name, old_id, new_id, CASE WHEN old_id IS NULL AND new_id IS NULL THEN 'both_missing' WHEN old_id=new_id THEN 'same' WHEN old_id IS NULL THEN 'gained' WHEN new_id IS NULL THEN 'lost' ELSE 'changed' END AS kind
       FROM (SELECT c.name, c.competitor AS old_id, (SELECT canonical_id FROM registry g WHERE g.norm={norm('c.name')}) AS new_id FROM ({cascade('fav_names', False, False)}) c)"""),
     "C35_stale_champions": sql("SELECT e.division, e.competitor, l.contest_id, l.date, l.opponent AS lost_to FROM external_rank e JOIN (SELECT *, row_number() OVER (PARTITION BY competitor ORDER BY seq DESC) AS rn FROM sides) l ON l.competitor=e.competitor AND l.rn=1 WHERE e.rank='C' AND l.result='L'"),

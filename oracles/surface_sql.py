@@ -94,6 +94,7 @@ ORACLES = {
     "K2_date_shapes": sql("SELECT contest_id, s::INT AS shape, CASE WHEN s<3 THEN date END AS date FROM contests, (VALUES (0),(1),(2),(3)) v(s)"),
     "K3_price_cells": sql("SELECT * FROM cells"),
     "K4_slug_names": sql("SELECT name, count(*) AS pages FROM (SELECT name1 AS name FROM contests UNION ALL SELECT name2 FROM contests) GROUP BY 1"),
+    "K4_event_titles": sql("SELECT slot_id, CASE WHEN slot_id%4=0 OR NOT contains(event_name,' - ') THEN split_part(CASE WHEN slot_id%4=0 THEN event_id ELSE event_name END,' - ',1) ELSE split_part(event_name,' - ',1) END AS title, CASE WHEN slot_id%4<>0 AND contains(event_name,' - ') THEN substr(event_name, strpos(event_name,' - ')+3) WHEN slot_id%4=0 AND contains(event_id,' - ') THEN substr(event_id, strpos(event_id,' - ')+3) END AS subtitle FROM upcoming"),
     "K5_search_queries": sql("SELECT DISTINCT CASE WHEN contest_id%3=0 THEN 'Promo '||contest_id%400 ELSE 'Promo '||list_last(string_split(name1,' '))||' '||string_split(name2,' ')[1] END AS query FROM contests"),
     "H27_prediction_ledger": sql(f"SELECT slot_id, date, status, winner, CASE WHEN status<>'pending' THEN {AS_OF} END AS settled_on, {r('prob1',6)} AS prob1 FROM led"),
     "H27_ledger_scores": sql(f"SELECT model, {scored()} FROM (SELECT winner=c1 AS fav_won, unnest(['pure','form']) AS model, unnest([prob1, coalesce(form_prob1,prob1)]) AS p FROM led WHERE status='settled') GROUP BY 1"),
