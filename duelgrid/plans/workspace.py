@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from duelgrid.config import EngineConfig, FilterParams
 from duelgrid.functions.timeline import number_timeline
 from duelgrid.functions import core as C
-from duelgrid.operators import analytics, etl, identity, market, ranking, sweep
+from duelgrid.operators import backtest, analytics, etl, identity, market, ranking, sweep
 from duelgrid.functions.names import name_pair
 from duelgrid.session import ensure_checkpoint_dir
 from duelgrid.sources import bindings as B
@@ -71,9 +71,9 @@ class Workspace:
     @cached_property
     def history(self) -> DataFrame:
         """Rating history under the default engine, numbered per competitor."""
-        h = self.keep("history", sweep.sweep(self.contests, self.engine, self.as_of))
+        h = sweep.sweep(self.contests, self.engine, self.as_of)
         totals = h.groupBy("competitor").agg(F.count("*").alias("rated"))
-        return h.join(totals, "competitor").withColumn("rev", F.col("rated") - F.col("nth"))
+        return self.keep("history", h.join(totals, "competitor").withColumn("rev", F.col("rated") - F.col("nth")))
 
     @cached_property
     def states(self) -> DataFrame:
@@ -164,9 +164,18 @@ class Workspace:
         p = lambda m: market.devig(F.col("fav_odds"), F.col("dog_odds"), m)
         return self.keep("joined_prices", out.withColumns({f"p_{m}": p(m) for m in market.METHODS}))
 
+    @cached_property
+    def market_method(self) -> str:
+        """The de-vig method of the least log-loss; everything that reads a market probability uses it."""
+        ok = self.joined_prices.filter("verdict = 'ok'")
+        rows = ok.select("fav_won", F.explode(F.array(*[
+            F.struct(F.lit(m).alias("method"), F.col(f"p_{m}").alias("p")) for m in market.METHODS])).alias("x")).select("fav_won", "x.*")
+        best = backtest.scores(rows, "p", "fav_won", ["method"]).agg(F.min_by("method", "log_loss")).first()[0]
+        return best or market.METHODS[0]
+
     @cached_property
     def samples_priced(self) -> DataFrame:
-        return self.joined_prices.filter("verdict = 'ok'").withColumn("market_p", F.col("p_power"))
+        return self.joined_prices.filter("verdict = 'ok'").withColumn("market_p", F.col(f"p_{self.market_method}"))
 
     @cached_property
     def settled_prices(self) -> DataFrame:

@@ -89,7 +89,10 @@ FROM (SELECT *, (sqrt(z*z+4*(1-z)*pi_f*pi_f/b)-z)/(2*(1-z)) AS sh_f, (sqrt(z*z+4
   NOT f.hit.provisional AND NOT coalesce(d.hit.provisional,true) AS both_established, f.hit.layoff_months AS fav_layoff, coalesce(d.hit.layoff_months,0) AS dog_layoff,
   f.hit.moved AS fav_moved, coalesce(d.hit.moved,false) AS dog_moved, f.hit.label AS division, f.hit.date AS contest_date
  FROM prices p JOIN asked q USING (price_id) LEFT JOIN hit_fav f USING (price_id) LEFT JOIN hit_dog d USING (price_id))))""")
-cte("priced", "SELECT *, p_power AS market_p FROM joined WHERE verdict='ok'")
+METHODS = ("multiplicative", "power", "shin")
+cte("best_method", "SELECT arg_min(method, ll) AS m FROM (" + " UNION ALL ".join(
+    f"SELECT '{m}' AS method, avg(CASE WHEN fav_won THEN -ln(p_{m}) ELSE -ln(1-p_{m}) END) AS ll FROM joined WHERE verdict='ok'" for m in METHODS) + ")")
+cte("priced", "SELECT *, CASE (SELECT m FROM best_method) " + " ".join(f"WHEN '{m}' THEN p_{m}" for m in METHODS) + " END AS market_p FROM joined WHERE verdict='ok'")
 cte("long_models", "SELECT price_id, fav_won, both_established, 'model' AS model, model_p AS p FROM priced UNION ALL SELECT price_id, fav_won, both_established, 'market', market_p FROM priced")
 cte("books", f"""
 SELECT contest_id, side, book, {r('base*(1::DOUBLE+0.01::DOUBLE*i)',4)} AS price FROM (SELECT contest_id, 1 AS side, price1 AS base FROM side_prices UNION ALL SELECT contest_id, 2, price2 FROM side_prices),
