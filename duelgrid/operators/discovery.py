@@ -103,7 +103,8 @@ def outside_prospects(outside: DataFrame, known: DataFrame, names: DataFrame, ac
     notable = wins.groupBy("opponent_id").agg(F.array_join(F.transform(
         F.array_sort(F.collect_list(F.struct("rn", "text"))), lambda s: s["text"]), "; ").alias("notable"))
     a = rows.groupBy("opponent_id").agg(F.count_if(beat).alias("beat"), F.count_if(~beat).alias("lost_to"),
-                                        F.max("tier_multiplier").alias("top_multiplier"), F.max("date").alias("last_date"))
+                                        F.max("tier_multiplier").alias("top_multiplier"), F.max("date").alias("last_date"),
+                                        F.max_by("opponent_name", F.struct("date", "outside_id")).alias("name"))
     return a.filter("beat > 0").join(notable, "opponent_id").withColumn("active", F.col("last_date") >= F.lit(active_since).cast("date"))
 
 

@@ -38,7 +38,10 @@ def settle(ledger: DataFrame, results: DataFrame, run_date: Column, within: int
     outcome = (F.when(F.col("result1") == "W", F.col("c1")).when(F.col("result2") == "W", F.col("c2")))
     status = (F.when(outcome.isNotNull(), "settled").when((F.col("result1") == "D") & (F.col("result2") == "D"), "void_draw")
               .otherwise("void_nc"))
-    daily = results.select(C.pair_key(F.col("c1"), F.col("c2")).alias("pair"), "date", status.alias("s"), outcome.alias("w")).groupBy(
+    waiting = (F.col("status") == "pending") & (F.col("date") < run_date)
+    first, last = ledger.filter(waiting).agg(F.date_sub(F.min("date"), within), F.date_add(F.max("date"), within)).first()
+    # only results that a due row can reach are grouped
+    daily = results.filter(F.col("date").between(F.lit(first), F.lit(last))).select(C.pair_key(F.col("c1"), F.col("c2")).alias("pair"), "date", status.alias("s"), outcome.alias("w")).groupBy(
         "pair", "date").agg(F.min(F.struct("s", "w")).alias("r"))
     due = ledger.filter((F.col("status") == "pending") & (F.col("date") < run_date))
     asked = due.select("slot_id", "date", C.pair_key(F.col("c1"), F.col("c2")).alias("pair")).select(

@@ -26,6 +26,19 @@ def dashboard(final: DataFrame, top: int = 5) -> DataFrame:
         F.sort_array(F.collect_list(F.when(F.col("contender_rank") <= 15, F.col("final_rating"))), asc=False).alias("depth"))
 
 
+def competitor(profile: DataFrame, final: DataFrame, upcoming_next: DataFrame, form: DataFrame, who, hint: str | None = None) -> DataFrame:
+    """One competitor's profile with its rank in the hinted division (else in its best one), its
+    last contests and its next one.  An unknown id gives no row."""
+    mine = F.col("competitor") == F.lit(who)
+    hinted = (F.col("division") == F.lit(hint)).cast("int") if hint else F.lit(0)
+    rank = final.filter(mine).groupBy("competitor").agg(F.max_by(
+        F.struct("division", "rank", "contender_rank", "final_rating"), F.struct(hinted, "final_rating")).alias("r"))
+    following = upcoming_next.filter(mine).select("competitor", F.col("date").alias("next_date"), F.col("opponent_name").alias("next_opponent"))
+    return (profile.filter(mine).join(rank, "competitor", "left").join(following, "competitor", "left").join(form, "competitor", "left")
+            .select("competitor", "name", "record", "age", "rating", "peak", F.col("r.division").alias("division"), F.col("r.rank").alias("rank"),
+                    F.col("r.contender_rank").alias("contender_rank"), "form", "next_date", "next_opponent"))
+
+
 def search(competitors: DataFrame, text: str, limit: int = 8) -> DataFrame:
     """I4: exact 3 > prefix 2 > word prefix 1.5 > substring 1, then contest count; two letters at least."""
     q = normalize_name(F.lit(text), "search")
@@ -58,9 +71,13 @@ def form_probability(r1: Column, n1: Column, r2: Column, n2: Column) -> Column:
     return F.when((n1 != 0) | (n2 != 0), C.win_probability(r1 + n1, r2 + n2))
 
 
-def enrich_upcoming(slots: DataFrame, profile: DataFrame, today: Column) -> DataFrame:
-    """Both corners' rank, style, age and rates, with plain and form-adjusted probability."""
-    cols = ["competitor", "age", "rating", "form_nudge", "is_champion", "shown_rank", "ranked_division", "style", "finish_rate", "schedule_quality"]
+def enrich_upcoming(slots: DataFrame, profile: DataFrame, today: Column, form: DataFrame | None = None) -> DataFrame:
+    """Both corners' rank, style, age, record, last contests and rates, with plain and form-adjusted probability.
+
+    form: competitor and its last contests as text."""
+    cols = ["competitor", "age", "rating", "form_nudge", "is_champion", "shown_rank", "ranked_division", "style", "finish_rate", "schedule_quality", "record"]
+    if form is not None:
+        profile, cols = profile.join(form.select("competitor", "form"), "competitor", "left"), [*cols, "form"]
     out = slots.filter(F.col("date") >= today)
     for i in (1, 2):
         p = profile.select(*[F.col(c).alias(f"c{i}" if c == "competitor" else f"{c}{i}") for c in cols])

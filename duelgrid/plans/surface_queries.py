@@ -58,7 +58,8 @@ def prospects(ws):
 @query("F7_outside_prospects")
 def outside_prospects(ws):
     known = ws.table("nation").select(F.concat(F.lit("X"), F.col("n_nationkey").cast("string")).alias("opponent_id"))
-    return D.outside_prospects(ws.outside, known, ws.roster, "1995-01-01")
+    outside = ws.outside.withColumn("opponent_name", F.concat(F.lit("Rival "), "opponent_id"))
+    return D.outside_prospects(outside, known, ws.roster, "1995-01-01")
 
 
 @query("F9_pedigree_coverage")
@@ -70,7 +71,8 @@ def pedigree_coverage(ws):
 
 @query("I1_division_ranking")
 def division(ws):
-    return S.division_ranking(ws.rankings(FilterParams.parse({"era": "all", "finish": "0.5"})), "EUROPE").select(
+    known = {r[0] for r in ws.competitors.select("home_division").distinct().collect()} - {""}
+    return S.division_ranking(ws.rankings(FilterParams.parse({"era": "all", "finish": "0.5"})), "EUROPE", known).select(
         "rank", "competitor", "name", "final_rating", "display_score")
 
 
@@ -88,6 +90,20 @@ def profile(ws):
     return ws.profile.join(best, "competitor", "left_semi")
 
 
+def form_text(ws):
+    return A.recent_form(ws.log).select("competitor", F.array_join(F.transform("form", lambda x: F.concat_ws(" ", x["result"], x["label"])), "; ").alias("form"))
+
+
+@query("I3_competitor_with_hint")
+def hinted(ws):
+    """Two reads: the smallest ranked id with its last division as the hint, and the largest ranked id without one."""
+    low, high = ws.final.agg(F.min("competitor"), F.max("competitor")).first()
+    hint = ws.final.filter(F.col("competitor") == low).agg(F.max("division")).first()[0]
+    following = S.next_contests(B.upcoming(ws.contests), ws.today)
+    read = lambda who, h=None: S.competitor(ws.profile, ws.final, following, form_text(ws), who, h)
+    return read(low, hint).unionByName(read(high))
+
+
 @query("I4_name_search")
 def search(ws):
     return S.search(ws.competitors, "vanb")
@@ -106,8 +122,9 @@ def next_contest(ws):
 
 @query("I7_upcoming_cards")
 def cards(ws):
-    e = S.enrich_upcoming(B.upcoming(ws.contests), ws.profile, ws.today)
-    return e.select("slot_id", "c1", "c2", "rank_label1", "rank_label2", "style1", "style2", "age1", "age2", r6("prob1"), r6("form_prob1"))
+    e = S.enrich_upcoming(B.upcoming(ws.contests), ws.profile, ws.today, form_text(ws))
+    return e.select("slot_id", "c1", "c2", "rank_label1", "rank_label2", "style1", "style2", "age1", "age2", "record1", "record2", "form1", "form2",
+                    r6("prob1"), r6("form_prob1"))
 
 
 @query("I8_event_list")

@@ -1,6 +1,6 @@
 """Oracles of the competitor analytics."""
 
-from oracles.base import AS_OF, months, r, sql
+from oracles.base import AS_OF, cte, months, r, sql
 from oracles import ranking, analytics  # noqa: F401
 from oracles.analytics import NUDGE, STYLE, years, per15
 from duelgrid.operators.analytics import HOLDS, STRIKES
@@ -12,6 +12,7 @@ CHANGE, OUT = "(ratio_last3/ratio_career-1)", "(CASE WHEN cl>=5 THEN tl/cl-1 ELS
 DEEP = "(coalesce(age,0)>=34 OR tenure_years>=9 OR n_career>=18)"
 ORDER = "CASE {} WHEN 'AFRICA' THEN 1 WHEN 'AMERICA' THEN 2 WHEN 'ASIA' THEN 3 WHEN 'EUROPE' THEN 4 WHEN 'MIDDLE EAST' THEN 5 END"
 M = months("date", AS_OF)
+cte("forms", """SELECT competitor, string_agg(result||' '||CASE method WHEN 'KO/TKO' THEN 'KO R'||round WHEN 'SUB' THEN 'SUB R'||round WHEN 'U-DEC' THEN 'UD' WHEN 'S-DEC' THEN 'SD' WHEN 'M-DEC' THEN 'MD' END||' vs. '||opponent_name, '; ' ORDER BY rev) AS form FROM log WHERE rev<=5 GROUP BY 1""")
 ORACLES = {
     "G1_elapsed_minutes": sql(f"SELECT contest_id, CASE WHEN clock LIKE '%:%' THEN CASE WHEN m>0 AND m<=60 THEN {r('m',4)} END END AS minutes FROM (SELECT contest_id, clock, (round-1)*5+TRY_CAST(split_part(clock,':',1) AS INT)+TRY_CAST(split_part(clock,':',2) AS INT)/60e0 AS m FROM contests)"),
     "G2_metric_samples": sql("SELECT competitor, contest_id, secs, nth, rev FROM samples"),
@@ -61,5 +62,5 @@ ORACLES = {
     "G18_profile": sql("SELECT * FROM profile"),
     "G19_tenure": sql(f"SELECT competitor, {r(f'''date_diff('day',min(date),{AS_OF})/365.25::DOUBLE''',4)} AS tenure_years, {r(months('max(date)',AS_OF),1)} AS months_since FROM log GROUP BY 1"),
     "G20_strip_scale": sql(f"SELECT l.competitor, greatest(20, max(greatest({per15('str_self')},{per15('str_opp')}))) AS scale FROM log l LEFT JOIN samples s USING (competitor, contest_id) WHERE l.rev<=12 GROUP BY 1"),
-    "G21_recent_form": sql("""SELECT competitor, string_agg(result||' '||CASE method WHEN 'KO/TKO' THEN 'KO R'||round WHEN 'SUB' THEN 'SUB R'||round WHEN 'U-DEC' THEN 'UD' WHEN 'S-DEC' THEN 'SD' WHEN 'M-DEC' THEN 'MD' END||' vs. '||opponent_name, '; ' ORDER BY rev) AS form FROM log WHERE rev<=5 GROUP BY 1"""),
+    "G21_recent_form": sql("SELECT * FROM forms"),
 }

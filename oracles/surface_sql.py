@@ -57,7 +57,7 @@ ORACLES = {
       SELECT competitor, count(*) AS n, count(*) FILTER (result='W') AS w, count(*) FILTER (result='L') AS l, max(date) AS latest, max(lab) FILTER (rev=1) AS last1, max(lab) FILTER (rev=2) AS last2
       FROM (SELECT *, result||' '||{SHORT}||' vs. '||opponent_name AS lab FROM log WHERE competitor%2=0 OR date>={AS_OF}-30) GROUP BY 1) x JOIN ratings t USING (competitor) JOIN competitors c USING (competitor) LEFT JOIN next_up u USING (competitor)
       WHERE n<=5 AND w>l AND competitor NOT IN (SELECT competitor FROM final_rank WHERE is_champion) AND ({months('latest',AS_OF)}<=15 OR u.date IS NOT NULL) ORDER BY t.rating DESC, competitor LIMIT 20"""),
-    "F7_outside_prospects": sql("""SELECT a.*, b.notable, last_date>=DATE '1995-01-01' AS active FROM (SELECT opponent_id, count(*) FILTER (result='loss') AS beat, count(*) FILTER (result='win') AS lost_to, max(tier_multiplier) AS top_multiplier, max(date) AS last_date
+    "F7_outside_prospects": sql("""SELECT a.*, b.notable, last_date>=DATE '1995-01-01' AS active FROM (SELECT opponent_id, count(*) FILTER (result='loss') AS beat, count(*) FILTER (result='win') AS lost_to, max(tier_multiplier) AS top_multiplier, max(date) AS last_date, 'Rival '||opponent_id AS name
       FROM outside WHERE result IN ('win','loss') AND opponent_id NOT IN (SELECT 'X'||n_nationkey FROM nation) GROUP BY 1) a JOIN (SELECT opponent_id, string_agg('beat '||coalesce(name,'?')||' ('||date||')', '; ' ORDER BY rn) AS notable FROM (
        SELECT o.*, r.name, row_number() OVER (PARTITION BY opponent_id ORDER BY date DESC, outside_id DESC) AS rn FROM outside o LEFT JOIN roster r USING (competitor) WHERE result='loss') WHERE rn<=4 GROUP BY 1) b USING (opponent_id) WHERE beat>0"""),
     "F9_pedigree_coverage": sql(f"""SELECT count(*) AS competitors, count(*) FILTER (a) AS active, count(*) FILTER (a AND s>0) AS active_with_signal, count(*) FILTER (contests<6) AS low_sample, count(*) FILTER (contests<6 AND s>0) AS low_sample_with_signal, {r('avg(s) FILTER (s>0)',6)} AS mean_strength
@@ -70,7 +70,12 @@ ORACLES = {
       WHERE s IS NOT NULL ORDER BY s DESC, contests DESC, competitor LIMIT 8"""),
     "I5_upcoming_events": sql(f"SELECT event_id, min(date) AS date, arg_min(event_name,bout_order) AS event_name, string_agg(bout_order||':'||name1||':'||name2,'; ' ORDER BY bout_order) AS bouts FROM upcoming WHERE date>={AS_OF} GROUP BY 1"),
     "I6_next_contest": sql("SELECT * FROM next_up"),
-    "I7_upcoming_cards": sql(f"SELECT slot_id, c1, c2, rank_label1, rank_label2, style1, style2, age1, age2, {R6('prob1','form_prob1')} FROM enriched"),
+    "I7_upcoming_cards": sql(f"""SELECT slot_id, c1, c2, rank_label1, rank_label2, style1, style2, age1, age2, (SELECT record FROM profile p WHERE p.competitor=c1) AS record1, (SELECT record FROM profile p WHERE p.competitor=c2) AS record2,
+      (SELECT form FROM forms f WHERE f.competitor=c1) AS form1, (SELECT form FROM forms f WHERE f.competitor=c2) AS form2, {R6('prob1','form_prob1')} FROM enriched"""),
+    "I3_competitor_with_hint": sql("""SELECT p.competitor, p.name, p.record, p.age, p.rating, p.peak, f.division, f.rank, f.contender_rank, forms.form, u.date AS next_date, u.opponent_name AS next_opponent FROM profile p
+      JOIN (SELECT *, row_number() OVER (PARTITION BY competitor ORDER BY (competitor=(SELECT min(competitor) FROM final_rank) AND division=(SELECT max(division) FROM final_rank WHERE competitor=(SELECT min(competitor) FROM final_rank))) DESC, final_rating DESC) AS rn FROM final_rank) f
+        ON f.competitor=p.competitor AND rn=1 LEFT JOIN next_up u ON u.competitor=p.competitor LEFT JOIN forms ON forms.competitor=p.competitor
+      WHERE p.competitor IN ((SELECT min(competitor) FROM final_rank), (SELECT max(competitor) FROM final_rank))"""),
     "I8_event_list": sql(f"SELECT event_id, min(date) AS date, count(*) AS contests, arg_min(name1||' vs. '||name2, bout_order) AS main_event FROM upcoming WHERE date>={AS_OF} GROUP BY 1"),
     "I8_find_event": sql(f"SELECT event_id, date, event_name, CASE WHEN lower(event_name)='hugo van' THEN 1 WHEN contains(lower(event_name),'hugo van') THEN 2 ELSE 3 END AS matched FROM (SELECT event_id, min(date) AS date, arg_min(event_name,bout_order) AS event_name FROM upcoming WHERE date>={AS_OF} GROUP BY 1) WHERE contains(lower(event_name),'hugo van') OR contains('hugo van',lower(event_name)) ORDER BY matched, date, event_id LIMIT 1"),
     "I9_compare_probabilities": sql(f"""SELECT pair_id, {r('100*'+WP('a.rating','b.rating'))}::INT AS percent_a, CASE WHEN a.form_nudge<>0 OR b.form_nudge<>0 THEN {r('100*'+WP('a.rating+a.form_nudge','b.rating+b.form_nudge'))}::INT END AS form_percent_a, a.contests<=5 OR b.contests<=5 AS thin_sample
