@@ -2,8 +2,9 @@
 
 Every whole text is lexed as source and configuration syntax: names, string literals, bare words,
 assignment signs, `+` and line ends.  Statements of the shapes `name = value`, `name: value`,
-`"name": value`, `name := value`, `name => value`, `NAME=value` give name-literal pairs.  A value is a
-chain of literals and names joined by `+`; names that were bound to a constant earlier in the text are
+`"name": value`, `name := value`, `name => value`, `NAME=value`, `x["name"] = value`, `name: type = value`
+give name-literal pairs.  A value is a chain of literals and names joined by `+`, or put side by side in
+parentheses; it may start on a later line, run over line ends, be quoted threefold or be an indented block; names that were bound to a constant earlier in the text are
 replaced by it (constant propagation), so `a = "xy"; password = a + "z"` binds `password` to `xyz`.
 Each literal is scored by how sensitive its target name is, and by its own length and variety;
 place-holders score nothing.  Literals that reach the threshold become `literal` spans, next to the
@@ -46,13 +47,19 @@ PLACEHOLDER = re.compile(r"(?i)^(?:x+|\*+|\.+|<.*>|\$\{.*\}|%\(.*\)s|\{\{.*\}\}|
 THRESHOLD = 0.8
 SHORTEST_LITERAL = 6
 
-LEXEME = re.compile(r"""(?P<string>"(?:[^"\\\n]|\\.)*"|'(?:[^'\\\n]|\\.)*'|`(?:[^`\\\n]|\\.)*`)"""
+LEXEME = re.compile(r"""(?P<string>\"{3}(?:[^"\\]|\\[\s\S]|"(?!""))*"{3}|'{3}(?:[^'\\]|\\[\s\S]|'(?!''))*'{3}"""
+                    r"""|"(?:[^"\\\n]|\\.)*"|'(?:[^'\\\n]|\\.)*'|`(?:[^`\\\n]|\\.)*`)"""
                     r"""|(?P<name>[A-Za-z_$][\w$]*(?:[.-][A-Za-z_$][\w$]*)*)"""
                     r"""|(?P<set>:=|=>|==|!=|<=|>=|[:=])"""
                     r"""|(?P<plus>\+)|(?P<end>[;,\n{}()\[\]#])|(?P<bare>[^\s"'`:=+;,{}()\[\]#]+)""")
 SETS = frozenset((":=", "=>", ":", "="))
-#: Statement words that may stand before a name.
-LINE = re.compile(r"[^\n]*[:=][^\n]*")
+SIGN = re.compile(r"[:=]")
+#: Letters before a quote that say how a string is read.
+PREFIX = re.compile(r"(?i)(?:[rbufl]|br|rb|fr|rf|u8|[$@]{1,2})$")
+#: What follows the sign of a block value, as in YAML; its lines are indented deeper than its name.
+BLOCK = re.compile(r"[ \t]*[|>][-+0-9]{0,2}[ \t]*(?:#[^\n]*)?\n")
+INDENT = re.compile(r"[ \t]*")
+ROW = re.compile(r"([ \t]*)([^\n]*)\n?")
 NAME_PART = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|[0-9]+")
 
 
@@ -86,37 +93,154 @@ def literal_quality(value: str) -> float:
     return max(0.0, min(1.0, entropy / 3.2 + 0.12 * (kinds - 1) - 0.35 * spaces))
 
 
+class Lexemes:
+    """(kind, text, start, end) of the lexemes from a place on, made as far as they are asked for."""
+
+    def __init__(self, text: str, start: int):
+        self.more, self.made, self.end = LEXEME.finditer(text, start), [], ("end", "", len(text), len(text))
+
+    def __getitem__(self, i: int) -> tuple[str, str, int, int]:
+        while len(self.made) <= i:
+            m = next(self.more, None)
+            if m is None:
+                return self.end
+            self.made.append((m.lastgroup, m.group(), m.start(), m.end()))
+        return self.made[i]
+
+    def over_lines(self, i: int) -> int:
+        """The first place from i on that is no line end, nor the sign that carries a line on."""
+        while self[i][1] == "\n" or self[i][1] == "\\" and self[i + 1][1] == "\n":
+            i += 1
+        return i
+
+
+def indent(text: str, at: int) -> int:
+    """Columns before the first sign of the line that holds a place."""
+    start = text.rfind("\n", 0, at) + 1
+    return INDENT.match(text, start).end() - start
+
+
+def line_of(text: str, sign: int, at: int) -> tuple[int, int]:
+    """(start, end) of the part behind `at` of the line that holds a sign.  Where the sign is its first
+    character, the statement starts a line before."""
+    start = text.rfind("\n", at, sign) + 1 or at
+    if start > at and not text[start:sign].strip():
+        start = text.rfind("\n", at, start - 1) + 1 or at
+    end = text.find("\n", sign)
+    return start, end if end >= 0 else len(text)
+
+
+def sign_after(lexemes: Lexemes, i: int) -> int:
+    """The place of the assignment sign of the target at i, or 0: `name =`, `x["name"] =`, `name?:`."""
+    j = i + 1
+    while lexemes[j][1] == "]":
+        j += 1
+    j += lexemes[j][1] in ("?", "!")
+    if lexemes[j][1] == "\n" and lexemes[j + 1][1] in SETS:
+        j += 1
+    return j if lexemes[j][0] == "set" and lexemes[j][1] in SETS else 0
+
+
+def annotation_end(lexemes: Lexemes, j: int) -> int:
+    """The place of the `=` behind the type that follows the `:` at j, on its line, or 0."""
+    depth, k = 0, j + 1
+    while True:
+        kind, word, *_ = lexemes[k]
+        if kind == "set":
+            return k if word == "=" and depth == 0 and k > j + 1 else 0
+        if kind == "plus" or kind == "end" and (word in ("", "\n", ";", "#") or word == "," and not depth):
+            return 0
+        depth += (word in "([{") - (word in ")]}")
+        if depth < 0:
+            return 0
+        k += 1
+
+
+def block_value(text: str, sign_end: int, name_at: int):
+    """(value, spans, end) of a block value behind a sign, of the lines indented deeper than the name's, or None."""
+    m = BLOCK.match(text, sign_end)
+    if not m:
+        return None
+    at, above, parts, spans = m.end(), indent(text, name_at), [], []
+    while at < len(text):
+        row = ROW.match(text, at)
+        own = row[2].rstrip()
+        if own and len(row[1]) <= above:
+            break
+        if own:
+            parts.append(own)
+            spans.append((row.start(2), row.start(2) + len(own)))
+        at = row.end()
+    return ("".join(parts), spans, at) if spans else None
+
+
+def value_at(text: str, lexemes: Lexemes, i: int, j: int, constants: dict):
+    """(value, spans, next place) of the value behind the sign at j; no spans if there is none."""
+    value, origin = "", []
+    k = lexemes.over_lines(j + 1)
+    wrapped = lexemes[k][1] == "("
+    if wrapped:
+        k = lexemes.over_lines(k + 1)
+    while True:
+        kind, word, a, b = lexemes[k]
+        following = lexemes[k + 1]
+        if (kind in ("name", "bare") and following[0] == "string" and following[2] == b and PREFIX.match(word)):
+            k += 1
+            kind, word, a, b = following
+            following = lexemes[k + 1]
+        after = following[0]
+        if kind == "string":
+            quotes = 3 if len(word) >= 6 and word[:3] in ('"""', "\'\'\'") else 1
+            value, origin = value + word[quotes:-quotes], [*origin, (a + quotes, b - quotes)]
+        elif kind == "name" and word in constants and after != "set" and (origin or k == j + 1 or wrapped or after == "plus"):
+            value, origin = value + constants[word][0], [*origin, *constants[word][1]]
+        elif kind in ("name", "bare") and not origin and not wrapped and (
+                k == j + 1 and after in ("end", "string", "name", "bare")
+                # alone on its line, deeper than the name
+                or k > j + 1 and following[1] in ("\n", "") and indent(text, a) > indent(text, lexemes[i][2])):
+            value, origin = value + word, [(a, b)]  # unquoted, as in configuration files
+        else:
+            break
+        k += 1
+        then = lexemes.over_lines(k)  # a chain may be carried on behind a `+` or before one
+        if lexemes[then][0] == "plus":
+            k = lexemes.over_lines(then + 1)
+        elif wrapped and lexemes[then][0] in ("string", "name"):
+            k = then
+        else:
+            break
+    return value, origin, k
+
+
 def pairs(text: str):
     """(name, value, [(start, end) of the literals that made it]) for each assignment, in text order.
-    Lines without an assignment sign are skipped; a constant stays bound until it is bound again."""
+    Statements begin on lines with an assignment sign and end where their value ends, lines later if need be;
+    a constant stays bound until it is bound again."""
     constants: dict[str, tuple[str, tuple]] = {}
-    for line in LINE.finditer(text):
-        lexemes = [(m.lastgroup, m.group(), m.start(), m.end()) for m in LEXEME.finditer(text, line.start(), line.end())]
-        i = 0
-        while i + 2 < len(lexemes):
-            kind, word, *_ = lexemes[i]
-            if kind not in ("name", "string") or lexemes[i + 1][0] != "set" or lexemes[i + 1][1] not in SETS:
+    at = 0
+    while sign := SIGN.search(text, at):
+        begin, end = line_of(text, sign.start(), at)
+        lexemes, i, at = Lexemes(text, begin), 0, end
+        while lexemes[i][2] < end:
+            kind, word, start, _ = lexemes[i]
+            j = sign_after(lexemes, i) if kind in ("name", "string") else 0
+            if not j:
                 i += 1
                 continue
-            name, j = word.strip("\"'`"), i + 2
-            value, origin, open_ = "", [], True
-            while j < len(lexemes) and open_:
-                k, w, a, b = lexemes[j]
-                after = lexemes[j + 1][0] if j + 1 < len(lexemes) else "end"
-                if k == "string":
-                    value, origin = value + w[1:-1], [*origin, (a + 1, b - 1)]
-                elif k == "name" and w in constants:
-                    value, origin = value + constants[w][0], [*origin, *constants[w][1]]
-                elif k in ("name", "bare") and not origin and after in ("end", "string", "name", "bare"):
-                    value, origin = value + w, [*origin, (a, b)]  # unquoted, as in configuration files
-                else:
-                    break
-                open_ = after == "plus"
-                j += 1 + open_
+            name = word.strip("\"'`")
+            typed = annotation_end(lexemes, j) if lexemes[j][1] == ":" else 0
+            block = block_value(text, lexemes[j][3], start) if lexemes[j][1] == ":" else None
+            if block:
+                value, origin, at = block[0], block[1], max(at, block[2])
+            else:
+                value, origin, k = value_at(text, lexemes, i, typed or j, constants)
             if origin:
                 constants[name] = (value, tuple(origin))
                 yield name, value, origin
-                i = j
+                if block:
+                    break
+                at = max(at, origin[-1][1] if origin[-1][0] > start else 0)
+                i = i + 1 if typed else k  # behind a `:` the last word before `=` may be the name
             else:
                 i += 1
 

@@ -47,6 +47,30 @@ def test_constants_are_propagated():
     assert literals('a = "Zx81-kk29"\nb = a\nc = b\nbearer_token = c') == ["Zx81-kk29"]
 
 
+def test_everyday_shapes():
+    for text in ('config["password"] = "hunter2-XyZ9"', "os.environ['API_SECRET'] = 'hunter2-XyZ9'", 'c["db"]["pwd"]: str = "hunter2-XyZ9"',
+                 'api_secret: str = "hunter2-XyZ9"', 'const apiSecret: string = "hunter2-XyZ9";', 'auth_token: Optional[dict[str, str]] = "hunter2-XyZ9"',
+                 'let apiSecret?: string | null = "hunter2-XyZ9"', "pwd: 'str' = 'hunter2-XyZ9'", 'const PWD: &\'static str = "hunter2-XyZ9";',
+                 'pwd =\n    "hunter2-XyZ9"', 'pwd = \\\n    "hunter2-XyZ9"', 'pwd\n  = "hunter2-XyZ9"', '{"pwd":\n\n "hunter2-XyZ9"}', "pwd:\n  hunter2-XyZ9\nuser: joe",
+                 'pwd = """hunter2-XyZ9"""', "pwd = \'\'\'hunter2-XyZ9\'\'\'", 'pwd = ("hunter2-XyZ9")', 'pwd = b"hunter2-XyZ9"', 'pwd = f"hunter2-XyZ9"',
+                 "a:\n  pwd: |\n    hunter2-XyZ9\n  user: joe", "pwd: >-  # folded\n\n  hunter2-XyZ9"):
+        assert literals(text) == ["hunter2-XyZ9"], text
+    for text in ('pwd = "q9Zx81" +\n  "LmN4"', 'pwd = "q9Zx81"\n  + "LmN4"', 'pwd = (\n  "q9Zx81"\n  "LmN4"\n)', "pwd: |\n  q9Zx81\n  LmN4\nnext: x",
+                 'part = "q9Zx81"\npwd =\n  part +\n  "LmN4"'):
+        assert literals(text) == ["q9Zx81", "LmN4"], text
+    assert literals('pwd = """q9Zx81\nLmN4"""\nuser = "joe-joe-joe"') == ["q9Zx81\nLmN4"]
+    assert literals('pwd =\nuser = "hunter2-XyZ9"') == [] == literals("PWD=\nsome words follow here") == literals("secrets:\n  name: hunter2-XyZ9")
+
+
+def test_long_texts_take_time_by_length():
+    import time
+
+    for piece in ("pwd:\n", "a: b ", "x = (\n", '"""', "pwd: |\n", "pwd =", "a[b]\n", "a: " * 3 + "\n", "\n", "a = \"x\" +\n"):
+        start = time.perf_counter()
+        ss.scan(piece * (400_000 // len(piece)) + "=")
+        assert time.perf_counter() - start < 20, piece
+
+
 def test_harmless_literals_stay():
     for text in ('password = "changeme"', 'token = "${TOKEN}"', 'username = "hunter2-XyZ9"', "token_count = 123456789", "password_path: /etc/some/file9",
                  'secret = ""', "He said: the token was lost", "if password == other:"):
