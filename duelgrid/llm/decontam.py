@@ -1,9 +1,12 @@
 """Benchmark decontamination: q-gram lemma filter over diagonal bands, then banded alignment.
 
 Texts are compared as their letters and digits, lower-cased, so that case, spacing and punctuation do not
-hide a passage.  Each benchmark item is cut into overlapping windows of `WINDOW` such characters (a shorter
-item is one window).  A window occurs in a document if some region of the document is within
-`floor(RATE x length)` edits of it.  The q-gram lemma says that such a region shares at least
+hide a passage.  Each benchmark item is cut into windows of two lengths: the shortest passage that counts,
+about ten words, every few characters, with few edits; and twice that, for passages in which words were
+changed, with more edits (`WINDOWS`; an item under the first length is one window, and one under the second
+has none of those).  So a verbatim quote of 51 characters
+is found wherever in the item it stands.  A window occurs in a document if some region of the document is
+within the window's edits of it.  The q-gram lemma says that such a region shares at least
 `length - q + 1 - q x edits` q-grams with the window, on diagonals that lie within `edits + 1` of each
 other.  Documents are scanned once with a rolling hash; shared q-grams are counted per document, item and
 diagonal band (bands overlap by half, so no run of diagonals is cut); only bands that reach the bound are
@@ -12,8 +15,7 @@ aligned.  The filter loses nothing; the alignment decides.
 The benchmark travels to the tasks in blocks of at most `BLOCK_CHARS` characters on average; a larger one
 is worked off block by block, each a pass over the documents, and no block is dropped.
 
-Null or empty text is clean.  Items with fewer than `Q` letters and digits, or null text, have no q-gram and
-match nothing.  Repeated rows give repeated rows; repeated items count once per item_id.
+Null or empty text is clean.  Items with fewer than `SHORTEST` letters and digits, or null text, match nothing.  Repeated rows give repeated rows; repeated items count once per item_id.
 """
 
 from __future__ import annotations
@@ -27,9 +29,10 @@ from pyspark.sql import functions as F
 
 from duelgrid.llm.common import Kept, map_slices, pick
 
-Q = 12
-WINDOW = 96
-RATE = 0.06
+Q = 8
+SHORTEST = 12
+#: Characters of a window, how far apart windows start, and the share of characters that may be edited.
+WINDOWS = ((48, 4, 0.084), (96, 8, 0.105))
 BLOCK_CHARS = 1_000_000
 BASE = np.uint64(0x9E3779B97F4A7C15)
 SPREAD = np.uint64(0xD6E8FEB86659FD93)
@@ -67,18 +70,21 @@ def grams(chars: np.ndarray) -> np.ndarray:
         b4 = b2 * b2
         two = one[:-1] * BASE + one[1:]
         four = two[:-2] * b2 + two[2:]
-        eight = four[:-4] * b4 + four[4:]
-        return (eight[:-4] * b4 + four[8:]) * SPREAD
+        return (four[:-4] * b4 + four[4:]) * SPREAD
 
 
 def windows(length: int) -> list[tuple[int, int, int, int]]:
     """(start, length, edit budget, q-grams that must be shared) of an item's windows."""
-    if length < Q:
+    if length < SHORTEST:
         return []
-    size = min(length, WINDOW)
-    starts = sorted({*range(0, length - size + 1, max(1, size // 2)), length - size})
-    budget = min(int(RATE * size), (size - Q) // Q)
-    return [(s, size, budget, size - Q + 1 - Q * budget) for s in starts]
+    out = []
+    for window, step, rate in WINDOWS:
+        if not out or length >= window:
+            size = min(length, window)
+            budget = min(int(rate * size), (size - Q) // Q)
+            starts = sorted({*range(0, length - size + 1, step), length - size})
+            out += [(s, size, budget, size - Q + 1 - Q * budget) for s in starts]
+    return out
 
 
 class Index:
@@ -88,6 +94,7 @@ class Index:
         self.ids = [i for i, _ in items]
         self.chars, self.starts, _ = folded([t for _, t in items])
         self.windows = [windows(int(b - a)) for a, b in zip(self.starts, self.starts[1:])]
+        self.bounds = [np.array(ws, dtype=np.int64).reshape(-1, 4).T for ws in self.windows]
         self.stride = 1 + max([w[2] for ws in self.windows for w in ws], default=0)
         self.least = np.array([min([w[3] for w in ws], default=1 << 30) for ws in self.windows], dtype=np.int64)
         every = grams(self.chars)
@@ -149,20 +156,45 @@ class Index:
 
     def region(self, own: np.ndarray, i: int, item_at: np.ndarray, diagonal: np.ndarray):
         """The first window of item i that aligns within its budget: (start, end, edits) in own."""
-        for start, size, budget, least in self.windows[i]:
+        starts, sizes, _, least = self.bounds[i]
+        distinct = np.unique(item_at)
+        shared = np.searchsorted(distinct, starts + sizes - Q, side="right") - np.searchsorted(distinct, starts)
+        for k in np.flatnonzero(shared >= least):
+            start, size, budget, _ = self.windows[i][k]
             inside = (item_at >= start) & (item_at <= start + size - Q)
-            if len(np.unique(item_at[inside])) < least:
-                continue
             low, high = int(diagonal[inside].min()), int(diagonal[inside].max())
             lo = max(0, start + low - budget)
             hi = min(len(own), start + size + high + budget)
             window = self.chars[self.starts[i] + start:self.starts[i] + start + size]
+            if not near(window, own[lo:hi], budget):
+                continue
             found = aligned(window, own[lo:hi], budget)
             if found:
                 return lo + found[0], lo + found[1], found[2]
         return None
 
 
+def near(window: np.ndarray, region: np.ndarray, budget: int) -> bool:
+    """Whether some part of the region is within the budget of the window: a column of the edit table at a
+    time, as the bits of two numbers."""
+    masks: dict[int, int] = {}
+    for k, c in enumerate(window.tolist()):
+        masks[c] = masks.get(c, 0) | 1 << k
+    m = len(window)
+    every, last = (1 << m) - 1, 1 << m - 1
+    up, down, edits = every, 0, m
+    for c in region.tolist():
+        eq = masks.get(c, 0)
+        diagonal = ((((eq & up) + up) ^ up) | eq | down) & every
+        plus, minus = down | (every & ~(diagonal | up)), up & diagonal
+        edits += bool(plus & last) - bool(minus & last)
+        if edits <= budget:
+            return True
+        plus, minus = plus << 1 & every, minus << 1 & every
+        up, down = minus | (every & ~(diagonal | plus)), plus & diagonal
+    return False
+
+
 def aligned(window: np.ndarray, region: np.ndarray, budget: int) -> tuple[int, int, int] | None:
     """The best alignment of the whole window with a part of the region, within the budget: start, end and
     edits.  Only the band of diagonals that the region's surplus allows is filled."""

@@ -99,3 +99,31 @@ def test_odd_rows(spark, odd, clashing, none, rows, items):
     found = rows(decontam.find_leaks(odd, bench))
     assert found == rows(decontam.find_leaks(clashing, bench)) and len(found) == 8 and not any(r[1] for r in found)
     assert decontam.find_leaks(none, bench).count() == 0 and decontam.drop_contaminated(clashing, bench).count() == 8
+
+
+def test_short_and_reworded_passages():
+    """Quotes of 13 words from every place of an item, whole items with two of twenty words changed, short items."""
+    rnd = random.Random(9)
+    word = lambda n: "".join(rnd.choices("abcdefghiklmnoprstuvw", k=n))
+    words = [word(5) for _ in range(40)]
+    index = decontam.Index([(1, " ".join(words)), (2, " ".join(words[::-1][:20])), (3, "seven letter item x")])
+    around = lambda text: f"{prose(7, 20)} {text} {prose(8, 20)}"
+    for k in range(40 - 13 + 1):
+        (found,) = index.find([around(" ".join(words[k:k + 13]))])
+        assert [x[0] for x in found] == [1], k
+    for a, b in ((3, 10), (5, 13), (6, 16), (9, 10), (2, 18)):
+        changed = [*words[::-1][:20]]
+        changed[a], changed[b] = word(5), word(5)
+        assert 2 in [x[0] for x in index.find([around(" ".join(changed))])[0]], (a, b)
+    assert [x[0] for x in index.find([around("Seven leter item X")])[0]] == [3]
+    assert index.find([around(" ".join(words[4:9]))]) == [[]] == index.find([around("")])
+
+
+def test_near_against_the_whole_table():
+    rnd = random.Random(16)
+    code = lambda s: np.array([ord(c) for c in s], dtype=np.uint32)
+    for k in range(400):
+        pattern = "".join(rnd.choices("abc", k=rnd.randint(12, 80)))
+        region = edited("xx" + pattern + "yy", rnd.randrange(9), k)
+        want = distance(pattern, region)
+        assert [decontam.near(code(pattern), code(region), b) for b in range(9)] == [want <= b for b in range(9)]
