@@ -1,7 +1,7 @@
 """Near-duplicate groups by MinHash bands and sequential Bayesian verification.
 
 1. Every whole text becomes its set of five-word shingles (64-bit hashes) and a MinHash signature of
-   `BANDS x ROWS` values.  Documents of equal sets form a class at once; only its smallest doc_id goes on.
+   bands x rows values, whose numbers follow from the threshold `least` (`shape`).  Documents of equal sets form a class at once; only its smallest doc_id goes on.
 2. Classes that share a band are candidates.  A band's bucket is not paired out: each member is tied to the
    smallest of the bucket, and the components of these ties are the candidate groups.
 3. A candidate group is cut into blocks of a bounded number of members and bytes, by hash; a task holds two
@@ -11,8 +11,8 @@
    task emits a spanning forest of its links, never all pairs.
 4. Components of the links give the groups.
 
-The chance to miss a pair is that of sharing no band, (1 - 0.85^7)^36 < 1e-6 at the threshold, plus MISS for
-each of the nine batches.  What is linked is always verified.
+The chance to miss a pair is that of sharing no band, (1 - t^rows)^bands <= 1e-6 at the threshold t (36 bands
+of 7 at 0.85, 46 of 6 at 0.80), plus MISS for each of the nine or ten batches.  What is linked is always verified.
 
 Null or empty text: no shingles, its own group.  A null doc_id cannot name a group: such a row stays by
 itself (component_id null, kept).  Rows that share a doc_id are one document.
@@ -33,20 +33,38 @@ from duelgrid.llm.common import Kept, map_slices, pick
 from duelgrid.llm.components import components
 
 SHINGLE = 5
-BANDS, ROWS = 36, 7
-HASHES = BANDS * ROWS
-#: Linked if 100 x intersection >= LEAST x union.
+#: Linked if 100 x intersection >= least x union, by default this.
 LEAST = 85
+#: Values of a signature at most, and the chance that a pair at the threshold shares no band.
+MOST_HASHES, UNSEEN = 1024, 1e-6
 #: Signature values compared between two looks at the posterior, and the chance to drop a true pair at a look.
 BATCH, MISS = 28, 1e-6
 #: Members and shingles of a block, in the mean; a task holds two blocks.
 BLOCK_MEMBERS, BLOCK_SHINGLES = 384, 2_000_000
 WORDS_KEPT = 300_000
 
+
+def shape(least: int) -> tuple[int, int]:
+    """(bands, rows) for a threshold in per cent: the most rows, and so the fewest chance candidates, that take
+    280 values, or else as many as they need."""
+    t, out = least / 100, (0, 0)
+    for rows in range(1, 33):
+        bands = max(1, math.ceil(math.log(UNSEEN) / math.log1p(-t**rows))) if t < 1 else 1
+        if out[0] and bands * rows > 280:
+            break
+        out = bands, rows
+    if out[0] * out[1] > MOST_HASHES:
+        raise ValueError(f"least = {least} is too low for signatures of {MOST_HASHES} values")
+    return out
+
+
+BANDS, ROWS = shape(LEAST)
+HASHES = BANDS * ROWS
+
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 _random = np.random.default_rng(20_011)
-MULTIPLY = _random.integers(0, 1 << 32, HASHES, dtype=np.uint32) | np.uint32(1)
-ADD = _random.integers(0, 1 << 32, HASHES, dtype=np.uint32)
+MULTIPLY = _random.integers(0, 1 << 32, MOST_HASHES, dtype=np.uint32) | np.uint32(1)
+ADD = _random.integers(0, 1 << 32, MOST_HASHES, dtype=np.uint32)
 MIX = [np.uint64(int(x) | 1) for x in _random.integers(1 << 62, 1 << 63, SHINGLE + 1, dtype=np.uint64)]
 _FOLD = np.uint64(29)
 
@@ -76,14 +94,14 @@ def shingles(text: str | None, words: WordHashes) -> np.ndarray:
     return np.unique(total)
 
 
-def signature(own: np.ndarray) -> np.ndarray:
+def signature(own: np.ndarray, hashes: int = HASHES) -> np.ndarray:
     """The upper halves of the smallest values under each hash."""
-    least = np.full(HASHES, 0xFFFFFFFF, dtype=np.uint32)
+    least = np.full(hashes, 0xFFFFFFFF, dtype=np.uint32)
     low = (own >> np.uint64(32)).astype(np.uint32)
     for start in range(0, len(low), 2048):
         with np.errstate(over="ignore"):
-            values = low[start:start + 2048, None] * MULTIPLY
-            values += ADD
+            values = low[start:start + 2048, None] * MULTIPLY[:hashes]
+            values += ADD[:hashes]
         np.minimum(least, values.min(axis=0), out=least)
     return (least >> np.uint32(16)).astype(np.uint16)
 
@@ -92,7 +110,7 @@ def signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-def sets_of(docs: DataFrame) -> DataFrame:
+def sets_of(docs: DataFrame, hashes: int = HASHES) -> DataFrame:
     """doc_id, n_shingles, the set's 128-bit key, signature (null for an empty set)."""
 
     def work():
@@ -106,7 +124,7 @@ def sets_of(docs: DataFrame) -> DataFrame:
                 out["n_shingles"].append(len(own))
                 out["a"].append(signed(key >> 64))
                 out["b"].append(signed(key & ((1 << 64) - 1)))
-                out["signature"].append(signature(own).tobytes() if len(own) else None)
+                out["signature"].append(signature(own, hashes).tobytes() if len(own) else None)
             return out
 
         return each
@@ -115,19 +133,19 @@ def sets_of(docs: DataFrame) -> DataFrame:
                       "doc_id bigint, n_shingles bigint, a bigint, b bigint, signature binary")
 
 
-def band_rows(classes: DataFrame) -> DataFrame:
+def band_rows(classes: DataFrame, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """band, rep: one row for each band of each class."""
-    columns = np.arange(BANDS, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    columns = np.arange(bands, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
 
     def work():
         def each(part):
-            values = np.frombuffer(b"".join(part.column(1).to_pylist()), dtype=np.uint16).reshape(-1, BANDS, ROWS)
+            values = np.frombuffer(b"".join(part.column(1).to_pylist()), dtype=np.uint16).reshape(-1, bands, rows)
             with np.errstate(over="ignore"):
                 key = np.broadcast_to(columns, values.shape[:2]).copy()
-                for k in range(ROWS):
+                for k in range(rows):
                     key = (key ^ (key >> _FOLD)) * MIX[k % len(MIX)] + values[:, :, k]
                 key = (key ^ (key >> _FOLD)) * MIX[0]
-            reps = np.repeat(part.column(0).to_numpy(zero_copy_only=False), BANDS)
+            reps = np.repeat(part.column(0).to_numpy(zero_copy_only=False), bands)
             return {"band": pa.array(key.ravel().view(np.int64)), "rep": pa.array(reps)}
 
         return each
@@ -135,12 +153,12 @@ def band_rows(classes: DataFrame) -> DataFrame:
     return map_slices(classes.select("rep", "signature"), work, "band bigint, rep bigint")
 
 
-@lru_cache(maxsize=1)
-def least_matches() -> list[tuple[int, int]]:
+@lru_cache(maxsize=8)
+def least_matches(threshold: int = LEAST) -> list[tuple[int, int]]:
     """(values compared, fewest matches to go on): below, the posterior of a uniform prior gives less than
     MISS to similarities at the threshold or above."""
-    t, out = LEAST / 100, []
-    for n in range(BATCH, HASHES + 1, BATCH):
+    t, out, hashes = threshold / 100, [], math.prod(shape(threshold))
+    for n in sorted({*range(BATCH, hashes + 1, BATCH), hashes}):
         below, m = 0.0, 0
         while m <= n:
             below += math.comb(n + 1, m) * t**m * (1 - t) ** (n + 1 - m)
@@ -151,14 +169,15 @@ def least_matches() -> list[tuple[int, int]]:
     return out
 
 
-def linked(x: np.ndarray, y: np.ndarray) -> bool:
+def linked(x: np.ndarray, y: np.ndarray, least: int = LEAST) -> bool:
     small, large = (x, y) if len(x) <= len(y) else (y, x)
     at = np.searchsorted(large, small)
     both = int((large[np.minimum(at, len(large) - 1)] == small).sum())
-    return 100 * both >= LEAST * (len(x) + len(y) - both)
+    return 100 * both >= least * (len(x) + len(y) - both)
 
 
-def links(ids: list[int], sets: list[np.ndarray], signatures: np.ndarray, side: np.ndarray) -> list[tuple[int, int]]:
+def links(ids: list[int], sets: list[np.ndarray], signatures: np.ndarray, side: np.ndarray,
+          threshold: int = LEAST) -> list[tuple[int, int]]:
     """A spanning forest of the verified links between members of different sides, or of all members where
     there is one side."""
     rows, cols = (np.flatnonzero(side == 0), np.flatnonzero(side == 1)) if side.any() and not side.all() else (
@@ -169,12 +188,12 @@ def links(ids: list[int], sets: list[np.ndarray], signatures: np.ndarray, side:
     for start in range(0, len(rows), 64):
         some = rows[start:start + 64]
         a, b = np.meshgrid(some, cols, indexing="ij")
-        fits = 100 * np.minimum(sizes[a], sizes[b]) >= LEAST * np.maximum(sizes[a], sizes[b])
+        fits = 100 * np.minimum(sizes[a], sizes[b]) >= threshold * np.maximum(sizes[a], sizes[b])
         if same:
             fits &= a < b
         a, b = a[fits], b[fits]
         seen, done = np.zeros(len(a), dtype=np.int64), 0
-        for n, least in least_matches():
+        for n, least in least_matches(threshold):
             seen += (signatures[a, done:n] == signatures[b, done:n]).sum(axis=1)
             on = seen >= least
             a, b, seen, done = a[on], b[on], seen[on], n
@@ -196,13 +215,13 @@ def links(ids: list[int], sets: list[np.ndarray], signatures: np.ndarray, side:
     out = []
     for k in np.argsort(-np.concatenate(matches), kind="stable"):
         i, j = find(int(a[k])), find(int(b[k]))
-        if i != j and linked(sets[a[k]], sets[b[k]]):
+        if i != j and linked(sets[a[k]], sets[b[k]], threshold):
             root[i] = j
             out.append((ids[a[k]], ids[b[k]]))
     return out
 
 
-def verified(blocks: DataFrame) -> DataFrame:
+def verified(blocks: DataFrame, least: int = LEAST) -> DataFrame:
     """u, v: the links of each block or pair of blocks.  Rows come sorted by (grp, i, j); one such key is
     held at a time."""
 
@@ -213,7 +232,7 @@ def verified(blocks: DataFrame) -> DataFrame:
             if len(held) > 1:
                 ids, sides, sets, signatures = zip(*held)
                 out.extend(links(list(ids), [np.frombuffer(s, dtype=np.uint64) for s in sets],
-                                 np.stack([np.frombuffer(s, dtype=np.uint16) for s in signatures]), np.array(sides)))
+                                 np.stack([np.frombuffer(s, dtype=np.uint16) for s in signatures]), np.array(sides), least))
             held.clear()
 
         for batch in batches:
@@ -256,10 +275,12 @@ def full_sets(docs: DataFrame, members: DataFrame) -> DataFrame:
     return made.filter("a = ka and b = kb").drop("a", "b", "ka", "kb")
 
 
-def near_duplicates(docs: DataFrame, kept: Kept | None = None) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept: one row for each row of docs."""
+def near_duplicates(docs: DataFrame, kept: Kept | None = None, least: int = LEAST) -> DataFrame:
+    """doc_id, n_shingles, component_id, kept: one row for each row of docs.  Linked are documents whose
+    shingles are alike by `least` per cent or more."""
+    n_bands, n_rows = shape(least)
     kept = kept or Kept(docs.sparkSession, "neardup")
-    made = kept(sets_of(docs))
+    made = kept(sets_of(docs, n_bands * n_rows))
     whole = made.filter("doc_id is not null and n_shingles > 0")
     classes = whole.groupBy("a", "b").agg(F.min("doc_id").alias("rep"))
     # narrow rows for the result, wide ones for one document of each class
@@ -270,7 +291,7 @@ def near_duplicates(docs: DataFrame, kept: Kept | None = None) -> DataFrame:
                 .select(F.col("doc_id").alias("rep"), "a", "b", "n_shingles", "signature")
                 .dropDuplicates(["rep", "a", "b"]))
 
-    bands = band_rows(reps)
+    bands = band_rows(reps, n_bands, n_rows)
     buckets = bands.groupBy("band").agg(F.min("rep").alias("root"), F.count(F.lit(1)).alias("n")).filter("n > 1")
     ties = bands.join(buckets, "band").filter("rep <> root").select(F.col("rep").alias("u"), F.col("root").alias("v"))
     groups = kept(components(ties, kept).withColumnsRenamed({"node": "rep", "component": "grp"}))
@@ -284,7 +305,7 @@ def near_duplicates(docs: DataFrame, kept: Kept | None = None) -> DataFrame:
         .withColumn("other", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1)))
         .withColumns({"i": F.least("own", "other"), "j": F.greatest("own", "other")})
     )
-    found = kept(verified(blocks))
+    found = kept(verified(blocks, least))
     joined = components(found, kept).withColumnsRenamed({"node": "rep"})
     return of_class.join(joined, "rep", "left").select(
         "doc_id", "n_shingles", F.coalesce("component", "rep", "doc_id").alias("component_id"),
@@ -292,8 +313,8 @@ def near_duplicates(docs: DataFrame, kept: Kept | None = None) -> DataFrame:
         "component_id", F.when(F.col("doc_id").isNotNull(), F.col("component_id")))
 
 
-def one_of_each(docs: DataFrame) -> DataFrame:
+def one_of_each(docs: DataFrame, least: int = LEAST) -> DataFrame:
     """The rows of docs, with all columns of documents, but those whose group has a smaller doc_id."""
-    gone = near_duplicates(docs).filter(~F.col("kept")).select("doc_id").distinct()
+    gone = near_duplicates(docs, least=least).filter(~F.col("kept")).select("doc_id").distinct()
     rows = pick(docs, "doc_id", "text", "lang", "source", "n_chars")
     return rows.join(gone, "doc_id", "left_anti").select(*rows.columns)

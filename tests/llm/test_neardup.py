@@ -88,3 +88,27 @@ def test_posterior_bounds_grow_and_spare_true_pairs():
     agree = rnd.random((200_000, neardup.HASHES)) < 0.85
     lost = sum((agree[:, :n].sum(axis=1) < least).sum() for n, least in bounds)
     assert lost <= 10  # far fewer than one in ten thousand
+
+
+def test_pairs_between_the_thresholds(documents):
+    """Pairs alike by 0.80 to 0.85 go at a threshold of 80; op7's 85 links none of them."""
+    rnd, data, shares = random.Random(12), [], []
+    for k in range(60):
+        base = [f"a{k}x{rnd.randrange(10**6)}" for _ in range(104)]
+        other = list(base)
+        for place in (20, 60):  # 100 shingles each, 90 shared
+            other[place] += "z"
+        data += [(2 * k, " ".join(base)), (2 * k + 1, " ".join(other))]
+        sets = [{tuple(w[i:i + 5]) for i in range(100)} for w in (base, other)]
+        shares.append(100 * len(sets[0] & sets[1]) / len(sets[0] | sets[1]))
+    assert all(80 <= x < 85 for x in shares)
+    assert sorted(r.doc_id for r in neardup.one_of_each(documents(data), least=80).collect()) == list(range(0, 120, 2))
+    assert neardup.one_of_each(documents(data)).count() == 120
+    assert all(r.component_id % 2 == 0 for r in neardup.near_duplicates(documents(data), least=80).collect())
+
+
+@pytest.mark.parametrize("least", [50, 70, 80, 85, 95])
+def test_bands_follow_the_threshold(least):
+    bands, rows = neardup.shape(least)
+    assert (1 - (least / 100) ** rows) ** bands <= 1e-6 and neardup.least_matches(least)[-1][0] == bands * rows
+    assert neardup.shape(85) == (36, 7)
