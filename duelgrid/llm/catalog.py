@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from duelgrid.llm import bpe, chat, decontam, langid, neardup, pii, secret_scan, sharding, topk, wrappers
+from duelgrid.llm import bpe, chat, decontam, langid, neardup, pii, piece_bpe, secret_scan, sharding, topk, wrappers
 from duelgrid.llm.common import table
 
 VOCABULARY = "byte_bpe_50k.json"
+RANKS = "byte_bpe_multi_50k.tiktoken"
 #: The surrogates' key is the caller's; the query has a fixed one so that its rows are the same on every run.
 KEY = b"surrogates of the query"
 
@@ -54,7 +55,11 @@ def op10_main_text(spark, sf_dir):
     return wrappers.main_texts(table(spark, sf_dir, "pages"))
 
 
-QUERIES = {f.__name__: f for f in (op1_bpe_round_trip, op2_exact_top_k, op3_language_id, op4_preference_pairs, op5_secret_scan, op6_kd_shards, op7_near_duplicates, op8_pii_surrogates, op9_benchmark_leaks, op10_main_text)}
+def op11_piece_bpe(spark, sf_dir):
+    return piece_bpe.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path(RANKS), public_tokenizers.PATTERN)
+
+
+QUERIES = {f.__name__: f for f in (op1_bpe_round_trip, op2_exact_top_k, op3_language_id, op4_preference_pairs, op5_secret_scan, op6_kd_shards, op7_near_duplicates, op8_pii_surrogates, op9_benchmark_leaks, op10_main_text, op11_piece_bpe)}
 ORACLES = {
     "op2_exact_top_k": """
 with whole as (
