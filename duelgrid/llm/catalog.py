@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from duelgrid.llm import bpe, chat, decontam, langid, neardup, pii, piece_bpe, secret_scan, sharding, topk, wrappers
+from duelgrid.llm import bpe, chat, decontam, langid, neardup, pii, piece_bpe, prefix_trie, secret_scan, sharding, topk, wrappers
 from duelgrid.llm.common import table
 
 VOCABULARY = "byte_bpe_50k.json"
@@ -59,7 +59,25 @@ def op11_piece_bpe(spark, sf_dir):
     return piece_bpe.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path(RANKS), public_tokenizers.PATTERN)
 
 
-QUERIES = {f.__name__: f for f in (op1_bpe_round_trip, op2_exact_top_k, op3_language_id, op4_preference_pairs, op5_secret_scan, op6_kd_shards, op7_near_duplicates, op8_pii_surrogates, op9_benchmark_leaks, op10_main_text, op11_piece_bpe)}
+def op12_prefix_trie(spark, sf_dir):
+    return prefix_trie.shared_head_trie(table(spark, sf_dir, "conversations"))
+
+
+QUERIES = {f.__name__: f for f in (op1_bpe_round_trip, op2_exact_top_k, op3_language_id, op4_preference_pairs, op5_secret_scan, op6_kd_shards, op7_near_duplicates, op8_pii_surrogates, op9_benchmark_leaks, op10_main_text, op11_piece_bpe, op12_prefix_trie)}
+
+
+def crc32_sql(text: str) -> str:
+    """Unsigned crc32 of a text's UTF-8 bytes: the hex digits of each byte, the low one first, four bits a step."""
+    step = [0] * 16
+    for i in range(16):
+        step[i] = i
+        for _ in range(4):
+            step[i] = (step[i] >> 1) ^ (0xEDB88320 if step[i] & 1 else 0)
+    digits = f"flatten(list_transform(regexp_extract_all(hex(encode({text})), '..'), lambda p: [('0x' || p[2])::bigint, ('0x' || p[1])::bigint]))"
+    return (f"xor(list_reduce(list_prepend(4294967295::bigint, {digits}), "
+            f"lambda c, d: xor(c >> 4, list_extract({step}::bigint[], 1 + xor(c & 15, d)))), 4294967295::bigint)")
+
+
 ORACLES = {
     "op2_exact_top_k": """
 with whole as (
@@ -113,5 +131,38 @@ select pair_id, any_value(n_prompt)::bigint as n_prompt_turns,
   coalesce(string_agg((pos + length(head))::bigint || ':' || (pos + length(head) + length(tail))::bigint, ',' order by n)
            filter (not chosen and n > n_prompt and role = 'assistant'), '') as rejected_mask
 from placed group by pair_id
+""",
+    "op12_prefix_trie": f"""
+with ordered as (
+  select conv_id, coalesce(role, '') as role, coalesce(text, '') as text,
+         row_number() over (partition by conv_id order by turn nulls first, coalesce(role, ''), coalesce(text, '')) as n
+  from conversations where conv_id is not null),
+own as (select conv_id, list({{'r': role, 't': text}} order by n) as turns from ordered group by conv_id),
+rule as (select conv_id, turns, {crc32_sql("conv_id::varchar")} % 4 as h, conv_id - conv_id % 20 as base from own),
+rebuilt as (
+  select a.conv_id, list_concat(coalesce(b.turns[1:a.h], []), a.turns[a.h + 1:]) as turns
+  from rule a left join own b on b.conv_id = a.base),
+steps as (
+  select conv_id, d as depth, len(turns) as size, sha256(to_json(turns[1:d])::varchar) as key,
+         sha256(to_json(turns[1:d - 1])::varchar) as up,
+         case when d = 0 then 0 else len(regexp_extract_all(turns[d].t, '[^\\x20\\x09-\\x0D]+')) end as words
+  from (select conv_id, turns, unnest(range(0, len(turns) + 1)) as d from rebuilt)),
+nodes as (
+  select key, depth, any_value(up) as up, min(conv_id) as conv_id, count(*) as n_convs, (count(*) - 1) * any_value(words) as saved,
+         sha256(coalesce(string_agg(conv_id::varchar, ',' order by conv_id) filter (depth = size), '')) as ends_sha256
+  from steps group by key, depth),
+families as (
+  select n.*, p.conv_id as parent, coalesce(k.n, 0) as n_children
+  from nodes n left join nodes p on p.key = n.up and p.depth = n.depth - 1
+  left join (select up, depth - 1 as depth, count(*) as n from nodes where depth > 0 group by all) k on k.up = n.key and k.depth = n.depth),
+under as (
+  select distinct a.key, a.depth, b.key as low_key, b.depth as low_depth
+  from steps a join steps b on a.conv_id = b.conv_id and a.depth <= b.depth),
+sums as (
+  select u.key, u.depth, sum((f.n_children = 0)::int) as n_leaves, sum(f.saved) as saved_tokens
+  from under u join families f on f.key = u.low_key and f.depth = u.low_depth group by u.key, u.depth)
+select f.conv_id::bigint as conv_id, f.depth::bigint as depth, f.parent::bigint as parent_conv_id, f.n_convs::bigint as n_convs,
+       f.n_children::bigint as n_children, s.n_leaves::bigint as n_leaves, s.saved_tokens::bigint as saved_tokens, f.ends_sha256
+from families f join sums s on s.key = f.key and s.depth = f.depth
 """,
 }

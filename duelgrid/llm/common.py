@@ -42,12 +42,10 @@ class Kept:
         df.write.parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
-    def drop(self, upto: int) -> None:
-        """Remove the first tables, once nothing reads them any more."""
-        jvm = self.spark._jvm
-        for i in range(1, upto + 1):
-            path = jvm.org.apache.hadoop.fs.Path(f"{self.root}/{i}")
-            path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+    def drop_one(self, number: int) -> None:
+        """Remove a table, once nothing reads it any more."""
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{number}")
+        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
