@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from duelgrid.llm import bpe, chat, decontam, langid, neardup, pii, piece_bpe, prefix_trie, secret_scan, sharding, topk, wrappers
+from duelgrid.llm import bpe, chat, decontam, langid, neardup, pii, piece_bpe, prefix_trie, secret_scan, sharding, spelling, topk, wrappers
 from duelgrid.llm.common import table
 
 VOCABULARY = "byte_bpe_50k.json"
@@ -63,7 +63,11 @@ def op12_prefix_trie(spark, sf_dir):
     return prefix_trie.shared_head_trie(table(spark, sf_dir, "conversations"))
 
 
-QUERIES = {f.__name__: f for f in (op1_bpe_round_trip, op2_exact_top_k, op3_language_id, op4_preference_pairs, op5_secret_scan, op6_kd_shards, op7_near_duplicates, op8_pii_surrogates, op9_benchmark_leaks, op10_main_text, op11_piece_bpe, op12_prefix_trie)}
+def op13_spelling_variants(spark, sf_dir):
+    return spelling.spelling_variants(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_bpe_round_trip, op2_exact_top_k, op3_language_id, op4_preference_pairs, op5_secret_scan, op6_kd_shards, op7_near_duplicates, op8_pii_surrogates, op9_benchmark_leaks, op10_main_text, op11_piece_bpe, op12_prefix_trie, op13_spelling_variants)}
 
 
 def crc32_sql(text: str) -> str:
@@ -164,5 +168,35 @@ sums as (
 select f.conv_id::bigint as conv_id, f.depth::bigint as depth, f.parent::bigint as parent_conv_id, f.n_convs::bigint as n_convs,
        f.n_children::bigint as n_children, s.n_leaves::bigint as n_leaves, s.saved_tokens::bigint as saved_tokens, f.ends_sha256
 from families f join sums s on s.key = f.key and s.depth = f.depth
+""",
+    "op13_spelling_variants": f"""
+with runs as (
+  select doc_id, unnest(regexp_extract_all(text, '[A-Za-z\\x{{C0}}-\\x{{FF}}]{{6,}}')) as run from documents),
+lowered as (
+  select doc_id, translate(run, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as run, count(*) as times
+  from runs group by all),
+hashed as (select run, times, {crc32_sql("coalesce(doc_id::varchar, '') || ':' || run")} as h from lowered),
+written as (
+  select case when h % 199 = 0 then run[1:(h % length(run))::int] || run[(h % length(run))::int + 2:] else run end as word, times from hashed),
+vocabulary as (select word, sum(times)::bigint as n from written group by word having sum(times) >= 5 and length(word) >= 6),
+shorter as (
+  select word, n, place, word[1:place] || word[place + 2:] as rest
+  from (select word, n, unnest(range(0, length(word)))::int as place from vocabulary)),
+near as (
+  select a.word, a.n, b.word as other, b.n as other_n from shorter a join shorter b on a.rest = b.rest and a.place = b.place and a.word <> b.word
+  union select a.word, a.n, b.word, b.n from shorter a join vocabulary b on a.rest = b.word
+  union select b.word, b.n, a.word, a.n from shorter a join vocabulary b on a.rest = b.word),
+best as (
+  select word, count(*) as n_near, first(other order by other_n desc, other) as other, max(other_n) as other_n from near group by word),
+forms as (
+  select v.word, v.n, coalesce(b.n_near, 0) as n_near, case when b.other_n >= 5 * v.n then b.other end as form,
+         case when b.other_n >= 5 * v.n then b.other_n end as form_n
+  from vocabulary v left join best b using (word)),
+chain as (
+  with recursive up as (
+    select word, word as root, 0 as steps from forms
+    union all select u.word, f.form, u.steps + 1 from up u join forms f on f.word = u.root where f.form is not null)
+  select word, first(root order by steps desc) as root from up group by word)
+select word, form, root, n, n_near::bigint as n_near, form_n from forms join chain using (word)
 """,
 }
