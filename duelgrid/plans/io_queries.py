@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from duelgrid.config import EngineConfig
 from duelgrid.functions import core as C
 from duelgrid.functions.names import name_pair
-from duelgrid.operators import backtest as T, ledger as L, sweep
+from duelgrid.operators import backtest as T, etl, ledger as L, sweep
 from duelgrid.plans.register import registrar
 from duelgrid.sources import bindings as B, readers as R, sinks as K
 from duelgrid.streaming import jobs as J
@@ -26,9 +26,14 @@ def place(ws, name):
 
 
 def through_text(ws, df, name, columns, optional=False):
-    """Write the frame as a headered text table and read it back as text."""
+    """Write the frame as headered text and read it back: half of the rows in files of the true header, half in files
+    of the reverse order with one more column.  Columns that the frame lacks are in no file."""
     path = place(ws, name)
-    K.write_text_table(df.select(*[F.col(f"`{c}`") for c in columns]), path)
+    there = [c for c in columns if c in df.columns]
+    rows = df.select(*[F.col(f"`{c}`") for c in there])
+    half = F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in there]), F.lit(2))
+    K.write_text_table(rows.filter(half == 0), path)
+    K.write_text_table(rows.filter(half == 1).select(F.lit("later").alias("Added, later"), *[F.col(f"`{c}`") for c in reversed(there)]), path, "append")
     return (R.read_optional if optional else R.read_text_table)(ws.spark, path, columns)
 
 
@@ -52,10 +57,10 @@ def competitor_source(ws):
     c = ws.competitors
     txt = lambda x: F.col(x).cast("string")
     raw = c.select(
-        txt("competitor").alias("Id"), F.col("name").alias("Full Name"), F.lit(None).cast("string").alias("Nickname"), F.lit("5' 11\"").alias("Ht."),
+        txt("competitor").alias("Fighter_Id"), F.col("name").alias("Full Name"), F.lit(None).cast("string").alias("Nickname"), F.lit("5' 11\"").alias("Ht."),
         F.when(F.col("nation") == 3, "None").otherwise(F.concat((F.col("competitor") % 90 + 115).cast("string"), F.lit(".5 lbs."))).alias("Wt."),
         F.lit("Orthodox").alias("Stance"), txt("wins").alias("W"), txt("losses").alias("L"), F.when(F.col("draws") > 3, txt("draws")).alias("D"),
-        F.when(F.col("balance") > 9000, "TRUE").otherwise("no").alias("Belt"), F.col("home_division").alias("Division"), F.col("gender").alias("Gender"),
+        F.when(F.col("balance") > 9000, "TRUE").otherwise("no").alias("Belt"), F.col("home_division").alias("Weight_Class"), F.col("gender").alias("Gender"),
         F.lit("Boxer").alias("Fighting Style"), *[F.when(F.col("competitor") % (i + 2) == 0, F.lit("--")).otherwise(
             F.concat((F.col("competitor") % (i + 7)).cast("string"), F.lit(".5%"))).alias(c) for i, c in enumerate(R.COMPETITOR_NUMBERS)])
     return R.competitor_source(through_text(ws, raw, "competitors", R.COMPETITOR_TEXT))
@@ -75,12 +80,12 @@ def contest_source(ws):
 @query("A6_A7_optional_sources")
 def optional(ws):
     """A present feed is read, an absent one is empty."""
-    p = B.recency_patch(ws.contests).select("c1", "name1", "c2", "name2", F.col("date").cast("string").alias("date"), "result1", "result2", "method",
-                                            F.lit("2").alias("round"), "division", F.lit("e").alias("event_name"), F.lit("feed").alias("source"))
-    path = place(ws, "patch")
-    K.write_text_table(p, path)
-    here = R.patch_source(R.read_optional(ws.spark, path, R.PATCH_TEXT))
-    gone = R.patch_source(R.read_optional(ws.spark, path + "-absent", R.PATCH_TEXT))
+    p = B.recency_patch(ws.contests).select(
+        F.col("c1").alias("fighter1_ourId"), F.col("name1").alias("fighter1_name"), F.col("c2").alias("fighter2_ourId"), F.col("name2").alias("fighter2_name"),
+        text("date").alias("date"), "result1", "result2", "method", F.lit("2").alias("round"), F.col("division").alias("weightClass"),
+        F.lit("e").alias("eventName"), F.lit("feed").alias("source"))
+    here = R.patch_source(through_text(ws, p, "patch", R.PATCH_TEXT, True))
+    gone = R.patch_source(R.read_optional(ws.spark, place(ws, "absent"), R.PATCH_TEXT))
     return here.unionByName(gone).select("c1", "c2", "date", "result1", "round", "has_metrics", "kd1")
 
 
@@ -88,8 +93,8 @@ def optional(ws):
 def outside_named(ws):
     o = ws.outside.select(
         F.when(F.col("outside_id") % 11 == 0, "").otherwise(F.col("organisation")).alias("organisation"),
-        F.when(F.col("outside_id") % 7 == 0, "n/a").otherwise(text("date")).alias("date"), F.concat(F.lit(" "), text("competitor")).alias("name1"),
-        F.col("opponent_id").alias("name2"), F.upper("result").alias("result1"), F.lit("x").alias("result2"))
+        F.when(F.col("outside_id") % 7 == 0, "n/a").otherwise(text("date")).alias("date"), F.concat(F.lit(" "), text("competitor")).alias("fighter1_name"),
+        F.col("opponent_id").alias("fighter2_name"), F.upper("result").alias("fighter1_result"), F.lit("x").alias("fighter2_result"))
     return R.outside_named_source(through_text(ws, o, "outside", R.OUTSIDE_NAMED_TEXT)).groupBy("name", "organisation", "date", "result").agg(
         F.count("*").alias("n"), F.max("opponent").alias("opponent"))
 
@@ -97,29 +102,27 @@ def outside_named(ws):
 @query("A8_outside_linked_source")
 def outside_linked(ws):
     o = ws.outside.select(
-        F.when(F.col("outside_id") % 11 == 0, "").otherwise(text("competitor")).alias("competitor"), "organisation", "tier",
-        text("date").alias("date"), F.col("opponent_id").alias("opponent"), F.initcap("result").alias("result"))
+        F.when(F.col("outside_id") % 11 == 0, "").otherwise(text("competitor")).alias("ourFighterId"), "organisation", "tier",
+        text("tier_multiplier").alias("tierMultiplier"), text("date").alias("date"), F.concat(F.lit("Rival "), "opponent_id").alias("opponentName"),
+        F.col("opponent_id").alias("opponentSherdogId"), F.initcap("result").alias("result"))
     return R.outside_linked_source(through_text(ws, o, "outside", R.OUTSIDE_LINKED_TEXT)).groupBy("competitor", "tier", "result").agg(
-        F.count("*").alias("n"), F.min("date").alias("first"))
+        F.count("*").alias("n"), F.min("date").alias("first"), F.max("opponent_id").alias("rival"), F.max("tier_multiplier").alias("multiplier"))
 
 
 @query("A9_A11_price_source")
 def price_source(ws):
     p = ws.prices.select(
-        F.col("price_id").cast("string").alias("price_id"), F.col("date").cast("string").alias("date"), "event",
-        F.when(F.col("outcome") == "unknown", "").otherwise(F.col("favourite")).alias("favourite"), "underdog",
-        F.col("fav_odds").cast("string").alias("favourite_odds"),
-        F.when(F.col("dog_odds") > 10, "n/a").otherwise(F.col("dog_odds").cast("string")).alias("underdog_odds"), F.upper("outcome").alias("outcome"))
-    path = place(ws, "prices")
-    K.write_text_table(p, path)
-    return R.price_source(R.read_text_table(ws.spark, path, R.PRICE_TEXT))
+        text("date").alias("date"), "event", F.when(F.col("outcome") == "unknown", "").otherwise(F.col("favourite")).alias("favourite"), "underdog",
+        text("fav_odds").alias("favourite_odds"),
+        F.when(F.col("dog_odds") > 10, "n/a").otherwise(text("dog_odds")).alias("underdog_odds"), F.upper("outcome").alias("outcome"))
+    return R.price_source(through_text(ws, p, "prices", R.PRICE_TEXT))
 
 
 @query("A7_merge_source")
 def merge_rows(ws):
     """Rows with a blank id go; an absent file is no merge at all."""
     m = ws.roster.select(text("competitor").alias("secondary_id"), F.when(F.col("competitor") % 4 == 1, "").otherwise(
-        (F.col("competitor") + 1).cast("string")).alias("primary_id"), F.lit('a "note", quoted').alias("note"))
+        (F.col("competitor") + 1).cast("string")).alias("primary_id"), F.lit('a "note", quoted').alias("reason"))
     here = through_text(ws, m, "merges", R.MERGE_TEXT, optional=True)
     gone = R.read_optional(ws.spark, place(ws, "absent"), R.MERGE_TEXT)
     return R.merge_source(here.unionByName(gone))
@@ -129,7 +132,7 @@ def merge_rows(ws):
 def book_rows(ws):
     i = F.col("contest_id")
     b = B.side_prices(ws.contests).select(
-        F.when(i % 13 == 0, "").otherwise(text("date")).alias("date"), F.col("event_id").alias("event"), "name1", "name2",
+        F.when(i % 13 == 0, "").otherwise(text("date")).alias("date"), F.col("event_id").alias("event_slug"), F.col("name1").alias("fighter1"), F.col("name2").alias("fighter2"),
         F.when(i % 5 == 0, "").otherwise(text("price1")).alias("open1"), F.when(i % 17 == 0, "-").otherwise(text("price1")).alias("close1"),
         F.lit("0").alias("open2"), text("price2").alias("close2"))
     return R.book_source(through_text(ws, b, "books", R.BOOK_TEXT))
@@ -141,7 +144,8 @@ def upcoming_rows(ws):
         F.when(F.col("slot_id") % 3 == 0, " ").otherwise(F.col("event_id")).alias("event_id"), "event_name",
         F.when(F.col("slot_id") % 5 == 0, "soon").otherwise(text("date")).alias("event_date"), text("bout_order").alias("bout_order"),
         F.col("division").alias("weight_class"), F.when(F.col("main_event"), "1").otherwise("0").alias("is_main_event"),
-        F.concat(F.lit(" "), text("c1")).alias("id1"), "name1", F.coalesce(text("c2"), F.lit("")).alias("id2"), "name2")
+        F.concat(F.lit(" "), text("c1")).alias("fighter1_ourId"), F.col("name1").alias("fighter1_name"), F.concat(F.lit("x"), text("c1")).alias("fighter1_sherdogId"),
+        F.coalesce(text("c2"), F.lit("")).alias("fighter2_ourId"), F.col("name2").alias("fighter2_name"))
     return R.upcoming_source(through_text(ws, u, "upcoming", R.UPCOMING_TEXT, optional=True))
 
 
@@ -217,12 +221,21 @@ def raw_result_rows(ws):
 @query("A20_raw_event_and_physical_sources")
 def raw_event_rows(ws):
     e = ws.contests.select(F.concat(F.col("event_id"), F.lit(" ")).alias("EVENT"), F.date_format("date", "MMMM d, yyyy").alias("DATE"), F.lit("Rio, Brazil").alias("LOCATION"))
-    p = ws.roster.select(F.when(F.col("competitor") % 9 == 0, "").otherwise(F.col("name")).alias("COMPETITOR"), F.lit("5' 11\"").alias("HEIGHT"),
-                         F.lit("--").alias("WEIGHT"), F.lit('72"').alias("REACH"), F.lit(" Southpaw").alias("STANCE"), F.lit("Jan 02, 1980").alias("DOB"))
+    p = ws.roster.select(F.when(F.col("competitor") % 9 == 0, "").otherwise(F.col("name")).alias("FIGHTER"), F.lit("5' 11\"").alias("HEIGHT"),
+                         F.lit("--").alias("WEIGHT"), F.lit('72"').alias("REACH"), F.lit(" Southpaw").alias("STANCE"))
     events = R.raw_source(through_text(ws, e, "events", R.RAW_EVENT_TEXT)).groupBy("EVENT", "DATE", "LOCATION").agg(F.count("*").alias("n"))
-    people = R.raw_source(through_text(ws, p, "physical", R.RAW_PHYSICAL_TEXT), "COMPETITOR")
+    people = R.raw_source(through_text(ws, p, "physical", R.RAW_PHYSICAL_TEXT), "FIGHTER")
     return events.select("EVENT", "DATE", "LOCATION", "n").unionByName(people.groupBy(
-        F.col("COMPETITOR").alias("EVENT"), F.col("HEIGHT").alias("DATE"), F.col("STANCE").alias("LOCATION")).agg(F.count("*").alias("n")))
+        F.col("FIGHTER").alias("EVENT"), F.col("HEIGHT").alias("DATE"), F.col("STANCE").alias("LOCATION")).agg(F.count("*").alias("n")))
+
+
+@query("A20_raw_round_source")
+def raw_round_rows(ws):
+    """Per-round text rows through files, then summed per side of a contest."""
+    back = {"COMPETITOR": "FIGHTER", "SIG_STR": "SIG.STR.", "TOTAL_STR": "TOTAL STR.", "SUB_ATT": "SUB.ATT", "REV": "REV."}
+    rows = ws.raw_rounds.toDF(*[back.get(c, c) for c in ws.raw_rounds.columns])
+    return etl.aggregate_rounds(R.round_source(through_text(ws, rows, "rounds", R.RAW_ROUND_TEXT))).select(
+        "event", "bout", "name", "kd", "sub_att", "rev", "ctrl", "head_landed", "ground_attempted")
 
 
 @query("A23_append_only_sink")

@@ -2,41 +2,97 @@
 
 from __future__ import annotations
 
+import csv
+from multiprocessing.pool import ThreadPool
+
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from duelgrid.functions import core as C
 
-# Column lists of the text tables, in file order.
-COMPETITOR_TEXT = ("Id", "Full Name", "Nickname", "Ht.", "Wt.", "Stance", "W", "L", "D", "Belt", "Division", "Gender",
-                   "KD", "Sig. Str. %", "Head_%", "Body_%", "Leg_%", "Distance_%", "Clinch_%", "Ground_%", "Sub. Att", "Ctrl", "TD",
+# The headers of the text files, as the files have them.
+COMPETITOR_TEXT = ("Fighter_Id", "Full Name", "Nickname", "Ht.", "Wt.", "Stance", "W", "L", "D", "Belt", "Weight_Class", "Gender",
+                   "KD", "Sig. Str. %", "TD", "Sub. Att", "Ctrl", "Head_%", "Body_%", "Leg_%", "Distance_%", "Clinch_%", "Ground_%",
                    "KO Rate", "SUB Rate", "DEC Rate", "Fighting Style", "Striker_Membership", "Wrestler_Membership", "Hybrid_Membership")
+PATCH_TEXT = ("fighter1_ourId", "fighter1_name", "fighter2_ourId", "fighter2_name", "date", "result1", "result2", "method", "round", "weightClass", "eventName", "source")
+MERGE_TEXT = ("secondary_id", "primary_id", "secondary_name", "primary_name", "reason")
+OUTSIDE_NAMED_TEXT = ("organisation", "date", "fighter1_name", "fighter2_name", "fighter1_result", "fighter2_result")
+OUTSIDE_LINKED_TEXT = ("ourFighterId", "sherdogId", "fullName", "date", "organisation", "canonicalOrg", "tier", "tierMultiplier", "opponentName", "opponentSherdogId",
+                       "result", "method", "round", "eventName")
+BOOK_TEXT = ("date", "event_slug", "fighter1", "fighter2", "open1", "open2", "close1", "close2", "n_books")
+UPCOMING_TEXT = ("event_id", "event_name", "event_date", "bout_order", "is_main_event", "weight_class", "fighter1_ourId", "fighter1_name", "fighter1_sherdogId",
+                 "fighter2_ourId", "fighter2_name", "fighter2_sherdogId", "fetched_at")
+MEDIA_TEXT = ("canonical_id", "fullName", "nationality", "photo_url", "photo_license", "ufc_id")
+PHOTO_TEXT = ("canonical_id", "headshot_url", "full_body_url")
+ALIAS_TEXT = ("normalized_name", "source", "canonical_id")
+RAW_RESULT_TEXT = ("EVENT", "BOUT", "OUTCOME", "WEIGHTCLASS", "METHOD", "ROUND", "TIME", "TIME FORMAT", "REFEREE", "DETAILS")
+RAW_ROUND_TEXT = ("EVENT", "BOUT", "FIGHTER", "KD", "SIG.STR.", "TOTAL STR.", "TD", "SUB.ATT", "REV.", "CTRL", "HEAD", "BODY", "LEG", "DISTANCE", "CLINCH", "GROUND")
+RAW_EVENT_TEXT = ("EVENT", "DATE", "LOCATION")
+RAW_PHYSICAL_TEXT = ("FIGHTER", "HEIGHT", "WEIGHT", "REACH", "STANCE")
+PRICE_TEXT = ("date", "event", "favourite", "underdog", "favourite_odds", "underdog_odds", "outcome")
+
+#: What the numbers of the competitor file are called here.
 COMPETITOR_NUMBERS = {"KD": "knockdowns", "Sig. Str. %": "strike_accuracy", "Head_%": "head_share", "Body_%": "body_share", "Leg_%": "leg_share",
                       "Distance_%": "distance_share", "Clinch_%": "clinch_share", "Ground_%": "ground_share", "Sub. Att": "submission_attempts",
                       "Ctrl": "control_time", "TD": "takedowns", "KO Rate": "ko_rate", "SUB Rate": "sub_rate", "DEC Rate": "dec_rate",
                       "Striker_Membership": "striker", "Wrestler_Membership": "wrestler", "Hybrid_Membership": "hybrid"}
-PATCH_TEXT = ("c1", "name1", "c2", "name2", "date", "result1", "result2", "method", "round", "division", "event_name", "source")
-MERGE_TEXT = ("secondary_id", "primary_id", "note")
-OUTSIDE_NAMED_TEXT = ("organisation", "date", "name1", "name2", "result1", "result2")
-OUTSIDE_LINKED_TEXT = ("competitor", "organisation", "tier", "date", "opponent", "result")
-BOOK_TEXT = ("date", "event", "name1", "name2", "open1", "close1", "open2", "close2")
-UPCOMING_TEXT = ("event_id", "event_name", "event_date", "bout_order", "weight_class", "is_main_event", "id1", "name1", "id2", "name2")
-MEDIA_TEXT = ("canonical_id", "nationality", "photo_url")
-PHOTO_TEXT = ("canonical_id", "headshot_url", "full_body_url")
-ALIAS_TEXT = ("normalized_name", "source", "canonical_id")
-RAW_RESULT_TEXT = ("EVENT", "BOUT", "OUTCOME", "WEIGHTCLASS", "METHOD", "ROUND", "TIME", "DETAILS")
-RAW_EVENT_TEXT = ("EVENT", "DATE", "LOCATION")
-RAW_PHYSICAL_TEXT = ("COMPETITOR", "HEIGHT", "WEIGHT", "REACH", "STANCE", "DOB")
-PRICE_TEXT = ("price_id", "date", "event", "favourite", "underdog", "favourite_odds", "underdog_odds", "outcome")
+#: First lines read at a time.
+OPENED_AT_ONCE = 16
 
 
 def text_schema(columns) -> T.StructType:
     return T.StructType([T.StructField(c, T.StringType()) for c in columns])
 
 
+def data_files(spark: SparkSession, path: str) -> list[str]:
+    """Files under a file, folder or pattern of any store Spark reads; hidden ones (`_`, `.`) are none."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    place = jvm.org.apache.hadoop.fs.Path(path)
+    fs, found = place.getFileSystem(conf), []
+    for status in fs.globStatus(place) or []:
+        root = status.getPath().toString()
+        files = fs.listFiles(status.getPath(), True)
+        while files.hasNext():
+            name = files.next().getPath().toString()
+            if not any(part[:1] in ("_", ".") for part in name[len(root):].split("/") if part):
+                found.append(name)
+    return sorted(found)
+
+
+def header_of(spark: SparkSession, file: str) -> tuple[str, ...]:
+    """The column names in the first line of a file, which may be compressed; empty if the file is."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    place = jvm.org.apache.hadoop.fs.Path(file)
+    raw = place.getFileSystem(conf).open(place)
+    try:
+        codec = jvm.org.apache.hadoop.io.compress.CompressionCodecFactory(conf).getCodec(place)
+        stream = codec.createInputStream(raw) if codec is not None else raw
+        line = jvm.java.io.BufferedReader(jvm.java.io.InputStreamReader(stream, "UTF-8")).readLine()
+    finally:
+        raw.close()
+    return tuple(c.strip() for c in next(csv.reader([(line or "").lstrip("\ufeff")]), ()))
+
+
 def read_text_table(spark: SparkSession, path: str, columns) -> DataFrame:
-    """A1: headered CSV, every column text, quoted fields with doubled quotes and line breaks."""
-    return (spark.read.schema(text_schema(columns)).option("header", True).option("quote", '"').option("escape", '"')
-            .option("multiLine", True).option("mode", "PERMISSIVE").csv(path))
+    """A1: headered CSV, every column text, quoted fields with doubled quotes and line breaks.
+
+    Each file's own header says where its columns are: files of one header are one scan, columns come by name in any
+    order, unknown ones are not read, and those that a file does not have are null in its rows.  Of a repeated name
+    the first column counts.  Only first lines reach the driver."""
+    files = data_files(spark, path)
+    with ThreadPool(OPENED_AT_ONCE) as pool:
+        headers = pool.map(lambda f: header_of(spark, f), files)
+    by_header: dict[tuple[str, ...], list[str]] = {}
+    for file, header in zip(files, headers):
+        if any(header):
+            by_header.setdefault(header, []).append(file)
+    out = None
+    for header, same in by_header.items():
+        place = {name: i for i, name in reversed(list(enumerate(header)))}
+        scan = (spark.read.schema(text_schema(f"c{i}" for i in range(len(header)))).option("header", True).option("quote", '"')
+                .option("escape", '"').option("multiLine", True).option("mode", "PERMISSIVE").csv(same))
+        part = scan.select(*[(F.col(f"c{place[c]}") if c in place else F.lit(None).cast("string")).alias(c) for c in columns])
+        out = part if out is None else out.unionByName(part)
+    return spark.createDataFrame([], text_schema(columns)) if out is None else out
 
 
 def path_exists(spark: SparkSession, path: str) -> bool:
@@ -56,10 +112,10 @@ def competitor_source(raw: DataFrame) -> DataFrame:
     """A2, A3: typed competitors; a missing number is 0."""
     num = lambda c: C.lenient_number(F.col(f"`{c}`"))
     return raw.select(
-        F.col("Id").alias("competitor"), F.coalesce("Full Name", F.lit("")).alias("name"), F.coalesce("Nickname", F.lit("")).alias("nickname"),
+        F.col("Fighter_Id").alias("competitor"), F.coalesce("Full Name", F.lit("")).alias("name"), F.coalesce("Nickname", F.lit("")).alias("nickname"),
         F.coalesce(F.col("`Ht.`"), F.lit("")).alias("height"), num("Wt.").alias("weight"), F.coalesce("Stance", F.lit("")).alias("stance"),
         num("W").alias("wins"), num("L").alias("losses"), num("D").alias("draws"), C.lenient_bool(F.col("Belt")).alias("belt"),
-        F.coalesce("Division", F.lit("")).alias("division"), F.coalesce("Gender", F.lit("")).alias("gender"),
+        F.coalesce("Weight_Class", F.lit("")).alias("division"), F.coalesce("Gender", F.lit("")).alias("gender"),
         *[num(c).alias(n) for c, n in COMPETITOR_NUMBERS.items()], F.coalesce("Fighting Style", F.lit("")).alias("style"))
 
 
@@ -83,27 +139,31 @@ def merge_source(raw: DataFrame) -> DataFrame:
 
 def outside_named_source(raw: DataFrame) -> DataFrame:
     """Contests elsewhere by both names, as one row per side; results lower-cased, undated rows kept."""
-    side = lambda i, j: F.struct(F.trim(f"name{i}").alias("name"), F.trim(f"name{j}").alias("opponent"), F.lower(F.trim(f"result{i}")).alias("result"))
-    return raw.filter(present("organisation", "name1", "name2")).select(
+    side = lambda i, j: F.struct(F.trim(f"fighter{i}_name").alias("name"), F.trim(f"fighter{j}_name").alias("opponent"), F.lower(F.trim(f"fighter{i}_result")).alias("result"))
+    return raw.filter(present("organisation", "fighter1_name", "fighter2_name")).select(
         "organisation", F.try_to_date("date", "yyyy-MM-dd").alias("date"), F.explode(F.array(side(1, 2), side(2, 1))).alias("s")
     ).select("organisation", "date", "s.*")
 
 
 def outside_linked_source(raw: DataFrame, skip_tiers: tuple = ("historical",)) -> DataFrame:
-    """Contests elsewhere that carry our id and a tier; skipped tiers and rows without an id go."""
+    """Contests elsewhere that carry our id and a tier, with their multiplier and the opponent's id there; skipped
+    tiers and rows without an id go."""
     result = F.lower(F.trim("result"))
-    return raw.filter(present("competitor") & ~F.coalesce(F.col("tier"), F.lit("")).isin(*skip_tiers)).select(
-        "competitor", F.coalesce("organisation", F.lit("")).alias("organisation"), "tier", F.try_to_date("date", "yyyy-MM-dd").alias("date"),
-        "opponent", F.when(result.isin("win", "loss", "draw"), result).otherwise("nc").alias("result"))
+    return raw.filter(present("ourFighterId") & ~F.coalesce(F.col("tier"), F.lit("")).isin(*skip_tiers)).select(
+        F.col("ourFighterId").alias("competitor"), F.coalesce(blank_to_null(F.col("canonicalOrg")), F.col("organisation"), F.lit("")).alias("organisation"),
+        "tier", C.lenient_number(F.col("tierMultiplier")).alias("tier_multiplier"), F.try_to_date("date", "yyyy-MM-dd").alias("date"),
+        F.col("opponentName").alias("opponent"), blank_to_null(F.col("opponentSherdogId")).alias("opponent_id"),
+        F.when(result.isin("win", "loss", "draw"), result).otherwise("nc").alias("result"))
 
 
 def book_source(raw: DataFrame) -> DataFrame:
     """A10: two-way closing prices of the second feed: a date and both closes required, openers optional."""
     n = lambda c: C.lenient_number(F.col(c))
     opener = lambda c: F.when(n(c) > 0, n(c)).alias(c)
-    return raw.filter(present("date", "name1", "name2") & (n("close1") > 0) & (n("close2") > 0)).select(
-        F.try_to_date("date", "yyyy-MM-dd").alias("date"), "event", "name1", "name2", opener("open1"), n("close1").alias("close1"),
-        opener("open2"), n("close2").alias("close2"))
+    return raw.filter(present("date", "fighter1", "fighter2") & (n("close1") > 0) & (n("close2") > 0)).select(
+        F.try_to_date("date", "yyyy-MM-dd").alias("date"), F.col("event_slug").alias("event"), F.col("fighter1").alias("name1"),
+        F.col("fighter2").alias("name2"), opener("open1"), n("close1").alias("close1"), opener("open2"), n("close2").alias("close2"),
+        F.col("n_books").try_cast("int").alias("n_books"))
 
 
 def upcoming_source(raw: DataFrame) -> DataFrame:
@@ -112,8 +172,9 @@ def upcoming_source(raw: DataFrame) -> DataFrame:
         F.coalesce(blank_to_null(F.col("event_id")), blank_to_null(F.col("event_name")), F.lit("unknown")).alias("event"),
         F.coalesce("event_name", F.lit("")).alias("event_name"), F.try_to_date("event_date", "yyyy-MM-dd").alias("date"),
         C.lenient_number(F.col("bout_order")).cast("int").alias("bout_order"), F.coalesce("weight_class", F.lit("")).alias("division"),
-        (F.coalesce(F.col("is_main_event"), F.lit("")) == "1").alias("main_event"), blank_to_null(F.col("id1")).alias("c1"),
-        F.coalesce("name1", F.lit("")).alias("name1"), blank_to_null(F.col("id2")).alias("c2"), F.coalesce("name2", F.lit("")).alias("name2"))
+        (F.coalesce(F.col("is_main_event"), F.lit("")) == "1").alias("main_event"), *[c for i in (1, 2) for c in (
+            blank_to_null(F.col(f"fighter{i}_ourId")).alias(f"c{i}"), F.coalesce(f"fighter{i}_name", F.lit("")).alias(f"name{i}"),
+            blank_to_null(F.col(f"fighter{i}_sherdogId")).alias(f"foreign{i}"))])
 
 
 def media_source(media: DataFrame, photos: DataFrame, codes: DataFrame) -> DataFrame:
@@ -135,9 +196,16 @@ def alias_source(raw: DataFrame) -> DataFrame:
     return raw.filter(present("normalized_name", "canonical_id")).select("normalized_name", "source", "canonical_id")
 
 
-def raw_source(raw: DataFrame, required: str = "EVENT") -> DataFrame:
-    """Scraped rows (results, rounds, events, physical): all text, trimmed, rows without the required cell go."""
-    return raw.filter(present(required)).select(*[F.trim(F.col(f"`{c}`")).alias(c) for c in raw.columns])
+def raw_source(raw: DataFrame, *required: str) -> DataFrame:
+    """Scraped rows (results, rounds, events, physical): all text, trimmed, rows without the required cells go."""
+    return raw.filter(present(*(required or ("EVENT",)))).select(*[F.trim(F.col(f"`{c}`")).alias(c) for c in raw.columns])
+
+
+def round_source(raw: DataFrame) -> DataFrame:
+    """Per-round rows under the names that the aggregation reads."""
+    names = {"FIGHTER": "COMPETITOR", "SIG.STR.": "SIG_STR", "TOTAL STR.": "TOTAL_STR", "SUB.ATT": "SUB_ATT", "REV.": "REV"}
+    rows = raw_source(raw, "EVENT", "BOUT", "FIGHTER")
+    return rows.toDF(*[names.get(c, c) for c in rows.columns])
 
 
 def event_source(raw: DataFrame, ordinal: str = "ordinal") -> DataFrame:
@@ -154,7 +222,8 @@ def contest_source(raw: DataFrame, events: DataFrame) -> DataFrame:
 
 def patch_source(raw: DataFrame) -> DataFrame:
     """Rows of the recency feed: ids and date required, no metrics, synthetic contest id."""
-    ok = raw.filter((F.col("c1") != "") & (F.col("c2") != "") & (F.col("date") != ""))
+    ok = raw.select(*[F.col(f"fighter{i}_{c}").alias(f"{n}{i}") for i in (1, 2) for c, n in (("ourId", "c"), ("name", "name"))], "date", "result1",
+                    "result2", "method", "round", F.col("weightClass").alias("division")).filter(present("c1", "c2", "date"))
     return ok.select(
         F.concat(F.lit("patch-"), C.hash_key(F.least("c1", "c2"), F.greatest("c1", "c2"), F.col("date"))).alias("contest_id"),
         "c1", "c2", "name1", "name2", F.try_to_date("date", "yyyy-MM-dd").alias("date"), "result1", "result2", "method",
@@ -167,7 +236,7 @@ def price_source(raw: DataFrame) -> DataFrame:
     a, b = C.lenient_number(F.col("favourite_odds")), C.lenient_number(F.col("underdog_odds"))
     word = F.lower(F.trim("outcome"))
     return raw.filter((F.coalesce("favourite", F.lit("")) != "") & (F.coalesce("underdog", F.lit("")) != "") & (a > 0) & (b > 0)).select(
-        F.col("price_id").cast("bigint").alias("price_id"), F.try_to_date("date", "yyyy-MM-dd").alias("date"), "event", "favourite", "underdog",
+        F.try_to_date("date", "yyyy-MM-dd").alias("date"), "event", "favourite", "underdog",
         a.alias("fav_odds"), b.alias("dog_odds"), F.when(word.isin("favourite", "underdog"), word).otherwise("unknown").alias("outcome"))
 
 

@@ -7,9 +7,9 @@ from pyspark.sql import DataFrame, SparkSession
 from duelgrid.sources.readers import path_exists
 
 
-def write_text_table(df: DataFrame, path: str) -> None:
+def write_text_table(df: DataFrame, path: str, mode: str = "overwrite") -> None:
     """Headered CSV with doubled quotes."""
-    df.write.mode("overwrite").option("header", True).option("quote", '"').option("escape", '"').csv(path)
+    df.write.mode(mode).option("header", True).option("quote", '"').option("escape", '"').csv(path)
 
 
 def write_table(df: DataFrame, path: str, partition_by: list[str] | None = None) -> None:

@@ -20,11 +20,11 @@ ORACLES = {
     "A8_outside_named_source": sql("""SELECT name, organisation, CASE WHEN dated THEN date END AS date, result, count(*) AS n, max(opponent) AS opponent FROM (
       SELECT s.*, organisation, date, outside_id%7<>0 AS dated FROM outside, LATERAL (VALUES (competitor::VARCHAR, opponent_id, result), (opponent_id, competitor::VARCHAR, 'x')) s(name, opponent, result)
       WHERE outside_id%11<>0 AND opponent_id<>'') GROUP BY ALL"""),
-    "A8_outside_linked_source": sql("SELECT competitor::VARCHAR AS competitor, tier, result, count(*) AS n, min(date) AS first FROM outside WHERE outside_id%11<>0 AND tier<>'historical' GROUP BY 1,2,3"),
-    "A9_A11_price_source": sql("SELECT price_id, date, event, favourite, underdog, fav_odds, dog_odds, outcome FROM prices WHERE outcome<>'unknown' AND dog_odds<=10"),
+    "A8_outside_linked_source": sql("SELECT competitor::VARCHAR AS competitor, tier, result, count(*) AS n, min(date) AS first, max(opponent_id) FILTER (opponent_id<>'') AS rival, max(tier_multiplier)::DOUBLE AS multiplier FROM outside WHERE outside_id%11<>0 AND tier<>'historical' GROUP BY 1,2,3"),
+    "A9_A11_price_source": sql("SELECT date, event, favourite, underdog, fav_odds, dog_odds, outcome FROM prices WHERE outcome<>'unknown' AND dog_odds<=10"),
     "A7_merge_source": sql("SELECT competitor::VARCHAR AS secondary, (competitor+1)::VARCHAR AS primary FROM roster WHERE competitor%4<>1"),
-    "A10_book_source": sql("SELECT date, event_id AS event, name1, name2, CASE WHEN contest_id%5<>0 THEN price1 END AS open1, price1 AS close1, NULL::DOUBLE AS open2, price2 AS close2 FROM side_prices WHERE contest_id%13<>0 AND contest_id%17<>0"),
-    "A11_upcoming_source": sql("SELECT CASE WHEN slot_id%3=0 THEN event_name ELSE event_id END AS event, event_name, CASE WHEN slot_id%5<>0 THEN date END AS date, bout_order::INT AS bout_order, division, main_event, c1::VARCHAR AS c1, name1, c2::VARCHAR AS c2, name2 FROM upcoming"),
+    "A10_book_source": sql("SELECT date, event_id AS event, name1, name2, CASE WHEN contest_id%5<>0 THEN price1 END AS open1, price1 AS close1, NULL::DOUBLE AS open2, price2 AS close2, NULL::INT AS n_books FROM side_prices WHERE contest_id%13<>0 AND contest_id%17<>0"),
+    "A11_upcoming_source": sql("SELECT CASE WHEN slot_id%3=0 THEN event_name ELSE event_id END AS event, event_name, CASE WHEN slot_id%5<>0 THEN date END AS date, bout_order::INT AS bout_order, division, main_event, c1::VARCHAR AS c1, name1, c2::VARCHAR AS c2, name2, 'x'||c1 AS foreign1, NULL::VARCHAR AS foreign2 FROM upcoming"),
     "A12_A13_birth_and_reach_sources": sql("SELECT competitor, CASE WHEN gender='Male' THEN DATE '1970-02-03' END AS born, CASE WHEN gender='Male' THEN true END AS approximate, CASE WHEN nation>=5 THEN nation+55 END::INT AS reach FROM competitors WHERE gender='Male' OR nation>=5"),
     "A14_media_source": sql("""SELECT competitor::VARCHAR AS canonical_id, CASE WHEN competitor%3=0 THEN '' ELSE 'Nation_'||(competitor%40) END AS nationality,
       CASE WHEN competitor%3<>0 AND competitor%40<(SELECT count(*) FROM nation) THEN chr((127462+competitor%40%26)::INT)||chr((127462+competitor%40*7%26)::INT) ELSE '' END AS flag,
