@@ -74,20 +74,25 @@ def division_depth(final: DataFrame, top: int = 15) -> DataFrame:
         F.lit(0.0)), 6).alias("heat"))
 
 
-def prospects(log: DataFrame, states: DataFrame, final: DataFrame, booked: DataFrame, competitors: DataFrame,
-              today: Column, short_method, max_contests: int = 5, active_months: float = 15.0, limit: int = 20) -> DataFrame:
-    """few contests, winning record, active or booked, no champion; ordered by rating."""
+def prospects(log: DataFrame, states: DataFrame, final: DataFrame, booked: DataFrame, competitors: DataFrame, ages: DataFrame,
+              pedigree: DataFrame, today: Column, short_method, max_contests: int = 5, active_months: float = 15.0,
+              least_outside: int = 3, limit: int = 20) -> DataFrame:
+    """few contests, winning record, active or booked, no champion; ordered by rating.  With age, the place among
+    contenders (best division) and the record elsewhere if it has `least_outside` contests."""
     label = F.concat(F.col("result"), F.lit(" "), short_method(F.col("method"), F.col("round")), F.lit(" vs. "), F.col("opponent_name"))
     a = log.groupBy("competitor").agg(
         F.count("*").alias("n"), F.count_if(F.col("result") == "W").alias("w"), F.count_if(F.col("result") == "L").alias("l"),
         F.max("date").alias("latest"), F.max(F.when(F.col("rev") == 1, label)).alias("last1"),
         F.max(F.when(F.col("rev") == 2, label)).alias("last2"))
+    placed = final.groupBy("competitor").agg(F.min("contender_rank").alias("our_rank"))
+    elsewhere = pedigree.filter(F.col("contests") >= least_outside).select("competitor", F.concat_ws("-", "wins", "losses").alias("outside_record"))
     x = (a.filter((F.col("n") <= max_contests) & (F.col("w") > F.col("l"))).join(final.filter("is_champion").select("competitor"), "competitor", "left_anti")
          .join(booked.select("competitor", F.col("date").alias("next_date")), "competitor", "left")
          .filter((C.months_between_days(F.col("latest"), today) <= active_months) | F.col("next_date").isNotNull())
-         .join(states.select("competitor", "rating"), "competitor").join(competitors.select("competitor", "name", "home_division"), "competitor"))
+         .join(states.select("competitor", "rating"), "competitor").join(competitors.select("competitor", "name", "home_division"), "competitor")
+         .join(ages.select("competitor", "age"), "competitor", "left").join(placed, "competitor", "left").join(elsewhere, "competitor", "left"))
     return x.orderBy(F.desc("rating"), "competitor").limit(limit).select(
-        "competitor", "name", "home_division", F.concat_ws("-", "w", "l").alias("record"), "n",
+        "competitor", "name", "home_division", F.concat_ws("-", "w", "l").alias("record"), "n", "age", "our_rank", "outside_record",
         h(F.col("rating")).cast("bigint").alias("elo"), h((F.col("rating") - 1500) / F.col("n"), 1).alias("climb"),
         "last1", "last2", "next_date")
 

@@ -39,6 +39,7 @@ ORACLES = {
       {_raw_method} AS METHOD, OUTCOME, count(*) AS n, min(trim(EVENT)) AS first, max(trim(BOUT)) AS last FROM raw_results WHERE contest_id%19<>0 GROUP BY 1,2,3"""),
     "A20_raw_event_and_physical_sources": sql("""SELECT trim(event_id) AS EVENT, strftime(date,'%B %-d, %Y') AS DATE, 'Rio, Brazil' AS LOCATION, count(*) AS n FROM contests GROUP BY 1,2
       UNION ALL SELECT name, '5'' 11"', 'Southpaw', count(*) FROM roster WHERE competitor%9<>0 GROUP BY 1"""),
+    "A20_raw_round_source": sql("SELECT event, bout, name, kd, sub_att, rev, ctrl, head_landed, ground_attempted FROM side_stats"),
     "A23_append_only_sink": sql("SELECT competitor, foreign_id FROM crosswalk"),
     "A24_report_tables": sql("SELECT coalesce(division,'all') AS division, coalesce(y,0)::INT AS year, count(*) AS contests, count(*) FILTER (has_metrics) AS with_metrics FROM (SELECT division, year(date) AS y, has_metrics FROM contests) GROUP BY ROLLUP (division, y)"),
     "S1_guarded_ingest": sql(f"SELECT arg_min(patch_id,(patch_id%3,patch_id)) AS patch_id, date, arg_min(c1,(patch_id%3,patch_id)) AS c1, arg_min(c2,(patch_id%3,patch_id)) AS c2 FROM patch_verdicts WHERE verdict='added' GROUP BY date, {pair('name1','name2')}"),

@@ -2,6 +2,7 @@
 
 from oracles.base import AS_OF, cte, months, r, sql
 from oracles import ranking, analytics, market, etl_sql  # noqa: F401
+from oracles.analytics import years
 from oracles.market import norm, scored
 from oracles.ranking import clamp
 
@@ -53,10 +54,14 @@ ORACLES = {
     "F3_leaderboards": sql("SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY board ORDER BY score DESC, competitor)::INT AS place FROM board_rows WHERE score>0) WHERE place<=15"),
     "F4_division_benchmarks": sql(f"SELECT division, {UM('ratio')} AS ratio, {UM('landed15')} AS landed15, {UM('absorbed15')} AS absorbed15, count(*) AS sample FROM bench GROUP BY 1 HAVING count(*)>=10"),
     "F5_division_depth": sql(f"SELECT division, depth, {r('CASE WHEN hi>lo THEN pow((depth-lo)/(hi-lo),1.35::DOUBLE) ELSE 0 END',6)} AS heat FROM depths, (SELECT min(depth) AS lo, max(depth) AS hi FROM depths)"),
-    "F6_prospects": sql(f"""SELECT x.competitor, c.name, c.home_division, w||'-'||l AS record, n, {r('t.rating')}::BIGINT AS elo, {r('(t.rating-1500)/n',1)} AS climb, last1, last2, u.date AS next_date FROM (
-      SELECT competitor, count(*) AS n, count(*) FILTER (result='W') AS w, count(*) FILTER (result='L') AS l, max(date) AS latest, max(lab) FILTER (rev=1) AS last1, max(lab) FILTER (rev=2) AS last2
-      FROM (SELECT *, result||' '||{SHORT}||' vs. '||opponent_name AS lab FROM log WHERE competitor%2=0 OR date>={AS_OF}-30) GROUP BY 1) x JOIN ratings t USING (competitor) JOIN competitors c USING (competitor) LEFT JOIN next_up u USING (competitor)
-      WHERE n<=5 AND w>l AND competitor NOT IN (SELECT competitor FROM final_rank WHERE is_champion) AND ({months('latest',AS_OF)}<=15 OR u.date IS NOT NULL) ORDER BY t.rating DESC, competitor LIMIT 20"""),
+    "F6_prospects": sql(f"""SELECT x.competitor, c.name, c.home_division, w||'-'||l AS record, n, {years('b.born')} AS age, f.our_rank, CASE WHEN p.contests>=3 THEN p.wins||'-'||p.losses END AS outside_record,
+      {r('t.rating')}::BIGINT AS elo, {r('(t.rating-1500)/n',1)} AS climb, last1, last2, u.date AS next_date FROM (
+      SELECT career AS competitor, any_value(competitor) AS holder, count(*) AS n, count(*) FILTER (result='W') AS w, count(*) FILTER (result='L') AS l, max(date) AS latest, max(lab) FILTER (back=1) AS last1, max(lab) FILTER (back=2) AS last2
+      FROM (SELECT *, result||' '||{SHORT}||' vs. '||opponent_name AS lab, row_number() OVER (PARTITION BY career ORDER BY seq DESC) AS back
+       FROM (SELECT *, competitor + CASE WHEN competitor%2=1 THEN date_diff('day',date,{AS_OF})//30 ELSE 0 END*1000000 AS career FROM log)) GROUP BY 1) x
+      JOIN ratings t ON t.competitor=holder JOIN competitors c ON c.competitor=holder LEFT JOIN next_up u ON u.competitor=x.competitor LEFT JOIN births b ON b.competitor=holder
+      LEFT JOIN (SELECT competitor, min(contender_rank) AS our_rank FROM final_rank GROUP BY 1) f ON f.competitor=x.competitor LEFT JOIN pedigree p ON p.competitor=holder
+      WHERE n<=5 AND w>l AND x.competitor NOT IN (SELECT competitor FROM final_rank WHERE is_champion) AND ({months('latest',AS_OF)}<=15 OR u.date IS NOT NULL) ORDER BY t.rating DESC, x.competitor LIMIT 20"""),
     "F7_outside_prospects": sql("""SELECT a.*, b.notable, last_date>=DATE '1995-01-01' AS active FROM (SELECT opponent_id, count(*) FILTER (result='loss') AS beat, count(*) FILTER (result='win') AS lost_to, max(tier_multiplier) AS top_multiplier, max(date) AS last_date, 'Rival '||opponent_id AS name
       FROM outside WHERE result IN ('win','loss') AND opponent_id NOT IN (SELECT 'X'||n_nationkey FROM nation) GROUP BY 1) a JOIN (SELECT opponent_id, string_agg('beat '||coalesce(name,'?')||' ('||date||')', '; ' ORDER BY rn) AS notable FROM (
        SELECT o.*, r.name, row_number() OVER (PARTITION BY opponent_id ORDER BY date DESC, outside_id DESC) AS rn FROM outside o LEFT JOIN roster r USING (competitor) WHERE result='loss') WHERE rn<=4 GROUP BY 1) b USING (opponent_id) WHERE beat>0"""),
