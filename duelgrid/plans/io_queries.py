@@ -279,22 +279,33 @@ def yearly(ws, df, name, years):
 @query("S2_online_ratings")
 def online(ws):
     df = ws.contests.select("contest_id", "date", "c1", "c2", "result1", "result2", "method", "division")
-    src, out = yearly(ws, df, "s2-in", ((0, 1995), (1998, 1998), (1996, 1997), (1999, 9999))), place(ws, "s2-out")
+    src, out = yearly(ws, df, "s2-in", ((0, 1995), (1998, 1998), (1996, 1997), (1998, 1998), (1999, 9999), (0, 1996))), place(ws, "s2-out")
     J.online_ratings(J.file_stream(ws.spark, src, df, 2), out, place(ws, "s2-cp"), ws.as_of)
-    s = J.latest_version(ws.spark, f"{out}/state")
+    s = J.online_state(ws.spark, out)
     return s.select("competitor", "seen", "last_date", "last_label", h(F.col("dev") + 1500, 6).alias("rating"))
 
 
 @query("S3_price_result_join")
 def price_join(ws):
-    ids = ws.resolved_prices.filter("fav_id is not null and dog_id is not null")
-    p = ws.prices.join(ids, "price_id").select("price_id", C.pair_key(F.col("fav_id"), F.col("dog_id")).alias("pair"), F.col("date").cast("timestamp").alias("price_ts"))
+    # names that resolve to nobody have no pair and match nothing
+    p = ws.prices.join(ws.resolved_prices, "price_id").select("price_id", C.pair_key(F.col("fav_id"), F.col("dog_id")).alias("pair"), F.col("date").cast("timestamp").alias("price_ts"))
     c = ws.contests.select("contest_id", C.pair_key(F.col("c1"), F.col("c2")).alias("pair"), F.col("date").cast("timestamp").alias("contest_ts"))
+    # a file a year and side, then prices of the first year that come too late, then rows that only move time on
     a, b, out = place(ws, "s3-p"), place(ws, "s3-c"), place(ws, "s3-out")
-    p.write.parquet(a)
-    c.write.parquet(b)
-    J.price_results(J.file_stream(ws.spark, a, p), J.file_stream(ws.spark, b, c), out, place(ws, "s3-cp"))
-    return ws.spark.read.parquet(out).select("price_id", "contest_id")
+    first, final = c.agg(F.min(F.year("contest_ts")), F.max(F.year("contest_ts"))).first()
+    late = (F.year("price_ts") == first) & (F.col("price_id") % 50 == 0)
+    for year in range(first, final + 1):
+        edge = lambda ts: (F.year(ts) == year) if first < year < final else (F.year(ts) <= year if year == first else F.year(ts) >= year)
+        p.filter(edge("price_ts") & ~late).coalesce(1).write.mode("append").parquet(a)
+        c.filter(edge("contest_ts")).coalesce(1).write.mode("append").parquet(b)
+    p.filter(late).coalesce(1).write.mode("append").parquet(a)
+    tick = lambda df, ts: df.limit(1).select(*[{ts: F.lit(f"{final + 1}-06-01").cast("timestamp"), "pair": F.lit(ts)}.get(f.name, F.lit(None).cast(f.dataType)).alias(f.name) for f in df.schema])
+    for side, ts, path in ((p, "price_ts", a), (c, "contest_ts", b)):
+        tick(side, ts).coalesce(1).write.mode("append").parquet(path)
+    q = J.price_results(J.file_stream(ws.spark, a, p, 1), J.file_stream(ws.spark, b, c, 1), out, place(ws, "s3-cp"))
+    given = ws.spark.read.parquet(out).filter("price_id is not null").select("price_id", "contest_id", F.when(F.col("contest_id").isNull(), "unmatched").otherwise("matched").alias("kind"))
+    behind = J.late_prices(ws.spark.read.parquet(a), out, q.lastProgress["eventTime"]["watermark"])
+    return given.unionByName(behind.select("price_id", F.lit(None).cast("bigint").alias("contest_id"), F.lit("late").alias("kind")))
 
 
 def run_dates(rows, n=4):
@@ -318,7 +329,7 @@ def ledger(ws):
         batch.withColumn("run_date", d).repartition(2, "slot_id").write.mode("append").parquet(src)
     like = rows.withColumn("run_date", F.current_date())
     J.ledger_stream(J.file_stream(ws.spark, src, like, 1), ws.contests.select("c1", "c2", "date", "result1", "result2"), out, place(ws, "s4-cp"))
-    return J.latest_version(ws.spark, out).select("slot_id", "date", "snapshot_on", "status", "winner", "settled_on", r6("prob1"))
+    return J.ledger_rows(ws.spark, out).select("slot_id", "date", "snapshot_on", "status", "winner", "settled_on", r6("prob1"))
 
 
 @query("S5_running_scores")

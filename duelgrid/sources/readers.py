@@ -101,6 +101,13 @@ def path_exists(spark: SparkSession, path: str) -> bool:
     return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
 
 
+def folders(spark: SparkSession, path: str) -> list[str]:
+    """The folders right under a folder."""
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    found = place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listStatus(place)
+    return [f.getPath().toString() for f in found if f.isDirectory()]
+
+
 def read_optional(spark: SparkSession, path: str, columns) -> DataFrame:
     """An absent file is an empty table, a no-op for everything downstream."""
     if path_exists(spark, path):

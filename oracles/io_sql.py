@@ -44,7 +44,9 @@ ORACLES = {
     "A24_report_tables": sql("SELECT coalesce(division,'all') AS division, coalesce(y,0)::INT AS year, count(*) AS contests, count(*) FILTER (has_metrics) AS with_metrics FROM (SELECT division, year(date) AS y, has_metrics FROM contests) GROUP BY ROLLUP (division, y)"),
     "S1_guarded_ingest": sql(f"SELECT arg_min(patch_id,(patch_id%3,patch_id)) AS patch_id, date, arg_min(c1,(patch_id%3,patch_id)) AS c1, arg_min(c2,(patch_id%3,patch_id)) AS c2 FROM patch_verdicts WHERE verdict='added' GROUP BY date, {pair('name1','name2')}"),
     "S2_online_ratings": sql(f"SELECT competitor, contests_rated AS seen, last_date, last_division AS last_label, {r('at_last',6)} AS rating FROM ratings"),
-    "S3_price_result_join": sql("SELECT a.price_id, c.contest_id FROM asked a JOIN contests c ON least(c.c1,c.c2)=least(a.fav_id,a.dog_id) AND greatest(c.c1,c.c2)=greatest(a.fav_id,a.dog_id) AND abs(date_diff('day',c.date,a.date))<=2"),
+    "S3_price_result_join": sql("""SELECT a.price_id, CASE WHEN NOT late THEN c.contest_id END AS contest_id, CASE WHEN late THEN 'late' WHEN c.contest_id IS NULL THEN 'unmatched' ELSE 'matched' END AS kind
+      FROM (SELECT *, price_id%50=0 AND year(date)=(SELECT min(year(date)) FROM contests) AS late FROM asked) a LEFT JOIN contests c
+      ON NOT late AND least(c.c1,c.c2)=least(a.fav_id,a.dog_id) AND greatest(c.c1,c.c2)=greatest(a.fav_id,a.dog_id) AND abs(date_diff('day',c.date,a.date))<=2"""),
     "S4_ledger_stream": sql(f"""SELECT slot_id, date, snap AS snapshot_on, CASE WHEN st IS NULL THEN 'pending' ELSE hit[1] END AS status, CASE WHEN st IS NOT NULL THEN hit[2] END AS winner, st AS settled_on, {r('p',6)} AS prob1 FROM (
       SELECT c.contest_id AS slot_id, c.date, {_snap} AS snap, {_set} AS st, coalesce(1/(1+pow(10::DOUBLE,(h.opponent_rating-h.rating_before)/400)),0.5) AS p, d.hit
       FROM contests c LEFT JOIN history h ON h.contest_id=c.contest_id AND h.competitor=c.c1
