@@ -262,9 +262,11 @@ def short_method(method: Column, round_no: Column) -> Column:
 
 
 def recent_form(log: DataFrame, count: int = 5) -> DataFrame:
-    """Newest results with compact labels, nested; the filter bounds every list."""
+    """Newest results with compact labels and title flag (where the log has one), nested; the filter bounds every
+    list."""
+    log = log if "is_title" in log.columns else log.withColumn("is_title", F.lit(False))
     item = F.struct("rev", "result", F.concat(short_method(F.col("method"), F.col("round")), F.lit(" vs. "),
-                                              F.col("opponent_name")).alias("label"), "date")
+                                              F.col("opponent_name")).alias("label"), "date", "is_title")
     return log.filter(F.col("rev") <= count).groupBy("competitor").agg(F.array_sort(F.collect_list(item)).alias("form"))
 
 

@@ -39,6 +39,20 @@ def competitor(profile: DataFrame, final: DataFrame, upcoming_next: DataFrame, f
                     F.col("r.contender_rank").alias("contender_rank"), "form", "next_date", "next_opponent"))
 
 
+def nested_profile(profile: DataFrame, radar: DataFrame, trends: DataFrame, gauntlet: DataFrame, benchmarks: DataFrame,
+                   media: DataFrame, reach: DataFrame, following: DataFrame) -> DataFrame:
+    """The profile as it is read: with style radar, trend codes, contest-by-contest verdict, the benchmark of the
+    ranked (else the home) division, pictures, reach and the next contest, each a struct or null."""
+    part = lambda df, name, key="competitor": df.select(key, F.struct(*[c for c in df.columns if c != key]).alias(name))
+    pictures = media.withColumnRenamed("canonical_id", "who")
+    return (profile.join(part(radar, "radar"), "competitor", "left").join(part(trends, "trend"), "competitor", "left")
+            .join(part(gauntlet, "gauntlet"), "competitor", "left").join(reach.select("competitor", "reach"), "competitor", "left")
+            .join(part(following, "next_contest"), "competitor", "left")
+            .withColumn("peer_division", F.coalesce("ranked_division", "home_division"))
+            .join(part(benchmarks.withColumnRenamed("division", "peer_division"), "benchmark", "peer_division"), "peer_division", "left")
+            .withColumn("who", F.col("competitor").cast("string")).join(part(pictures, "media", "who"), "who", "left").drop("who"))
+
+
 def search(competitors: DataFrame, text: str, limit: int = 8) -> DataFrame:
     """I4: exact 3 > prefix 2 > word prefix 1.5 > substring 1, then contest count; two letters at least."""
     q = normalize_name(F.lit(text), "search")
@@ -76,6 +90,7 @@ def enrich_upcoming(slots: DataFrame, profile: DataFrame, today: Column, form: D
 
     form: competitor and its last contests as text."""
     cols = ["competitor", "age", "rating", "form_nudge", "is_champion", "shown_rank", "ranked_division", "style", "finish_rate", "schedule_quality", "record"]
+    cols = [*cols, *(c for c in ("reach",) if c in profile.columns)]
     if form is not None:
         profile, cols = profile.join(form.select("competitor", "form"), "competitor", "left"), [*cols, "form"]
     out = slots.filter(F.col("date") >= today)
@@ -122,13 +137,13 @@ def find_event(slots: DataFrame, text: str, today: Column) -> DataFrame:
     return names.withColumn("matched", kind).filter("matched is not null").orderBy("matched", "date", "event_id").limit(1)
 
 
-COMPARED = ("rating", "age", "finish_rate", "schedule_quality", "ratio_career", "ratio_last3", "accuracy")
+COMPARED = ("rating", "age", "finish_rate", "schedule_quality", "ratio_career", "ratio_last3", "accuracy", "reach", "diff15")
 
 
 def compare(profile: DataFrame, pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Probabilities and thin-sample flag per pair, and one row per compared statistic with its leader.
 
-    pairs: pair_id, a, b.
+    pairs: pair_id, a, b; profile with reach and the career differential per 15 minutes (`diff15`).
     """
     cols = ["competitor", "form_nudge", "contests", *COMPARED]
     view = lambda s: profile.select(*[F.col(c).alias(s if c == "competitor" else f"{c}_{s}") for c in cols])

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from duelgrid.functions import core as C
 from duelgrid.functions.names import VARIANTS, last_first_key, name_pair, normalize_name, surname
 from duelgrid.operators import attributes as AT, etl, identity as I
-from duelgrid.operators.identity_rules import organisation_dictionary, tier_of
+from duelgrid.operators.identity_rules import ORGANISATIONS, organisation_dictionary, tier_of, title_dictionary
 from duelgrid.plans.register import registrar
 from duelgrid.sources import bindings as B
 
@@ -288,6 +288,21 @@ def organisations(ws):
     return organisation_dictionary(ws.outside, rules)
 
 
+def titled_history(ws):
+    """Outside contests under event titles as feeds spell them: every known way to start, in several cases, and others."""
+    starts = [p for _, _, prefixes in ORGANISATIONS for p in prefixes] + ["Alash Pride", "Extreme Shootout", "Local Night", "2 Hot"]
+    i = F.col("outside_id")
+    start = F.element_at(F.array(*[F.lit(x) for x in starts]), (i % len(starts) + 1).cast("int"))
+    start = F.when(i % 3 == 1, F.upper(start)).otherwise(start)
+    title = F.concat(F.lit(" "), start, F.when(F.substring(start, -1, 1) == " ", "").otherwise(" "), (i % 90).cast("string"), F.when(i % 2 == 0, " - A City").otherwise(""))
+    return ws.outside.withColumn("event_name", title)
+
+
+@query("C32_titles_to_organisations")
+def title_organisations(ws):
+    return title_dictionary(titled_history(ws))
+
+
 @query("C33_external_match_audit")
 def external_audit(ws):
     ext = ws.external.withColumn("name", B.feed_name(F.col("name"), F.col("competitor"))).drop("competitor")

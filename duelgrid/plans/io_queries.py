@@ -152,19 +152,13 @@ def upcoming_rows(ws):
 @query("A12_A13_birth_and_reach_sources")
 def side_tables(ws):
     b = ws.competitors.select("competitor", F.when(F.col("gender") == "Male", "1970-02-03").otherwise("Feb 1970").alias("dob"), F.lit("year").alias("precision"))
-    r = ws.competitors.select("competitor", F.when(F.col("nation") < 5, "--").otherwise(F.concat((F.col("nation") + 55).cast("string"), F.lit('"'))).alias("reach"))
+    r = B.reach_text(ws.competitors)
     return R.birth_source(b).join(R.reach_source(r), "competitor", "full_outer")
 
 
 @query("A14_media_source")
 def media_rows(ws):
-    i = F.col("competitor")
-    m = ws.roster.filter(i % 3 != 0).select(text("competitor").alias("canonical_id"), F.concat(F.lit("Nation_"), (i % 40).cast("string")).alias("nationality"),
-                                            F.when(i % 4 == 0, "").otherwise(F.concat(F.lit("p"), i.cast("string"))).alias("photo_url"))
-    p = ws.roster.filter(i % 5 != 0).select(text("competitor").alias("canonical_id"), F.when(i % 7 == 0, "h").otherwise("").alias("headshot_url"),
-                                            F.when(i % 2 == 0, "b").otherwise("").alias("full_body_url"))
-    n = F.col("n_nationkey")
-    codes = ws.table("nation").select(F.initcap("n_name").alias("nationality"), F.concat(F.char(n % 26 + 97), F.char(n * 7 % 26 + 65)).alias("iso"))
+    m, p, codes = B.media_tables(ws.roster, ws.table("nation"))
     return R.media_source(through_text(ws, m, "media", R.MEDIA_TEXT, True), through_text(ws, p, "photos", R.PHOTO_TEXT, True), codes)
 
 

@@ -6,9 +6,10 @@ from pyspark.sql import functions as F
 
 from duelgrid.config import FilterParams
 from duelgrid.functions import core as C
-from duelgrid.operators import analytics as A, backtest as T, discovery as D, ledger as L, pages as P, pedigree as PD, quality as Q, surface as S
+from duelgrid.operators import analytics as A, backtest as T, discovery as D, ledger as L, market as M, pages as P, pedigree as PD, quality as Q, surface as S
+from duelgrid.plans.analytics_queries import radar_frame
 from duelgrid.plans.register import registrar
-from duelgrid.sources import bindings as B
+from duelgrid.sources import bindings as B, readers as R
 
 QUERIES, query = registrar()
 h = C.half_up
@@ -93,6 +94,10 @@ def profile(ws):
     return ws.profile.join(best, "competitor", "left_semi")
 
 
+def reaches(ws):
+    return R.reach_source(B.reach_text(ws.competitors))
+
+
 def form_text(ws):
     return A.recent_form(ws.log).select("competitor", F.array_join(F.transform("form", lambda x: F.concat_ws(" ", x["result"], x["label"])), "; ").alias("form"))
 
@@ -107,6 +112,20 @@ def hinted(ws):
     return read(low, hint).unionByName(read(high))
 
 
+@query("G18_I3_nested_profile")
+def nested(ws):
+    """Every competitor's profile with its nested parts, laid flat."""
+    trends = A.trend_codes(ws.pace_wide, ws.trend_context, A.durability(ws.sides, ws.pace))
+    radar = A.radar(ws.sides, radar_frame(ws), ws.today)
+    n = S.nested_profile(
+        ws.profile, radar, trends, A.gauntlet_summary(A.gauntlet_points(ws.log)), D.division_benchmarks(ws.final, ws.pace_wide),
+        R.media_source(*B.media_tables(ws.roster, ws.table("nation"))), reaches(ws), S.next_contests(B.upcoming(ws.contests), ws.today))
+    return n.select("competitor", "name", "rating", "reach", r6("radar.strike").alias("strike"), r6("radar.activity").alias("activity"), F.array_join("trend.codes", ",").alias("codes"),
+                    F.col("gauntlet.total_overperformance").alias("total_overperformance"), F.col("gauntlet.upset_contest").alias("upset_contest"),
+                    F.col("benchmark.ratio").alias("peer_ratio"), F.col("benchmark.sample").alias("peer_sample"), F.col("media.avatar").alias("avatar"),
+                    F.col("media.nationality").alias("nationality"), F.col("next_contest.date").alias("next_date"), F.col("next_contest.opponent_name").alias("next_opponent"))
+
+
 @query("I4_name_search")
 def search(ws):
     return S.search(ws.competitors, "vanb")
@@ -125,8 +144,12 @@ def next_contest(ws):
 
 @query("I7_upcoming_cards")
 def cards(ws):
-    e = S.enrich_upcoming(B.upcoming(ws.contests), ws.profile, ws.today, form_text(ws))
-    return e.select("slot_id", "c1", "c2", "rank_label1", "rank_label2", "style1", "style2", "age1", "age2", "record1", "record2", "form1", "form2",
+    titles = ws.titles.select(C.pair_key(F.col("champion"), F.col("challenger")).alias("pair"), "date")
+    log = M.title_flags(ws.log.withColumn("pair", C.pair_key(F.col("competitor"), F.col("opponent"))), titles)
+    form = A.recent_form(log).select("competitor", F.array_join(F.transform("form", lambda x: F.concat_ws(
+        " ", x["result"], x["label"], F.when(x["is_title"], "(title)"))), "; ").alias("form"))
+    e = S.enrich_upcoming(B.upcoming(ws.contests), ws.profile.join(reaches(ws), "competitor", "left"), ws.today, form)
+    return e.select("slot_id", "c1", "c2", "reach1", "reach2", "rank_label1", "rank_label2", "style1", "style2", "age1", "age2", "record1", "record2", "form1", "form2",
                     r6("prob1"), r6("form_prob1"))
 
 
@@ -146,14 +169,19 @@ def rivals(ws):
         F.max(F.when(F.col("pos") == 1, F.col("competitor"))).alias("a"), F.max(F.when(F.col("pos") == 2, F.col("competitor"))).alias("b"))
 
 
+def compared(ws):
+    career = ws.pace_wide.select("competitor", F.col("career.diff15").alias("diff15"))
+    return ws.profile.join(reaches(ws), "competitor", "left").join(career, "competitor", "left")
+
+
 @query("I9_compare_probabilities")
 def compare(ws):
-    return S.compare(ws.profile, rivals(ws))[0]
+    return S.compare(compared(ws), rivals(ws))[0]
 
 
 @query("I9_compare_statistics")
 def compare_rows(ws):
-    return S.compare(ws.profile, rivals(ws))[1]
+    return S.compare(compared(ws), rivals(ws))[1]
 
 
 @query("I10_summary")

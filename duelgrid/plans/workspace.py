@@ -7,6 +7,7 @@ The rating history is the table most jobs read.
 
 from __future__ import annotations
 
+import hashlib
 from functools import cached_property
 from uuid import uuid4
 
@@ -19,6 +20,7 @@ from duelgrid.operators import backtest, analytics, etl, identity, market, ranki
 from duelgrid.functions.names import name_pair
 from duelgrid.session import ensure_checkpoint_dir
 from duelgrid.sources import bindings as B
+from duelgrid.sources.readers import path_exists
 
 _OPEN: dict[tuple[str, str], "Workspace"] = {}
 
@@ -248,12 +250,19 @@ class Workspace:
         return self.keep("final", ranking.contender_rank(
             ranking.finalize(self.moved, ranking.loss_streaks(self.sides))))
 
+    def swept(self, engine: EngineConfig) -> DataFrame:
+        """The rating history of an engine: swept once for each signature and `as_of`, then read from its table."""
+        name = "history-" + hashlib.sha256(f"{engine!r} {self.as_of}".encode()).hexdigest()[:16]
+        if path_exists(self.spark, f"{self.root}/{name}/_SUCCESS"):
+            return self.spark.read.parquet(f"{self.root}/{name}")
+        return self.keep(name, sweep.sweep(self.contests, engine, self.as_of))
+
     def rankings(self, filters: FilterParams = FilterParams()) -> DataFrame:
         """All divisions under user filters; the neutral position is the shared product."""
         if filters == FilterParams():
             return self.final
         engine = filters.engine(self.engine)
-        states = sweep.final_states(sweep.sweep(self.contests, engine, self.as_of), self.as_of, engine)
+        states = sweep.final_states(self.swept(engine), self.as_of, engine)
         return ranking.contender_rank(ranking.rank_divisions(
             self.competitors, self.contests, self.sides, states, self.external, self.overrides, self.pedigree,
             self.as_of, engine))

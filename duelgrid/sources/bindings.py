@@ -190,6 +190,21 @@ def births(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(key % 4 == 3, "year").otherwise("day").alias("precision"))
 
 
+def media_tables(roster: DataFrame, nations: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Media rows, photo rows and nationality codes, as text; some competitors are in one file only or in none."""
+    i, text = F.col("competitor"), F.col("competitor").cast("string").alias("canonical_id")
+    m = roster.filter(i % 3 != 0).select(text, F.concat(F.lit("Nation_"), (i % 40).cast("string")).alias("nationality"),
+                                         F.when(i % 4 == 0, "").otherwise(F.concat(F.lit("p"), i.cast("string"))).alias("photo_url"))
+    p = roster.filter(i % 5 != 0).select(text, F.when(i % 7 == 0, "h").otherwise("").alias("headshot_url"),
+                                         F.when(i % 2 == 0, "b").otherwise("").alias("full_body_url"))
+    n = F.col("n_nationkey")
+    return m, p, nations.select(F.initcap("n_name").alias("nationality"), F.concat(F.char(n % 26 + 97), F.char(n * 7 % 26 + 65)).alias("iso"))
+
+
+def reach_text(competitors: DataFrame) -> DataFrame:
+    return competitors.select("competitor", F.when(F.col("nation") < 5, "--").otherwise(F.concat((F.col("nation") + 55).cast("string"), F.lit('"'))).alias("reach"))
+
+
 def career_ids(competitor, date, as_of):
     """Test ids with short careers: what a competitor of an odd id did in each 30 days before the last 30 is a namesake's
     own career.  No row is left out."""

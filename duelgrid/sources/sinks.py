@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import hashlib
 
-from duelgrid.sources.readers import path_exists
+from pyspark.sql import DataFrame, SparkSession
 
 
 def write_text_table(df: DataFrame, path: str, mode: str = "overwrite") -> None:
@@ -12,20 +12,27 @@ def write_text_table(df: DataFrame, path: str, mode: str = "overwrite") -> None:
     df.write.mode(mode).option("header", True).option("quote", '"').option("escape", '"').csv(path)
 
 
-def write_table(df: DataFrame, path: str, partition_by: list[str] | None = None) -> None:
-    """Columnar output; large tables are partitioned so date and era filters prune."""
-    w = df.write.mode("overwrite")
-    (w.partitionBy(*partition_by) if partition_by else w).parquet(path)
-
-
 def write_json(df: DataFrame, path: str) -> None:
     """A22."""
     df.write.mode("overwrite").json(path)
 
 
+#: Hash buckets of an append-only table.
+BUCKETS = 32
+
+
+def unseen(df: DataFrame, table: DataFrame, keys: list[str]) -> DataFrame:
+    """One row of each key that the bucketed table lacks."""
+    fresh = df.dropDuplicates(keys).repartition(BUCKETS, *keys)
+    return fresh.join(table.select(*keys).hint("merge"), keys, "left_anti")
+
+
 def append_new(df: DataFrame, path: str, keys: list[str], spark: SparkSession) -> None:
-    """Append rows whose key is not there yet; running it twice changes nothing."""
-    fresh = df.dropDuplicates(keys)
-    if path_exists(spark, path):
-        fresh = fresh.join(spark.read.parquet(path).select(*keys), keys, "left_anti")
-    fresh.write.mode("append").parquet(path)
+    """Append rows whose key is not there yet; running it twice changes nothing.  The table lies in hash buckets of
+    its keys, sorted within each, so that only the new rows are shuffled to be compared with it."""
+    name = "appended_" + hashlib.sha256(path.encode()).hexdigest()[:16]
+    columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema)
+    by = ", ".join(f"`{k}`" for k in keys)
+    spark.sql(f"CREATE TABLE IF NOT EXISTS {name} ({columns}) USING parquet CLUSTERED BY ({by}) SORTED BY ({by}) INTO {BUCKETS} BUCKETS LOCATION '{path}'")
+    kept = unseen(df, spark.table(name), keys).checkpoint()  # the table may not be read while it is written
+    kept.select(df.columns).write.mode("append").bucketBy(BUCKETS, *keys).sortBy(*keys).format("parquet").option("path", path).saveAsTable(name)

@@ -48,6 +48,9 @@ def needs(text: str) -> list[str]:
     return order
 
 
+BODIES: dict[str, str] = {}
+
+
 def sql(body: str) -> str:
     parts = []
     for name in needs(body):
@@ -58,7 +61,9 @@ def sql(body: str) -> str:
             parts.append(f"{name} {text}")
         else:
             parts.append(f"{name} AS MATERIALIZED ({text})")
-    return ("WITH RECURSIVE " + ",\n".join(parts) + "\n" + body) if parts else body
+    out = ("WITH RECURSIVE " + ",\n".join(parts) + "\n" + body) if parts else body
+    BODIES[out] = body
+    return out
 
 
 cte("side_raw", """

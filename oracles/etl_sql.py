@@ -1,5 +1,7 @@
 """Oracles of ETL and identity."""
 
+from duelgrid.config import TIER_MULTIPLIERS
+from duelgrid.operators.identity_rules import ORGANISATIONS
 from oracles.base import AS_OF, cte, months, r, sql
 from oracles import ranking, analytics, market  # noqa: F401
 from oracles.market import feed, norm, pair
@@ -131,6 +133,12 @@ def cascade(src, overrides=True, lf=True):
 cte("ext_feed", f"SELECT division, {feed('name','competitor')} AS name, rank FROM external_rank")
 cte("fav_names", "SELECT DISTINCT favourite AS name FROM prices")
 _ov, _own, _ex, _dv, _un = "overlap", "own_opponents", "name_exact", "division_match", "exact_rivals=1"
+_starts = [p for _, _, ps in ORGANISATIONS for p in ps] + ["Alash Pride", "Extreme Shootout", "Local Night", "2 Hot"]
+_q = lambda x: "'" + x.replace("'", "''") + "'"
+TIER_CASE = " ".join(f"WHEN {_q(t)} THEN {m}::DOUBLE" for t, m in TIER_MULTIPLIERS.items())
+cte("orgs", "SELECT * FROM (VALUES " + ", ".join(f"({i}, {_q(n)}, {_q(t)}, {_q(p)})" for i, (n, t, p) in enumerate((n, t, p) for n, t, ps in ORGANISATIONS for p in ps)) + ") v(ord, name, tier, prefix)")
+cte("titled", f"""SELECT ' '||st||CASE WHEN st LIKE '% ' THEN '' ELSE ' ' END||(outside_id%90)||CASE WHEN outside_id%2=0 THEN ' - A City' ELSE '' END AS title
+FROM (SELECT outside_id, CASE WHEN outside_id%3=1 THEN upper(s) ELSE s END AS st FROM (SELECT outside_id, [{", ".join(map(_q, _starts))}][(outside_id%{len(_starts)}+1)::INT] AS s FROM outside))""")
 ORACLES = {
     "B1_B2_cell_parsing": sql("SELECT event AS EVENT, name AS COMPETITOR, sum(CASE WHEN p%9=0 THEN 0 ELSE n END)::BIGINT AS td_landed, sum(CASE WHEN p%9=0 THEN 0 ELSE n+1 END)::BIGINT AS td_attempted, 0::BIGINT AS ground_landed, sum(CASE WHEN p%17=0 THEN 0 ELSE n*60+p%60 END)::BIGINT AS ctrl FROM rounds GROUP BY 1,2"),
     "B3_long_dates": sql("SELECT 'Card '||contest_id AS EVENT, date FROM contests"),
@@ -187,6 +195,11 @@ ORACLES = {
       NOT EXISTS (SELECT 1 FROM fresh f WHERE f.lo=least(c.c1,c.c2) AND f.hi=greatest(c.c1,c.c2) AND f.date=c.date)"""),
     "C31_method_audit": sql("SELECT target, matched, n, floor(n/sum(n) OVER ()*100*1e4+0.5)/1e4 AS share FROM (SELECT CASE WHEN contest_id%211=0 THEN 'Other' ELSE [" + ",".join(f"'{c}'" for c in CODES) + "][(contest_id%13+1)::INT] END AS target, contest_id%211<>0 AS matched, count(*) AS n FROM contests GROUP BY 1,2)"),
     "C31_method_verdict": sql("SELECT count(*)::BIGINT AS rows, count(*) FILTER (contest_id%211=0)::BIGINT AS unmatched, count(*) FILTER (contest_id%211=0)*100<=count(*) AS passed FROM contests"),
+    "C32_titles_to_organisations": sql(f"""SELECT canonical, tier, multiplier, count(*) AS contests, min(title) AS sample, NOT matched AS needs_review FROM (
+      SELECT title, coalesce(o[1], label) AS canonical, coalesce(o[2],'tier4') AS tier, o IS NOT NULL AS matched, CASE coalesce(o[2],'tier4') {TIER_CASE} END AS multiplier FROM (
+       SELECT title, CASE WHEN head='' THEN trim(title) ELSE head END AS label, (SELECT arg_min((name, tier), ord) FROM orgs WHERE starts_with(lower(trim(title)), lower(prefix))) AS o FROM (
+        SELECT title, trim(regexp_replace(trim(regexp_extract(title, '^(.*?)(\\s+[-–]\\s+|$)', 1)), '\\s+\\d.*$', '')) AS head FROM titled)))
+      WHERE NOT contains(canonical,'UFC') GROUP BY ALL"""),
     "C32_organisation_dictionary": sql("""SELECT organisation, count(*) AS contests, min(event_name) AS sample, any_value(tier) AS tier, any_value(tier_multiplier) AS multiplier, any_value(tier)='tier4' AS needs_review FROM outside GROUP BY 1"""),
     "C33_external_match_audit": sql(f"SELECT e.division, e.name, e.rank, c.competitor AS resolved_id, c.matched_by, CASE WHEN c.competitor IS NOT NULL THEN 'MATCHED' ELSE 'UNMATCHED' END AS status FROM ext_feed e LEFT JOIN ({cascade('ext_feed', False)}) c USING (name)"),
     "C33_must_match": sql(f"SELECT e.division, e.name, e.rank FROM ext_feed e WHERE e.rank IN ('C','1','2','3') AND e.name NOT IN (SELECT name FROM ({cascade('ext_feed', False)}) c WHERE c.competitor IS NOT NULL)"),

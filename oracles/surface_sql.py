@@ -1,7 +1,7 @@
 """Oracles of discovery, surface, quality, pages and ledger."""
 
-from oracles.base import AS_OF, cte, months, r, sql
-from oracles import ranking, analytics, market, etl_sql  # noqa: F401
+from oracles.base import AS_OF, BODIES, cte, months, r, sql
+from oracles import ranking, analytics, analytics_sql, market, etl_sql, market_sql  # noqa: F401
 from oracles.analytics import years
 from oracles.market import norm, scored
 from oracles.ranking import clamp
@@ -45,7 +45,10 @@ cte("day_results", "SELECT least(c1,c2) AS lo, greatest(c1,c2) AS hi, date, min(
 cte("led", f"""SELECT s.*, h.r, s.date<{AS_OF} AS due, CASE WHEN s.date<{AS_OF} AND h.r IS NOT NULL THEN h.r[1] WHEN s.date<{AS_OF} AND date_diff('day',s.date,{AS_OF})>14 THEN 'void_scratched' ELSE 'pending' END AS status,
  CASE WHEN s.date<{AS_OF} THEN h.r[2] END AS winner
 FROM slot_preds s LEFT JOIN (SELECT s.slot_id, arg_min(d.r, (abs(date_diff('day',s.date,d.date)), d.date)) AS r FROM slot_preds s JOIN day_results d ON d.lo=least(s.c1,s.c2) AND d.hi=greatest(s.c1,s.c2) AND abs(date_diff('day',s.date,d.date))<=3 GROUP BY 1) h USING (slot_id)""")
-STATS = ("rating", "age", "finish_rate", "schedule_quality", "ratio_career", "ratio_last3", "accuracy")
+cte("reaches", "SELECT competitor, (nation+55)::INT AS reach FROM competitors WHERE nation>=5")
+cte("pcmp", """SELECT p.*, r.reach, w.diff15 FROM profile p LEFT JOIN reaches r USING (competitor) LEFT JOIN (FROM pace WHERE "window"='career') w USING (competitor)""")
+cte("tforms", f"""SELECT l.competitor, string_agg(l.result||' '||{SHORT}||' vs. '||opponent_name||CASE WHEN EXISTS (SELECT 1 FROM titles t WHERE least(t.champion,t.challenger)=least(l.competitor,l.opponent) AND greatest(t.champion,t.challenger)=greatest(l.competitor,l.opponent) AND abs(date_diff('day',t.date,l.date))<=3) THEN ' (title)' ELSE '' END, '; ' ORDER BY rev) AS form FROM log l WHERE rev<=5 GROUP BY 1""")
+STATS = ("rating", "age", "finish_rate", "schedule_quality", "ratio_career", "ratio_last3", "accuracy", "reach", "diff15")
 ORACLES = {
     "E7_pedigree_by_organisation": sql(f"""SELECT competitor, sum(wins)::BIGINT AS wins, sum(losses)::BIGINT AS losses, sum(draws)::BIGINT AS draws, {r('least(CASE WHEN sum(wins+losses)>0 THEN sum(wins)/sum(wins+losses) ELSE 0 END*least(sum(wins+losses+draws)/5,1)*max(m),0.75)',6)} AS strength,
       string_agg(organisation||':'||wins||':'||losses||':'||draws,'; ' ORDER BY wins+losses DESC, organisation) AS by_organisation FROM org GROUP BY 1"""),
@@ -76,7 +79,7 @@ ORACLES = {
     "I5_upcoming_events": sql(f"SELECT event_id, min(date) AS date, arg_min(event_name,bout_order) AS event_name, string_agg(bout_order||':'||name1||':'||name2,'; ' ORDER BY bout_order) AS bouts FROM upcoming WHERE date>={AS_OF} GROUP BY 1"),
     "I6_next_contest": sql("SELECT * FROM next_up"),
     "I7_upcoming_cards": sql(f"""SELECT slot_id, c1, c2, rank_label1, rank_label2, style1, style2, age1, age2, (SELECT record FROM profile p WHERE p.competitor=c1) AS record1, (SELECT record FROM profile p WHERE p.competitor=c2) AS record2,
-      (SELECT form FROM forms f WHERE f.competitor=c1) AS form1, (SELECT form FROM forms f WHERE f.competitor=c2) AS form2, {R6('prob1','form_prob1')} FROM enriched"""),
+      (SELECT form FROM tforms f WHERE f.competitor=c1) AS form1, (SELECT form FROM tforms f WHERE f.competitor=c2) AS form2, (SELECT reach FROM reaches f WHERE f.competitor=c1) AS reach1, (SELECT reach FROM reaches f WHERE f.competitor=c2) AS reach2, {R6('prob1','form_prob1')} FROM enriched"""),
     "I3_competitor_with_hint": sql("""SELECT p.competitor, p.name, p.record, p.age, p.rating, p.peak, f.division, f.rank, f.contender_rank, forms.form, u.date AS next_date, u.opponent_name AS next_opponent FROM profile p
       JOIN (SELECT *, row_number() OVER (PARTITION BY competitor ORDER BY (competitor=(SELECT min(competitor) FROM final_rank) AND division=(SELECT max(division) FROM final_rank WHERE competitor=(SELECT min(competitor) FROM final_rank))) DESC, final_rating DESC) AS rn FROM final_rank) f
         ON f.competitor=p.competitor AND rn=1 LEFT JOIN next_up u ON u.competitor=p.competitor LEFT JOIN forms ON forms.competitor=p.competitor
@@ -85,7 +88,7 @@ ORACLES = {
     "I8_find_event": sql(f"SELECT event_id, date, event_name, CASE WHEN lower(event_name)='hugo van' THEN 1 WHEN contains(lower(event_name),'hugo van') THEN 2 ELSE 3 END AS matched FROM (SELECT event_id, min(date) AS date, arg_min(event_name,bout_order) AS event_name FROM upcoming WHERE date>={AS_OF} GROUP BY 1) WHERE contains(lower(event_name),'hugo van') OR contains('hugo van',lower(event_name)) ORDER BY matched, date, event_id LIMIT 1"),
     "I9_compare_probabilities": sql(f"""SELECT pair_id, {r('100*'+WP('a.rating','b.rating'))}::INT AS percent_a, CASE WHEN a.form_nudge<>0 OR b.form_nudge<>0 THEN {r('100*'+WP('a.rating+a.form_nudge','b.rating+b.form_nudge'))}::INT END AS form_percent_a, a.contests<=5 OR b.contests<=5 AS thin_sample
       FROM rivals v JOIN profile a ON a.competitor=v.a JOIN profile b ON b.competitor=v.b"""),
-    "I9_compare_statistics": sql("SELECT *, CASE WHEN value_a IS NULL OR value_b IS NULL OR value_a=value_b THEN 'none' WHEN (value_a>value_b)<>(statistic='age') THEN 'a' ELSE 'b' END AS leader FROM (" + " UNION ALL ".join(f"SELECT pair_id, '{s}' AS statistic, a.{s}::DOUBLE AS value_a, b.{s}::DOUBLE AS value_b FROM rivals v JOIN profile a ON a.competitor=v.a JOIN profile b ON b.competitor=v.b" for s in STATS) + ")"),
+    "I9_compare_statistics": sql("SELECT *, CASE WHEN value_a IS NULL OR value_b IS NULL OR value_a=value_b THEN 'none' WHEN (value_a>value_b)<>(statistic='age') THEN 'a' ELSE 'b' END AS leader FROM (" + " UNION ALL ".join(f"SELECT pair_id, '{s}' AS statistic, a.{s}::DOUBLE AS value_a, b.{s}::DOUBLE AS value_b FROM rivals v JOIN pcmp a ON a.competitor=v.a JOIN pcmp b ON b.competitor=v.b" for s in STATS) + ")"),
     "I10_summary": sql(f"""SELECT p.competitor, p.name, p.record, coalesce(ranked_division, home_division) AS division, age, p.contests<=5 AS provisional, p.is_champion, p.shown_rank, b.external_rank, {r('p.rating')}::INT AS rating, {r('p.peak')}::INT AS peak,
       {r('b.base_rating')}::INT AS core, {r('b.metrics_bonus',1)} AS metrics, {r('b.schedule_nudge',1)} AS schedule, {r('b.external_bonus',1)} AS external, {r('b.final_rating')}::INT AS final, p.months_since,
       (SELECT string_agg(rev||':'||result||':'||opponent_name||':'||({r('delta',1)}+0.0)::VARCHAR,'; ' ORDER BY rev) FROM log l WHERE l.competitor=p.competitor AND rev<=8) AS last_contests FROM profile p LEFT JOIN (SELECT * FROM pool) b USING (competitor)"""),
@@ -109,3 +112,10 @@ ORACLES = {
     "H27_prediction_ledger": sql(f"SELECT slot_id, date, status, winner, CASE WHEN status<>'pending' THEN {AS_OF} END AS settled_on, {r('prob1',6)} AS prob1 FROM led"),
     "H27_ledger_scores": sql(f"SELECT model, {scored()} FROM (SELECT winner=c1 AS fav_won, unnest(['pure','form']) AS model, unnest([prob1, coalesce(form_prob1,prob1)]) AS p FROM led WHERE status='settled') GROUP BY 1"),
 }
+ORACLES["G18_I3_nested_profile"] = sql(f"""SELECT p.competitor, p.name, p.rating, q.reach, {r('x.strike',6)} AS strike, {r('x.activity',6)} AS activity, t.codes, g.total_overperformance, g.upset_contest,
+  b.ratio AS peer_ratio, b.sample AS peer_sample, m.avatar, m.nationality, u.date AS next_date, u.opponent_name AS next_opponent
+FROM profile p LEFT JOIN radar x USING (competitor) LEFT JOIN reaches q USING (competitor) LEFT JOIN ({BODIES[analytics_sql.ORACLES["G11_trend_codes"]]}) t USING (competitor)
+LEFT JOIN ({BODIES[analytics_sql.ORACLES["G10_gauntlet_summary"]]}) g USING (competitor) LEFT JOIN ({BODIES[ORACLES["F4_division_benchmarks"]]}) b ON b.division=coalesce(p.ranked_division,p.home_division)
+LEFT JOIN (SELECT competitor::VARCHAR AS canonical_id, CASE WHEN competitor%3=0 THEN '' ELSE 'Nation_'||(competitor%40) END AS nationality,
+  CASE WHEN competitor%5<>0 AND competitor%7=0 THEN 'h' WHEN competitor%3<>0 AND competitor%4<>0 THEN 'p'||competitor WHEN competitor%5<>0 AND competitor%2=0 THEN 'b' ELSE '' END AS avatar
+  FROM roster WHERE competitor%3<>0 OR competitor%5<>0) m ON m.canonical_id=p.competitor::VARCHAR LEFT JOIN next_up u ON u.competitor=p.competitor""")
