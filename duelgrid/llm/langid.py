@@ -1,13 +1,16 @@
 """Language identification with word-first backoff.
 
-`fit` counts words per language on a bounded sample of the labelled rows (`max_rows`, taken by a hash of
-doc_id, so the same rows on every run and at every size) and keeps, per language, log frequencies of the
-`max_words` most frequent words and of the `max_grams` most frequent character n-grams of each order.
+`fit` counts words per language on a bounded sample of the labelled rows of each language (about `max_rows`,
+taken by a hash of doc_id, so the same rows on every run; a rare language keeps all its rows) and keeps log
+frequencies of the `max_words` words and the `max_grams` character n-grams of each order of greatest share,
+where a language's words count by their share in that language, however much text it has.
 `predict` scores each word of the whole text: a known word by its log frequencies, an unseen one by its
 longest known character n-grams, stepping down one order at a time, each step with a penalty.  The score
 is the posterior of the best language.
 
 Null text, or text without a letter, is `und` with score 0.  With no labelled row everything is `und`.
+Repeated rows count and are predicted as often as they are there; extra columns are not read; a long text costs
+one list of its words.
 Ties go to the smaller language name.  A language is learned only from the rows that train.
 """
 
@@ -18,7 +21,7 @@ import re
 from collections import Counter
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from duelgrid.llm.common import map_slices, pick
@@ -101,26 +104,35 @@ def log_rows(counts: dict[str, Counter], languages: list[str], most: int) -> tup
 
 
 def training_rows(docs: DataFrame, max_rows: int) -> DataFrame:
-    """A sample of about `max_rows` training rows: text, lang.  The share is set from a count of the labelled
-    rows; a row is in by the hash of its doc_id."""
+    """A sample of about `max_rows` training rows of each language: text, lang.  A language's share is set from the
+    count of its labelled rows; a row is in if its doc_id's 64-bit hash lies in the language's part of the range."""
     labelled = pick(docs, "doc_id", "text", "lang").filter("lang is not null and text is not null").filter(~held_out())
-    n = labelled.count()
-    share = min(1.0, max_rows / n) if n else 1.0
-    if share < 1:
-        labelled = labelled.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < int(share * (1 << 20)))
-    return labelled.select("text", "lang")
+    least, span = -(1 << 63), float(1 << 64)
+    limit = F.when(F.col("n") > max_rows, (F.lit(float(least)) + F.lit(max_rows * span) / F.col("n")).cast("bigint")).otherwise(F.lit((1 << 63) - 1))
+    limits = labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).select("lang", limit.alias("limit"))
+    return labelled.join(limits, "lang").filter(F.xxhash64("doc_id") <= F.col("limit")).select("text", "lang")
 
 
-def fit(docs: DataFrame, max_rows: int = 8_000, max_words: int = 40_000, max_grams: int = 20_000) -> Model:
-    """Word counts by language are made on the executors and pre-aggregated before the shuffle; what reaches
-    the driver is the `max_words` x 2 most frequent (language, word) pairs of the bounded sample."""
+def most_frequent(words: DataFrame, each: int, parts: int = 64) -> DataFrame:
+    """The `each` most frequent words of every language; cut by hash part first, so that no task sorts a whole
+    language."""
+    first = Window.partitionBy("lang", F.pmod(F.xxhash64("word"), F.lit(parts))).orderBy(F.desc("n"), "word")
+    whole = Window.partitionBy("lang").orderBy(F.desc("n"), "word")
+    cut = words.withColumn("r", F.row_number().over(first)).filter(F.col("r") <= each)
+    return cut.withColumn("r", F.row_number().over(whole)).filter(F.col("r") <= each).drop("r")
+
+
+def fit(docs: DataFrame, max_rows: int = 2_000, max_words: int = 40_000, max_grams: int = 20_000) -> Model:
+    """Word counts by language are made on the executors and pre-aggregated before the shuffle; what reaches the driver
+    is, of the bounded sample, 2 x `max_words` words over all languages, dealt evenly, and at least 1,000 of each."""
+    sample = training_rows(docs, max_rows)
     words = (
-        training_rows(docs, max_rows)
-        .select("lang", F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"(\p{L}+)"), 1)).alias("word"))
+        sample.select("lang", F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"(\p{L}+)"), 1)).alias("word"))
         .groupBy("lang", "word").agg(F.count(F.lit(1)).alias("n"))
     )
+    spoken = pick(docs, "doc_id", "lang").filter("lang is not null").filter(~held_out()).select("lang").distinct().count()
     counts: dict[str, Counter] = {}
-    for lang, word, n in words.orderBy(F.desc("n"), "lang", "word").limit(2 * max_words).collect():
+    for lang, word, n in most_frequent(words, max(1_000, 2 * max_words // max(1, spoken))).collect():
         counts.setdefault(lang, Counter())[word] = n
     languages = sorted(counts)
     grams = {n: {lang: Counter() for lang in languages} for n in ORDERS}

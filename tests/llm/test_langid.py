@@ -58,3 +58,38 @@ def test_forgetting_unseen_words_changes_nothing(documents, monkeypatch):
     before = [model.predict(t) for t in texts]
     monkeypatch.setattr(langid, "CACHE", 3)
     assert [model.predict(t) for t in texts] == before
+
+
+def test_a_rare_language_beside_long_texts_of_a_common_one(documents):
+    """One language in 3 of 9,000 rows, another with a third of all text in few rows."""
+    import zlib
+
+    trains = [i for i in range(20_000, 20_100) if zlib.crc32(str(i).encode()) % 5][:3]
+    rnd = random.Random(4)
+    invented = [f"{a}{b}{c}o" for a in "bcdfghjklm" for b in "aeiou" for c in "npqrstvwxz"]
+    data = corpus(9_000) + [(30_000 + i, " ".join(rnd.choices(invented, k=4_000)), "cc") for i in range(20)] + [(i, "ymyr hwyll gwlad ddraig", "rr") for i in trains]
+    model = langid.fit(documents(data), max_rows=200, max_words=1_200)
+    assert model.languages == ["aa", "bb", "cc", "rr"]
+    assert model.predict("hwyll gwlad")[0] == "rr" and model.predict("kapo moka")[0] == "aa" and model.predict("krump brandt")[0] == "bb"
+
+
+def test_predictions_equal_a_plain_sum(documents):
+    """Word-first backoff, by hand: a known word's row, else the mean row of its longest known n-grams."""
+    import math
+
+    model = langid.fit(documents(corpus()))
+    known = {w: model.table[i] for w, i in list(model.items())[:model.known]}
+    for text in ("kapo schlump zz moka", "Krump, BRANDT! xq", "mokalapi 7 tiku"):
+        total = [0.0, 0.0]
+        for word in langid.WORD.findall(text.lower()):
+            row, weight, padded = known.get(word), 1.0, f" {word} "
+            for n in langid.ORDERS if row is None else ():
+                hits = [model.grams[n][padded[i:i + n]] for i in range(len(padded) - n + 1) if padded[i:i + n] in model.grams[n]]
+                if hits:
+                    row = [weight * sum(float(model.gram_table[h][k]) for h in hits) / len(hits) for k in (0, 1)]
+                    break
+                weight *= langid.STEP
+            total = [t + (0.0 if row is None else float(row[k])) for k, t in enumerate(total)]
+        best = 0 if total[0] >= total[1] else 1
+        lang, score = model.predict(text)
+        assert lang == model.languages[best] and abs(score - 1 / (1 + math.exp(total[1 - best] - total[best]))) < 1e-5
