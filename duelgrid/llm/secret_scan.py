@@ -35,8 +35,8 @@ SHORTEST_ASSIGNED = 6
 #: Words of a target name and how much each says that the value is a secret.
 NAME_WEIGHTS = {
     "password": 1.0, "passwd": 1.0, "pwd": 1.0, "passphrase": 1.0, "secret": 1.0, "token": 0.9, "apikey": 1.0,
-    "credential": 0.9, "credentials": 0.9, "private": 0.6, "access": 0.4, "api": 0.4, "auth": 0.6, "bearer": 0.8,
-    "key": 0.5, "signing": 0.4, "encryption": 0.4, "client": 0.2, "pass": 0.8, "salt": 0.5, "connection": 0.3,
+    "credential": 0.9, "credentials": 0.9, "private": 0.85, "access": 0.4, "api": 0.4, "auth": 0.85, "bearer": 0.8,
+    "key": 0.5, "signing": 0.5, "encryption": 0.4, "client": 0.2, "pass": 1.0, "salt": 0.5, "connection": 0.3,
     "dsn": 0.7, "webhook": 0.5, "session": 0.3, "cookie": 0.4, "jwt": 0.9, "pin": 0.4,
 }
 #: Words that take sensitivity away.

@@ -94,3 +94,10 @@ def test_masking(documents, clashing, none):
     found = ss.mask_secrets(documents([(1, text, "en", "s", len(text)), (2, "clean", "en", "s", 5), (3, None, None, None, None)])).collect()
     assert [tuple(r) for r in found] == [(1, 'x [secret]" y', "en", "s", 13), (2, "clean", "en", "s", 5), (3, None, None, None, None)]
     assert ss.mask_secrets(clashing).count() == 8 and ss.mask_secrets(none).count() == 0
+
+
+def test_short_names_of_passwords_count():
+    for line in ("export DB_PASS=hunter2hunter2", 'auth = "Zk3-91_qLmP0xR"', "private: 'Zk3-91_qLmP0xR'"):
+        assert ss.literal_spans(line), line
+    for line in ("pass = true", "compass = 'north by northwest'", "auth_type = 'Zk3-91_qLmP0xR'"):
+        assert not ss.literal_spans(line), line
