@@ -35,6 +35,7 @@ TITLES = {"m": ("Mr", "Herr", "Señor", "Monsieur", "Господин"), "f": ("
           "u": ("Dr", "Prof", "Mx")}
 GENDER = {t: g for g, ts in TITLES.items() for t in ts}
 
+LOCAL = regex.compile(r"[\w.+%-]")
 LOCAL_END = regex.compile(r"[\w.+%-]+$")
 DOMAIN = regex.compile(r"(?:[\w-]+\.)+\p{L}{2,}")
 IBAN = regex.compile(r"(?<!\w)[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?!\w)")
@@ -72,7 +73,10 @@ def mentions(text: str) -> list[tuple[int, int, str, str]]:
     found: list[tuple[int, int, str, str]] = []
     at = text.find("@")
     while at >= 0:
-        left, right = LOCAL_END.search(text, max(0, at - 64), at), DOMAIN.match(text, at + 1)
+        first = at
+        while first and LOCAL.match(text[first - 1]):
+            first -= 1
+        left, right = LOCAL_END.search(text, first, at), DOMAIN.match(text, at + 1)
         if left and right:
             found.append((left.start(), right.end(), "email", text[left.start():right.end()].lower()))
         at = text.find("@", at + 1)

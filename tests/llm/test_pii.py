@@ -85,3 +85,9 @@ def test_odd_rows(odd, clashing, none, rows):
     found = rows(pii.replace(odd, KEY))
     assert found == rows(pii.replace(clashing, KEY)) == sorted(((r.doc_id, r.text, 0, "") for r in odd.collect()), key=repr)
     assert pii.replace(none, KEY).collect() == []
+
+
+def test_a_long_local_part_goes_as_a_whole():
+    local = "a" * 300 + ".b"
+    assert pii.mentions(f"to {local}@mail.example now")[0][:3] == (3, 3 + len(local) + len("@mail.example"), "email")
+    assert pii.mentions("@" * 2000 + "x@y.example")[0][2] == "email"
