@@ -27,7 +27,7 @@ def op3_language_id(spark, sf_dir):
 
 
 def op4_preference_pairs(spark, sf_dir):
-    return chat.preference_pairs(chat.paired(table(spark, sf_dir, "conversations")))
+    return chat.preference_pairs(chat.shared_start(chat.paired(table(spark, sf_dir, "conversations"))))
 
 
 def op5_secret_scan(spark, sf_dir):
@@ -52,7 +52,7 @@ def op9_benchmark_leaks(spark, sf_dir):
 
 
 def op10_main_text(spark, sf_dir):
-    return wrappers.main_texts(table(spark, sf_dir, "pages"))
+    return wrappers.main_texts(table(spark, sf_dir, "pages"), labels=False)
 
 
 def op11_piece_bpe(spark, sf_dir):
@@ -98,11 +98,16 @@ select query_id, (row_number() over (partition by query_id order by score desc,
 from scored
 qualify rank <= 5
 """,
-    "op4_preference_pairs": """
-with ordered as (
+    "op4_preference_pairs": f"""
+with own as (
   select conv_id >> 1 as pair_id, conv_id % 2 = 0 as chosen, coalesce(role, '') as role, coalesce(text, '') as text,
-         row_number() over (partition by conv_id order by turn nulls first, coalesce(role, ''), coalesce(text, '')) as n
+         row_number() over (partition by conv_id order by turn nulls first, coalesce(role, ''), coalesce(text, '')) as n,
+         {crc32_sql("(conv_id >> 1)::varchar")} % 4 as h
   from conversations where conv_id is not null),
+rebuilt as (
+  select pair_id, chosen, role, text, n from own where chosen or n > h
+  union all select pair_id, false, role, text, n from own where chosen and n <= h),
+ordered as (select pair_id, chosen, role, text, row_number() over (partition by pair_id, chosen order by n) as n from rebuilt),
 pairs as (select distinct pair_id from ordered),
 sides as (
   select pair_id, s.chosen, n, role, text

@@ -13,7 +13,7 @@ no common prefix and an empty completion on that side.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from duelgrid.llm.common import pick
@@ -66,6 +66,16 @@ def preference_pairs(turns: DataFrame) -> DataFrame:
                         rendered(F.col("r")).alias("rejected"), mask(F.col("r")).alias("rejected_mask"))
 
 
+def shared_start(pairs: DataFrame, most: int = 3) -> DataFrame:
+    """The same rows, but the rejected side begins with the first h turns of the chosen one in place of its own first
+    h, as answers to one prompt do; h is a digest of pair_id, from 0 to `most`.  Turns are numbered anew from 1."""
+    order = [F.col("turn").asc_nulls_first(), F.coalesce("role", F.lit("")), F.coalesce("text", F.lit(""))]
+    rows = pairs.select("pair_id", "side", F.row_number().over(Window.partitionBy("pair_id", "side").orderBy(*order)).cast("bigint").alias("turn"),
+                        "role", "text", (F.crc32(F.col("pair_id").cast("string")) % (most + 1)).alias("h"))
+    sides = F.when(F.col("side") == "rejected", F.array("side")).when(F.col("turn") <= F.col("h"), F.array(F.lit("chosen"), F.lit("rejected"))).otherwise(F.array("side"))
+    return rows.filter("side = 'chosen' or turn > h").withColumn("side", F.explode(sides)).drop("h")
+
+
 def paired(conversations: DataFrame) -> DataFrame:
     """Conversations 2k and 2k + 1 as the chosen and the rejected side of pair k."""
     rows = pick(conversations, "conv_id", "turn", "role", "text").filter("conv_id is not null")

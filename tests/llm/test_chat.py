@@ -62,3 +62,21 @@ def test_pairing_of_conversations(spark, rows):
     frame = spark.createDataFrame([(4, 0, "user", "a"), (5, 0, "user", "b"), (6, 0, "user", "c"), (None, 0, "user", "d")],
                                   "conv_id bigint, turn bigint, role string, text string")
     assert rows(chat.paired(frame)) == [(2, "chosen", 0, "user", "a"), (2, "rejected", 0, "user", "b"), (3, "chosen", 0, "user", "c")]
+
+
+def test_the_query_has_prompts(spark, sf):
+    from duelgrid.llm.catalog import op4_preference_pairs
+
+    pairs = op4_preference_pairs(spark, sf).collect()
+    assert sum(r.n_prompt_turns > 0 and r.prompt != "" for r in pairs) > len(pairs) / 3
+
+
+def test_a_shared_start_becomes_the_prompt(spark):
+    from duelgrid.llm import chat
+
+    rows = [(k, side, t, "user" if t % 2 else "assistant", f"{side}{t}") for k in range(12) for side, n in (("chosen", 3), ("rejected", 5)) for t in range(n)]
+    frame = spark.createDataFrame(rows, "pair_id bigint, side string, turn bigint, role string, text string")
+    import zlib
+    for r in chat.preference_pairs(chat.shared_start(frame)).collect():
+        h = zlib.crc32(str(r.pair_id).encode()) % 4
+        assert r.n_prompt_turns == h and r.prompt.count("chosen") == h and r.rejected.count("rejected") == 5 - h and r.chosen.count("chosen") == 3 - h
