@@ -22,6 +22,9 @@ from __future__ import annotations
 
 from functools import lru_cache
 
+from collections.abc import Iterator
+from itertools import chain
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -87,6 +90,10 @@ def windows(length: int) -> list[tuple[int, int, int, int]]:
     return out
 
 
+#: Hits of texts and items that are held at once.
+PAIRS = 1 << 20
+
+
 class Index:
     """The q-grams of a block of benchmark items, with their places."""
 
@@ -108,36 +115,69 @@ class Index:
         self.present = np.zeros(1 << bits, dtype=bool)
         self.present[self.hashes >> self.shift] = True
 
-    def hits(self, chars: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Places in chars and in the items that share a q-gram."""
-        none = np.zeros(0, dtype=np.int64)
+    def shared(self, chars: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Places in chars whose q-gram some item has, and which of the index's q-grams it is."""
         own = grams(chars)
         if not len(self.hashes) or not len(own):
-            return none, none
+            return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
         at = np.flatnonzero(self.present[own >> self.shift])
         found = np.minimum(np.searchsorted(self.hashes, own[at]), len(self.hashes) - 1)
         real = self.hashes[found] == own[at]
-        at, found = at[real], found[real]
-        many = self.many[found]
-        step = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
-        return np.repeat(at, many), self.places[np.repeat(self.first[found], many) + step]
+        return at[real], found[real]
 
     def find(self, texts: list[str]) -> list[list[tuple[int | None, int, int, int]]]:
-        """For each text: (item_id, start, end, edits) of the first region found for each item."""
+        """For each text: (item_id, start, end, edits) of the first region found for each item.
+
+        Texts are taken together as far as their hits stay below `PAIRS`.  One that has more by itself is gone through
+        in overlapping parts, each long enough for any window, so a text of repeated letters needs no more memory; items
+        that were found in it are not looked for in its later parts."""
         out: list[dict] = [{} for _ in texts]
         chars, starts, place = folded(texts)
         joined = np.cumsum([0, *map(len, texts)])
-        at, item_at = self.hits(chars)
+        at, gram = self.shared(chars)
         doc = np.searchsorted(starts, at, side="right") - 1
         inside = at + Q <= starts[doc + 1] if len(at) else np.zeros(0, dtype=bool)
-        at, item_at, doc = at[inside], item_at[inside], doc[inside]
+        at, gram, doc = at[inside], gram[inside], doc[inside]
+        many = self.many[gram]
+        upto = np.cumsum(many)
+        edges = np.searchsorted(doc, np.arange(len(texts) + 1))
+        low = 0
+        while low < len(texts):
+            first = edges[low]
+            before = upto[first - 1] if first else 0
+            high = low + 1
+            while high < len(texts) and (upto[edges[high + 1] - 1] if edges[high + 1] else 0) - before <= PAIRS:
+                high += 1
+            a, b = first, edges[high]
+            if b > a and upto[b - 1] - before > PAIRS:  # one text by itself
+                reach = 2 * (max((int(w[1] + w[2]) for ws in self.windows for w in ws), default=0) + 2 * self.stride + Q)
+                done: set[int] = set()
+                while a < b:
+                    c = int(np.searchsorted(upto, (upto[a - 1] if a else 0) + PAIRS, side="right"))
+                    c = min(b, max(c, int(np.searchsorted(at, at[a] + 2 * reach))))
+                    self.regions(at[a:c], gram[a:c], doc[a:c], chars, starts, place, joined, out, done)
+                    a = b if c >= b else max(a + 1, int(np.searchsorted(at, at[c] - reach)))
+            elif b > a:
+                self.regions(at[a:b], gram[a:b], doc[a:b], chars, starts, place, joined, out, set())
+            low = high
+        return [sorted(((k, *v) for k, v in o.items()), key=lambda x: (x[1], x[0] is None, x[0])) for o in out]
+
+    def regions(self, at, gram, doc, chars, starts, place, joined, out, done: set[int]) -> None:
+        """Puts into `out` what these hits give: counts by text, item and band, and windows that align."""
+        many = self.many[gram]
+        step = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
+        item_at = self.places[np.repeat(self.first[gram], many) + step]
+        at, doc = np.repeat(at, many), np.repeat(doc, many)
         item = np.searchsorted(self.starts, item_at, side="right") - 1
+        if done:
+            left = ~np.isin(item, list(done))
+            at, doc, item, item_at = at[left], doc[left], item[left], item_at[left]
         diagonal = (at - starts[doc]) - (item_at - self.starts[item])
         band = np.floor_divide(diagonal, self.stride)
         # each band covers two strides, so a hit counts for its own and for the one before
         rows = np.concatenate([np.stack([doc, item, band - k, item_at, diagonal]) for k in (0, 1)], axis=1)
         if not rows.shape[1]:
-            return [[] for _ in texts]
+            return
         rows = rows[:, np.lexsort(rows[::-1])]
         new = np.flatnonzero(np.r_[True, (rows[:3, 1:] != rows[:3, :-1]).any(axis=0)])
         size = np.diff(np.r_[new, rows.shape[1]])
@@ -152,7 +192,7 @@ class Index:
             if found:
                 first, last = (int(place[starts[d] + k] - joined[d]) for k in (found[0], found[1] - 1))
                 out[d][self.ids[i]] = (first, last + 1, found[2])
-        return [sorted(((k, *v) for k, v in o.items()), key=lambda x: (x[1], x[0] is None, x[0])) for o in out]
+                done.add(i)
 
     def region(self, own: np.ndarray, i: int, item_at: np.ndarray, diagonal: np.ndarray):
         """The first window of item i that aligns within its budget: (start, end, edits) in own."""
@@ -232,14 +272,15 @@ def aligned(window: np.ndarray, region: np.ndarray, budget: int) -> tuple[int, i
     return (start, end, edits) if edits <= budget and end > start >= 0 else None
 
 
-def blocks(benchmark: DataFrame, block_chars: int) -> list[list[tuple[int | None, str]]]:
-    """The items in blocks whose size does not grow with the benchmark; their number does."""
+def blocks(benchmark: DataFrame, block_chars: int) -> Iterator[list[tuple[int | None, str]]]:
+    """The items in blocks whose size does not grow with the benchmark; their number does.  A block is collected when it
+    is asked for."""
     items = pick(benchmark, "item_id", "text").filter("text is not null").distinct()
     total = items.agg(F.sum(F.length("text"))).first()[0] or 0
     n = max(1, -(-total // block_chars))
     dealt = items.withColumn("block", F.pmod(F.xxhash64("item_id", "text"), F.lit(n)))
-    return [sorted(map(tuple, dealt.filter(F.col("block") == b).select("item_id", "text").collect()),
-                   key=lambda x: (x[0] is None, x)) for b in range(n)]
+    for b in range(n):
+        yield sorted(map(tuple, dealt.filter(F.col("block") == b).select("item_id", "text").collect()), key=lambda x: (x[0] is None, x))
 
 
 def scan(docs: DataFrame, items: list[tuple[int | None, str]], columns: str, result: str, emit) -> DataFrame:
@@ -267,13 +308,14 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, block_chars: int = BLOCK_C
                 "items": [[dict(zip(("item_id", "a", "b", "edits"), x)) for x in f] for f in found]}
 
     parts = blocks(benchmark, block_chars)
-    if len(parts) == 1:
-        found = scan(rows, parts[0], "doc_id bigint, text string", result, emit)
-    else:  # one pass for each block; rows get an id so that repeated doc_ids stay apart
+    first, second = next(parts), next(parts, None)
+    if second is None:
+        found = scan(rows, first, "doc_id bigint, text string", result, emit)
+    else:  # one block is scanned and written at a time; rows get an id so that repeated doc_ids stay apart
         kept = Kept(docs.sparkSession, "decontam")
         rows = kept(rows.withColumn("row", F.monotonically_increasing_id()))
-        passes = [scan(rows, p, "row bigint, doc_id bigint, text string", "row bigint, " + result,
-                       lambda c, f, x: emit(c, f, x) | {"row": c["row"]}) for p in parts]
+        passes = [kept(scan(rows, p, "row bigint, doc_id bigint, text string", "row bigint, " + result,
+                            lambda c, f, x: emit(c, f, x) | {"row": c["row"]})) for p in chain((first, second), parts)]
         union = passes[0]
         for p in passes[1:]:
             union = union.unionByName(p)
@@ -296,6 +338,8 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, block_chars: int =
         part = part.filter(pa.array([not f for f in found], type=pa.bool_()))
         return {n: part.column(i) for i, n in enumerate(cols)}
 
-    for items in blocks(benchmark, block_chars):
-        rows = scan(rows, items, columns, columns, emit)
+    parts = blocks(benchmark, block_chars)
+    rows, kept = scan(rows, next(parts), columns, columns, emit), Kept(docs.sparkSession, "decontam")
+    for items in parts:  # the pass before is written, so that one block is in memory at a time
+        rows = scan(kept(rows), items, columns, columns, emit)
     return rows

@@ -127,3 +127,33 @@ def test_near_against_the_whole_table():
         region = edited("xx" + pattern + "yy", rnd.randrange(9), k)
         want = distance(pattern, region)
         assert [decontam.near(code(pattern), code(region), b) for b in range(9)] == [want <= b for b in range(9)]
+
+
+def test_repeated_letters_need_bounded_memory():
+    """A junk text against an item with a long run of the same letter: found, in little memory."""
+    import tracemalloc
+
+    index = decontam.Index([(1, "a" * 2_000 + " what else there is to say of it"), (2, "another item of the benchmark without runs, and long enough")])
+    tracemalloc.start()
+    found = index.find(["b" * 500 + "a" * 20_000, "another item of the benchmark without runs, and long enough"])
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert [x[0] for x in found[0]] == [1] and [x[0] for x in found[1]] == [2] and peak < 600 << 20
+
+
+def test_parts_find_what_the_whole_does(monkeypatch):
+    import random
+
+    rnd = random.Random(8)
+    word = lambda: "".join(rnd.choices("abcde", k=rnd.randint(2, 6)))
+    items = [(k, " ".join(word() for _ in range(30))) for k in range(12)]
+    texts = []
+    for _ in range(30):
+        parts = [" ".join(word() for _ in range(rnd.randint(0, 60)))]
+        for k in rnd.sample(range(12), 2):
+            t = items[k][1]
+            parts += [t[:rnd.randint(60, len(t))], " ".join(word() for _ in range(20))]
+        texts.append(" ".join(parts))
+    whole = [{x[0] for x in f} for f in decontam.Index(items).find(texts)]
+    monkeypatch.setattr(decontam, "PAIRS", 40)
+    assert [{x[0] for x in f} for f in decontam.Index(items).find(texts)] == whole and any(whole)
