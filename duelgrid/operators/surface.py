@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import zlib
+
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from duelgrid.functions import core as C
@@ -55,15 +57,51 @@ def nested_profile(profile: DataFrame, radar: DataFrame, trends: DataFrame, gaun
 
 def search(competitors: DataFrame, text: str, limit: int = 8) -> DataFrame:
     """I4: exact 3 > prefix 2 > word prefix 1.5 > substring 1, then contest count; two letters at least."""
-    q = normalize_name(F.lit(text), "search")
-    name = normalize_name(F.col("name"), "search")
+    return _best_names(competitors.withColumn("folded", normalize_name(F.col("name"), "search")),
+                       normalize_name(F.lit(text), "search"), limit)
+
+
+def _best_names(names: DataFrame, q: Column, limit: int) -> DataFrame:
+    name = F.col("folded")
     score = (F.when(name == q, 3.0).when(name.startswith(q), 2.0)
              .when(F.exists(F.split(name, " "), lambda w: w.startswith(q)), 1.5).when(name.contains(q), 1.0))
-    return (competitors.withColumn("score", score).filter((F.length(q) >= 2) & F.col("score").isNotNull())
+    return (names.withColumn("score", score).filter((F.length(q) >= 2) & F.col("score").isNotNull())
             .select("competitor", "name", "home_division", "contests", "score")
             .orderBy(F.desc("score"), F.desc("contests"), "competitor").limit(limit))
 
 
+#: Folders of the name index.
+INDEX_FOLDERS = 64
+
+
+def write_name_index(competitors: DataFrame, path: str) -> DataFrame:
+    """I4: one row per name and run of two or three characters in it, by a hash of the run.  Every rule of `search` needs the
+    searched text somewhere in the name, so all its hits have all its runs.  A run that many names hold goes into several
+    files (rows are ranged by run and competitor).  Names without two characters left can match nothing and have no row."""
+    folded = competitors.select("competitor", "name", "home_division", "contests",
+                                normalize_name(F.col("name"), "search").alias("folded"))
+    def runs(n: int) -> Column:
+        starts = F.sequence(F.lit(1), F.length("folded") - (n - 1))
+        return F.when(F.length("folded") >= n, F.transform(starts, lambda i: F.substring(F.col("folded"), i, F.lit(n)))
+                      ).otherwise(F.array().cast("array<string>"))
+
+    rows = folded.withColumn("run", F.explode(F.array_distinct(F.concat(runs(2), runs(3))))).withColumn(
+        "folder", F.pmod(F.crc32(F.encode("run", "UTF-8")), F.lit(INDEX_FOLDERS)).cast("int"))
+    rows.repartitionByRange("folder", "run", "competitor").sortWithinPartitions("folder", "run").write.mode("overwrite").partitionBy("folder").parquet(path)
+    return competitors.sparkSession.read.schema(rows.schema).parquet(path)
+
+
+def search_index(index: DataFrame, text: str, limit: int = 8) -> DataFrame:
+    """I4 by the index: what `search` gives, from the rows of the searched text's own runs."""
+    q = index.sparkSession.range(1).select(normalize_name(F.lit(text), "search")).first()[0]
+    n = min(len(q), 3)
+    runs = sorted({q[i:i + n] for i in range(len(q) - n + 1)}) if n >= 2 else []
+    folders = sorted({zlib.crc32(run.encode()) % INDEX_FOLDERS for run in runs})
+    hits = index.filter(F.col("folder").isin(folders) & F.col("run").isin(runs))
+    whole = hits.groupBy("competitor", "name", "home_division", "contests", "folded").agg(F.count("*").alias("runs"))
+    return _best_names(whole.filter(F.col("runs") == len(runs)), F.lit(q), limit)
+
+
 def upcoming_events(slots: DataFrame, today: Column) -> DataFrame:
     """Future events with their contests nested in card order."""
     bout = F.struct("bout_order", "slot_id", "division", "c1", "name1", "c2", "name2", "main_event")

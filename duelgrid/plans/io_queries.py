@@ -52,6 +52,16 @@ def csv(ws):
     return back.select(F.col("contest_id").cast("long").alias("contest_id"), "title", F.coalesce("details", F.lit("")).alias("details"))
 
 
+@query("A21_year_partitions")
+def year_partitions(ws):
+    """All contests by years, then one year delivered again with other details; the rest stays as it was."""
+    path = place(ws, "years")
+    K.write_years(ws.contests, path)
+    table = K.write_years(K.years_between(ws.contest_years, 1998, 1998).withColumn("details", F.lit("again")), path)
+    return table.groupBy(K.YEAR).agg(F.count("*").alias("contests"), F.count_if(F.col("details") == "again").alias("again"),
+                                     F.sum("contest_id").alias("ids"))
+
+
 @query("A2_A3_competitor_source")
 def competitor_source(ws):
     c = ws.competitors

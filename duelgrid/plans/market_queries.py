@@ -205,6 +205,29 @@ def score_line(ws, configs):
     return [got[i] for i in range(len(configs))]
 
 
+def k_search(ws):
+    """The search over the K line alone, from the default engine."""
+    return T.coordinate_search(lambda cs: score_line(ws, cs), ws.engine, passes=1, grid={"base_k": SEARCH_GRID["base_k"]})
+
+
+@query("H15_line_trail")
+def line_trail(ws):
+    """The trail of a search over one line: every candidate, its score, and whether it was taken."""
+    rows = [(p, knob, v, s, better) for p, knob, v, s, better in k_search(ws)[3]]
+    return ws.spark.createDataFrame(rows, "pass int, knob string, value double, log_loss double, taken boolean").withColumn(
+        "log_loss", r6("log_loss"))
+
+
+@query("H16_config_proposal")
+def proposal(ws):
+    """Every knob before and after the search of one line, with the scores of both."""
+    best, after, before, _ = k_search(ws)
+    changed = {k: (a, b) for k, a, b in T.config_diff(ws.engine, best)}
+    rows = [(k, *changed.get(k, (float(getattr(ws.engine, k)),) * 2), k in changed, before, after) for k in SEARCH_GRID]
+    return ws.spark.createDataFrame(rows, "knob string, now double, proposed double, changed boolean, loss_now double, loss_proposed double"
+                                    ).withColumns({c: r6(c) for c in ("loss_now", "loss_proposed")})
+
+
 @query("H16_rank_differences")
 def rank_diff(ws):
     """Division order by raw rating under the base and a candidate config."""

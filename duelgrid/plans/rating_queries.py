@@ -100,7 +100,7 @@ def filtered(ws):
 @query("D12_era_filter")
 def era(ws):
     engine = FilterParams(era_start_year=1999).engine(ws.engine)
-    h = sweep.sweep(ws.contests, engine, ws.as_of)
+    h = sweep.sweep(ws.contests_since(engine.era_start_year), engine, ws.as_of)
     return sweep.final_states(h, ws.as_of, engine).select("competitor", "contests_rated", r6("peak"), r6("rating"))
 
 

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
+from functools import reduce
+
+from pyspark.sql import DataFrame, functions as F
 
 from duelgrid.config import FilterParams
 from duelgrid.functions import core as C
@@ -131,6 +133,14 @@ def search(ws):
     return S.search(ws.competitors, "vanb")
 
 
+@query("I4_index_search")
+def index_search(ws):
+    """The same search from the index of name runs, for texts of several kinds."""
+    asked = ("vanb", "AN", "3", "zzzz", "vanbu")
+    found = [S.search_index(ws.name_index, t).withColumn("asked", F.lit(t)) for t in asked]
+    return reduce(DataFrame.unionByName, found)
+
+
 @query("I5_upcoming_events")
 def events(ws):
     e = S.upcoming_events(B.upcoming(ws.contests), ws.today)

@@ -16,10 +16,10 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from duelgrid.config import EngineConfig, FilterParams
 from duelgrid.functions.timeline import number_timeline
 from duelgrid.functions import core as C
-from duelgrid.operators import backtest, analytics, etl, identity, market, ranking, sweep
+from duelgrid.operators import backtest, analytics, etl, identity, market, ranking, surface, sweep
 from duelgrid.functions.names import name_pair
 from duelgrid.session import ensure_checkpoint_dir
-from duelgrid.sources import bindings as B
+from duelgrid.sources import bindings as B, sinks as K
 from duelgrid.sources.readers import path_exists
 
 _OPEN: dict[tuple[str, str], "Workspace"] = {}
@@ -50,9 +50,18 @@ class Workspace:
     def today(self):
         return F.lit(self.as_of).cast("date")
 
+    @cached_property
+    def contest_years(self) -> DataFrame:
+        """All contests, lying by years."""
+        return K.write_years(B.contests(self.spark, self.dir), f"{self.root}/contests")
+
     @cached_property
     def contests(self) -> DataFrame:
-        return self.keep("contests", B.contests(self.spark, self.dir))
+        return K.years_between(self.contest_years)
+
+    def contests_since(self, year: int | None) -> DataFrame:
+        """The contests an era starts with: earlier years are not read."""
+        return K.years_between(self.contest_years, year)
 
     @cached_property
     def sides(self) -> DataFrame:
@@ -62,6 +71,12 @@ class Workspace:
     def competitors(self) -> DataFrame:
         return self.keep("competitors", B.competitors(self.spark, self.dir, self.sides))
 
+    @cached_property
+    def name_index(self) -> DataFrame:
+        """I4: letter runs of all names, in a table that a search reads by its own runs."""
+        path = f"{self.root}/name_index"
+        return surface.write_name_index(self.competitors, path)
+
     @cached_property
     def external(self) -> DataFrame:
         return self.keep("external", B.external_ranking(self.competitors))
@@ -255,7 +270,7 @@ class Workspace:
         name = "history-" + hashlib.sha256(f"{engine!r} {self.as_of}".encode()).hexdigest()[:16]
         if path_exists(self.spark, f"{self.root}/{name}/_SUCCESS"):
             return self.spark.read.parquet(f"{self.root}/{name}")
-        return self.keep(name, sweep.sweep(self.contests, engine, self.as_of))
+        return self.keep(name, sweep.sweep(self.contests_since(engine.era_start_year), engine, self.as_of))
 
     def rankings(self, filters: FilterParams = FilterParams()) -> DataFrame:
         """All divisions under user filters; the neutral position is the shared product."""

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import hashlib
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql.types import IntegerType, StructType
 
 
 def write_text_table(df: DataFrame, path: str, mode: str = "overwrite") -> None:
@@ -17,6 +18,28 @@ def write_json(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").json(path)
 
 
+#: Partition column of a table that lies by years.
+YEAR = "on_year"
+
+
+def write_years(df: DataFrame, path: str, day: str = "date") -> DataFrame:
+    """A table in one folder per year of its day (rows without a day have their own), and the table as it is then.
+    Writing again replaces the years that the rows fall in and leaves the others' files alone."""
+    dated = df.withColumn(YEAR, F.year(day))
+    (dated.repartitionByRange(YEAR, day).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+     .partitionBy(YEAR).parquet(path))
+    return df.sparkSession.read.schema(StructType(df.schema.fields).add(YEAR, IntegerType())).parquet(path)
+
+
+def years_between(table: DataFrame, first: int | None = None, last: int | None = None) -> DataFrame:
+    """A by-year table from `first` to `last`, both included; only these years' folders are read."""
+    if first is not None:
+        table = table.filter(F.col(YEAR) >= first)
+    if last is not None:
+        table = table.filter(F.col(YEAR) <= last)
+    return table.drop(YEAR)
+
+
 #: Hash buckets of an append-only table.
 BUCKETS = 32
 

@@ -13,6 +13,7 @@ _set = "CASE " + " ".join(f"WHEN c.date<{d} THEN {d}" for d in RUNS) + " END"
 _raw_method = "CASE WHEN result1='NC' THEN 'Could Not Continue' WHEN m0='KO/TKO' THEN 'KO/TKO' WHEN m0='SUB' THEN 'Submission' WHEN m0='U-DEC' THEN 'Decision - Unanimous' WHEN m0='M-DEC' THEN 'Decision - Majority' ELSE 'Decision - Split' END"
 ORACLES = {
     "A1_A21_csv_round_trip": sql("""SELECT contest_id, '"'||name1||'", aka '||name2 AS title, details FROM contests"""),
+    "A21_year_partitions": sql("SELECT year(date)::INT AS on_year, count(*) AS contests, count(*) FILTER (year(date)=1998) AS again, sum(contest_id)::BIGINT AS ids FROM contests GROUP BY 1"),
     "A2_A3_competitor_source": sql(f"""SELECT competitor::VARCHAR AS competitor, name, '' AS nickname, '5'' 11"' AS height, CASE WHEN nation=3 THEN 0 ELSE competitor%90+115.5 END::DOUBLE AS weight, 'Orthodox' AS stance,
       wins::DOUBLE AS wins, losses::DOUBLE AS losses, CASE WHEN draws>3 THEN draws ELSE 0 END::DOUBLE AS draws, balance>9000 AS belt, home_division AS division, gender, 'Boxer' AS style, {", ".join(f"CASE WHEN competitor%{i+2}=0 THEN 0 ELSE competitor%{i+7}+0.5 END::DOUBLE AS {n}" for i, n in enumerate(COMPETITOR_NUMBERS.values()))} FROM competitors"""),
     "A4_A5_contest_source": sql("SELECT contest_id::VARCHAR AS contest_id, c1::VARCHAR AS c1, c2::VARCHAR AS c2, CASE WHEN round=2 THEN 'unknown' ELSE event_id END AS event_id, CASE WHEN round<>2 THEN date END AS date FROM contests WHERE result1<>'NC'"),

@@ -19,6 +19,10 @@ cte("grid_rows", " UNION ALL ".join(f"""SELECT {float(k)}::DOUBLE AS base_k, p.p
 cte("grid_years", "SELECT year AS fold FROM (SELECT year, row_number() OVER (ORDER BY year) AS k, row_number() OVER (ORDER BY year DESC) AS b FROM (SELECT DISTINCT year FROM grid_rows)) WHERE k>3 AND b<=5")
 cte("grid_folds", "SELECT g.*, t.fold, g.base_k||'/'||t.fold AS unit FROM grid_rows g JOIN grid_years t ON g.year<=t.fold")
 irls("gr", "grid_folds", [LOGIT("model_p")], by="unit", where="year<fold", steps=10)
+cte("k_line", f"""SELECT base_k, row_number() OVER (ORDER BY base_k) AS place, avg(CASE WHEN fav_won THEN -ln(q) ELSE -ln(1-q) END) AS loss FROM (
+  SELECT base_k, fav_won, least(greatest(p,1e-12),1-1e-12) AS q FROM (SELECT f.base_k, f.fav_won, 1/(1+exp(-(w.w0+w.w1*{LOGIT('model_p')}))) AS p FROM grid_folds f JOIN gr_fit w ON w.g=f.unit WHERE f.year=f.fold)) GROUP BY 1""")
+cte("k_trail", """SELECT *, loss < least((SELECT loss FROM k_line WHERE base_k=24), coalesce(min(loss) OVER (ORDER BY place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 1e9)) - 1e-6 AS taken FROM k_line""")
+cte("k_best", "SELECT coalesce((SELECT arg_max(base_k, place) FROM k_trail WHERE taken), 24) AS best")
 cte("order_old", "SELECT competitor, home_division AS division, row_number() OVER (PARTITION BY home_division ORDER BY rating DESC, competitor) AS place FROM competitors JOIN ratings USING (competitor) WHERE contests>=3 AND home_division<>''")
 cte("order_new", "SELECT competitor, home_division AS division, rating, row_number() OVER (PARTITION BY home_division ORDER BY rating DESC, competitor) AS place FROM competitors JOIN o_ratings USING (competitor) WHERE contests>=3 AND home_division<>''")
 _edge = "model_p-(1/fav_odds)/(1/fav_odds+1/dog_odds)"
@@ -44,6 +48,9 @@ ORACLES = {
       unnest([model_p, 1/(1+exp(-(c.w0+c.w1*{LOGIT('model_p')}))), market_p, 1/(1+exp(-(b.w0+b.w1*{LOGIT('model_p')}+b.w2*{LOGIT('market_p')})))]) AS p FROM chron, cal_fit c, blend_fit b WHERE NOT is_train) GROUP BY 1"""),
     "H14_walk_forward_folds": sql("SELECT fold, role, count(*) AS n FROM folds GROUP BY 1,2"),
     "H15_grid_line": sql(f"SELECT base_k, {scored()} FROM (SELECT f.base_k, f.fav_won, 1/(1+exp(-(w.w0+w.w1*{LOGIT('model_p')}))) AS p FROM grid_folds f JOIN gr_fit w ON w.g=f.unit WHERE f.year=f.fold) GROUP BY 1"),
+    "H15_line_trail": sql(f"SELECT 1 AS pass, 'base_k' AS knob, base_k AS value, {r('loss',6)} AS log_loss, taken FROM k_trail"),
+    "H16_config_proposal": sql(f"""SELECT knob, now, CASE WHEN knob='base_k' THEN best ELSE now END AS proposed, knob='base_k' AND best<>now AS changed, {r('(SELECT loss FROM k_line WHERE base_k=24)',6)} AS loss_now, {r('(SELECT loss FROM k_line WHERE base_k=best)',6)} AS loss_proposed
+      FROM k_best, (VALUES ('base_k',24::DOUBLE),('provisional_contests',5::DOUBLE),('provisional_multiplier',1.5::DOUBLE),('retention_per_year',0.92::DOUBLE),('move_penalty',0.1::DOUBLE),('finish_spread',1::DOUBLE)) v(knob, now)"""),
     "H16_rank_differences": sql(f"SELECT n.division, n.competitor, n.place AS now, o.place AS was, o.place-n.place AS gain, {r('n.rating',4)} AS rating FROM order_new n LEFT JOIN order_old o USING (division, competitor) WHERE n.place<=15"),
     "H17_coverage_by_year": sql("SELECT year, count(*) AS total, count(*) FILTER (verdict='ok') AS matched FROM joined GROUP BY 1"),
     "H17_coverage_by_division": sql("SELECT division, count(*) AS matched FROM priced GROUP BY 1"),

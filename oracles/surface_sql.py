@@ -76,6 +76,9 @@ ORACLES = {
     "I3_competitor_profile": sql("SELECT * FROM profile ORDER BY rating DESC, competitor LIMIT 1"),
     "I4_name_search": sql(f"""SELECT competitor, name, home_division, contests, s AS score FROM (SELECT *, CASE WHEN k='vanb' THEN 3.0 WHEN starts_with(k,'vanb') THEN 2.0 WHEN contains(' '||k,' vanb') THEN 1.5 WHEN contains(k,'vanb') THEN 1.0 END::DOUBLE AS s FROM (SELECT *, {norm('name','search')} AS k FROM competitors))
       WHERE s IS NOT NULL ORDER BY s DESC, contests DESC, competitor LIMIT 8"""),
+    "I4_index_search": sql(" UNION ALL ".join(f"""SELECT * FROM (SELECT competitor, name, home_division, contests, s AS score, '{t}' AS asked FROM (
+      SELECT *, CASE WHEN k='{q}' THEN 3.0 WHEN starts_with(k,'{q}') THEN 2.0 WHEN contains(' '||k,' {q}') THEN 1.5 WHEN contains(k,'{q}') THEN 1.0 END::DOUBLE AS s FROM (SELECT *, {norm('name','search')} AS k FROM competitors))
+      WHERE s IS NOT NULL ORDER BY s DESC, contests DESC, competitor LIMIT {8 if len(q) > 1 else 0})""" for t, q in (("vanb", "vanb"), ("AN", "an"), ("3", "3"), ("zzzz", "zzzz"), ("vanbu", "vanbu")))),
     "I5_upcoming_events": sql(f"SELECT event_id, min(date) AS date, arg_min(event_name,bout_order) AS event_name, string_agg(bout_order||':'||name1||':'||name2,'; ' ORDER BY bout_order) AS bouts FROM upcoming WHERE date>={AS_OF} GROUP BY 1"),
     "I6_next_contest": sql("SELECT * FROM next_up"),
     "I7_upcoming_cards": sql(f"""SELECT slot_id, c1, c2, rank_label1, rank_label2, style1, style2, age1, age2, (SELECT record FROM profile p WHERE p.competitor=c1) AS record1, (SELECT record FROM profile p WHERE p.competitor=c2) AS record2,

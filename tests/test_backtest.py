@@ -48,6 +48,31 @@ def test_coordinate_search_equals_one_by_one():
     assert dict((k, b) for k, _, b in T.config_diff(EngineConfig(), best)) == {k: float(v) for k, v in target.items()}
 
 
+def test_search_trail_over_the_tables_equals_one_by_one(ws):
+    """Two passes over two knobs, a line per job, against one candidate per job."""
+    from dataclasses import replace
+    from duelgrid.plans.market_queries import score_line
+    grid = {"base_k": (12, 40), "move_penalty": (0, 0.2)}
+    got, got_score, first, trail = T.coordinate_search(lambda cs: score_line(ws, cs), ws.engine, passes=2, grid=grid)
+    known = {}
+
+    def one(config):
+        if repr(config) not in known:
+            known[repr(config)] = score_line(ws, [config])[0]
+        return known[repr(config)]
+
+    best, want = ws.engine, []
+    for p in (1, 2):
+        for knob, values in grid.items():
+            for v in values:
+                candidate = replace(best, **{knob: float(v)})
+                better = one(candidate) < one(best) - 1e-6
+                want.append((p, knob, float(v), better))
+                best = candidate if better else best
+    assert [(p, k, v, b) for p, k, v, _, b in trail] == want and got == best
+    assert got_score == pytest.approx(one(best), abs=1e-9) and first == pytest.approx(one(ws.engine), abs=1e-9)
+
+
 def test_scores_and_bins(spark):
     df = spark.createDataFrame([(0.9, True), (0.8, False), (1.0, True), (0.05, False)], "p double, won boolean")
     s = T.scores(df, "p", "won").first()

@@ -12,7 +12,8 @@ from tools_check import table
 QUICK = ("D1_rating_history", "E18_division_rankings", "G15_story_facts", "G8_finish_breakdown", "H7_matchup_predictions", "H13_holdout_scores",
          "C16_C17_best_and_verdict", "C27_birth_coverage", "B9_B10_contest_assembly", "I10_summary", "K3_price_cells", "S2_online_ratings",
          "D1_sliced_sweep", "E12_head_to_head_edges", "C23_feed_links", "C2_C3_patch_verdicts", "H22_title_candidates", "H23_title_attribution", "F6_prospects",
-         "J1_golden_diff", "J3_invariants", "S1_guarded_ingest", "S4_ledger_stream", "S6_activity_rates", "H16_rank_differences")
+         "J1_golden_diff", "J3_invariants", "S1_guarded_ingest", "S4_ledger_stream", "S6_activity_rates", "H16_rank_differences",
+         "H15_line_trail", "H16_config_proposal", "I4_index_search", "A21_year_partitions", "D12_era_filter")
 
 
 def plan_of(df):
