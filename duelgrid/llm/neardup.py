@@ -2,8 +2,10 @@
 
 1. Every whole text becomes its set of five-word shingles (64-bit hashes) and a MinHash signature of
    bands x rows values, whose numbers follow from the threshold `least` (`shape`).  Documents of equal sets form a class at once; only its smallest doc_id goes on.
+   A class may hold most rows, so it is gathered, and its result handed back, in `SALTS` parts.
 2. Classes that share a band are candidates.  A band's bucket is not paired out: each member is tied to the
-   smallest of the bucket, and the components of these ties are the candidate groups.
+   smallest of its part of the bucket, the smallest ones of the `SALTS` parts to the smallest of all, and the
+   components of these ties are the candidate groups.
 3. A candidate group is cut into blocks of a bounded number of members and bytes, by hash; a task holds two
    blocks.  It compares their signatures batch by batch and drops a pair as soon as the posterior
    probability that its similarity reaches the threshold falls below `MISS`.  Survivors are verified on the
@@ -26,7 +28,7 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from duelgrid.llm.common import Kept, map_slices, pick
@@ -42,6 +44,8 @@ BATCH, MISS = 28, 1e-6
 #: Members and shingles of a block, in the mean; a task holds two blocks.
 BLOCK_MEMBERS, BLOCK_SHINGLES = 384, 2_000_000
 WORDS_KEPT = 300_000
+#: Parts that the rows of one class of equal sets, or of one band's bucket, are dealt to.
+SALTS = 16
 
 
 def shape(least: int) -> tuple[int, int]:
@@ -275,6 +279,22 @@ def full_sets(docs: DataFrame, members: DataFrame) -> DataFrame:
     return made.filter("a = ka and b = kb").drop("a", "b", "ka", "kb")
 
 
+def salt(column: str) -> Column:
+    """One of `SALTS` parts of a class or bucket, by the document."""
+    return F.pmod(F.xxhash64(column), F.lit(SALTS)).cast("int").alias("salt")
+
+
+def bucket_ties(bands: DataFrame) -> DataFrame:
+    """u, v: edges that join the members of each bucket.  A member is tied to the smallest of its salt, and these
+    at most `SALTS` to the smallest of all, so a bucket that holds most rows is spread over tasks."""
+    parts = bands.groupBy("band", salt("rep")).agg(F.min("rep").alias("root"), F.count(F.lit(1)).alias("n"))
+    roots = (parts.groupBy("band").agg(F.min("root").alias("v"), F.collect_list("root").alias("us")).filter("size(us) > 1")
+             .select(F.explode("us").alias("u"), "v"))
+    within = (bands.withColumn("salt", salt("rep")).join(parts.filter("n > 1").drop("n"), ["band", "salt"])
+              .select(F.col("rep").alias("u"), F.col("root").alias("v")))
+    return roots.unionByName(within).filter("u <> v")
+
+
 def near_duplicates(docs: DataFrame, kept: Kept | None = None, least: int = LEAST) -> DataFrame:
     """doc_id, n_shingles, component_id, kept: one row for each row of docs.  Linked are documents whose
     shingles are alike by `least` per cent or more."""
@@ -282,18 +302,13 @@ def near_duplicates(docs: DataFrame, kept: Kept | None = None, least: int = LEAS
     kept = kept or Kept(docs.sparkSession, "neardup")
     made = kept(sets_of(docs, n_bands * n_rows))
     whole = made.filter("doc_id is not null and n_shingles > 0")
-    classes = whole.groupBy("a", "b").agg(F.min("doc_id").alias("rep"))
-    # narrow rows for the result, wide ones for one document of each class
-    of_class = kept(made.select("doc_id", "n_shingles", "a", "b")
-                    .join(classes, ["a", "b"], "left")
-                    .select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("rep")).alias("rep")))
-    reps = kept(whole.join(classes.withColumnRenamed("rep", "doc_id"), ["a", "b", "doc_id"])
+    parts = whole.groupBy("a", "b", salt("doc_id")).agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("n"))
+    classes = kept(parts.groupBy("a", "b").agg(F.min("rep").alias("rep"), F.sum("n").alias("n"), F.collect_set("salt").alias("salts")))
+    reps = kept(whole.join(classes.select("a", "b", F.col("rep").alias("doc_id")), ["a", "b", "doc_id"])
                 .select(F.col("doc_id").alias("rep"), "a", "b", "n_shingles", "signature")
                 .dropDuplicates(["rep", "a", "b"]))
 
-    bands = band_rows(reps, n_bands, n_rows)
-    buckets = bands.groupBy("band").agg(F.min("rep").alias("root"), F.count(F.lit(1)).alias("n")).filter("n > 1")
-    ties = bands.join(buckets, "band").filter("rep <> root").select(F.col("rep").alias("u"), F.col("root").alias("v"))
+    ties = bucket_ties(band_rows(reps, n_bands, n_rows))
     groups = kept(components(ties, kept).withColumnsRenamed({"node": "rep", "component": "grp"}))
     sizes = (reps.join(groups, "rep").groupBy("grp")
              .agg(F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK_MEMBERS), F.ceil(F.sum("n_shingles") / BLOCK_SHINGLES))
@@ -307,10 +322,13 @@ def near_duplicates(docs: DataFrame, kept: Kept | None = None, least: int = LEAS
     )
     found = kept(verified(blocks, least))
     joined = components(found, kept).withColumnsRenamed({"node": "rep"})
-    return of_class.join(joined, "rep", "left").select(
-        "doc_id", "n_shingles", F.coalesce("component", "rep", "doc_id").alias("component_id"),
-    ).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True))).withColumn(
-        "component_id", F.when(F.col("doc_id").isNotNull(), F.col("component_id")))
+    # a document that is alone in its class and without links needs no partner here
+    of_class = (classes.join(joined, "rep", "left").filter("n > 1 or component is not null")
+                .select("a", "b", F.explode("salts").alias("salt"), F.coalesce("component", "rep").alias("component")))
+    shown = (whole.select("doc_id", "n_shingles", "a", "b", salt("doc_id")).join(of_class, ["a", "b", "salt"], "left")
+             .select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id")))
+    alone = made.filter("doc_id is null or n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
+    return shown.unionByName(alone).withColumn("kept", F.col("component_id").isNull() | (F.col("doc_id") == F.col("component_id")))
 
 
 def one_of_each(docs: DataFrame, least: int = LEAST) -> DataFrame:

@@ -112,3 +112,39 @@ def test_bands_follow_the_threshold(least):
     bands, rows = neardup.shape(least)
     assert (1 - (least / 100) ** rows) ** bands <= 1e-6 and neardup.least_matches(least)[-1][0] == bands * rows
     assert neardup.shape(85) == (36, 7)
+
+
+@pytest.mark.parametrize("salts", [1, 16])
+def test_a_class_and_a_bucket_with_most_rows(documents, rows, salts, monkeypatch):
+    """Half the rows are equal, a quarter is empty, null or short, the rest near copies of the equal ones."""
+    monkeypatch.setattr(neardup, "SALTS", salts)
+    base = near_copies(5, 60, 120)
+    data = [(7 * i + 3, base[0]) for i in range(160)] + [(7 * i + 1, ("", None, " ", "a b")[i % 4]) for i in range(80)]
+    data += [(7 * i + 5, t) for i, t in enumerate(base)]
+    random.Random(2).shuffle(data)
+    assert sorted(rows(neardup.near_duplicates(documents(data)))) == brute(data)
+
+
+def test_ties_join_every_bucket(spark):
+    rnd = random.Random(4)
+    data = [(0, i) for i in range(300)] + [(1 + rnd.randrange(60), rnd.randrange(200)) for _ in range(150)]
+    data = sorted(set(data))
+    ties = [(r.u, r.v) for r in neardup.bucket_ties(spark.createDataFrame(data, "band bigint, rep bigint")).collect()]
+    hub = [v for _, v in ties].count(0)
+    assert hub < 150 and all(u > v for u, v in ties)
+    root = {i: i for _, i in data}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for u, v in ties:
+        root[max(find(u), find(v))] = min(find(u), find(v))
+    got = {i: find(i) for i in root}
+    root = {i: i for _, i in data}
+    first = {}
+    for b, i in data:
+        x, y = find(first.setdefault(b, i)), find(i)
+        root[max(x, y)] = min(x, y)
+    assert got == {i: find(i) for i in root}
