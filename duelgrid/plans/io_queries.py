@@ -122,10 +122,10 @@ def outside_linked(ws):
 @query("A9_A11_price_source")
 def price_source(ws):
     p = ws.prices.select(
-        text("date").alias("date"), "event", F.when(F.col("outcome") == "unknown", "").otherwise(F.col("favourite")).alias("favourite"), "underdog",
+        text("price_id").alias("price_id"), text("date").alias("date"), "event", F.when(F.col("outcome") == "unknown", "").otherwise(F.col("favourite")).alias("favourite"), "underdog",
         text("fav_odds").alias("favourite_odds"),
         F.when(F.col("dog_odds") > 10, "n/a").otherwise(text("dog_odds")).alias("underdog_odds"), F.upper("outcome").alias("outcome"))
-    return R.price_source(through_text(ws, p, "prices", R.PRICE_TEXT))
+    return R.price_source(through_text(ws, p, "prices", ("price_id", *R.PRICE_TEXT)))
 
 
 @query("A7_merge_source")

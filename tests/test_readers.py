@@ -48,3 +48,12 @@ def test_repeated_header_names_and_absent_files(spark, tmp_path):
     assert [tuple(r) for r in R.read_text_table(spark, str(tmp_path / "a.csv"), R.ALIAS_TEXT).collect()] == [("n", "first", "1")]
     assert R.read_optional(spark, str(tmp_path / "none.csv"), R.ALIAS_TEXT).count() == 0
     assert R.read_text_table(spark, str(tmp_path / "none*.csv"), R.ALIAS_TEXT).columns == list(R.ALIAS_TEXT)
+
+
+def test_prices_keep_the_id_of_their_file(spark):
+    """The id was left out of the read, so rows alike but for it could not be told apart."""
+    columns = ("price_id", *R.PRICE_TEXT)
+    row = ("2001-02-03", "e", "A", "B", "1.5", "2.5", "FAVOURITE")
+    raw = spark.createDataFrame([("7", *row), ("8", *row), ("9", *row[:5], "n/a", "UNDERDOG")], ", ".join(f"{c} string" for c in columns))
+    assert sorted((r.price_id, r.outcome) for r in R.price_source(raw).collect()) == [(7, "favourite"), (8, "favourite")]
+    assert R.price_source(raw.drop("price_id")).columns[0] == "date"
