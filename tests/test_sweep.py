@@ -148,3 +148,25 @@ def test_hot_day_is_cut(spark):
     sizes = [S.rated_contests(df).filter(s.condition()).count() for s in slices]
     assert sum(sizes) == 200 and max(sizes) < 120
     assert_same(collected(S.sweep(df, EngineConfig(), AS_OF, slice_rows=40)), plain_loop(rows, EngineConfig()))
+
+
+def test_one_plan_serves_many_sweeps(spark, frame):
+    """Calendar, slices and labels are made once; each sweep over them equals one from the contests."""
+    configs = [EngineConfig(), EngineConfig(base_k=40, move_penalty=0.3)]
+    plan = S.plan(frame, slice_rows=40)
+    assert len(plan.slices) > 2
+    for engine in configs:
+        assert_same(collected(S.history_rows(S.run(plan, [engine], AS_OF))), plain_loop(careers(), engine))
+    slim = S.rating_rows(S.run(plan, configs, AS_OF, calendar=False)).collect()
+    for i, engine in enumerate(configs):
+        want = {k: v[0] for k, v in plain_loop(careers(), engine).items()}
+        got = {(r["contest_id"], r["competitor"]): r["rating_before"] for r in slim if r["config_id"] == i}
+        assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k], abs=1e-9) for k in want)
+    with pytest.raises(ValueError):
+        S.run(plan, [EngineConfig(era_start_year=2016)], AS_OF)
+
+
+def test_a_slice_is_large_enough_for_its_jobs(spark):
+    """A slice is a dozen jobs: with slices of 200,000 rows a few million contests took hundreds of them."""
+    days = spark.range(6_000_000).select(F.col("id").alias("contest_id"), F.date_add(F.lit("2012-01-01"), (F.col("id") % 3000).cast("int")).alias("date"))
+    assert len(S.plan_slices(days, S.LEAST_SLICE_ROWS)) <= 2
