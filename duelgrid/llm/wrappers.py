@@ -1,17 +1,19 @@
 """Main text of pages by wrappers: union-free regular expressions inferred per host and layout.
 
 Every page gives a wrapper of its own, which tells where its main element is; pages of a host that have it at the same
-place are one layout (all pages are looked at).  `infer` takes the token streams of up to `SAMPLE` different pages of a
-layout, by hash, and aligns them one after the other: elements that match are merged, text that differs becomes a slot,
-neighbours of the same shape become a repeated group `( )+`, and what only some pages have becomes an optional group
-`( )?`.  The result, the wrapper, has no unions.  Its slots tell where the article is: in an <article> or <main> element
-if the layout has one, else in the element whose own slots hold most text outside links and outside boilerplate.
+place are one layout.  A page's wrapper is reduced to its `shape`, its shown block elements; all different shapes of a
+layout are aligned one after the other: elements that match are merged, neighbours of the same shape become a repeated
+group `( )+`, and what only some pages have becomes an optional group `( )?`.  The result, the layout's wrapper, has no
+unions.  No page is left out: shapes are dealt to `PARTS` parts by hash, each is merged in order, then the parts are, so
+that a task holds one wrapper and the result does not depend on partitions.  Its main element is the layout's place, on
+which all of its pages agree: an <article> or <main> element if there is one, else the element whose own slots hold most
+text outside links and outside boilerplate.  (`infer` does the same for token streams with their texts, of which
+`host_wrappers` and the template labels take up to `SAMPLE` pages, by hash; labels are checked on all pages after.)
 
 Extraction matches each whole page against its host's wrappers, those of the largest layouts first.  Of the first that
 it is a word of, the text of the slots and groups in the main element is taken, but for boilerplate elements (menus,
-sidebars, notices, adverts, forms, scripts, comments, by tag or by class and id).  A page that fits none, whether its
-layout is rare or it has an element that no sampled page has, is read with its own wrapper.  So a sample decides only
-which pages share a reading.  Optionally, labels of the template are left out where the main element had to be guessed:
+sidebars, notices, adverts, forms, scripts, comments, by tag or by class and id).  A page that fits none, as those of layouts
+beyond a host's `LAYOUTS` largest may, is read with its own wrapper, whose main element is its layout's too.  Optionally, labels of the template are left out where the main element had to be guessed:
 texts of at most `LABEL` characters, without a sentence's end and outside headings, that stand on all of the host's
 pages, of which there are three of different html at least; the query leaves nothing out.
 
@@ -37,10 +39,12 @@ from pyspark.sql import functions as F
 
 from duelgrid.llm.common import Kept, map_slices, pick
 
-#: Pages that a host's wrapper is inferred from.
+#: Pages that `host_wrappers` and the candidates for template labels are inferred from.
 SAMPLE = 6
 #: Layouts of a host that get a wrapper; pages of others are read by their own.
 LAYOUTS = 8
+#: Parts of a layout's shapes that are merged on their own first.
+PARTS = 64
 #: Pairs of elements that are aligned by a table, and how far ahead a counterpart is looked for beyond.
 CELLS, REACH = 1 << 18, 64
 #: Wrappers of more bytes than this are joined, each host's in `SALTS` parts, and not broadcast.
@@ -331,6 +335,24 @@ def fits(wrapper: list, page: Node) -> bool:
     return all(optional for _, optional, _ in ours[at:])
 
 
+def shape(node: Node) -> list:
+    """What a layout's wrapper is merged from: label, optional, repeated, and the same of the shown block elements within.
+    Of what stands between two of one label a `|` is left, so that they stay two."""
+    items: list[list] = []
+    for n in node.items:
+        if not n.hidden and n.label.split(".")[0] in BLOCK:
+            if items and items[-1][0] == n.label:
+                items.append(["|", n.optional, False, []])
+            items.append(shape(n))
+    return [node.label, node.optional, node.repeated, items]
+
+
+def of_shape(found: list) -> Node:
+    node = Node(found[0])
+    node.optional, node.repeated, node.items = found[1], found[2], [of_shape(x) for x in found[3]]
+    return node
+
+
 def infer(pages: list[str]) -> Node:
     whole = page_wrapper(pages[0])
     for page in pages[1:]:
@@ -522,27 +544,59 @@ def host_wrappers(pages: DataFrame, sample: int = SAMPLE) -> DataFrame:
 
 
 def layouts(html: DataFrame) -> DataFrame:
-    """host, layout, key of every page: pages of a layout have their main element, by their own wrapper, at one place."""
+    """host, layout, key, place, shape of every page: pages of a layout have their main element, by their own wrapper, at
+    one place."""
 
     def work():
         def each(part):
-            places = [json.dumps(main_paths(page_wrapper(p), 1)[0]) for p in part.column(2).to_pylist()]
-            return {"host": part.column(0), "layout": places, "key": part.column(1)}
+            roots = [page_wrapper(p) for p in part.column(2).to_pylist()]
+            places, shapes = ([json.dumps(x) for x in xs] for xs in ([main_paths(r, 1)[0] for r in roots], map(shape, roots)))
+            return {"host": part.column(0), "key": part.column(1), "place": places, "shape": shapes}
 
         return each
 
-    return map_slices(html, work, "host string, layout string, key bigint").select("host", F.xxhash64("layout").alias("layout"), "key")
+    return map_slices(html, work, "host string, key bigint, place string, shape string").select(
+        "host", F.xxhash64("place").alias("layout"), "key", "place", "shape")
 
 
-def layout_wrappers(pages: DataFrame, sample: int, kept: Kept) -> DataFrame:
-    """host, rules: the wrappers of the `LAYOUTS` layouts that most different pages of a host have, most first."""
-    html = with_html(pages)
-    keyed = kept(layouts(html).distinct())
-    sizes = keyed.groupBy("host", "layout").agg(F.count("*").alias("n"))
-    most = kept(first_of(sizes.withColumn("place", F.struct(-F.col("n"), "layout")), ["host"], "place", LAYOUTS))
-    wrappers = inferred(keyed.join(small_side(most.select("host", "layout"), F.lit(64)), ["host", "layout"]), html, ["host", "layout"], sample, kept)
-    return wrappers.join(most, ["host", "layout"]).groupBy("host").agg(
-        F.sort_array(F.collect_list(F.struct("place", "outline", "rule"))).alias("rules"))
+def merged(shapes: DataFrame, by: list[str], made=shape) -> DataFrame:
+    """The `by` columns and shape: all shapes of a group, merged in the order of their other columns, and what is `made`
+    of the whole.  A task holds the wrapper of one group."""
+    order = [c for c in shapes.columns if c not in by]
+    schema = ", ".join(f"{c} {t}" for c, t in shapes.select(*by, "shape").dtypes)
+
+    def run(batches):
+        now = whole = kind = None
+
+        def row():
+            return pa.RecordBatch.from_pylist([{**dict(zip(by, now)), "shape": json.dumps(made(whole))}], schema=kind)
+
+        for batch in batches:
+            kind = pa.schema([batch.schema.field(c) for c in (*by, "shape")])
+            for *group, found in zip(*(batch.column(c).to_pylist() for c in (*by, "shape"))):
+                page = of_shape(json.loads(found))
+                if group == now:
+                    merge(whole, page)
+                    continue
+                if now is not None:
+                    yield row()
+                now, whole = group, page
+        if now is not None:
+            yield row()
+
+    return shapes.repartition(*by).sortWithinPartitions(*by, *order).mapInArrow(run, schema)
+
+
+def layout_wrappers(keyed: DataFrame, kept: Kept) -> DataFrame:
+    """host, layout, rank, place, outline: a wrapper for each of the `LAYOUTS` layouts that most different pages of a host
+    have, merged from all pages of the layout; by rank those of most pages come first.  keyed: what `layouts` gives."""
+    sizes = keyed.select("host", "layout", "key").distinct().groupBy("host", "layout").agg(F.count("*").alias("n"))
+    most = kept(first_of(sizes.withColumn("rank", F.struct(-F.col("n"), "layout")), ["host"], "rank", LAYOUTS))
+    wanted = small_side(most.select("host", "layout", "rank"), F.lit(64))
+    shapes = keyed.join(wanted, ["host", "layout"]).select("host", "layout", "place", "shape").distinct()
+    parts = merged(shapes.withColumn("part", F.pmod(F.xxhash64("shape"), F.lit(PARTS))), ["host", "layout", "place", "part"])
+    whole = merged(parts, ["host", "layout", "place"], outline)
+    return whole.withColumnRenamed("shape", "outline").join(wanted, ["host", "layout"])
 
 
 def not_repeated(rows: DataFrame) -> DataFrame:
@@ -563,11 +617,23 @@ def not_repeated(rows: DataFrame) -> DataFrame:
 
 def main_texts(pages: DataFrame, sample: int = SAMPLE, labels: bool = True) -> DataFrame:
     """page_id, url, text, n_chars: one row for each row of pages.  With `labels`, labels of the template are left out
-    where the main element had to be guessed."""
+    where the main element had to be guessed; `sample` pages of a layout give the candidates, all pages of the host
+    decide."""
     kept = Kept(pages.sparkSession, "wrappers")
-    rules = kept(layout_wrappers(pages, sample, kept))
+    html = with_html(pages)
+    keyed = kept(layouts(html))
+    found = layout_wrappers(keyed, kept)
+    if labels:  # what stands on all pages stands on those of the sample
+        at = found.select("host", "layout")
+        guessed = inferred(keyed.join(small_side(kept(at), F.lit(64)), ["host", "layout"]), html, ["host", "layout"], sample, kept)
+        found = found.join(guessed.select("host", "layout", F.get_json_object("rule", "$[1]").alias("same")), ["host", "layout"])
+    else:
+        found = found.withColumn("same", F.lit("[]"))
+    rule = F.concat(F.lit("["), "place", F.lit(", "), "same", F.lit("]")).alias("rule")
+    rules = kept(found.select("host", F.struct("rank", "outline", rule).alias("r")).groupBy("host").agg(
+        F.sort_array(F.collect_list("r")).alias("rules")))
     rows = pick(pages, "page_id", "url", "html").withColumn("host", host())
-    if labels:  # seen on all sampled pages of a layout; those that another page of the host does not have are no template
+    if labels:
         texts = F.flatten(F.transform("rules", lambda r: F.from_json(F.get_json_object(r["rule"], "$[1]"), "array<string>")))
         said = kept(rules.select("host", F.array_distinct(texts).alias("labels")).filter("size(labels) > 0"))
         missing = not_repeated(rows.filter("html is not null and html <> ''").join(said, "host"))

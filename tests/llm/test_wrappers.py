@@ -161,3 +161,25 @@ def test_a_page_is_a_word_of_its_wrapper():
     root = w.outline(w.infer([page("A", ["x", "y"]), page("B", ["z"], "<h2>sub</h2>")]))
     assert w.fits(root, w.page_wrapper(page("C", ["1", "2", "3"]))) and w.fits(root, w.page_wrapper(page("D", ["<b>1</b>"], "<h2>s</h2>")))
     assert not w.fits(root, w.page_wrapper(page("E", ["1"], "<h3>s</h3>"))) and not w.fits(root, w.page_wrapper(page("F", [])))
+
+
+def test_every_page_of_a_layout_shapes_its_wrapper(spark):
+    """The one page of forty with a table has its table in the wrapper, whatever its hash, and fits it."""
+    import json
+    from duelgrid.llm.common import Kept
+    pages = [(k, f"http://one.example/{k}", page(f"T{k}", [f"p{k}", "q"])) for k in range(40)]
+    pages += [(40 + k, "http://one.example/odd", page(f"T{k}", ["p"], f"<{tag}>odd {k}</{tag}>")) for k, tag in enumerate(("table", "pre", "blockquote", "figure"))]
+    for parts in (1, 7):
+        frame = spark.createDataFrame(pages, SCHEMA).repartition(parts)
+        found = [r.outline for r in w.layout_wrappers(w.layouts(w.with_html(frame)), Kept(spark, "test")).collect()]
+        assert len(found) == 1
+        for _, _, html in pages:
+            assert w.fits(json.loads(found[0]), w.page_wrapper(html))
+
+
+def test_shape_keeps_neighbours_of_one_label_apart():
+    root = w.page_wrapper("<main><p>a</p><b>x</b><p>b</p><p>c</p></main>")
+    assert w.outline(w.of_shape(w.shape(root))) == w.outline(root)
+    whole = w.of_shape(w.shape(root))
+    w.merge(whole, w.of_shape(w.shape(root)))
+    assert w.fits(w.outline(whole), root)
