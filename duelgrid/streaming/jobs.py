@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions
 from duelgrid.config import EngineConfig
 from duelgrid.functions.names import name_pair
 from duelgrid.operators import ledger as L, sweep
+from duelgrid.session import ensure_checkpoint_dir
 from duelgrid.sources.readers import folders, path_exists
 
 
@@ -28,18 +29,24 @@ def run(writer):
     return q
 
 
-def first_of_key(key, frames, state):
-    """The row of the smallest patch_id in a key's first batch; later rows of the key give nothing until it is
-    forgotten."""
+#: Parts that a day's keys are dealt to; a part's keys are handed to Python together.
+DAY_PARTS = 64
+
+
+def first_of_keys(key, frames, state):
+    """Of each pair of a day's part the row of the smallest patch_id in the pair's first batch; later rows of the pair
+    give nothing until the day is forgotten."""
     import pandas as pd
 
     if state.hasTimedOut:
         state.remove()
         return
-    rows = pd.concat(list(frames))
-    if not state.exists:
-        state.update((True,))
-        yield rows.sort_values("patch_id").head(1)
+    rows = pd.concat(list(frames)).sort_values("patch_id").drop_duplicates("pair")
+    seen = list(state.get[0]) if state.exists else []
+    fresh = rows[~rows["pair"].isin(seen)]
+    if len(fresh):
+        state.update(([*seen, *fresh["pair"]],))
+        yield fresh
     due = int(rows["forget"].iloc[0].timestamp() * 1000)
     state.setTimeoutTimestamp(max(due, state.getCurrentWatermarkMs() + 1))
 
@@ -52,17 +59,21 @@ def guarded_ingest(stream: DataFrame, primary: DataFrame, out: str, checkpoint:
 
     A key (pair, date) is state until the watermark passes its date by the grace; the watermark stays behind the newest
     date by the grace and `lead_days`, the days that feed dates may run ahead of the primary ones.  Rows behind it are
-    late and dropped by the engine.  So state follows the window and not the output."""
+    late and dropped by the engine.  So state follows the window and not the output.  It lies by date and part of the pairs:
+    a call of the function for each key costs more than the key's rows."""
     floor = primary.agg(F.date_sub(F.max("date"), grace_days).alias("d")).first()["d"]
     pair = name_pair(F.col("name1"), F.col("name2"))
     near = primary.filter(F.col("date") >= F.date_sub(F.lit(floor), window_days)).select(
         pair.alias("pair"), F.explode(F.sequence(F.date_sub("date", window_days), F.date_add("date", window_days))).alias("date")).distinct()
+    ensure_checkpoint_dir(stream.sparkSession)
+    near = near.checkpoint()  # every batch reads it
     fresh = stream.filter(F.col("date") >= F.lit(floor)).withColumn("pair", pair).join(near, ["pair", "date"], "left_anti")
     timed = fresh.withColumns({"at": F.col("date").cast("timestamp"), "forget": F.date_add("date", grace_days).cast("timestamp")})
     timed = timed.withWatermark("at", f"{grace_days + lead_days} days")
-    first = timed.groupBy("pair", "date").applyInPandasWithState(
-        first_of_key, timed.schema, "seen boolean", "append", "EventTimeTimeout")
-    return run(first.drop("at", "forget").writeStream.outputMode("append").option("checkpointLocation", checkpoint).format("parquet").option("path", out))
+    timed = timed.withColumn("part", F.pmod(F.xxhash64("pair"), F.lit(DAY_PARTS)))
+    first = timed.groupBy("date", "part").applyInPandasWithState(
+        first_of_keys, timed.schema, "seen array<string>", "append", "EventTimeTimeout")
+    return run(first.drop("at", "forget", "part").writeStream.outputMode("append").option("checkpointLocation", checkpoint).format("parquet").option("path", out))
 
 
 #: Hash buckets of competitors, contests and slots: a batch reads and writes the ones its keys fall in.

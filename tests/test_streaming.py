@@ -73,6 +73,20 @@ def test_ingest_state_follows_the_window(spark, tmp_path):
     assert max(sizes) <= 5 * 7 and sizes[-1] <= 5 * 7
 
 
+def test_ingest_state_lies_by_day_and_part(spark, tmp_path):
+    """Many pairs of one day, some without a name, are few states; each pair is given out once, as first delivered."""
+    primary = spark.createDataFrame([(1, dt.date(2020, 1, 10), "Ann A", "Bea B")], "contest_id bigint, date date, name1 string, name2 string")
+    src, out, cp = (str(tmp_path / n) for n in ("in", "out", "cp"))
+    day = dt.date(2020, 1, 20)
+    name = lambda i: None if i == 7 else "P" + "".join(chr(97 + int(c)) for c in str(i))
+    deliver(spark, src, [(1000 + i - 300 * j, day, name(i), "Q", "x", "y") for i in range(400) for j in (0, 1)], FEED)
+    deliver(spark, src, [(i, day, name(i), "Q", "x", "y") for i in range(500)], FEED)
+    q = J.guarded_ingest(J.file_stream(spark, src, spark.createDataFrame([], FEED), 1), primary, out, cp)
+    got = spark.read.parquet(out)
+    assert sorted(r.patch_id for r in got.collect()) == sorted([700 + i for i in range(400)] + list(range(400, 500)))
+    assert max(p["stateOperators"][0]["numRowsTotal"] for p in q.recentProgress) <= J.DAY_PARTS
+
+
 def test_every_price_is_matched_unmatched_or_late(spark, tmp_path):
     a, b, out, cp = (str(tmp_path / n) for n in ("a", "b", "out", "cp"))
     prices, contests = "price_id bigint, pair string, price_ts timestamp", "contest_id bigint, pair string, contest_ts timestamp"
