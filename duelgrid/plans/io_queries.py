@@ -292,17 +292,18 @@ def online(ws):
 @query("S3_price_result_join")
 def price_join(ws):
     # names that resolve to nobody have no pair and match nothing
-    p = ws.prices.join(ws.resolved_prices, "price_id").select("price_id", C.pair_key(F.col("fav_id"), F.col("dog_id")).alias("pair"), F.col("date").cast("timestamp").alias("price_ts"))
-    c = ws.contests.select("contest_id", C.pair_key(F.col("c1"), F.col("c2")).alias("pair"), F.col("date").cast("timestamp").alias("contest_ts"))
+    # tables, as every delivery reads them; a delivery is one file, but only its own rows go through one task
+    p = ws.keep("s3-prices", ws.prices.join(ws.resolved_prices, "price_id").select("price_id", C.pair_key(F.col("fav_id"), F.col("dog_id")).alias("pair"), F.col("date").cast("timestamp").alias("price_ts")))
+    c = ws.keep("s3-contests", ws.contests.select("contest_id", C.pair_key(F.col("c1"), F.col("c2")).alias("pair"), F.col("date").cast("timestamp").alias("contest_ts")))
     # a file a year and side, then prices of the first year that come too late, then rows that only move time on
     a, b, out = place(ws, "s3-p"), place(ws, "s3-c"), place(ws, "s3-out")
     first, final = c.agg(F.min(F.year("contest_ts")), F.max(F.year("contest_ts"))).first()
     late = (F.year("price_ts") == first) & (F.col("price_id") % 50 == 0)
     for year in range(first, final + 1):
         edge = lambda ts: (F.year(ts) == year) if first < year < final else (F.year(ts) <= year if year == first else F.year(ts) >= year)
-        p.filter(edge("price_ts") & ~late).coalesce(1).write.mode("append").parquet(a)
-        c.filter(edge("contest_ts")).coalesce(1).write.mode("append").parquet(b)
-    p.filter(late).coalesce(1).write.mode("append").parquet(a)
+        p.filter(edge("price_ts") & ~late).repartition(1).write.mode("append").parquet(a)
+        c.filter(edge("contest_ts")).repartition(1).write.mode("append").parquet(b)
+    p.filter(late).repartition(1).write.mode("append").parquet(a)
     tick = lambda df, ts: df.limit(1).select(*[{ts: F.lit(f"{final + 1}-06-01").cast("timestamp"), "pair": F.lit(ts)}.get(f.name, F.lit(None).cast(f.dataType)).alias(f.name) for f in df.schema])
     for side, ts, path in ((p, "price_ts", a), (c, "contest_ts", b)):
         tick(side, ts).coalesce(1).write.mode("append").parquet(path)
