@@ -100,8 +100,8 @@ def reaches(ws):
     return R.reach_source(B.reach_text(ws.competitors))
 
 
-def form_text(ws):
-    return A.recent_form(ws.log).select("competitor", F.array_join(F.transform("form", lambda x: F.concat_ws(" ", x["result"], x["label"])), "; ").alias("form"))
+def form_text(log):
+    return A.recent_form(log).select("competitor", F.array_join(F.transform("form", lambda x: F.concat_ws(" ", x["result"], x["label"])), "; ").alias("form"))
 
 
 @query("I3_competitor_with_hint")
@@ -110,7 +110,8 @@ def hinted(ws):
     low, high = ws.final.agg(F.min("competitor"), F.max("competitor")).first()
     hint = ws.final.filter(F.col("competitor") == low).agg(F.max("division")).first()[0]
     following = S.next_contests(B.upcoming(ws.contests), ws.today)
-    read = lambda who, h=None: S.competitor(ws.profile, ws.final, following, form_text(ws), who, h)
+    form = form_text(ws.log_of(low, high))
+    read = lambda who, h=None: S.competitor(ws.profile, ws.final, following, form, who, h)
     return read(low, hint).unionByName(read(high))
 
 
